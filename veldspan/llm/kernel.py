@@ -16,6 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -59,8 +60,8 @@ class Slice(NamedTuple):
     valid: np.ndarray  # False where the text is null
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Consecutive row ranges of a string column of about ``limit`` bytes each."""
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, max_rows: int = SLICE_ROWS) -> Iterator[Slice]:
+    """Consecutive row ranges of a string column of about ``limit`` bytes and at most ``max_rows`` rows each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.type != pa.large_binary():
@@ -80,7 +81,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + max_rows, max(hi, lo + 1))
         yield Slice(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], valid[lo:hi])
         lo = hi
 
@@ -93,13 +94,13 @@ class Words(NamedTuple):
     first: np.ndarray  # index of each row's first word; rows+1 values
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """All words of a slice, with a 64-bit hash of each."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
+    """All words of a slice, with a 64-bit hash of each; ``space`` tells the bytes between words."""
     rows = len(offsets) - 1
     n = len(data)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     change = inside[1:] != inside[:-1]
     # a word never crosses a row: cut where a row starts inside a run
     cuts = offsets[1:-1]
@@ -116,10 +117,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     return Words(doc, starts, ends, span_hash(LOWER[data] if lower else data, starts, ends), first)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE_CODE[data] * powers(len(data), _BASE), dtype=U64, out=total[1:])
+    return total
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte span; ``total`` may pass in the data's prefix_sums."""
+    if total is None:
+        total = prefix_sums(data)
     h = (total[ends] - total[starts]) * powers(len(data) + 1, _BASE_INV)[starts]
     return mix(h ^ (ends - starts).astype(U64))
 
@@ -161,3 +168,30 @@ def shingle_sets(w: Words, rows: int, size: int = 5) -> tuple[np.ndarray, np.nda
     keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[keep], owner[keep]
     return h, np.searchsorted(owner, np.arange(rows + 1))
+
+
+def row_of_byte(offsets: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
+    """A record batch of the schema from arrays by column name."""
+    arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in schema for x in [columns[f.name]]]
+    return pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
+
+
+def packed(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column of the byte spans between ``offsets`` of the items of ``data``."""
+    raw = np.ascontiguousarray(data)
+    off = (offsets * raw.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(raw.view(np.uint8))])
+
+
+def unpacked(column: pa.Array, dtype=U64) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a binary column of ``packed`` arrays, and their row offsets."""
+    column = column.cast(pa.large_binary())
+    _, off, dat = column.buffers()
+    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(dat, np.uint8)[offsets[0] : offsets[-1]] if dat is not None else np.zeros(0, np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(raw.tobytes(), dtype), (offsets - offsets[0]) // size

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import language_id, mixing, quality_classifier, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,20 @@ def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
 
+def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir))
+
+
+def op7_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op3_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curriculum_mix, op8_stratified_shards)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op8_stratified_shards, op5_divergence_rules, op7_nearest_centroid, op3_weak_label_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed but lies in a folder they see."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -77,3 +86,39 @@ def word_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null."""
     parts = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     return F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string, as mapInArrow expects it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def map_text(df: DataFrame, ddl: str, task, rows: int = 4096) -> DataFrame:
+    """Runs ``task`` over slices of the first column (a text), a few megabytes at a time.
+
+    ``task`` is called once per Spark task and returns (each, last): ``each(slice, rest)``
+    gives the columns to emit for one slice (or None), ``rest`` being the other columns'
+    arrays for its rows; ``last()``, if not None, gives what the task emits at its end.
+    """
+    from . import kernel
+
+    workers_find_package(df.sparkSession)
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        each, last = task()
+        for batch in batches:
+            for piece in kernel.text_slices(batch.column(0), max_rows=rows):
+                rest = [batch.column(i).slice(piece.lo, piece.hi - piece.lo) for i in range(1, batch.num_columns)]
+                out = each(piece, rest)
+                if out is not None:
+                    yield kernel.table(out, schema)
+        if last is not None:
+            out = last()
+            if out is not None:
+                yield kernel.table(out, schema)
+
+    return df.mapInArrow(run, ddl)
