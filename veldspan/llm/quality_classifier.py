@@ -22,7 +22,8 @@ from . import kernel as K
 from .quality_rules import _SYMBOL, base_counts
 from .shared import map_text, seeded_unit
 
-SAMPLE = 12_000
+SAMPLE = 8_000
+SAMPLE_CHARS = 10_000  # longer documents are judged but do not teach
 SEED = "classifier-2024"
 BITS = 21
 PREFIXES = (4, 5, 6)
@@ -196,6 +197,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     else:
         sample = docs.filter(unit < SAMPLE / max(1, docs.count())).select("text", "doc_id", F.lit(-1).alias("junk_label"), F.lit(-1).alias("toxic_label"))
 
+    sample = sample.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+
     def gather():
         def each(s, rest):
             t, ratio = terms(s), ratios(s)
@@ -215,7 +218,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     ratio = np.array([np.frombuffer(r["ratios"], np.float64) for r in rows]).reshape(len(rows), len(JUNK_RULES))
     junk_label = np.array([r["junk_label"] for r in rows], np.int8)
     toxic_label = np.array([r["toxic_label"] for r in rows], np.int8)
-    t = Terms(np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols).T.astype(np.int64) if cols else np.zeros((1 + len(PREFIXES), 0), np.int64))
+    t = Terms(np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols).T if cols else np.zeros((1 + len(PREFIXES), 0), np.int32))
+    del cols
 
     lexicon = np.zeros((2, 1 << BITS), bool)
     known = toxic_label >= 0
@@ -225,7 +229,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             n = np.zeros((2, 1 << BITS))
             for v in (0, 1):
                 rows_here = (toxic_label == v)[t.doc]
-                pairs = np.unique(np.concatenate([(t.doc[m] << BITS) + c[m] for c in picked_cols for m in [rows_here & (c >= 0)]]))
+                pairs = np.unique(np.concatenate([(t.doc[m] << BITS) + c[m].astype(np.int64) for c in picked_cols for m in [rows_here & (c >= 0)]]))
                 n[v] = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
             odds = np.log((n[1] + 0.5) / (n_bad + 1)) - np.log((n[0] + 0.5) / (n_good + 1))
             lexicon[j] = (odds > LEXICON_LOG_ODDS) & (n[1] >= max(LEXICON_COUNT, LEXICON_SHARE * n_bad))
@@ -259,8 +263,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             scorers.append(train_linear(doc, feature, target, ratio.shape[1] * BINS))
         else:
             flat = t.columns.T.reshape(-1)
-            doc = np.repeat(t.doc, len(t.columns))
-            seen = np.bincount(flat[flat >= 0], np.repeat(target[t.doc], len(t.columns))[flat >= 0], minlength=1 << BITS)
+            doc = np.repeat(t.doc.astype(np.int32), len(t.columns))
+            seen = np.bincount(flat[flat >= 0], target[doc[flat >= 0]], minlength=1 << BITS)
             other = np.bincount(flat[flat >= 0], minlength=1 << BITS) - seen
             # words that are rare, or about as frequent in good documents, teach only noise
             lift = seen * (len(target) - target.sum()) >= LIFT * other * target.sum()
