@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, quality_classifier, quality_rules, sharding
+from . import decontamination, language_id, licenses, lm_scoring, mixing, quality_classifier, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,20 @@ def op3_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir), path=licenses.document_path())
+
+
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curriculum_mix, op8_stratified_shards, op5_divergence_rules, op7_nearest_centroid, op3_weak_label_classifier)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op8_stratified_shards, op5_divergence_rules, op7_nearest_centroid, op3_weak_label_classifier, op4_pigeonhole_leaks, op6_license_scan, op10_context_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
