@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, licenses, lm_scoring, mixing, quality_classifier, quality_rules, sharding
+from . import decontamination, jaccard_join, language_id, licenses, lm_scoring, mixing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op9_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curriculum_mix, op8_stratified_shards, op5_divergence_rules, op7_nearest_centroid, op3_weak_label_classifier, op4_pigeonhole_leaks, op6_license_scan, op10_context_mixing, op9_divide_skip_join)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op8_stratified_shards, op5_divergence_rules, op7_nearest_centroid, op3_weak_label_classifier, op4_pigeonhole_leaks, op6_license_scan, op10_context_mixing, op9_divide_skip_join, op2_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
