@@ -132,3 +132,28 @@ def curriculum(plan: DataFrame) -> DataFrame:
     width = shuffle_width(plan.sparkSession)
     keys = [F.col("position").asc_nulls_last(), F.col("doc_id").asc()]
     return plan.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
+
+
+def mix_documents(docs: DataFrame, seed: str = SEED, text_col: str = "text") -> DataFrame:
+    """The documents themselves, each as often as the mix takes it, in training order.
+
+    Whole documents: a document is repeated ``copies`` times, in consecutive passes over its
+    source; documents the mix does not take are left out.  All columns are kept.  Rows that
+    share an id get the same number of copies.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.col(text_col))), F.lit("~"))
+    keyed = docs.withColumn("_mix_key", key)
+    plan = mix_plan(keyed, seed, id_col="_mix_key", text_col=text_col)
+    passes = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_key")).agg(
+        F.max("copies").alias("_copies"),
+        F.min("position").alias("_position"),
+        F.max((F.col("source_size") / F.col("target"))).alias("_pass"),
+    )
+    # later passes come one pass length of the source's demand later
+    placed = (
+        keyed.join(passes, "_mix_key")
+        .withColumn("_n", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+        .withColumn("_at", F.least(F.lit(1.0), F.col("_position") + F.col("_n") * F.col("_pass")))
+    )
+    width = shuffle_width(docs.sparkSession)
+    return placed.repartitionByRange(width, "_at", "_mix_key").sortWithinPartitions("_at", "_mix_key").select(*docs.columns)

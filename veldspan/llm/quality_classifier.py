@@ -15,12 +15,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .quality_rules import _SYMBOL, base_counts
-from .shared import map_text, seeded_unit
+from .shared import map_text, seeded_unit, workers_find_package
 
 SAMPLE = 8_000
 SAMPLE_CHARS = 10_000  # longer documents are judged but do not teach
@@ -32,7 +33,8 @@ LEXICON_COUNT = 3  # at least, and at least this share of the toxic documents:
 LEXICON_SHARE = 0.01
 EPOCHS = 25
 LIFT = 5.0
-REJECT = 0.5
+MAX_JUNK = 0.5
+MAX_TOXIC = 0.3  # one toxic word in a short text scores about a third
 
 _BREAK = np.ones(256, bool)  # words here are runs of ASCII letters, digits and non-ASCII bytes
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
@@ -171,16 +173,10 @@ def train_linear(doc: np.ndarray, feature: np.ndarray, target: np.ndarray, width
     return weights, bias
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, junk_score, toxic_score (0 to 1), kept.
-
-    Null and empty texts have no features; they are junk by definition and not kept.
-    Labels may be missing, null, repeated (the worse entry counts) or about unknown
-    documents.  With no labels at all the heuristics alone teach, and nothing is toxic.
-    Repeated rows are judged alike; an empty table gives an empty table; other columns
-    are ignored.
-    """
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"):
+    """The two linear scorers (junk, toxicity) as a broadcast list of (weights, bias)."""
     spark = docs.sparkSession
+    workers_find_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     if labels is None:
@@ -270,21 +266,53 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             lift = seen * (len(target) - target.sum()) >= LIFT * other * target.sum()
             used = (flat >= 0) & ((seen >= max(LEXICON_COUNT, LEXICON_SHARE * target.sum())) & lift)[flat]
             scorers.append(train_linear(doc[used], flat[used], target, 1 << BITS))
-    model = spark.sparkContext.broadcast([(w.astype(np.float32), b) for w, b in scorers])
+    return spark.sparkContext.broadcast([(w.astype(np.float32), b) for w, b in scorers])
+
+
+def judge(model, s: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(junk score, toxicity score, kept) of the rows of a slice."""
+    (wj, bj), (wt, bt) = model
+    rows = s.hi - s.lo
+    r, t = ratios(s), terms(s)
+    junk = wj[np.minimum(ratio_bins(r), len(wj) - 1)].sum(1) + bj
+    weight = np.where(t.columns >= 0, wt[np.maximum(t.columns, 0)], 0).sum(0)
+    toxic = np.bincount(t.doc, weight, minlength=rows) + bt
+    junk, toxic = 1 / (1 + np.exp(-np.clip(junk, -30, 30))), 1 / (1 + np.exp(-np.clip(toxic, -30, 30)))
+    empty = np.diff(K.words(s.data, s.offsets).first) == 0
+    junk = np.where(empty, 1.0, junk)
+    return junk, toxic, (junk < MAX_JUNK) & (toxic < MAX_TOXIC)
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, junk_score, toxic_score (0 to 1), kept.
+
+    Null and empty texts have no features; they are junk by definition and not kept.
+    Labels may be missing, null, repeated (the worse entry counts) or about unknown
+    documents.  With no labels at all the heuristics alone teach, and nothing is toxic.
+    Repeated rows are judged alike; an empty table gives an empty table; other columns
+    are ignored.
+    """
+    model = fit(docs, labels, id_col, text_col)
 
     def score():
         def each(s, rest):
-            (wj, bj), (wt, bt) = model.value
-            rows = s.hi - s.lo
-            r, t = ratios(s), terms(s)
-            junk = wj[np.minimum(ratio_bins(r), len(wj) - 1)].sum(1) + bj
-            weight = np.where(t.columns >= 0, wt[np.maximum(t.columns, 0)], 0).sum(0)
-            toxic = np.bincount(t.doc, weight, minlength=rows) + bt
-            junk, toxic = 1 / (1 + np.exp(-np.clip(junk, -30, 30))), 1 / (1 + np.exp(-np.clip(toxic, -30, 30)))
-            empty = np.diff(K.words(s.data, s.offsets).first) == 0
-            junk = np.where(empty, 1.0, junk)
-            return {"doc_id": rest[0], "junk_score": np.round(junk, 6), "toxic_score": np.round(toxic, 6), "kept": (junk < REJECT) & (toxic < REJECT)}
+            junk, toxic, kept = judge(model.value, s)
+            return {"doc_id": rest[0], "junk_score": np.round(junk, 6), "toxic_score": np.round(toxic, 6), "kept": kept}
 
         return each, None
 
-    return map_text(docs, f"doc_id {id_type}, junk_score double, toxic_score double, kept boolean", score)
+    ddl = f"doc_id {docs.schema[id_col].dataType.simpleString()}, junk_score double, toxic_score double, kept boolean"
+    return map_text(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), ddl, score)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``classify`` keeps."""
+    model, at = fit(docs, labels, id_col, text_col), docs.columns.index(text_col)
+
+    def filtered(batches):
+        for batch in batches:
+            kept = [judge(model.value, s)[2] for s in K.text_slices(batch.column(at))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(filtered, docs.schema)

@@ -54,7 +54,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curriculum_mix, op8_stratified_shards, op5_divergence_rules, op7_nearest_centroid, op3_weak_label_classifier, op4_pigeonhole_leaks, op6_license_scan, op10_context_mixing, op9_divide_skip_join, op2_suffix_dedup)}
+    import corpus_pipeline
+
+    operators = (
+        op1_curriculum_mix,
+        op2_suffix_dedup,
+        op3_weak_label_classifier,
+        op4_pigeonhole_leaks,
+        op5_divergence_rules,
+        op6_license_scan,
+        op7_nearest_centroid,
+        op8_stratified_shards,
+        op9_divide_skip_join,
+        op10_context_mixing,
+    )
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
