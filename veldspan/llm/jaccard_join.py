@@ -8,8 +8,10 @@ each, in any order common to all; here shingles that are frequent in a sample co
 so that common passages make no long lists.  Prefix shingles meet by hash bucket.  Nodes
 of a list are paired if their sizes allow a link; a pair is dropped where the parity
 bitmaps of the two sets differ in more bits than two linked sets can have different
-shingles (each differing bit needs one).  Long lists are not paired: their nodes stay
-together.  Components of what remains are clusters; linked nodes are always in one cluster.
+shingles (each differing bit needs one).  Lists of over PAIR_LIST nodes are compared as a
+whole, bitmap against bitmap, in the task they meet in, and only join what may link; lists
+of over BLOCK nodes are not compared, their nodes stay together.  Components of what
+remains are clusters; linked nodes are always in one cluster.
 
 Search.  Within a cluster, each node queries an inverted index of the others: its short
 lists are merged by counting, the longest are set aside as DivideSkip does, nodes reached
@@ -36,9 +38,10 @@ from .shared import arrow_schema, map_text, materialise, seeded_unit, shuffle_wi
 WORDS = 5
 PERCENT = 75
 SEED = "jaccard-2024"
-SAMPLE_DOCS, SAMPLE_SHARE = 4_000, 0.02
+SAMPLE_DOCS, SAMPLE_SHARE = 4_000, 0.03
 FREQUENT_COUNT, MAX_FREQUENT = 3, 500_000
-LONG_LIST = 64
+PAIR_LIST = 64
+PAIR, STAR, MEMBER = 0, 1, 2
 BLOCK = 512
 MU = 0.0085  # DivideSkip's cost ratio of merging and probing
 
@@ -164,7 +167,7 @@ def prefix_postings(docs: DataFrame, frequent: np.ndarray, buckets: int, text_co
 
 
 def _lists(batches):
-    """Candidate pairs (long false) and long lists as stars (long true) of the buckets of a partition."""
+    """Candidate pairs, stars of very long lists and members of long ones, of the buckets of a partition."""
     held: dict[int, list] = {}
     for batch in batches:
         for b, *raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -181,7 +184,7 @@ def _lists(batches):
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(key)))
         found_a, found_b = [], []
-        pairable = (count > 1) & (count <= LONG_LIST)
+        pairable = (count > 1) & (count <= PAIR_LIST)
         for m in np.unique(count[pairable]):  # all lists of one length at once
             at = start[count == m][:, None] + np.arange(m)
             i, j = np.triu_indices(m, 1)
@@ -189,18 +192,55 @@ def _lists(batches):
             fits = np.minimum(size[a], size[b]) * 100 >= PERCENT * np.maximum(size[a], size[b])
             found_a.append(node[a[fits]])
             found_b.append(node[b[fits]])
-        star_a, star_b = [], []
-        for s, m in zip(start[count > LONG_LIST], count[count > LONG_LIST]):
-            # nodes whose sizes differ too much cannot link: one star for each run of sizes
+        rest: dict[int, tuple[list, list]] = {STAR: ([], []), MEMBER: ([], [])}
+        for s, m in zip(start[count > PAIR_LIST], count[count > PAIR_LIST]):
+            # nodes whose sizes differ too much cannot link: a list for each run of sizes
             by_size = s + np.argsort(size[s : s + m], kind="stable")
             gap = np.flatnonzero(size[by_size][1:] * PERCENT > size[by_size][:-1] * 100) + 1
             for part in np.split(by_size, gap):
-                star_a.append(np.full(len(part) - 1, node[part[0]]))
-                star_b.append(node[part[1:]])
-        for long, xs, ys in ((False, found_a, found_b), (True, star_a, star_b)):
+                here = np.sort(node[part])
+                if len(part) > BLOCK:
+                    rest[STAR][0].append(np.full(len(part) - 1, here[0]))
+                    rest[STAR][1].append(here[1:])
+                elif len(part) > 1:  # the list's name: equal lists are compared once
+                    rest[MEMBER][0].append(np.full(len(part), K.mix(K.mix(here.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0]))
+                    rest[MEMBER][1].append(here)
+        for kind, (xs, ys) in {PAIR: (found_a, found_b), **rest}.items():
             if xs:
                 pairs = np.unique(np.column_stack([np.concatenate(xs), np.concatenate(ys)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), long))], names=["a", "b", "long"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), kind, np.int32))], names=["a", "b", "kind"])
+
+
+def _near_lists(batches):
+    """Joins the nodes of each list, sorted by list and size, that may link."""
+
+    def joined(nodes, sizes, maps):
+        forest, out = Forest(len(nodes)), []
+        width = [len(m) for m in maps]
+        for w in sorted(set(width)):  # a size class against itself and the next
+            use = [i for i in range(len(nodes)) if w <= width[i] <= 2 * w]
+            x = np.stack([m if len(m) == w else m[:w] ^ m[w:] for m in (maps[i] for i in use)])
+            n = np.array([sizes[i] for i in use])
+            for i in range(len(use) - 1):
+                distance = np.bitwise_count(x[i] ^ x[i + 1 :]).sum(1)
+                total = n[i] + n[i + 1 :]
+                for j in (np.flatnonzero(distance <= total - 2 * needed(n[i], n[i + 1 :])) + i + 1).tolist():
+                    if forest.union(use[i], use[j]):
+                        out.append((nodes[use[i]], nodes[use[j]]))
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    name, nodes, sizes, maps = None, [], [], []
+    for batch in batches:
+        for g, b, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if g != name and nodes:
+                yield joined(nodes, sizes, maps)
+                nodes, sizes, maps = [], [], []
+            name = g
+            nodes.append(b)
+            sizes.append(n)
+            maps.append(np.frombuffer(raw, np.uint64))
+    if nodes:
+        yield joined(nodes, sizes, maps)
 
 
 def _near(batches):
@@ -311,10 +351,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     buckets = 4 * shuffle_width(spark)
     postings = prefix_postings(docs, frequent_shingles(docs, rows, id_col, text_col), buckets, text_col)
-    found = materialise(postings.repartition(buckets, "bucket").mapInArrow(_lists, "a long, b long, long boolean").distinct(), "jaccard-pairs")
+    found = materialise(postings.repartition(buckets, "bucket").mapInArrow(_lists, "a long, b long, kind int").distinct(), "jaccard-pairs")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"x{x}"))
-    pairs = found.filter("not long").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
-    near = pairs.mapInArrow(_near, "a long, b long").union(found.filter("long").select("a", "b"))
+    pairs = found.filter(F.col("kind") == PAIR).join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
+    lists = found.filter(F.col("kind") == MEMBER).join(side("b"), "b").select("a", "b", "nb", "xb")
+    lists = lists.repartition(buckets, "a").sortWithinPartitions("a", "nb", "b").mapInArrow(_near_lists, "a long, b long")
+    near = pairs.mapInArrow(_near, "a long, b long").union(lists).union(found.filter(F.col("kind") == STAR).select("a", "b"))
     clusters = connected_components(near).withColumnRenamed("label", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     members = materialise(clusters.join(sizes, "cluster").join(nodes.select("node", "key", "low"), "node"), "jaccard-members")
@@ -375,3 +417,22 @@ def outside_links(large: DataFrame, links: DataFrame) -> DataFrame:
         .select(F.concat_ws(":", "cluster", block, "chunk").alias("part"), "node", F.lit(False).alias("query"), "shingles")
     )
     return search(ask.union(member))
+
+
+def keep_one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest id of their component.
+
+    Of repeated rows one stays; rows with a null id stay unless they link to a row with an id.
+    """
+    components = materialise(link_components(docs, text_col=text_col), "jaccard-components")
+    kept = components.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    counted = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")), "jaccard-kept")
+    single = docs.join(counted.filter("_copies = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    other = counted.filter("_copies > 1 or doc_id is null")
+    if other.limit(1).count():
+        same = docs.join(other.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", text_col])
+        nulls = components.filter("doc_id is null")
+        if nulls.filter("component_id is null").limit(1).count():
+            same = same.unionByName(docs.filter("doc_id is null"))
+        single = single.select(*docs.columns).unionByName(same.select(*docs.columns))
+    return single.select(*docs.columns)
