@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def manifest_mismatches(expected: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows of the full outer join on ``key`` whose columns differ, with both sides."""
-    left = expected.select(key, *[F.col(c).alias(f"expected_{c}") for c in columns])
-    right = found.select(key, *[F.col(c).alias(f"found_{c}") for c in columns])
-    same = F.lit(True)
+    left = expected.select(key, F.lit(True).alias("_left"), *[F.col(c).alias(f"expected_{c}") for c in columns])
+    right = found.select(key, F.lit(True).alias("_right"), *[F.col(c).alias(f"found_{c}") for c in columns])
+    same = F.col("_left").isNotNull() & F.col("_right").isNotNull()
     for c in columns:
         same = same & F.col(f"expected_{c}").eqNullSafe(F.col(f"found_{c}"))
-    return left.join(right, key, "full_outer").filter(~same)
+    return left.join(right, key, "full_outer").filter(~same).drop("_left", "_right")
 
 
 def manifest_verdict(expected: DataFrame, found: DataFrame | None, key: str, columns: list[str]) -> str:
