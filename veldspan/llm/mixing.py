@@ -123,7 +123,7 @@ def mix_plan(
         "target",
         taken.cast("long").alias("taken"),
         copies.alias("copies"),
-        F.when(taken > 0, training_time(share, F.col("kind"), schedules)).alias("position"),
+        F.when(taken > 0, F.round(training_time(share, F.col("kind"), schedules), 9)).alias("position"),
     )
 
 

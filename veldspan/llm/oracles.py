@@ -7,22 +7,43 @@ def unit(seed: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-SHARDS = f"""
-WITH base AS (
-  SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, source,
-         {unit('shard-2024')} AS u
+MIX = f"""
+WITH d AS (SELECT doc_id, source, {WORDS}::BIGINT AS size, {unit('mix-2024')} AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM d GROUP BY source),
+w AS (SELECT *, (kind + 1)::DOUBLE AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, cap / weight AS ratio,
+  coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+  sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w),
+l AS (SELECT arg_min((total - spent) / open_weight, ratio) FILTER (WHERE (total - spent) / open_weight <= ratio) AS level FROM o),
+t AS (SELECT source, source_size, kind, least(cap::DOUBLE, weight * level) AS target FROM w, l),
+c AS (SELECT d.doc_id, d.size, t.source_size, t.kind, t.target,
+  (sum(d.size) OVER (PARTITION BY d.source ORDER BY u, doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, floor(target)::BIGINT AS budget, start / target AS share FROM c),
+p AS (SELECT *, least(size, greatest(0, budget - start)) + least(size, greatest(0, budget - start - source_size)) + least(size, greatest(0, budget - start - 2 * source_size)) AS taken FROM k)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+  CASE WHEN size = 0 THEN 0 ELSE (start + size / 2 < target)::INTEGER + (start + source_size + size / 2 < target)::INTEGER + (start + 2 * source_size + size / 2 < target)::INTEGER END AS copies,
+  CASE WHEN taken > 0 THEN round(CASE WHEN share >= 1 THEN 1.0
+    WHEN kind = 0 THEN (sqrt(2.25 - 2 * share) - 1.5) / -1 WHEN kind = 1 THEN share
+    WHEN share < 0.375 THEN (sqrt(2.25 + 6 * share * 3) - 1.5) / 3
+    ELSE 0.5 + (sqrt(9 + 6 * (share - 0.375) * 3) - 3) / 3 END, 9) END AS position
+FROM p
+"""
+
+LINKS = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, doc_id, size) - 1 AS rk,
-         count(*) OVER (PARTITION BY source) AS n_source
-  FROM base),
-placed AS (
-  SELECT *, row_number() OVER (ORDER BY (2 * rk + 1)::DOUBLE / (2 * n_source)::DOUBLE, u, doc_id, size) - 1 AS pos,
-         count(*) OVER () AS n
-  FROM ranked)
-SELECT doc_id, size, 'rows' AS law, ((pos * 40) // n)::INTEGER AS shard,
-       (pos - (((pos * 40) // n) * n + 39) // 40)::BIGINT AS slot
-FROM placed
+sh AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM w WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, '/' || array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, sym.b FROM r JOIN sym ON r.b = sym.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.b AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_curriculum_mix": MIX, "op9_divide_skip_join": LINKS}
