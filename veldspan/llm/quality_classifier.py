@@ -31,7 +31,7 @@ PREFIXES = (4, 5, 6)
 LEXICON_LOG_ODDS = 4.0
 LEXICON_COUNT = 3  # at least, and at least this share of the toxic documents:
 LEXICON_SHARE = 0.01
-EPOCHS = 25
+EPOCHS, MIN_STEPS = 25, 1500
 LIFT = 5.0
 MAX_JUNK = 0.5
 MAX_TOXIC = 0.3  # one toxic word in a short text scores about a third
@@ -155,7 +155,7 @@ def train_linear(doc: np.ndarray, feature: np.ndarray, target: np.ndarray, width
     n = len(target)
     at = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS * 64 // max(n, 1)))):
         order = rng.permutation(n)
         for lo in range(0, n, 64):
             batch = order[lo : lo + 64]
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         return each, None
 
     rows = map_text(sample, f"doc_id {id_type}, junk_label int, toxic_label int, terms binary, ratios binary", gather).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["ratios"], r["terms"]))
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["ratios"], r["terms"]))
     cols = [np.frombuffer(r["terms"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in rows]
     ratio = np.array([np.frombuffer(r["ratios"], np.float64) for r in rows]).reshape(len(rows), len(JUNK_RULES))
     junk_label = np.array([r["junk_label"] for r in rows], np.int8)

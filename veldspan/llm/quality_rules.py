@@ -2,8 +2,9 @@
 
 A document that passes the base rules is compared with the reference of every language:
 the Jensen-Shannon distance (base 2, square root of the divergence, 0 to 1) between its
-and the language's histograms of character classes, and of common words.  It is kept if
-for some language both distances are within their limits.  A guard leaves out the
+and the language's histograms of character classes, and of common words, the latter as
+a share of the distance of a text without any common word.  It is kept if for some
+language both are within their limits.  A guard leaves out the
 comparison of common words for documents with fewer than ``MIN_COMMON_WORDS`` words,
 where chance alone makes the histograms differ.
 
@@ -28,8 +29,8 @@ COMMON_SHARE = 0.004
 MAX_COMMON = 128
 MAX_LANGS = 256
 MIN_COMMON_WORDS = 50
-MAX_CLASS_DISTANCE = 0.26
-MAX_WORD_DISTANCE = 0.37
+MAX_CLASS_DISTANCE = 0.3
+MAX_WORD_DISTANCE = 0.98  # 1 is a text without any common word
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes by byte: fixed values.
@@ -245,7 +246,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 dc = js_distance(classes, ref_class)
                 counts = common_counts(w, rows, hashes)
                 dw = js_distance(np.column_stack([counts, base["n_words"] - counts.sum(1)]), ref_words)
-                dw = np.where(base["n_words"] < MIN_COMMON_WORDS, 0.0, dw)
+                none = js_distance(np.append(np.zeros(len(hashes)), 1.0)[None], ref_words)[0]
+                dw = np.where(base["n_words"] < MIN_COMMON_WORDS, 0.0, dw / max(none, 1e-9))
                 worst = np.maximum(dc / MAX_CLASS_DISTANCE, dw / MAX_WORD_DISTANCE)
                 better = worst < best
                 best[better], class_d[better], word_d[better] = worst[better], dc[better], dw[better]
