@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,34 @@ def transposed(rows: Column) -> Column:
 
 def linspace(start: float, end: float, steps: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.lit(start) + (F.lit(end) - F.lit(start)) * i / steps)
+
+
+def euler(start: Column, velocity, steps: int) -> Column:
+    """Integrates x' = velocity(x, t) from t = 1 down to 0 in equal steps; x is a number."""
+    size = 1.0 / steps
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), start.cast("double"), lambda x, i: x - velocity(x, 1 - i * size) * size)
+
+
+def rotated(a: Column, angle: Column) -> Column:
+    """Neighbouring pairs of elements turned by an angle, as rotary positions do."""
+    pairs = F.sequence(F.lit(0), F.floor(F.size(a) / 2).cast("int") - 1)
+    turned = F.transform(
+        pairs,
+        lambda i: F.array(
+            F.get(a, 2 * i) * F.cos(angle) - F.get(a, 2 * i + 1) * F.sin(angle), F.get(a, 2 * i) * F.sin(angle) + F.get(a, 2 * i + 1) * F.cos(angle)
+        ),
+    )
+    return F.flatten(turned)
+
+
+def timestep_embedding(t: Column, width: int, period: float = 10_000.0) -> Column:
+    """cos and sin of t at width / 2 frequencies falling geometrically."""
+    half = width // 2
+    at = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: t * F.exp(F.lit(-math.log(period)) * i / half))
+    return F.concat(F.transform(at, F.cos), F.transform(at, F.sin))
+
+
+def preserving_sum(a: Column, b: Column, weight: float = 0.5) -> Column:
+    """A weighted sum scaled so that independent unit inputs give a unit output."""
+    scale = ((1 - weight) ** 2 + weight**2) ** 0.5
+    return F.zip_with(a, b, lambda x, y: (x * (1 - weight) + y * weight) / scale)
