@@ -372,7 +372,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return each, None
 
-    texts = keyed(docs, id_col, text_col).select("text", "key").join(members.select("key", "node", "cluster", "size"), "key")
+    texts = keyed(docs, id_col, text_col).select("text", "key").join(
+        members.select("key", "node", "cluster", "size").hint("merge"), "key"  # members grow with the corpus: never broadcast
+    )
     full = materialise(map_text(texts.select("text", "node", "cluster", "size"), "node long, cluster long, size long, shingles binary", shingles), "jaccard-full")
     part = lambda salt: F.concat_ws(
         ":", F.col("cluster"), F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0))
