@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+MAX_RANGES = 10_000
+
+
 def seeded_unit(seed: str, key: Column) -> Column:
     """A repeatable number in [0, 1) from the md5 of ``seed:key``."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
@@ -16,21 +20,22 @@ def seeded_unit(seed: str, key: Column) -> Column:
 
 
 def with_position(df: DataFrame, order: str, *ties: str, name: str = "pos") -> DataFrame:
-    """Adds the dense position (from 0) of each row in the order of a numeric column, then ``ties``.
+    """Adds the dense position (from 0) of each row in the order of a numeric column, then ``ties``; nulls last.
 
-    Rows are cut into ranges at approximate quantiles; a table with one row a range holds
-    what comes before it, and only the rows of one range meet in a window.
+    Rows are cut into about sqrt(rows) ranges at approximate quantiles (a binary search per
+    row); a table with one row a range holds what comes before it, and only the rows of
+    one range meet in a window.
     """
     rows = df.count()
-    parts = max(1, math.isqrt(rows))
-    bounds = df.select(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 and rows else None
-    edges = sorted(set(bounds or []))
-    part = F.size(F.filter(F.lit(edges), lambda e: e < F.col(order))) if edges else F.lit(0)
-    cut = df.withColumn("_part", part)
+    parts = min(MAX_RANGES, max(1, math.isqrt(rows)))
+    value = F.col(order).cast("double")
+    bounds = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], MAX_RANGES)).first()[0] if parts > 1 else None
+    edges = [-math.inf, *sorted(set(bounds or [0.0])), math.inf]
+    cut = Bucketizer(splits=edges, inputCol="_value", outputCol="_part", handleInvalid="keep").transform(df.withColumn("_value", value))
     sums = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order, *ties))
-    return cut.join(before, "_part").withColumn(name, (F.col("_before") + inside - 1).cast("long")).drop("_part", "_before")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_last(), *ties))
+    return cut.join(before, "_part").withColumn(name, (F.col("_before") + inside - 1).cast("long")).drop("_part", "_before", "_value")
 
 
 def equal_frequency(position: Column, rows: int, levels: int) -> Column:
