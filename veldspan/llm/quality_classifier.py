@@ -23,7 +23,7 @@ from . import kernel as K
 from .quality_rules import _SYMBOL, base_counts
 from .shared import map_text, seeded_unit, workers_find_package
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 SAMPLE_CHARS = 10_000  # longer documents are judged but do not teach
 SEED = "classifier-2024"
 BITS = 21
@@ -215,14 +215,15 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     junk_label = np.array([r["junk_label"] for r in rows], np.int8)
     toxic_label = np.array([r["toxic_label"] for r in rows], np.int8)
     t = Terms(np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols).T if cols else np.zeros((1 + len(PREFIXES), 0), np.int32))
-    del cols
+    n_rows = len(rows)
+    del cols, rows  # the driver keeps only arrays
 
     lexicon = np.zeros((2, 1 << BITS), bool)
     known = toxic_label >= 0
     if known.any():
         n_bad, n_good = (toxic_label == 1).sum(), (toxic_label == 0).sum()
         for j, picked_cols in enumerate((t.columns[:1], t.columns[1:])):
-            n = np.zeros((2, 1 << BITS))
+            n = np.zeros((2, 1 << BITS), np.float32)
             for v in (0, 1):
                 rows_here = (toxic_label == v)[t.doc]
                 pairs = np.unique(np.concatenate([(t.doc[m] << BITS) + c[m].astype(np.int64) for c in picked_cols for m in [rows_here & (c >= 0)]]))
@@ -243,19 +244,19 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     ballots = map_text(docs, f"doc_id {id_type}, " + ", ".join(f"{n} int" for n in names), vote)
     ballots = ballots.join(marks, "doc_id", "left").fillna(-1, ["junk_label", "toxic_label"])
     models, scorers = [], []
-    for group, votes_here in ((list(LABELLERS), np.column_stack([junk_votes(ratio), junk_label])), (list(TOXIC_LABELLERS), np.column_stack([toxic_votes(t, len(rows), lexicon), toxic_label]))):
+    for group, votes_here in ((list(LABELLERS), np.column_stack([junk_votes(ratio), junk_label])), (list(TOXIC_LABELLERS), np.column_stack([toxic_votes(t, n_rows, lexicon), toxic_label]))):
         models.append((group, votes_here))
     patterns = ballots.groupBy(*LABELLERS, *TOXIC_LABELLERS).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.array([r["n"] for r in patterns], float)
     for kind, (group, votes_here) in enumerate(models):
-        if not len(rows):
+        if not n_rows:
             scorers.append((np.zeros(1 << BITS), -5.0))
             continue
         pattern = np.array([[r[g] for g in group] for r in patterns], np.int8)
         target = posterior(votes_here, **expectation_maximisation(pattern, counts))
         if kind == 0:
             feature = ratio_bins(ratio).reshape(-1)
-            doc = np.repeat(np.arange(len(rows)), ratio.shape[1])
+            doc = np.repeat(np.arange(n_rows), ratio.shape[1])
             scorers.append(train_linear(doc, feature, target, ratio.shape[1] * BINS))
         else:
             flat = t.columns.T.reshape(-1)
