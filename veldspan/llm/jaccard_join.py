@@ -429,7 +429,8 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     components = materialise(link_components(docs, text_col=text_col), "jaccard-components")
     kept = components.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     counted = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")), "jaccard-kept")
-    single = docs.join(counted.filter("_copies = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    # most documents are kept: never broadcast their ids
+    single = docs.join(counted.filter("_copies = 1 and doc_id is not null").select("doc_id").hint("merge"), "doc_id", "left_semi")
     other = counted.filter("_copies > 1 or doc_id is null")
     if other.limit(1).count():
         same = docs.join(other.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", text_col])

@@ -151,7 +151,7 @@ def mix_documents(docs: DataFrame, seed: str = SEED, text_col: str = "text") ->
     )
     # later passes come one pass length of the source's demand later
     placed = (
-        keyed.join(passes, "_mix_key")
+        keyed.join(passes.hint("merge"), "_mix_key")
         .withColumn("_n", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
         .withColumn("_at", F.least(F.lit(1.0), F.col("_position") + F.col("_n") * F.col("_pass")))
     )
