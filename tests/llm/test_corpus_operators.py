@@ -137,7 +137,7 @@ def test_sql_twins(spark, name):
     plain = lambda x: round(float(x), 6) if isinstance(x, float) else x
     twin = connection.sql(oracles.SQL[name])
     at = [twin.columns.index(c) for c in columns]
-    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in twin.fetchall())
+    assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in twin.fetchall()), key=repr)
 
 
 def test_shards(spark):

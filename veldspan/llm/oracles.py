@@ -46,4 +46,19 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.b AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
-SQL: dict[str, str] = {"op1_curriculum_mix": MIX, "op9_divide_skip_join": LINKS}
+#: CRC-32 by its table, which is made from the polynomial.
+SHARDS = f"""
+WITH t AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+b AS (SELECT doc_id, source, {unit('shard-2024')} AS u, (strlen(coalesce(text, '')) + 16)::BIGINT AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, source, u, size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, doc_id, size) - 1 AS place, count(*) OVER (PARTITION BY source) AS n_source FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * place + 1)::DOUBLE / (2 * n_source)::DOUBLE, u, doc_id, size) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((pos * 40) // n)::INTEGER AS shard,
+  (pos - (((pos * 40) // n) * n + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM p
+"""
+
+SQL: dict[str, str] = {"op1_curriculum_mix": MIX, "op8_stratified_shards": SHARDS, "op9_divide_skip_join": LINKS}
