@@ -24,7 +24,7 @@ def test_words_and_counts(texts, limit):
     column = pa.array(texts, pa.string())
     got = []
     for s in K.text_slices(column, limit=limit, max_rows=3):
-        out, w = base_counts(s)
+        out, _ = base_counts(s)
         for i in range(s.hi - s.lo):
             got.append({k: int(v[i]) for k, v in out.items()})
         hashes = K.words(s.data, s.offsets, lower=False).hash

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import Forest, connected_components
-from .shared import arrow_schema, map_text, materialise, seeded_unit, shuffle_width, workers_find_package
+from .shared import map_text, materialise, seeded_unit, shuffle_width, workers_find_package
 
 WORDS = 5
 PERCENT = 75
@@ -126,7 +126,7 @@ def prefix_postings(docs: DataFrame, frequent: np.ndarray, buckets: int, text_co
 
     def task():
         def each(s, rest):
-            rare_last = shared.value
+            late_ones = shared.value
             h, o = K.shingle_sets(K.words(s.data, s.offsets), s.hi - s.lo, WORDS)
             n = np.diff(o)
             node = set_keys(h, o)
@@ -140,9 +140,9 @@ def prefix_postings(docs: DataFrame, frequent: np.ndarray, buckets: int, text_co
             if not len(h):
                 return None
             late = np.zeros(len(h), bool)
-            if len(rare_last):
-                at = np.minimum(np.searchsorted(rare_last, h), len(rare_last) - 1)
-                late = rare_last[at] == h
+            if len(late_ones):
+                at = np.minimum(np.searchsorted(late_ones, h), len(late_ones) - 1)
+                late = late_ones[at] == h
             order = np.argsort(owner * 2 + late, kind="stable")  # within a row, hashes are sorted already
             h, owner = h[order], owner[order]
             start = np.searchsorted(owner, np.arange(len(n)))

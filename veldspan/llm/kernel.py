@@ -96,7 +96,6 @@ class Words(NamedTuple):
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
     """All words of a slice, with a 64-bit hash of each; ``space`` tells the bytes between words."""
-    rows = len(offsets) - 1
     n = len(data)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False

@@ -173,6 +173,23 @@ def train_linear(doc: np.ndarray, feature: np.ndarray, target: np.ndarray, width
     return weights, bias
 
 
+def learn_lexicon(t: Terms, toxic_label: np.ndarray) -> np.ndarray:
+    """Flags of hashed words (row 0) and beginnings (row 1) that tell toxic from other labelled documents."""
+    lexicon = np.zeros((2, 1 << BITS), bool)
+    known = toxic_label >= 0
+    if known.any():
+        n_bad, n_good = (toxic_label == 1).sum(), (toxic_label == 0).sum()
+        for j, picked_cols in enumerate((t.columns[:1], t.columns[1:])):
+            n = np.zeros((2, 1 << BITS), np.float32)
+            for v in (0, 1):
+                rows_here = (toxic_label == v)[t.doc]
+                pairs = np.unique(np.concatenate([(t.doc[m] << BITS) + c[m].astype(np.int64) for c in picked_cols for m in [rows_here & (c >= 0)]]))
+                n[v] = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+            odds = np.log((n[1] + 0.5) / (n_bad + 1)) - np.log((n[0] + 0.5) / (n_good + 1))
+            lexicon[j] = (odds > LEXICON_LOG_ODDS) & (n[1] >= max(LEXICON_COUNT, LEXICON_SHARE * n_bad))
+    return lexicon
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"):
     """The two linear scorers (junk, toxicity) as a broadcast list of (weights, bias)."""
     spark = docs.sparkSession
@@ -218,18 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     n_rows = len(rows)
     del cols, rows  # the driver keeps only arrays
 
-    lexicon = np.zeros((2, 1 << BITS), bool)
-    known = toxic_label >= 0
-    if known.any():
-        n_bad, n_good = (toxic_label == 1).sum(), (toxic_label == 0).sum()
-        for j, picked_cols in enumerate((t.columns[:1], t.columns[1:])):
-            n = np.zeros((2, 1 << BITS), np.float32)
-            for v in (0, 1):
-                rows_here = (toxic_label == v)[t.doc]
-                pairs = np.unique(np.concatenate([(t.doc[m] << BITS) + c[m].astype(np.int64) for c in picked_cols for m in [rows_here & (c >= 0)]]))
-                n[v] = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
-            odds = np.log((n[1] + 0.5) / (n_bad + 1)) - np.log((n[0] + 0.5) / (n_good + 1))
-            lexicon[j] = (odds > LEXICON_LOG_ODDS) & (n[1] >= max(LEXICON_COUNT, LEXICON_SHARE * n_bad))
+    lexicon = learn_lexicon(t, toxic_label)
     shared = spark.sparkContext.broadcast(lexicon)
 
     names = [*(r[0] for r in JUNK_RULES), *TOXIC_LABELLERS[:2]]
@@ -243,12 +249,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
     ballots = map_text(docs, f"doc_id {id_type}, " + ", ".join(f"{n} int" for n in names), vote)
     ballots = ballots.join(marks, "doc_id", "left").fillna(-1, ["junk_label", "toxic_label"])
-    models, scorers = [], []
-    for group, votes_here in ((list(LABELLERS), np.column_stack([junk_votes(ratio), junk_label])), (list(TOXIC_LABELLERS), np.column_stack([toxic_votes(t, n_rows, lexicon), toxic_label]))):
-        models.append((group, votes_here))
+    questions = [
+        (LABELLERS, np.column_stack([junk_votes(ratio), junk_label])),
+        (TOXIC_LABELLERS, np.column_stack([toxic_votes(t, n_rows, lexicon), toxic_label])),
+    ]
+    scorers = []
     patterns = ballots.groupBy(*LABELLERS, *TOXIC_LABELLERS).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.array([r["n"] for r in patterns], float)
-    for kind, (group, votes_here) in enumerate(models):
+    for kind, (group, votes_here) in enumerate(questions):
         if not n_rows:
             scorers.append((np.zeros(1 << BITS), -5.0))
             continue
