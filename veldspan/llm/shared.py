@@ -21,12 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/veldspan/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/veldspan/{name}-{uuid.uuid4().hex}"
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def workers_find_package(spark: SparkSession) -> None:

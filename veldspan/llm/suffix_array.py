@@ -60,17 +60,17 @@ def name_substrings(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.unique(names, return_inverse=True)[1]
 
 
-def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling: for short strings of many different names."""
+def doubled(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array by prefix doubling, for strings of many different names; up to ``depth`` names."""
     rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
     n, step = len(t), 1
     while True:
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank[order] = new
-        if new[-1] == n - 1 or step >= n:
+        if new[-1] == n - 1 or step >= min(n, depth or n):
             return order
         step *= 2
 
@@ -87,26 +87,30 @@ def _append(sa: np.ndarray, pointer: np.ndarray, entries: np.ndarray, symbols: n
     pointer[symbols[first]] += -count if down else count
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The starts of the suffixes of ``t`` (integers from 1) in order."""
+def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The starts of the suffixes of ``t`` (integers from 1) in order.
+
+    With ``depth``, suffixes that agree in that many characters may stand in any order.
+    """
     n = len(t)
     if n < 2:
         return np.arange(n)
     if int(t.max()) > SMALL_ALPHABET:
-        return doubled(t)
+        return doubled(t, depth)
+    t = t.astype(np.int16)  # small numbers sort by radix
     small = s_types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms):
         names = name_substrings(t, lms)
         if int(names.max()) + 1 < len(names):
-            lms = lms[suffix_array(names + 1)]
+            lms = lms[suffix_array(names + 1, depth and depth // 2 + 1)]  # a name covers two characters at least
         else:
             lms = lms[np.argsort(names)]
     counts = np.bincount(t)
     alphabet = len(counts)
     tails = np.cumsum(counts)
     heads = tails - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     symbol = t[lms]
     order = np.argsort(symbol, kind="stable")
     lms, symbol = lms[order], symbol[order]

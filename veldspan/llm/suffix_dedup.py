@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import arrow_schema, materialise, shuffle_width, workers_find_package
+from .shared import arrow_schema, discard, materialise, scratch_path, shuffle_width, workers_find_package
 from .suffix_array import common_prefixes, suffix_array
 
 WINDOW = 50
-ANCHOR = 16
-FLUSH_BYTES = 24 << 20
+ANCHOR = 24
+FLUSH_BYTES = 16 << 20
+PIECE_BYTES = 1 << 20
 NULL_ID = 1 << 62
 ROW = "deal int, kind int, a binary, b binary, c binary"
 ANCHORS, SHARED, RESULTS, TEXTS = 0, 1, 2, 3
@@ -123,7 +124,7 @@ def find_anchors(texts: DataFrame, deals: int) -> DataFrame:
             return _rows(out)
 
         for batch in batches:
-            for s in K.text_slices(batch.column(0)):
+            for s in K.text_slices(batch.column(0), PIECE_BYTES):
                 ids = batch.column(1).slice(s.lo, s.hi - s.lo).to_numpy(zero_copy_only=False)
                 row, _, _, h = fragments(s.data, s.offsets)
                 held.append((h, ids[row]))
@@ -164,7 +165,7 @@ def deal_texts(texts: DataFrame, deals: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in K.text_slices(batch.column(0)):
+            for s in K.text_slices(batch.column(0), FLUSH_BYTES // 2, 20_000):  # large pieces compress better
                 ids = batch.column(1).slice(s.lo, s.hi - s.lo).to_numpy(zero_copy_only=False)
                 deal = deal_of(ids, deals)
                 order = np.argsort(deal, kind="stable")
@@ -183,7 +184,7 @@ def _deals(batches):
     deal, shared, results, texts, size = None, [], [], [], 0
     for batch in batches:
         for d, kind, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if d != deal or size >= K.SLICE_BYTES:
+            if d != deal or size >= PIECE_BYTES:
                 if texts:
                     yield deal, shared, results, texts
                 texts, size = [], 0
@@ -200,6 +201,18 @@ def _deals(batches):
         yield deal, shared, results, texts
 
 
+def content_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same number for equal fragments: their bytes decide their anchor too."""
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):  # a megabyte at a time: hashing needs many times the bytes
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + PIECE_BYTES)))
+        a, b = int(starts[lo]), int(ends[lo:hi].max())
+        out[lo:hi] = K.span_hash(data[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
+        lo = hi
+    return out
+
+
 def _shared_fragments(shared: np.ndarray, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     """(row, first window, last window, anchor, content number) of the fragments under shared anchors."""
     row, first, last, h = fragments(data, offsets)
@@ -210,8 +223,7 @@ def _shared_fragments(shared: np.ndarray, ids: np.ndarray, data: np.ndarray, off
     else:
         use = np.zeros(len(row), bool)
     row, first, last, h = row[use], first[use], last[use], h[use]
-    content = K.span_hash(data, first, last + WINDOW) ^ K.mix(h)
-    return row, first, last, h, content
+    return row, first, last, h, content_numbers(data, first, last + WINDOW)
 
 
 def _joined(texts: list):
@@ -221,7 +233,7 @@ def _joined(texts: list):
 
 
 def send_fragments(batches, deals: int):
-    """Distinct fragments of each deal of documents by anchor bucket: anchors, contents, ids, bytes."""
+    """Distinct fragments of each deal of documents by anchor bucket: anchors, smallest and largest ids, sizes, bytes."""
     kept: list = []
     deal_now = None
 
@@ -239,7 +251,7 @@ def send_fragments(batches, deals: int):
             pick = order[part]
             src = one[pick]
             body = np.concatenate([raw[spans[i] : spans[i + 1]] for i in src])
-            head = np.stack([h[src].view(np.int64), content[src].view(np.int64), lows[pick], highs[pick], size[src]])
+            head = np.stack([(h[src] & np.uint64(0xFFFFFFFF)).view(np.int64), lows[pick], highs[pick], size[src]])
             out.append((d, deal_now, squeeze(head), squeeze(body), None))
         return _rows(out)
 
@@ -269,13 +281,14 @@ def match_fragments(batches):
     held: dict[int, list] = {}
     for batch in batches:
         for bucket, deal, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            held.setdefault(bucket, []).append((deal, expand(a, np.int64).reshape(5, -1), b))
+            held.setdefault(bucket, []).append((deal, expand(a, np.int64).reshape(4, -1), b))
     for parts in held.values():
         head = np.concatenate([p[1] for p in parts], axis=1)
         deal = np.repeat([p[0] for p in parts], [p[1].shape[1] for p in parts])
-        anchor, content, low, high, size = head[0], head[1], head[2], head[3], head[4]
+        anchor, low, high, size = head
         raw = np.concatenate([expand(p[2], np.uint8) for p in parts])
         spans = np.concatenate([[0], np.cumsum(size)])
+        content = content_numbers(raw, spans[:-1], spans[1:])
         _, one, inverse = np.unique(content, return_index=True, return_inverse=True)
         lows = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(lows, inverse, low)
@@ -313,7 +326,7 @@ def _suffix_runs(number: np.ndarray, pieces: list[np.ndarray], low: np.ndarray)
     body = np.ones(start[-1], bool)
     body[start[1:] - 1] = False
     text[body] = np.concatenate(pieces).astype(np.int64) + 2
-    sa = suffix_array(text)
+    sa = suffix_array(text, WINDOW)
     same = common_prefixes(text, sa, WINDOW) >= WINDOW
     piece = np.searchsorted(start, sa, "right") - 1
     at = sa - start[piece]
@@ -335,10 +348,10 @@ def _suffix_runs(number: np.ndarray, pieces: list[np.ndarray], low: np.ndarray)
 
 def cut_texts(batches, schema: pa.Schema):
     """The result of every document."""
-    for _, shared, results, texts in _deals(batches):
+    for _, _, results, texts in _deals(batches):
         ids, data, offsets = _joined(texts)
-        keys = np.sort(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
-        row, first, _, _, content = _shared_fragments(keys, ids, data, offsets)
+        row, first, last, _ = fragments(data, offsets)
+        content = content_numbers(data, first, last + WINDOW)
         depth = np.zeros(len(data) + 1, np.int32)
         if results and len(row):
             c, span, low = (np.concatenate([r[i] for r in results]) for i in range(3))
@@ -367,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is empty; texts shorter than a window lose nothing.  Rows with the same id
-    do not count as smaller than each other.  Null ids are larger than all others and are
+    do not count as smaller than each other.  Ids are below 2**62; null ids are larger and are
     ordered among themselves by a hash of their text.  An empty table gives an empty table;
     other columns are ignored.
     """
@@ -376,17 +389,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType.simpleString()
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(NULL_ID // 2)))
     texts = docs.select(F.col(text_col).alias("text"), number.alias("id"))
-    deals = 4 * shuffle_width(spark)
+    deals = 2 * shuffle_width(spark)
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = arrow_schema(ddl)
 
-    anchors = materialise(find_anchors(texts, deals), "suffix-anchors")
-    met = anchors.filter(F.col("kind") == ANCHORS).repartition(deals, "deal").mapInArrow(lambda b: share_anchors(b, deals), ROW)
+    path = scratch_path(spark, "suffix-anchors")
+    anchors = materialise(find_anchors(texts, deals), "suffix-anchors", path)
+    met = anchors.filter(F.col("kind") == ANCHORS).repartitionById(deals, F.col("deal")).mapInArrow(lambda b: share_anchors(b, deals), ROW)
     shared = materialise(met.union(anchors.filter(F.col("kind") == SHARED)), "suffix-shared")
-    dealt = lambda df: df.repartition(deals, "deal").sortWithinPartitions("deal", "kind")
+    del anchors, met
+    discard(spark, path)
+    dealt = lambda df: df.repartitionById(deals, F.col("deal")).sortWithinPartitions("deal", "kind")
     found = dealt(shared.union(deal_texts(texts, deals))).mapInArrow(lambda b: send_fragments(b, deals), ROW)
-    results = materialise(found.repartition(deals, "deal").mapInArrow(match_fragments, ROW), "suffix-results")
-    done = dealt(shared.union(results).union(deal_texts(texts, deals))).mapInArrow(lambda b: cut_texts(b, schema), ddl)
+    results = materialise(found.repartitionById(deals, F.col("deal")).mapInArrow(match_fragments, ROW), "suffix-results")
+    done = dealt(results.union(deal_texts(texts, deals))).mapInArrow(lambda b: cut_texts(b, schema), ddl)
     return done.select(
         F.when(F.col("id") < NULL_ID, F.col("id")).cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
