@@ -61,4 +61,41 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, ((pos * 40) // n)::INTEGER AS sh
 FROM p
 """
 
-SQL: dict[str, str] = {"op1_curriculum_mix": MIX, "op8_stratified_shards": SHARDS, "op9_divide_skip_join": LINKS}
+
+RULES = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+grams AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+base AS (SELECT d.doc_id, d.lang, text, w, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN lines USING (doc_id) LEFT JOIN repeated r ON r.doc_id = d.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+seven AS (SELECT doc_id, lang, base_failed, length(text) AS chars, list_transform(['[a-z]', '[A-Z]', '[0-9]', '[ \t\x0B\x0C\r]', '\n', '[.,;:?''"()-]', '[#*$%&|<>]', '[^\x00-\x7F]'],
+  lambda x: len(regexp_extract_all(text, x))) AS c FROM judged),
+classes AS (SELECT doc_id, lang, base_failed, list_append(c, chars - list_sum(c))::DOUBLE[] AS c FROM seven),
+class_bins AS (SELECT doc_id, lang, base_failed, unnest(range(9)) AS i, unnest(c) AS n FROM classes),
+class_ref AS (SELECT lang, i, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM class_bins WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang, i),
+class_doc AS (SELECT doc_id, i, n / greatest(sum(n) OVER (PARTITION BY doc_id), 1) AS p FROM class_bins),
+class_js AS (SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS dc
+  FROM class_doc JOIN class_ref USING (i) GROUP BY doc_id, lang),
+word_count AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM judged) GROUP BY doc_id, x),
+lang_words AS (SELECT lang, sum(n_words) AS total FROM judged WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang),
+common AS (SELECT lang, x, n / total AS q FROM (SELECT lang, x, sum(n) AS n FROM word_count JOIN judged USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang, x)
+  JOIN lang_words USING (lang) WHERE n >= 0.004 * total QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= 128),
+rest AS (SELECT lang, 1 - sum(q) AS q FROM common GROUP BY lang),
+bins AS (SELECT k.doc_id, r.lang, r.x, r.q, coalesce(c.n, 0) / greatest(k.n_words, 1) AS p FROM judged k CROSS JOIN common r LEFT JOIN word_count c ON c.doc_id = k.doc_id AND c.x = r.x),
+all_bins AS (SELECT doc_id, lang, q, p FROM bins UNION ALL
+  SELECT b.doc_id, b.lang, any_value(r.q), CASE WHEN any_value(k.n_words) > 0 THEN 1 - sum(b.p) ELSE 0 END FROM bins b JOIN rest r ON r.lang = b.lang JOIN judged k ON k.doc_id = b.doc_id GROUP BY b.doc_id, b.lang),
+word_js AS (SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 1e-12 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS dw
+  FROM all_bins GROUP BY doc_id, lang),
+none_js AS (SELECT lang, sqrt((1 * log2(1 / ((1 + r.q) / 2)) + r.q * log2(r.q / ((1 + r.q) / 2)) + (1 - r.q)) / 2) AS d0 FROM rest r),
+near AS (SELECT doc_id, dc, CASE WHEN n_words < 50 THEN 0 ELSE dw / d0 END AS dw FROM class_js JOIN word_js USING (doc_id, lang) JOIN none_js USING (lang) JOIN judged USING (doc_id)),
+best AS (SELECT doc_id, worst, dc, dw FROM (SELECT *, round(greatest(dc / 0.3, dw / 0.98), 9) AS worst FROM near) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worst, dc) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND worst <= 1 AS kept,
+  round(dc, 4) AS class_distance, round(dw, 4) AS word_distance
+FROM judged JOIN best USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_curriculum_mix": MIX, "op5_divergence_rules": RULES, "op8_stratified_shards": SHARDS, "op9_divide_skip_join": LINKS}

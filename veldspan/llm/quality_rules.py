@@ -248,11 +248,11 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 dw = js_distance(np.column_stack([counts, base["n_words"] - counts.sum(1)]), ref_words)
                 none = js_distance(np.append(np.zeros(len(hashes)), 1.0)[None], ref_words)[0]
                 dw = np.where(base["n_words"] < MIN_COMMON_WORDS, 0.0, dw / max(none, 1e-9))
-                worst = np.maximum(dc / MAX_CLASS_DISTANCE, dw / MAX_WORD_DISTANCE)
-                better = worst < best
+                worst = np.round(np.maximum(dc / MAX_CLASS_DISTANCE, dw / MAX_WORD_DISTANCE), 9)
+                better = (worst < best) | ((worst == best) & (dc < class_d))
                 best[better], class_d[better], word_d[better] = worst[better], dc[better], dw[better]
             near = best <= 1 if shared.value else np.ones(rows, bool)
-            return base | {"doc_id": rest[0], "kept": ~base["base_failed"] & near, "class_distance": class_d, "word_distance": word_d}
+            return base | {"doc_id": rest[0], "kept": ~base["base_failed"] & near, "class_distance": np.round(class_d, 4), "word_distance": np.round(word_d, 4)}
 
         return each, None
 
