@@ -95,7 +95,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["deal", "kind", "a", "b", "c"])
 
 
-def find_anchors(texts: DataFrame, deals: int) -> DataFrame:
+def find_anchors(texts: DataFrame, buckets: int, deals: int) -> DataFrame:
     """Rows of kind ANCHORS (by anchor bucket: ids, keys) and SHARED (by document deal: ids, keys)."""
 
     def run(batches):
@@ -116,7 +116,7 @@ def find_anchors(texts: DataFrame, deals: int) -> DataFrame:
             out = []
             for kind, use in ((ANCHORS, first), (SHARED, several)):
                 key, who = h[use], ids[use]
-                deal = ((key >> np.uint64(33)) % np.uint64(deals)).astype(np.int64) if kind == ANCHORS else deal_of(who, deals)
+                deal = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) if kind == ANCHORS else deal_of(who, deals)
                 order = np.lexsort((who, deal))
                 key, who, deal = key[order].astype(np.uint32), who[order], deal[order]
                 for d, s in _by_part(deal):
@@ -232,7 +232,7 @@ def _joined(texts: list):
     return ids, np.concatenate([t[2] for t in texts]), offsets
 
 
-def send_fragments(batches, deals: int):
+def send_fragments(batches, buckets: int):
     """Distinct fragments of each deal of documents by anchor bucket: anchors, smallest and largest ids, sizes, bytes."""
     kept: list = []
     deal_now = None
@@ -244,7 +244,7 @@ def send_fragments(batches, deals: int):
         lows, highs = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
         np.minimum.at(lows, inverse, low)
         np.maximum.at(highs, inverse, high)
-        bucket = ((h[one] >> np.uint64(33)) % np.uint64(deals)).astype(np.int64)
+        bucket = ((h[one] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         out = []
         for d, part in _by_part(bucket[order]):
@@ -389,19 +389,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType.simpleString()
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(NULL_ID // 2)))
     texts = docs.select(F.col(text_col).alias("text"), number.alias("id"))
-    deals = 2 * shuffle_width(spark)
+    buckets, deals = shuffle_width(spark), 2 * shuffle_width(spark)
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = arrow_schema(ddl)
 
     path = scratch_path(spark, "suffix-anchors")
-    anchors = materialise(find_anchors(texts, deals), "suffix-anchors", path)
-    met = anchors.filter(F.col("kind") == ANCHORS).repartitionById(deals, F.col("deal")).mapInArrow(lambda b: share_anchors(b, deals), ROW)
+    anchors = materialise(find_anchors(texts, buckets, deals), "suffix-anchors", path)
+    met = anchors.filter(F.col("kind") == ANCHORS).repartitionById(buckets, F.col("deal")).mapInArrow(lambda b: share_anchors(b, deals), ROW)
     shared = materialise(met.union(anchors.filter(F.col("kind") == SHARED)), "suffix-shared")
     del anchors, met
     discard(spark, path)
     dealt = lambda df: df.repartitionById(deals, F.col("deal")).sortWithinPartitions("deal", "kind")
-    found = dealt(shared.union(deal_texts(texts, deals))).mapInArrow(lambda b: send_fragments(b, deals), ROW)
-    results = materialise(found.repartitionById(deals, F.col("deal")).mapInArrow(match_fragments, ROW), "suffix-results")
+    found = dealt(shared.union(deal_texts(texts, deals))).mapInArrow(lambda b: send_fragments(b, buckets), ROW)
+    results = materialise(found.repartitionById(buckets, F.col("deal")).mapInArrow(match_fragments, ROW), "suffix-results")
     done = dealt(results.union(deal_texts(texts, deals))).mapInArrow(lambda b: cut_texts(b, schema), ddl)
     return done.select(
         F.when(F.col("id") < NULL_ID, F.col("id")).cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
