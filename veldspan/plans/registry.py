@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import workers_find_package
+
 FLAGSHIP = "seg_profile"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +18,11 @@ def query(sql: str | None = None):
     """Registers a function of (table reader) under its name, with the SQL that gives the same rows."""
 
     def register(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_find_package(spark)
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
         return f
