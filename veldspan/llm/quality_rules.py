@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernel as K
 from .shared import map_text
@@ -166,12 +167,16 @@ def language_references(docs: DataFrame, text_col: str, lang_col: str) -> dict[s
 
         return each, last
 
+    # small slices make candidates of rare words, so each task ranks its own before a language's meet
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("hash")))
     top = (
         map_text(cols, "lang string, hash long, n long", candidates)
         .groupBy("lang", "hash")
         .agg(F.sum("n").alias("n"))
+        .withColumn("rank", rank)
+        .filter(F.col("rank") <= 4 * MAX_COMMON)
         .groupBy("lang")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "hash")), asc=False), 1, 4 * MAX_COMMON).alias("top"), F.sum("n").alias("n"))
+        .agg(F.collect_list(F.struct("n", "hash")).alias("top"), F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "lang")
         .limit(MAX_LANGS)
         .collect()
