@@ -210,7 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     else:
         sample = docs.filter(unit < SAMPLE / max(1, docs.count())).select("text", "doc_id", F.lit(-1).alias("junk_label"), F.lit(-1).alias("toxic_label"))
 
+    # one text of each id, so that an id of very many rows cannot fill the sample
     sample = sample.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    sample = sample.groupBy("doc_id", "junk_label", "toxic_label").agg(F.min("text").alias("text")).select("text", "doc_id", "junk_label", "toxic_label")
 
     def gather():
         def each(s, rest):
