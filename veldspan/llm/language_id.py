@@ -100,7 +100,8 @@ def centroids(v: np.ndarray) -> tuple[np.ndarray, float]:
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, float]]]:
     """(idf, lang -> (centroids, rejection distance)) from the training documents with text and lang.
 
-    The sample has about SAMPLE_PER_LANG documents a language, taken by a seeded number.
+    The sample has about SAMPLE_PER_LANG documents a language, taken by a seeded number, and
+    one text of each id and language.
     """
     train = docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), seeded_unit(SEED, F.col(id_col)).alias("unit")
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.
     if not counts:
         return idf, {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_PER_LANG / n))])
-    sample = train.filter(F.col("unit") < F.element_at(share, F.col("lang")))
+    sample = train.filter(F.col("unit") < F.element_at(share, F.col("lang"))).groupBy("lang", "unit").agg(F.min("text").alias("text")).select("text", "lang", "unit")
 
     def embed():
         def each(s, rest):
