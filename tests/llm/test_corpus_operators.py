@@ -314,6 +314,28 @@ def test_scores(spark):
     assert sum(better) >= 0.9 * len(better)
 
 
+def test_corpus_counts_pass_32_bits(spark):
+    task = lm_scoring.Tables([4])
+    task.counts[0][3] = 3_000_000_000
+    ((block, raw),) = task.rows()
+    parts = spark.createDataFrame([(block, bytearray(raw))] * 3, "block int, counts binary")
+    assert lm_scoring.sum_tables(parts, [4])[0].tolist() == [0, 0, 0, 9_000_000_000, 0, 0, 0, 0]
+
+
+def test_one_id_cannot_fill_a_sample(spark, monkeypatch):
+    """An id of most rows teaches once; each of its rows is still judged."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    hot = docs.filter("n_chars < 1000").join(labels.select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    many = docs.unionByName(hot.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("i"))
+    sizes, learn = [], quality_classifier.learn_lexicon
+    monkeypatch.setattr(quality_classifier, "learn_lexicon", lambda t, toxic: sizes.append(len(toxic)) or learn(t, toxic))
+    quality_classifier.classify(docs, labels)
+    assert quality_classifier.classify(many, labels).count() == docs.count() + 300
+    assert sizes[0] == sizes[1] > 0
+    assert language_id.identify(many).count() == docs.count() + 300
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     now, kept = docs, []
