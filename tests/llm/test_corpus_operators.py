@@ -314,6 +314,17 @@ def test_scores(spark):
     assert sum(better) >= 0.9 * len(better)
 
 
+def test_unknown_words_are_spelled(spark):
+    """Unknown words are one event of the score, but telling them takes bits by their letters."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    ids = [i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    short, long = "zq", "zqxjkvbwqzxkjqvwzxqkjvbwzqxkjvqwzxkqjvbwzqx"
+    got = {r.doc_id: r for r in lm_scoring.score_texts(docs.union(spark.createDataFrame(list(zip(ids, (short, long))), docs.schema))).collect()}
+    one, two = (got[i] for i in ids)
+    assert one.n_known == two.n_known == 1 and abs(one.score - two.score) < 1
+    assert two.bits_per_byte * len(long) > one.bits_per_byte * len(short) + 2 * (len(long) - len(short))
+
+
 def test_corpus_counts_pass_32_bits(spark):
     task = lm_scoring.Tables([4])
     task.counts[0][3] = 3_000_000_000

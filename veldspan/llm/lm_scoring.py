@@ -2,16 +2,18 @@
 
 Tokens are lower-cased words and one end per text.  A token is coded in bits: frequent
 words (the head, chosen on a bounded sample) and the end have Huffman codes; all other
-words take an escape code.  Each bit is predicted by several predictors, each a table of
+words take an escape code and are then spelled.  Each bit is predicted by several predictors, each a table of
 counts addressed by a hash of its context and the code node: no word, the word before, the
 two words before.  Their stretched probabilities are added with weights gated by how often
 the context was seen and by the node's depth, learned online; an adaptive map then refines
-the sum.  A word after the escape has its share among all non-head training tokens, less
-the share of new words, which is measured on a bounded set of probed words.
+the sum.  A word after the escape is a mixture of its share among all non-head training
+tokens (exact counts) and of a letter model of the same kind, whose contexts are the one to
+four letters before; the letter model has the share of new words, which is measured on a
+bounded set of probed words.
 
 The score is the log10 probability over the events of the base score: training words, one
-class of all unknown words, and the end; ``bits_per_byte`` is the same in bits for each
-byte of text.
+class of all unknown words, and the end.  ``bits_per_byte`` are the bits that tell the text's
+lower-cased words, unknown ones spelled, for each byte of text.
 
 The count tables have fixed sizes, so the model that is broadcast is bounded; counting
 covers all training documents and is a sum of per-task tables.  Counts of non-head words
@@ -21,7 +23,6 @@ are exact: words meet by hash bucket, each slice of text sending a word once.
 from __future__ import annotations
 
 import heapq
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,10 @@ FIT_SAMPLE = 750
 SEED = "lm-2024"
 HEAD = 32_768
 MIN_HEAD_COUNT = 3
-ORDER_BITS = (18, 20)  # table sizes for one and two words of context
+ORDER_BITS = (20, 22)  # table sizes for one and two words of context
+LETTER_BITS = 20
+LETTER_ORDERS = (1, 2, 3, 4)
+TOKENS = 1 << 16  # tokens whose bits are expanded at a time
 BLOCK = 1 << 16
 PROBES = 20_000
 CONFIDENCE = 8
@@ -154,7 +158,7 @@ class Tables:
         self.counts = [np.zeros(2 * n, np.uint32) for n in sizes]
 
     def add(self, i: int, slot: np.ndarray, bit: np.ndarray) -> None:
-        self.counts[i] += np.bincount(2 * slot + bit, minlength=len(self.counts[i])).astype(np.uint32)
+        np.add.at(self.counts[i], 2 * slot + bit, np.uint32(1))
 
     def rows(self):
         """(block number, compressed counts) of all non-empty blocks."""
@@ -163,7 +167,7 @@ class Tables:
             for lo in range(0, len(c), BLOCK):
                 part = c[lo : lo + BLOCK]
                 if part.any():
-                    yield number, zlib.compress(part.tobytes(), 1)
+                    yield number, squeeze(part)
                 number += 1
 
 
@@ -174,17 +178,19 @@ def sum_tables(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint32)
+                part = expand(raw.as_py(), np.uint32)
                 total[number] = total[number] + part if number in total else part.astype(np.uint64)
         for number, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([squeeze(part)], pa.binary())], names=["block", "counts"])
 
-    out = [np.zeros(2 * n, np.uint64) for n in sizes]
+    out = [np.zeros(2 * n, np.uint32) for n in sizes]  # 64 bits only where a sum needs them, for the driver's memory
     where = [(i, lo) for i, c in enumerate(out) for lo in range(0, len(c), BLOCK)]
-    width = max(shuffle_width(parts.sparkSession), len(where))
+    width = max(shuffle_width(parts.sparkSession), len(where) // 8)
     for r in parts.repartition(width, "block").mapInArrow(add, "block int, counts binary").collect():
         i, lo = where[r["block"]]
-        part = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
+        part = expand(bytes(r["counts"]), np.uint64)
+        if part.max() >> np.uint64(32):
+            out[i] = out[i].astype(np.uint64)
         out[i][lo : lo + len(part)] = part
     return out
 
@@ -273,6 +279,55 @@ class Mixer:
             self.map = np.log(p / (1 - p)).clip(-12, 12)
 
 
+def letter_contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(bytes with a 0 after each word, hashes of letters before, place in the word)."""
+    n = np.diff(first)
+    ends = np.cumsum(n + 1) - 1
+    out = np.zeros(len(data) + len(n), np.uint8)
+    body = np.ones(len(out), bool)
+    body[ends] = False
+    out[body] = data
+    start = np.repeat(np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, np.int64), n + 1)
+    place = np.arange(len(out)) - start
+    hashes, h = [], np.zeros(len(out), np.uint64)
+    for j in range(1, max(LETTER_ORDERS) + 1):
+        before = np.zeros(len(out), np.uint64)
+        before[j:] = out[:-j] if j else out
+        before[place < j] = 256
+        h = h * _M1 + before + np.uint64(1)
+        if j in LETTER_ORDERS:
+            hashes.append(K.mix(h))
+    return out, hashes, place
+
+
+def letter_bits(data: np.ndarray, first: np.ndarray):
+    """(word, slots by order, bit, gate) of the eight bits of every letter and word end, some letters at a time."""
+    out, hashes, _ = letter_contexts(data, first)
+    words = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
+    for lo in range(0, len(out), TOKENS):
+        some = slice(lo, lo + TOKENS)
+        letter = out[some].astype(np.int64)
+        at = np.repeat(np.arange(len(letter)), 8)
+        k = np.tile(np.arange(8), len(letter))
+        bit = (letter[at] >> (7 - k)) & 1
+        node = (1 << k) | (letter[at] >> (8 - k))
+        yield words[some][at], [slots(h[some], at, node, LETTER_BITS) for h in hashes], bit, k
+
+
+def gather_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans, concatenated, and their offsets."""
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(first[-1]) + np.repeat(start - first[:-1], size)
+    return data[at], first
+
+
+def tail_words(w: K.Words, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of the words of a slice that are not in the head, each word once."""
+    at = np.flatnonzero(np.delete(sym, first[1:] - 1) == ESCAPE)
+    return at[np.unique(w.hash[at], return_index=True)[1]]
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -306,7 +361,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     probe = probe[~probe["hash"].isin(head["hash"])].sort_values("hash")
     probes = np.sort(probe["hash"].to_numpy(np.int64).view(np.uint64))
     shared_code = spark.sparkContext.broadcast((code, probes))
-    sizes = [code.nodes, *(1 << b for b in ORDER_BITS), len(code.words) + 2, len(probes)]
+    sizes = [code.nodes, *(1 << b for b in ORDER_BITS), *[1 << LETTER_BITS] * len(LETTER_ORDERS), len(code.words) + 2, len(probes)]
     n_orders = 1 + len(ORDER_BITS)
 
     # counts over all training documents
@@ -321,10 +376,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if len(probes):
                 at = np.minimum(np.searchsorted(probes, w.hash), len(probes) - 1)
                 tables.counts[-1] += np.bincount(2 * at[probes[at] == w.hash], minlength=2 * sizes[-1]).astype(np.uint32)
-            token, node, bit, _ = code.expand(sym)
-            tables.add(0, node, bit)
-            for i, (c, b) in enumerate(zip(token_contexts(w, sym, first), ORDER_BITS)):
-                tables.add(1 + i, slots(c, token, node, b), bit)
+            contexts = token_contexts(w, sym, first)
+            for lo in range(0, len(sym), TOKENS):
+                token, node, bit, _ = code.expand(sym[lo : lo + TOKENS])
+                tables.add(0, node, bit)
+                for i, (c, b) in enumerate(zip(contexts, ORDER_BITS)):
+                    tables.add(1 + i, slots(c[lo : lo + TOKENS], token, node, b), bit)
+            # letters: each word that is not in the head, once a slice
+            at = tail_words(w, sym, first)
+            for lo in range(0, len(at), TOKENS // 8):
+                some = at[lo : lo + TOKENS // 8]
+                letters, spans = gather_spans(data, w.start[some], w.end[some])
+                for _, found, lbit, _ in letter_bits(letters, spans):
+                    for i, slot in enumerate(found):
+                        tables.add(n_orders + i, slot, lbit)
 
         def last():
             parts = list(tables.rows())
@@ -340,7 +405,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     train_tokens = int(symbol_counts.sum())
 
     # mixing weights, learned online on the sample with each bit left out of its own counts
-    mixer = Mixer(n_orders, 0)
+    mixer, letter_mixer = Mixer(n_orders, 0), Mixer(len(LETTER_ORDERS), 1)
     texts = [r["text"] or "" for r in sample.select("text", "doc_id").filter(F.length("text") < 20_000).orderBy("doc_id").limit(FIT_SAMPLE).collect()]
     for piece in K.text_slices(pa.array(texts, pa.string())):
         data = K.LOWER[piece.data]
@@ -349,13 +414,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         token, node, bit, depth = code.expand(sym)
         found = [node, *(slots(c, token, node, b) for c, b in zip(token_contexts(w, sym, first), ORDER_BITS))]
         mixer.learn([evidence(t, bit, slot) for t, slot in zip(tables, found)], np.minimum(depth, GATES - 1), bit)
+        at = tail_words(w, sym, first)
+        letters, spans = gather_spans(data, w.start[at], w.end[at])
+        for _, found, lbit, gate in letter_bits(letters, spans):
+            letter_mixer.learn([evidence(t, lbit, slot) for t, slot in zip(tables[n_orders:-2], found)], gate, lbit)
+    letter_model = spark.sparkContext.broadcast(([evidence(t) for t in tables[n_orders:-2]], letter_mixer))
     model = spark.sparkContext.broadcast(([evidence(t) for t in tables[:n_orders]], mixer, symbol_counts))
+    del tables
 
     # score: bits of the head and the escape here, other words by bucket
     buckets = 4 * shuffle_width(spark)
     workers_find_package(spark)
     head_ddl = f"row string, doc_id {id_type}, held_out boolean, n_tokens long, n_head long, head_log double, head_base_log double, n_bytes long"
-    ddl = f"bucket int, {head_ddl}, words binary, used binary, rows binary, times binary, training binary"
+    ddl = f"bucket int, {head_ddl}, words binary, sizes binary, used binary, rows binary, times binary, training binary"
     schema = arrow_schema(ddl)
 
     def score(batches):
@@ -370,12 +441,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 data = K.LOWER[s.data]
                 w = K.words(data, s.offsets, lower=False)
                 sym, row, first = code.symbols(w, n_rows)
-                token, node, bit, depth = code.expand(sym)
-                gate = np.minimum(depth, GATES - 1)
-                inputs = [tables[0][node], *(t[slots(c, token, node, b)] for t, c, b in zip(tables[1:], token_contexts(w, sym, first), ORDER_BITS))]
-                z = mixer.predict(inputs, gate, luts)
-                place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
-                log = np.bincount(row[token], costs[2 * place + bit], minlength=n_rows)
+                contexts, log = token_contexts(w, sym, first), np.zeros(n_rows)
+                for lo in range(0, len(sym), TOKENS):
+                    token, node, bit, depth = code.expand(sym[lo : lo + TOKENS])
+                    gate = np.minimum(depth, GATES - 1)
+                    inputs = [tables[0][node], *(t[slots(c[lo : lo + TOKENS], token, node, b)] for t, c, b in zip(tables[1:], contexts, ORDER_BITS))]
+                    z = mixer.predict(inputs, gate, luts)
+                    place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
+                    log += np.bincount(row[lo : lo + TOKENS][token], costs[2 * place + bit], minlength=n_rows)
                 known = sym != ESCAPE
                 tag = uuid.uuid4().hex
                 ids, held = batch.column(1).slice(s.lo, n_rows), batch.column(2).slice(s.lo, n_rows)
@@ -384,7 +457,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     "bucket": np.full(n_rows, -1), "row": [f"{tag}{i}" for i in range(n_rows)], "doc_id": ids, "held_out": held,
                     "n_tokens": np.diff(first), "n_head": np.bincount(row[known & (symbol_counts[sym] > 0)], minlength=n_rows), "head_log": log,
                     "head_base_log": np.bincount(row[known], base_log[sym[known]], minlength=n_rows), "n_bytes": np.diff(s.offsets),
-                    "words": none, "used": none, "rows": none, "times": none, "training": none,
+                    "words": none, "sizes": none, "used": none, "rows": none, "times": none, "training": none,
                 }, schema)
                 # every other word once, with the rows that use it
                 body = np.delete(sym, first[1:] - 1)
@@ -405,6 +478,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 word_at = np.flatnonzero(new)
                 used = np.diff(np.append(word_at, len(ph)))
                 training = ~np.asarray(held.to_numpy(zero_copy_only=False), bool)
+                letters, spans = gather_spans(data, w.start[at[pair_at[word_at]]], w.end[at[pair_at[word_at]]])
                 wb = pb[word_at]
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(wb.astype(np.int64))) + 1, [len(wb)]])
                 pair_cut = np.append(word_at, len(ph))[cut]
@@ -413,7 +487,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     "bucket": wb[cut[:-1]].astype(np.int64), "row": [tag] * (len(cut) - 1), "doc_id": pa.nulls(len(cut) - 1, schema.field("doc_id").type),
                     "held_out": pa.nulls(len(cut) - 1, pa.bool_()), "n_tokens": empty, "n_head": empty, "n_bytes": empty,
                     "head_log": pa.nulls(len(cut) - 1, pa.float64()), "head_base_log": pa.nulls(len(cut) - 1, pa.float64()),
-                    "words": K.packed(ph[word_at], cut), "used": [squeeze(used[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])],
+                    "words": K.packed(letters, spans[cut]), "sizes": [squeeze(np.diff(spans)[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])],
+                    "used": [squeeze(used[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])],
                     "rows": K.packed(pd_.astype(np.int16), pair_cut),
                     "times": [squeeze(times[a:b].astype(np.int32)) for a, b in zip(pair_cut, pair_cut[1:])],
                     "training": [squeeze(training[pd_[a:b]]) for a, b in zip(pair_cut, pair_cut[1:])],
@@ -421,53 +496,76 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     scored = materialise(rows.mapInArrow(score, ddl), "lm-words")
     heads = scored.filter("bucket < 0").select("row", *[c.split()[0] for c in head_ddl.split(", ")[1:]])
-    parts = scored.filter("bucket >= 0").select("bucket", "row", "words", "used", "rows", "times", "training")
+    parts = scored.filter("bucket >= 0").select("bucket", "row", "words", "sizes", "used", "rows", "times", "training")
     tail_total = int(train_tokens - (symbol_counts.sum() - symbol_counts[ESCAPE]))
 
-    out_ddl = "row string, base_log double, log double, known long, distinct long"
+    out_ddl = "row string, base_log double, log double, text_log double, known long, unknown long, distinct long, spelled double"
     out_schema = arrow_schema(out_ddl)
 
     def tail(batches):
+        tables, mixer = letter_model.value
+        luts, costs = mixer.luts(), mixer.costs()
         held: dict[int, list] = {}
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for b, tag, *raw in zip(*cols):
                 held.setdefault(b, []).append((tag, raw))
         for group in held.values():
-            yield _tail_bucket(group, tail_total, novel, out_schema)
+            yield _tail_bucket(group, tables, mixer, luts, costs, tail_total, novel, out_schema)
 
     logs = parts.repartition(buckets, "bucket").mapInArrow(tail, out_ddl)
     logs = materialise(logs, "lm-tail")
-    distinct = logs.filter("distinct is not null").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    distinct, spelled = logs.filter("distinct is not null").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("spelled"), F.lit(0.0))).first()
+    # what the letter model gives to training words is not left for the class of unknown words
+    unknown = float(np.log10(max(1 - spelled, 1e-9)))
     vocabulary = int(distinct) + int((np.delete(symbol_counts, ESCAPE) > 0).sum())
-    per_row = logs.filter("distinct is null").groupBy("row").agg(F.sum("base_log").alias("base_log"), F.sum("log").alias("log"), F.sum("known").alias("known"))
+    per_row = logs.filter("distinct is null").groupBy("row").agg(F.sum("base_log").alias("base_log"), F.sum("log").alias("log"), F.sum("text_log").alias("text_log"), F.sum("known").alias("known"), F.sum("unknown").alias("unknown"))
     scale = float(np.log10(train_tokens + 0.5 * (vocabulary + 1)))
     total = heads.join(per_row, "row", "left")
-    value = F.col("head_log") + F.coalesce("log", F.lit(0.0))
+    known = F.col("n_head") + F.coalesce("known", F.lit(0))
+    text_value = F.col("head_log") + F.coalesce("text_log", F.lit(0.0))
     return total.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        known.alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("head_base_log") + F.coalesce("base_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        value.alias("score"),
-        (-value / F.lit(float(np.log10(2))) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        (F.col("head_log") + F.coalesce("log", F.lit(0.0)) + F.coalesce("unknown", F.lit(0)) * F.lit(unknown)).alias("score"),
+        (-text_value / F.lit(float(np.log10(2))) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
 
 
-def _tail_bucket(group: list, tail_total: int, novel: float, schema: pa.Schema) -> pa.RecordBatch:
-    """Counts the words of one bucket and gives each row its words' logarithms."""
-    words = np.frombuffer(b"".join(r[0] for _, r in group), np.uint64)
-    used = np.concatenate([expand(r[1], np.int32) for _, r in group])
-    row = np.frombuffer(b"".join(r[2] for _, r in group), np.int16)
-    times = np.concatenate([expand(r[3], np.int32) for _, r in group]).astype(np.int64)
-    training = np.concatenate([expand(r[4], bool) for _, r in group])
-    part = np.repeat(np.arange(len(group)), [len(r[2]) // 2 for _, r in group])
-    one, word = np.unique(words, return_inverse=True)
+def _tail_bucket(group: list, tables: list, mixer: Mixer, luts: np.ndarray, costs: np.ndarray, tail_total: int, novel: float, schema: pa.Schema) -> pa.RecordBatch:
+    """Counts and spells the words of one bucket and gives each row its words' logarithms."""
+    letters = np.frombuffer(b"".join(r[0] for _, r in group), np.uint8)
+    first = np.concatenate([[0], np.cumsum(np.concatenate([expand(r[1], np.int32) for _, r in group]), dtype=np.int64)])
+    used = np.concatenate([expand(r[2], np.int32) for _, r in group])
+    row = np.frombuffer(b"".join(r[3] for _, r in group), np.int16)
+    times = np.concatenate([expand(r[4], np.int32) for _, r in group]).astype(np.int64)
+    training = np.concatenate([expand(r[5], bool) for _, r in group])
+    part = np.repeat(np.arange(len(group)), [len(r[3]) // 2 for _, r in group])
+    # in pieces: the sums behind a hash are as long as the letters
+    hashes = [np.zeros(0, np.uint64)]
+    for lo in range(0, len(first) - 1, TOKENS):
+        at = first[lo : lo + TOKENS + 1]
+        hashes.append(K.span_hash(letters[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0]))
+    one, where, word = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     of = np.repeat(word, used)  # the word of every (word, row) pair
     count = np.bincount(of, times * training, minlength=len(one))
-    log = np.log10(np.where(count > 0, (1 - novel) * count / max(tail_total, 1), novel))
+    spell = np.zeros(len(one))
+    for lo in range(0, len(one), TOKENS // 8):
+        some = where[lo : lo + TOKENS // 8]
+        data, spans = gather_spans(letters, first[some], first[some + 1])
+        for at, found, bit, gate in letter_bits(data, spans):
+            z = mixer.predict([t[f] for t, f in zip(tables, found)], gate, luts)
+            place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
+            spell[lo : lo + len(some)] += np.bincount(at, costs[2 * place + bit], minlength=len(some))
+    seen = count > 0
+    share = (1 - novel) * count / max(tail_total, 1)
+    # over all strings, new words spelled; in the score all unknown words are one class
+    text_log = np.where(seen, np.log10(np.where(seen, share, 1) + novel * 10.0 ** np.maximum(spell, -300)), spell + np.log10(novel))
+    log = np.where(seen, text_log, np.log10(novel))
     key = part * 65536 + row
     rows, at = np.unique(key, return_inverse=True)
     tags = [group[p][0] for p in range(len(group))]
@@ -476,7 +574,10 @@ def _tail_bucket(group: list, tail_total: int, novel: float, schema: pa.Schema)
         "row": [f"{tags[k >> 16]}{k & 65535}" for k in rows.tolist()] + [""],
         "base_log": np.append(np.bincount(at, times * np.log10(count + 0.5)[of], minlength=n), 0),
         "log": np.append(np.bincount(at, times * log[of], minlength=n), 0),
-        "known": np.append(np.bincount(at, times * (count > 0)[of], minlength=n), 0).astype(np.int64),
-        "distinct": pa.array([None] * n + [int((count > 0).sum())], pa.int64()),
+        "text_log": np.append(np.bincount(at, times * text_log[of], minlength=n), 0),
+        "known": np.append(np.bincount(at, times * seen[of], minlength=n), 0).astype(np.int64),
+        "unknown": np.append(np.bincount(at, times * ~seen[of], minlength=n), 0).astype(np.int64),
+        "distinct": pa.array([None] * n + [int(seen.sum())], pa.int64()),
+        "spelled": pa.array([None] * n + [float((10.0 ** spell[seen]).sum())], pa.float64()),
     }
     return K.table(out, schema)
