@@ -325,6 +325,33 @@ def test_unknown_words_are_spelled(spark):
     assert two.bits_per_byte * len(long) > one.bits_per_byte * len(short) + 2 * (len(long) - len(short))
 
 
+def test_fit_texts_of_all_lengths_and_one_of_each_id(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FIT_SAMPLE", 50)
+    rows = [(i, f"text{i} " * (5 if i < 300 else 4000)) for i in range(600)] + [(7, "hot " * 5)] * 2000 + [(None, None)]
+    texts = lm_scoring.fit_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    ids = [int(t.split()[-1][4:]) for t in texts if t.startswith("text") and len(t.split()) == 5]
+    assert len(texts) == 50 and all(len(t) <= lm_scoring.FIT_CHARS for t in texts)
+    assert sum(len(t) > 8000 for t in texts) > 20  # most of the corpus is in long texts
+    assert len(set(ids)) == len(ids) and sum(t.startswith("hot") for t in texts) <= 1
+    assert ids != sorted(ids) or len(ids) < 3
+
+
+def test_share_of_new_words_is_exact():
+    assert lm_scoring.new_share(1, 100_000) < 1e-4 and lm_scoring.new_share(0, 0) == 0.5 and 0 < lm_scoring.new_share(9, 9) < 1
+
+
+def test_head_counts_all_training_documents(spark, monkeypatch):
+    """A word of the last few of many documents is in the head if it is frequent in all."""
+    seen = []
+    monkeypatch.setattr(lm_scoring, "HEAD", 8)
+    monkeypatch.setattr(lm_scoring, "huffman", lambda counts, make=lm_scoring.huffman: seen.append(counts - 1) or make(counts))
+    train = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = [(i, "common words here") for i in train[:-1]] + [(train[-1], "burst " * 400)]
+    lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    ends, escapes, *counts = seen[0].tolist()
+    assert sorted(counts) == [400] + [len(train) - 1] * 3 and (escapes, ends) == (1, len(train))
+
+
 def test_corpus_counts_pass_32_bits(spark):
     task = lm_scoring.Tables([4])
     task.counts[0][3] = 3_000_000_000

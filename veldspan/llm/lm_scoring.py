@@ -1,15 +1,15 @@
 """Language-model scores by logistic context mixing of bit predictors.
 
 Tokens are lower-cased words and one end per text.  A token is coded in bits: frequent
-words (the head, chosen on a bounded sample) and the end have Huffman codes; all other
+words (the head, by counts over all training documents) and the end have Huffman codes; all other
 words take an escape code and are then spelled.  Each bit is predicted by several predictors, each a table of
 counts addressed by a hash of its context and the code node: no word, the word before, the
 two words before.  Their stretched probabilities are added with weights gated by how often
 the context was seen and by the node's depth, learned online; an adaptive map then refines
 the sum.  A word after the escape is a mixture of its share among all non-head training
 tokens (exact counts) and of a letter model of the same kind, whose contexts are the one to
-four letters before; the letter model has the share of new words, which is measured on a
-bounded set of probed words.
+four letters before; the letter model has the share of new words, the words seen once among
+all non-head training tokens.
 
 The score is the log10 probability over the events of the base score: training words, one
 class of all unknown words, and the end.  ``bits_per_byte`` are the bits that tell the text's
@@ -33,8 +33,9 @@ from . import kernel as K
 from .shared import arrow_schema, map_text, materialise, seeded_unit, shuffle_width, workers_find_package
 
 MODULUS, HELD_OUT = 5, 1
-SAMPLE = 4_000
-FIT_SAMPLE = 750
+FIT_SAMPLE = 750  # pieces of text that the weights are learned on
+FIT_CHARS = 16_384  # length of a piece
+DISTINCT = 1 << 20  # words a task counts before it sends them on
 SEED = "lm-2024"
 HEAD = 32_768
 MIN_HEAD_COUNT = 3
@@ -43,7 +44,6 @@ LETTER_BITS = 20
 LETTER_ORDERS = (1, 2, 3, 4)
 TOKENS = 1 << 16  # tokens whose bits are expanded at a time
 BLOCK = 1 << 16
-PROBES = 20_000
 CONFIDENCE = 8
 GATES = 8
 STEPS = 24
@@ -328,6 +328,35 @@ def tail_words(w: K.Words, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
     return at[np.unique(w.hash[at], return_index=True)[1]]
 
 
+def new_share(once: int, tokens: int) -> float:
+    """The share of new words among tokens outside the head: of those seen once, half a token added to either side."""
+    return (once + 0.5) / (tokens + 1)
+
+
+def fit_texts(train: DataFrame) -> list[str]:
+    """FIT_SAMPLE pieces of texts of all lengths, in seeded order, from one text of each id.
+
+    A long text counts as pieces of FIT_CHARS characters, so that it has its share of the
+    sample and the sample is bounded.
+    """
+    long = F.length(F.coalesce("text", F.lit("")))
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("long") / FIT_CHARS).cast("int") - 1, F.lit(0)))
+    chosen = (
+        train.groupBy("doc_id")
+        .agg(F.max(long).alias("long"))
+        .select("doc_id", "long", F.explode(pieces).alias("piece"))
+        .withColumn("unit", seeded_unit(SEED, F.col("doc_id"), F.col("piece")))
+        .orderBy("unit", "doc_id", "piece")
+        .limit(FIT_SAMPLE)
+    )
+    chosen = train.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (long == F.col("long"))
+    found = train.alias("t").join(F.broadcast(chosen.alias("c")), same).select(
+        "unit", "piece", F.coalesce("text", F.lit("")).substr(F.col("piece") * FIT_CHARS + 1, F.lit(FIT_CHARS)).alias("text")
+    )
+    return [r["text"] for r in found.groupBy("unit", "piece").agg(F.min("text").alias("text")).orderBy("unit", "piece").collect()]
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -341,41 +370,45 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
     train = rows.filter(~F.col("held_out"))
     n_train = train.count()
-    sample = train.filter(seeded_unit(SEED, F.col("doc_id")) < SAMPLE / max(n_train, 1))
-
-    # the head: frequent words of the sample
+    # all words counted; the head are the frequent ones
     def count_words():
+        held = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+
+        def add(h, n):
+            held[0], at = np.unique(np.concatenate([held[0], h]), return_inverse=True)
+            held[1] = np.bincount(at, np.concatenate([held[1], n]), minlength=len(held[0])).astype(np.int64)
+
+        def flush():
+            out = {"hash": held[0].view(np.int64), "n": held[1]}
+            held[:] = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+            return out
+
         def each(s, rest):
-            w = K.words(s.data, s.offsets)
-            h, n = np.unique(w.hash, return_counts=True)
-            return {"hash": h.view(np.int64), "n": n}
+            add(*np.unique(K.words(s.data, s.offsets).hash, return_counts=True))
+            return flush() if len(held[0]) >= DISTINCT else None
 
-        return each, None
+        return each, lambda: flush() if len(held[0]) else None
 
-    counted = map_text(sample.select("text"), "hash long, n long", count_words).groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = materialise(map_text(train.select("text"), "hash long, n long", count_words).groupBy("hash").agg(F.sum("n").alias("n")), "lm-counts")
     head = counted.filter(F.col("n") >= MIN_HEAD_COUNT).orderBy(F.desc("n"), "hash").limit(HEAD).toPandas()
-    everything = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    everything, once = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0))).first()
     words, counts = head["hash"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
-    code = Code(words, counts, everything - int(counts.sum()), min(n_train, SAMPLE))
-    probe = counted.orderBy("hash").limit(PROBES).toPandas()
-    probe = probe[~probe["hash"].isin(head["hash"])].sort_values("hash")
-    probes = np.sort(probe["hash"].to_numpy(np.int64).view(np.uint64))
-    shared_code = spark.sparkContext.broadcast((code, probes))
-    sizes = [code.nodes, *(1 << b for b in ORDER_BITS), *[1 << LETTER_BITS] * len(LETTER_ORDERS), len(code.words) + 2, len(probes)]
+    tail_total = everything - int(counts.sum())
+    novel = new_share(once, tail_total)
+    code = Code(words, counts, tail_total, n_train)
+    shared_code = spark.sparkContext.broadcast(code)
+    sizes = [code.nodes, *(1 << b for b in ORDER_BITS), *[1 << LETTER_BITS] * len(LETTER_ORDERS), len(code.words) + 2]
     n_orders = 1 + len(ORDER_BITS)
 
     # counts over all training documents
     def count_bits():
-        (code, probes), tables = shared_code.value, Tables(sizes)
+        code, tables = shared_code.value, Tables(sizes)
 
         def each(s, rest):
             data = K.LOWER[s.data]
             w = K.words(data, s.offsets, lower=False)
             sym, _, first = code.symbols(w, s.hi - s.lo)
-            tables.counts[-2] += np.bincount(2 * sym, minlength=2 * sizes[-2]).astype(np.uint32)
-            if len(probes):
-                at = np.minimum(np.searchsorted(probes, w.hash), len(probes) - 1)
-                tables.counts[-1] += np.bincount(2 * at[probes[at] == w.hash], minlength=2 * sizes[-1]).astype(np.uint32)
+            tables.counts[-1] += np.bincount(2 * sym, minlength=2 * sizes[-1]).astype(np.uint32)
             contexts = token_contexts(w, sym, first)
             for lo in range(0, len(sym), TOKENS):
                 token, node, bit, _ = code.expand(sym[lo : lo + TOKENS])
@@ -398,15 +431,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return each, last
 
     tables = sum_tables(map_text(train.select("text"), "block int, counts binary", count_bits), sizes)
-    symbol_counts = tables[-2][::2].astype(np.int64)
-    # how often a word outside the head is new: the share of probed tokens that occur once in all training texts
-    once = int((tables[-1][::2] == 1).sum())
-    novel = float(np.clip(once / max(int(probe["n"].sum()), 1), 0.01, 0.99)) if len(probe) else 0.5
+    symbol_counts = tables[-1][::2].astype(np.int64)
     train_tokens = int(symbol_counts.sum())
 
-    # mixing weights, learned online on the sample with each bit left out of its own counts
+    # mixing weights, learned online on a sample with each bit left out of its own counts
     mixer, letter_mixer = Mixer(n_orders, 0), Mixer(len(LETTER_ORDERS), 1)
-    texts = [r["text"] or "" for r in sample.select("text", "doc_id").filter(F.length("text") < 20_000).orderBy("doc_id").limit(FIT_SAMPLE).collect()]
+    texts = fit_texts(train)
     for piece in K.text_slices(pa.array(texts, pa.string())):
         data = K.LOWER[piece.data]
         w = K.words(data, piece.offsets, lower=False)
@@ -417,8 +447,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         at = tail_words(w, sym, first)
         letters, spans = gather_spans(data, w.start[at], w.end[at])
         for _, found, lbit, gate in letter_bits(letters, spans):
-            letter_mixer.learn([evidence(t, lbit, slot) for t, slot in zip(tables[n_orders:-2], found)], gate, lbit)
-    letter_model = spark.sparkContext.broadcast(([evidence(t) for t in tables[n_orders:-2]], letter_mixer))
+            letter_mixer.learn([evidence(t, lbit, slot) for t, slot in zip(tables[n_orders:-1], found)], gate, lbit)
+    letter_model = spark.sparkContext.broadcast(([evidence(t) for t in tables[n_orders:-1]], letter_mixer))
     model = spark.sparkContext.broadcast(([evidence(t) for t in tables[:n_orders]], mixer, symbol_counts))
     del tables
 
@@ -432,7 +462,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def score(batches):
         import uuid
 
-        (code, _), (tables, mixer, symbol_counts) = shared_code.value, model.value
+        code, (tables, mixer, symbol_counts) = shared_code.value, model.value
         luts, costs = mixer.luts(), mixer.costs()
         base_log = np.log10(symbol_counts + 0.5)
         for batch in batches:
@@ -497,7 +527,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scored = materialise(rows.mapInArrow(score, ddl), "lm-words")
     heads = scored.filter("bucket < 0").select("row", *[c.split()[0] for c in head_ddl.split(", ")[1:]])
     parts = scored.filter("bucket >= 0").select("bucket", "row", "words", "sizes", "used", "rows", "times", "training")
-    tail_total = int(train_tokens - (symbol_counts.sum() - symbol_counts[ESCAPE]))
 
     out_ddl = "row string, base_log double, log double, text_log double, known long, unknown long, distinct long, spelled double"
     out_schema = arrow_schema(out_ddl)
