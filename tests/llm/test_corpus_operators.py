@@ -267,6 +267,22 @@ def test_license_inheritance(spark):
     }
 
 
+def test_license_notices_in_running_text_and_full_texts(spark):
+    prose = " ".join(f"plain{i % 50}" for i in range(100))
+    gpl = "# This program is free software: you can redistribute\n# it and/or modify it under the terms\n# of the GNU General Public License\n"
+    text = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    rows = [
+        (1, "a/x.txt", f"{prose} Released under the MIT License. {prose}"), (2, "b/x.txt", gpl + prose), (3, "c/x.txt", prose),
+        (4, "d/x.txt", f"{prose} licensed\nunder the Apache\nLicense, Version\n2.0. {prose}"), (5, "e/y.txt", prose),
+        (6, "e/notes.txt", text["LGPL-3.0"]), (7, "f/notes.txt", text["MPL-2.0"].replace("\n", " ")),
+    ]
+    got = {r.doc_id: (r.own_license, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("MIT", "MIT"), 2: ("GPL-3.0", "GPL-3.0"), 3: (None, None), 4: ("Apache-2.0", "Apache-2.0"),
+        5: (None, "LGPL-3.0"), 6: ("LGPL-3.0", "LGPL-3.0"), 7: ("MPL-2.0", "MPL-2.0"),
+    }
+
+
 def test_classifier_agrees_with_labels(spark):
     docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
     rows = quality_classifier.classify(docs, labels).join(labels, "doc_id").collect()

@@ -1,10 +1,13 @@
 """License scans: TF-IDF cosine of notices to templates, then inheritance from directories.
 
-Every line of a file is compared with short notices of known licences.  Vectors are
-sparse: the words of the templates with their inverse document frequency over the whole
-corpus, and one weight for all other words.  A file's own licence is that of its best
-line, if the cosine reaches MIN_COSINE.  A licence file (a licence was found and the file
-has few words besides, or its name says so) speaks for its directory; a file without a
+Every line of a file, and every window of as many words as a notice has, across line
+breaks, is compared with short notices of known licences, and the file as a whole with
+full licence texts.  Vectors are sparse: the words of the templates with their inverse
+document frequency over the whole corpus, and one weight for all other words.  A file's
+own licence is that of the full text it equals (cosine of MIN_FILE_COSINE), else that of
+its best line or window, if the cosine reaches MIN_COSINE.  A licence file (a full text, or
+a licence was found and the file has few words besides, or its name says so) speaks for
+its directory; a file without a
 licence of its own inherits from the nearest ancestor directory that has one.  Ancestors
 are resolved once per directory, not per file, so that a root directory with a third of
 all files is one row.
@@ -12,6 +15,8 @@ all files is one row.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +25,9 @@ from . import kernel as K
 from .shared import map_text
 
 MIN_COSINE = 0.7
+MIN_FILE_COSINE = 0.9
+FILE_ROWS = 128  # files compared as a whole at a time
+SPANS = 1 << 14  # lines or windows compared exactly at a time
 MIN_LINE_WORDS = 3
 LICENSE_FILE_WORDS = 60
 LICENSE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
@@ -46,6 +54,9 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+#: Full texts by licence, read on the driver.
+TEXTS = Path(__file__).parent / "licence_texts"
+
 _BREAK = np.ones(256, bool)  # words are runs of ASCII letters, digits, dots and hyphens, and non-ASCII bytes
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 _BREAK[[45]] = False
@@ -64,11 +75,13 @@ def _line_words(data: np.ndarray, offsets: np.ndarray):
     return w, line, rows
 
 
-def template_words() -> tuple[np.ndarray, list[np.ndarray]]:
-    raw = [t.encode() for _, t in TEMPLATES]
+def template_words() -> tuple[np.ndarray, list[np.ndarray], list[str]]:
+    """(all words, words of each template, licences): the notices, then the full texts."""
+    full = [(f.stem, f.read_bytes()) for f in sorted(TEXTS.glob("*.txt"))]
+    raw = [t.encode() for _, t in TEMPLATES] + [t for _, t in full]
     data = np.frombuffer(b"".join(raw), np.uint8)
     w = K.words(data, np.cumsum([0, *map(len, raw)]), space=_BREAK)
-    return np.unique(w.hash), [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(raw))]
+    return np.unique(w.hash), [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(raw))], [n for n, _ in [*TEMPLATES, *full]]
 
 
 def _template_matrix(vocabulary, lists, idf) -> np.ndarray:
@@ -79,6 +92,67 @@ def _template_matrix(vocabulary, lists, idf) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(x)])
+
+
+def _exact(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, dot: np.ndarray, idf: np.ndarray, rare: float) -> np.ndarray:
+    """Cosines of spans of words, ``at`` being each word's place in the vocabulary (its size: none)."""
+    size = hi - lo
+    span = np.repeat(np.arange(len(lo)), size)
+    word = at[np.arange(len(span)) + np.repeat(lo - np.cumsum(size) + size, size)]
+    key, n = np.unique(span * (len(idf) + 1) + word, return_counts=True)
+    span, word = key // (len(idf) + 1), key % (len(idf) + 1)
+    other = word == len(idf)
+    square = np.where(other, n * rare * rare, (n * idf[np.minimum(word, len(idf) - 1)]) ** 2)
+    return dot / np.sqrt(np.bincount(span, square, minlength=len(lo)))
+
+
+def best_spans(at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, matrix: np.ndarray, sizes: list[int], idf: np.ndarray, rare: float):
+    """(row, template, cosine) of all spans that reach MIN_COSINE: the given ones (lines), and all windows of a template's length.
+
+    Sums up to each word give a span's product with a template, and a bound of its length
+    that is exact unless a word repeats; only spans whose bound passes are counted.
+    """
+    weight = np.append(idf, rare)
+    square = _sums((weight * weight)[at])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for t, size in enumerate(sizes):
+        product = _sums(np.append(idf * matrix[t], 0)[at])
+        begin = np.arange(max(len(at) - size + 1, 0))
+        begin = begin[doc[begin] == doc[begin + size - 1]]
+        for a, b in ((lo, hi), (begin, begin + size)):
+            dot = product[b] - product[a]
+            some = np.flatnonzero(dot * dot >= (MIN_COSINE * MIN_COSINE - 1e-9) * (square[b] - square[a]))
+            for k in range(0, len(some), SPANS):
+                part = some[k : k + SPANS]
+                cosine = _exact(at, a[part], b[part], dot[part], idf, rare)
+                good = cosine >= MIN_COSINE
+                found.append((doc[a[part][good]], np.full(good.sum(), t), cosine[good]))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def best_texts(at: np.ndarray, first: np.ndarray, matrix: np.ndarray, idf: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:
+    """(template, cosine) of the nearest full text of every row, as a whole; cosine 0 where too few words are known."""
+    rows = len(first) - 1
+    template, value = np.zeros(rows, np.int64), np.zeros(rows)
+    size = np.diff(first)
+    known = np.diff(np.concatenate([[0], np.cumsum(at < len(idf))])[first])
+    some = np.flatnonzero((size > 0) & (2 * known >= size))
+    for k in range(0, len(some), FILE_ROWS):
+        part = some[k : k + FILE_ROWS]
+        n = size[part]
+        row = np.repeat(np.arange(len(part)), n)
+        word = at[np.arange(len(row)) + np.repeat(first[part] - np.cumsum(n) + n, n)]
+        hit = word < len(idf)
+        v = np.bincount(row[hit] * len(idf) + word[hit], minlength=len(part) * len(idf)).reshape(len(part), -1) * idf
+        norm = np.sqrt((v * v).sum(1) + (n - known[part]) * rare * rare)
+        cosine = (v @ matrix.T) / norm[:, None]
+        template[part] = cosine.argmax(1)
+        value[part] = cosine.max(1)
+    return template, value
+
+
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None = None, text_col: str = "text") -> DataFrame:
     """One row per file: doc_id, path, own_license, cosine, license, inherited_from.
 
@@ -91,7 +165,8 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
     """
     path = F.col("path") if path is None else path
     rows = files.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), path.alias("path"))
-    vocabulary, lists = template_words()
+    vocabulary, lists, names = template_words()
+    notices = len(TEMPLATES)
 
     def frequencies():
         total = np.zeros(len(vocabulary) + 1, np.int64)
@@ -112,8 +187,9 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
     rare = float(np.log(1 + df[-1])) + 1
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     matrix = _template_matrix(vocabulary, lists, idf)
-    names = np.array([n for n, _ in TEMPLATES], object)
-    ddl = "doc_id {}, path string, own_license string, cosine double, words long".format(files.schema[id_col].dataType.simpleString())
+    names = np.array(names, object)
+    sizes = [len(x) for x in lists[:notices]]
+    ddl = "doc_id {}, path string, own_license string, cosine double, words long, whole boolean".format(files.schema[id_col].dataType.simpleString())
 
     def match():
         def each(s, rest):
@@ -121,34 +197,23 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
             w, line, line_row = _line_words(s.data, s.offsets)
             best, name = np.zeros(n_rows), np.full(n_rows, None, object)
             at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-            hit = vocabulary[at] == w.hash
-            lines = len(line_row)
-            size = np.bincount(line, minlength=lines)
-            known = np.bincount(line[hit], minlength=lines)
-            # a cosine of MIN_COSINE needs some known words: most lines have too few
-            some = np.flatnonzero((size >= MIN_LINE_WORDS) & (2 * known >= size))
-            if len(some):
-                number = np.full(lines, -1)
-                number[some] = np.arange(len(some))
-                mine = hit & (number[line] >= 0)
-                counts = np.bincount(number[line[mine]] * len(vocabulary) + at[mine], minlength=len(some) * len(vocabulary)).reshape(len(some), -1)
-                v = counts * idf
-                norm = np.sqrt((v * v).sum(1) + (size - known)[some] * rare * rare)
-                cosine = (v @ matrix.T) / norm[:, None]
-                top = cosine.argmax(1)
-                value = cosine[np.arange(len(some)), top]
-                order = np.argsort(value, kind="stable")
-                owner = line_row[some][order]
-                good = value[order] >= MIN_COSINE
-                best[owner[good]] = value[order][good]
-                name[owner[good]] = names[top[order]][good]
-            return {"doc_id": rest[0], "path": rest[1], "own_license": name, "cosine": np.round(best, 6), "words": np.diff(w.first)}
+            at[vocabulary[at] != w.hash] = len(vocabulary)
+            edge = np.searchsorted(line, np.arange(len(line_row) + 1))
+            long = np.diff(edge) >= MIN_LINE_WORDS
+            row, template, value = best_spans(at, w.doc, edge[:-1][long], edge[1:][long], matrix[:notices], sizes, idf, rare)
+            order = np.lexsort((-template, np.round(value, 9)))
+            best[row[order]] = value[order]
+            name[row[order]] = names[template[order]]
+            template, value = best_texts(at, w.first, matrix[notices:], idf, rare)
+            whole = value >= MIN_FILE_COSINE
+            best[whole], name[whole] = value[whole], names[notices + template[whole]]
+            return {"doc_id": rest[0], "path": rest[1], "own_license": name, "cosine": np.round(best, 6), "words": np.diff(w.first), "whole": whole}
 
         return each, None
 
     own = map_text(rows, ddl, match).withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     own = own.withColumn("_dir", F.when(F.col("path").isNull(), None).otherwise(F.col("_dir")))
-    speaks = F.col("own_license").isNotNull() & ((F.col("words") <= LICENSE_FILE_WORDS) | F.col("path").rlike(LICENSE_NAMES))
+    speaks = F.col("own_license").isNotNull() & (F.col("whole") | (F.col("words") <= LICENSE_FILE_WORDS) | F.col("path").rlike(LICENSE_NAMES))
     given = (
         own.filter(speaks & F.col("_dir").isNotNull())
         .groupBy("_dir")
