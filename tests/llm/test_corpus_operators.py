@@ -390,6 +390,14 @@ def test_one_id_cannot_fill_a_sample(spark, monkeypatch):
     assert language_id.identify(many).count() == docs.count() + 300
 
 
+def test_a_hot_id_does_not_thin_out_its_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANG", 20)
+    rows = [(i, f"some words of text {i} {i % 7}", "xx") for i in range(60)] + [(1, "the same again", "xx")] * 20_000
+    rows += [(100 + i, f"andere woorden hier {i}", "yy") for i in range(60)]
+    _, model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert set(model) == {"xx", "yy"} and len(model["xx"][0]) == language_id.CLUSTERS
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     now, kept = docs, []

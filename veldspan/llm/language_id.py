@@ -100,11 +100,11 @@ def centroids(v: np.ndarray) -> tuple[np.ndarray, float]:
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, float]]]:
     """(idf, lang -> (centroids, rejection distance)) from the training documents with text and lang.
 
-    The sample has about SAMPLE_PER_LANG documents a language, taken by a seeded number, and
-    one text of each id and language.
+    The sample has about SAMPLE_PER_LANG ids a language, taken by a seeded number, and one text
+    of each id and language; repeated rows of an id do not lower the share of the others.
     """
     train = docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), seeded_unit(SEED, F.col(id_col)).alias("unit")
+        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), seeded_unit(SEED, F.col(id_col)).alias("unit")
     )
 
     def frequencies():
@@ -121,7 +121,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.
         df[r["i"]] = r["n"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32)
     idf = np.maximum(idf, 0.05).astype(np.float32)
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    ids = train.select("lang", "id").distinct()
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return idf, {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_PER_LANG / n))])
