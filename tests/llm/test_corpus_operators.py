@@ -156,8 +156,51 @@ def test_shards(spark):
 
 
 def test_write_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), str(tmp_path / "out"), shards=3)
-    assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 3
+    """Every row once, with repeated and null ids, in the order of the plan."""
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=3, files=2)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.groupBy("shard").count().count() == 3
+    rows = [tuple(r) for r in out.select(*docs.columns).collect()]
+    assert sorted(rows, key=repr) == sorted(ROWS, key=repr)
+    plan = sorted((r.doc_id is None, r.doc_id, r.shard, r.slot) for r in sharding.assign_shards(docs, 3).collect())
+    assert plan == sorted((r.doc_id is None, r.doc_id, r.shard, r.slot) for r in out.collect())
+
+
+def test_ranges_split_hot_ids_and_repeats(spark, monkeypatch):
+    """A third of null ids and a third of rows alike: the largest range stays near the mean."""
+    from veldspan.llm import shared
+
+    made, write = [], shared.materialise
+    monkeypatch.setattr(shared, "materialise", lambda df, name, path=None: made.append(write(df, name, path)) or made[-1])
+    monkeypatch.setattr(shared, "RANGE_ROWS", 1000)
+    n = 30_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("a").alias("g")
+    )
+    out = shared.running_before(rows, ["g"], ["doc_id"], F.lit(1), "before", n)
+    assert sorted(r.before for r in out.collect()) == list(range(n))
+    sizes = [r["count"] for r in made[0].groupBy("_range").count().collect()]
+    assert max(sizes) < 3 * n / 30
+
+
+def test_shards_keep_the_order_of_the_mix(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    mixed = mixing.mix_documents(docs, position_col="at")
+    placed = sharding.assign_shards(mixed, 4, order_col="at", keep=("at",)).join(docs.select("doc_id", "source"), "doc_id").collect()
+    for shard in range(4):
+        for source in {r.source for r in placed}:
+            mine = [r["at"] for r in sorted(placed, key=lambda r: r.slot) if r.shard == shard and r.source == source]
+            assert mine == sorted(mine)
+
+
+def test_operators_run_without_a_checkpoint_folder(spark, docs):
+    from veldspan.llm import shared
+
+    class Session:  # a session whose spark.checkpoint.dir is unset
+        class conf:
+            get = staticmethod(lambda key, default=None: default if key == "spark.checkpoint.dir" else spark.conf.get(key, default))
+
+    assert shared.shared_dir(Session) == spark.conf.get("spark.sql.warehouse.dir")
 
 
 def repeats_by_force(rows):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucket_count, group_key, materialise, running_before, seeded_unit, shuffle_width, word_count
+from .shared import group_key, materialise, running_before, seeded_unit, shuffle_width, word_count
 
 SEED = "mix-2024"
 MAX_EPOCHS = 3
@@ -110,7 +110,7 @@ def mix_plan(
     sources = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = source_targets(sources, total, max_epochs, schedules)
-    placed = running_before(rows, ["_source"], "_unit", ["doc_id", "size"], F.col("size"), "_start", bucket_count(n)).join(targets, "_source")
+    placed = running_before(rows, ["_source"], ["_unit", "doc_id", "size"], F.col("size"), "_start", n).join(targets, "_source")
     budget = F.floor(F.col("target")).cast("long")
     starts = [F.col("_start") + F.col("source_size") * j for j in range(max_epochs)]
     taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), budget - s)) for s in starts), F.lit(0))
@@ -128,18 +128,24 @@ def mix_plan(
 
 
 def curriculum(plan: DataFrame) -> DataFrame:
-    """The plan range-sorted by training position; documents that are not taken come last."""
+    """The plan range-sorted by training position; documents that are not taken come last.
+
+    Of equal positions the smaller id is first, null ids before all; repeated rows stay; an
+    empty plan stays empty; all columns are kept.
+    """
     width = shuffle_width(plan.sparkSession)
     keys = [F.col("position").asc_nulls_last(), F.col("doc_id").asc()]
     return plan.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
 
 
-def mix_documents(docs: DataFrame, seed: str = SEED, text_col: str = "text") -> DataFrame:
+def mix_documents(docs: DataFrame, seed: str = SEED, text_col: str = "text", position_col: str | None = None) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, in training order.
 
     Whole documents: a document is repeated ``copies`` times, in consecutive passes over its
     source; documents the mix does not take are left out.  All columns are kept.  Rows that
-    share an id get the same number of copies.
+    share an id get the same number of copies; rows with a null id go by their text.  Documents
+    without words are left out; an empty table gives an empty table.  ``position_col`` adds the
+    training time of each copy, by which ``assign_shards`` can keep the order.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.col(text_col))), F.lit("~"))
     keyed = docs.withColumn("_mix_key", key)
@@ -156,4 +162,6 @@ def mix_documents(docs: DataFrame, seed: str = SEED, text_col: str = "text") ->
         .withColumn("_at", F.least(F.lit(1.0), F.col("_position") + F.col("_n") * F.col("_pass")))
     )
     width = shuffle_width(docs.sparkSession)
-    return placed.repartitionByRange(width, "_at", "_mix_key").sortWithinPartitions("_at", "_mix_key").select(*docs.columns)
+    return placed.repartitionByRange(width, "_at", "_mix_key").sortWithinPartitions("_at", "_mix_key").select(
+        *docs.columns, *([F.col("_at").alias(position_col)] if position_col else [])
+    )

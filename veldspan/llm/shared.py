@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,14 +10,15 @@ from pyspark.sql.window import Window
 
 from ..workers import workers_find_package
 
+RANGE_ROWS = 1_000_000  # rows of a range that are sorted in one task
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="veldspan-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset the warehouse.
+
+    The setting is only read: Spark refuses to change it in a running session.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,33 +53,31 @@ def group_key(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), col.cast("string")))
 
 
-def bucket_count(rows: int) -> int:
-    """About the square root: buckets and the table of buckets stay small together."""
-    return max(1, math.isqrt(max(0, rows)))
-
-
-def running_before(
-    df: DataFrame, group: list[str], unit: str, ties: list[str], value: Column, out: str, buckets: int
-) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows of the group that come before this row.
+def running_before(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, rows: int) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows (``rows`` in all) of the group that come before this row in ``order``.
 
-    Rows are ordered by ``unit`` (a number in [0, 1)) and ``ties``.  A window over a
-    whole group would send a hot group to one task; here each group is cut by ``unit``
-    into ``buckets`` ranges, a small table holds what each range adds up to, and only
-    the rows of one range meet in a window.
+    A window over a whole group would send a hot group to one task.  Here rows are
+    range-sorted by group, order and a number of their own, so that neither a hot group nor
+    rows alike in all of ``order`` can fill a range; a small table holds what each range adds up
+    to, and only the rows of one range meet in a window.  Rows alike in group and order are
+    told apart by where they stand in the input.
     """
-    cut = df.withColumn("_range", F.least(F.floor(F.col(unit) * buckets), F.lit(buckets - 1)).cast("int")).withColumn("_value", value)
+    spark = df.sparkSession
+    width = max(shuffle_width(spark), -(-rows // RANGE_ROWS))
+    numbered = df.withColumn("_value", value).withColumn("_twin", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(width, *group, *order, "_twin").withColumn("_range", F.spark_partition_id())
+    cut = materialise(ranged, "ranges")
     sums = cut.groupBy(*group, "_range").agg(F.sum("_value").alias("_sum"))
     over = Window.partitionBy(*group) if group else Window.partitionBy()
     before = sums.withColumn(
         "_before",
         F.coalesce(F.sum("_sum").over(over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).drop("_sum")
-    inside = Window.partitionBy(*group, "_range").orderBy(unit, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_range").orderBy(*order, "_twin").rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.join(before, [*group, "_range"])
         .withColumn(out, (F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long"))
-        .drop("_range", "_value", "_before")
+        .drop("_range", "_value", "_before", "_twin")
     )
 
 
