@@ -104,6 +104,16 @@ def test_row_filters_keep_columns(docs, benchmark, labels):
     assert kept == [1]
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    p, q, r = PASSAGE, " ".join(f"other{i}" for i in range(40)), " ".join(f"third{i}" for i in range(40))
+    rows = [(1, p), (None, p), (None, p), (None, q), (None, q), (None, None), (5, ""), (5, ""), (3, r), (3, p), (4, r), (2, q + " tail")]
+    kept = [tuple(x) for x in jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, p), (2, q + " tail"), (None, None), (5, ""), (5, ""), (3, r)], key=repr)
+    nulls = [(None, q), (None, q), (None, q + " tail"), (9, r)]
+    kept = [tuple(x) for x in jaccard_join.keep_one_of_each(spark.createDataFrame(nulls, "doc_id long, text string")).collect()]
+    assert len(kept) == 2 and (9, r) in kept
+
+
 def test_mix_targets(spark):
     rows = [(i, " ".join(["w"] * (i % 9 + 1)), s) for i, s in enumerate("a" * 200 + "b" * 20 + "c" * 90)]
     plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -240,6 +250,18 @@ def test_repeats(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == repeats_by_force(rows)
 
 
+@pytest.mark.parametrize("ids", [(-(2**63), -5, 2**62 + 7, 2**63 - 1), (-5, 3, 2**62 + 7, 2**63 - 1), (-(2**63), -7, -6, 2**62 - 1)])
+def test_repeats_of_any_id(spark, ids):
+    text = [f"{i} {PASSAGE[: 100 + 20 * i]} end {i}" for i in range(4)]
+    schema = "doc_id long, text string"
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(zip(ids, text)), schema)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeats_by_force(list(zip(ids, text)))
+    with_null = suffix_dedup.remove_repeats(spark.createDataFrame([*zip(ids, text), (None, PASSAGE)], schema)).collect()
+    assert {r.doc_id for r in with_null} == {*ids, None}
+    assert [r.n_removed for r in with_null if r.doc_id is None][0] >= 160
+    assert {r.doc_id: r.kept_sha256 for r in with_null if r.doc_id is not None} == {r.doc_id: r.kept_sha256 for r in got}
+
+
 def test_large_clusters_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     base = [f"w{i}" for i in range(60)]
@@ -297,6 +319,13 @@ def test_leaks(spark, docs, benchmark):
     assert {r.item_id for r in decontamination.find_leaks(edited, benchmark).collect()} == {0, 3}
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "What is two?"), (2, "four"), (3, " \t")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "so what  is two? indeed"), (2, "fourteen twenty-four"), (3, "fourteen"), (4, "what is twos?")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(texts, items).collect()} == {(1, 1), (2, 2)}
+    assert {r.doc_id for r in decontamination.drop_leaks(texts, items).collect()} == {3, 4}
+
+
 def test_license_inheritance(spark):
     mit, long = "Released under the MIT License.", " ".join(["plain"] * 200)
     rows = [

@@ -7,6 +7,9 @@ has at most one edit.  An automaton finds all exact piece hits in the whole text
 whose pair fails the one-edit test is dropped; what remains is verified with Myers'
 bit-parallel distance over the item's window.
 
+Items under SHORT_CHARS characters are allowed no edits: they are one piece, found
+where it stands between spaces, punctuation or the ends of the text.
+
 Documents are scanned where they are read: there is no shuffle.  Items are scanned for in
 blocks of BLOCK_CHARS characters, so that the automaton of a pass has a size bound.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import arrow_schema, workers_find_package
 
 ERROR_RATE = 0.10
-MIN_CHARS = 20
+SHORT_CHARS = 20
 BLOCK_CHARS = 2_000_000
 
 
@@ -29,8 +32,8 @@ def normalise(text: str) -> str:
 
 
 def budget(length: int) -> int:
-    """Errors allowed: odd, so that pieces pair up; at least one."""
-    return max(1, int(length * ERROR_RATE) - 1 | 1)
+    """Errors allowed: odd, so that pieces pair up, at least one; none for short items."""
+    return 0 if length < SHORT_CHARS else max(1, int(length * ERROR_RATE) - 1 | 1)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, int]]:
@@ -123,6 +126,10 @@ class Matcher:
             start = last + 1 - size
             for n, j in where:
                 item, spans = self.items[n][1], self.cuts[n]
+                if len(spans) == 1:
+                    if not text[max(start - 1, 0) : start].isalnum() and not text[last + 1 : last + 2].isalnum():
+                        windows.setdefault(n, []).append(start)
+                    continue
                 a, b = spans[j ^ 1]
                 if near_pair(text, start if j & 1 else last + 1, item[a:b], bool(j & 1)):
                     windows.setdefault(n, []).append(start - spans[j][0])
@@ -130,6 +137,9 @@ class Matcher:
         for n, starts in windows.items():
             item = self.items[n][1]
             k = budget(len(item))
+            if not k:
+                out.append((n, 0, min(starts), min(starts) + len(item)))
+                continue
             best = None
             starts.sort()
             lo = starts[0]
@@ -148,14 +158,14 @@ class Matcher:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Blocks of (id, normalised item) of about BLOCK_CHARS characters; items that are null or too short are left out."""
-    items = benchmark.filter(F.length(text_col) >= MIN_CHARS).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    """Blocks of (id, normalised item) of about BLOCK_CHARS characters; items that are null or blank are left out."""
+    items = benchmark.filter(F.length(text_col) > 0).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-chars // BLOCK_CHARS)
     for i in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i)
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == i)
         found = [(r["item_id"], normalise(r["text"])) for r in part.collect()]
-        found = sorted(((a, b) for a, b in found if len(b) >= MIN_CHARS), key=lambda x: (x[1], str(x[0])))
+        found = sorted(((a, b) for a, b in found if b), key=lambda x: (x[1], str(x[0])))
         if found:
             yield found
 
@@ -164,8 +174,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per document and item that occurs in it: doc_id, item_id, distance, budget, start, end.
 
     ``start`` and ``end`` are character positions of the best occurrence in the normalised
-    text.  Null and empty texts hold nothing; items that are null or shorter than MIN_CHARS
-    characters are not searched for; repeated documents and items give repeated rows; an
+    text.  Null and empty texts hold nothing; items that are null or blank are not searched
+    for; items under SHORT_CHARS characters are found without edits, at word boundaries; repeated documents and items give repeated rows; an
     empty table on either side gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -198,7 +208,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no item."""
+    """The rows of ``docs``, all columns, whose text holds no item.
+
+    Null and empty texts stay; rows that repeat are judged one by one; an empty table on either side
+    drops nothing; null, blank and short items are treated as in ``find_leaks``.
+    """
     workers_find_package(docs.sparkSession)
     at = docs.columns.index(text_col)
     for block in item_blocks(benchmark):

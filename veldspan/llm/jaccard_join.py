@@ -341,6 +341,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links but gives no component id; a component of null ids only has none.  Repeated rows
     are one node.  An empty table gives an empty table; other columns are ignored.
     """
+    sets, class_of = link_classes(docs, id_col, text_col)
+    lowest = class_of.filter("label is not null").groupBy("class").agg(F.min("low").alias("component_id"))
+    node_class = class_of.join(lowest, "class", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    return (
+        sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
+        .join(node_class, "node", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    )
+
+
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows of ``all_sets``, (node, low, key, label, class) of every distinct set); label is null where nothing links."""
     spark = docs.sparkSession
     workers_find_package(spark)
     sets = materialise(all_sets(docs, id_col, text_col), "jaccard-sets")
@@ -386,14 +398,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = materialise(links.union(again), "jaccard-links")
         links = materialise(links.union(outside_links(large, links)), "jaccard-links")
     classes = connected_components(links)
-    class_of = nodes.select("node", "low").join(classes, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    lowest = class_of.filter("label is not null").groupBy("class").agg(F.min("low").alias("component_id"))
-    node_class = class_of.join(lowest, "class", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
-        .join(node_class, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    class_of = nodes.select("node", "low", "key").join(classes, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    return sets, class_of
 
 
 def outside_links(large: DataFrame, links: DataFrame) -> DataFrame:
@@ -421,21 +427,49 @@ def outside_links(large: DataFrame, links: DataFrame) -> DataFrame:
     return search(ask.union(member))
 
 
-def keep_one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of their component.
+def with_node(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``_node``, the number of the row's set of shingles; null where it has none."""
+    at = docs.columns.index(text_col)
+    out = docs.select("*", F.lit(None).cast("long").alias("_node"))
+
+    def run(batches):
+        for batch in batches:
+            numbers = []
+            for s in K.text_slices(batch.column(at)):
+                h, o = K.shingle_sets(K.words(s.data, s.offsets), s.hi - s.lo, WORDS)
+                numbers.append(pa.array(set_keys(h, o).view(np.int64), pa.int64(), mask=np.diff(o) == 0))
+            if numbers:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(numbers)], names=batch.schema.names)
 
-    Of repeated rows one stays; rows with a null id stay unless they link to a row with an id.
+    return out.mapInArrow(run, out.schema)
+
+
+def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns: one of each group of linked documents.
+
+    The row with the smallest id stays; a group of null ids only keeps one row as well.  Rows
+    alike in id and shingles count as one, any of them stays.  Rows without shingles (null,
+    empty and blank texts) link with nothing and all stay.  An empty table gives an empty table.
     """
-    components = materialise(link_components(docs, text_col=text_col), "jaccard-components")
-    kept = components.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    counted = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies")), "jaccard-kept")
-    # most documents are kept: never broadcast their ids
-    single = docs.join(counted.filter("_copies = 1 and doc_id is not null").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    other = counted.filter("_copies > 1 or doc_id is null")
-    if other.limit(1).count():
-        same = docs.join(other.filter("doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", text_col])
-        nulls = components.filter("doc_id is null")
-        if nulls.filter("component_id is null").limit(1).count():
-            same = same.unionByName(docs.filter("doc_id is null"))
-        single = single.select(*docs.columns).unionByName(same.select(*docs.columns))
+    sets, class_of = link_classes(docs, id_col, text_col)
+    sets = sets.select("doc_id", "key", "node")
+    # the first row of each component, by id with nulls last; the rest of its rows go
+    first = (
+        sets.join(class_of.select("node", "class").hint("merge"), "node")
+        .groupBy("class")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "node")).alias("first"))
+        .select("first.key", "first.node")
+    )
+    rows_of = sets.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("node").isNull()).alias("bare"))
+    state = materialise(rows_of.join(first.hint("merge"), "key", "left").select("key", "rows", "bare", "node"), "jaccard-kept")
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.md5(F.col(text_col))), F.lit("~"))
+    named = docs.withColumn("_key", key)
+    # most documents are kept: never broadcast their keys
+    single = named.join(state.filter("rows = 1 and (bare or node is not null)").select(F.col("key").alias("_key")).hint("merge"), "_key", "left_semi")
+    several = state.filter("rows > 1")
+    if several.limit(1).count():  # an id on several rows: the text tells which of them stays
+        again = with_node(named.join(several.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi").select(*docs.columns, "_key"), text_col)
+        stays = several.filter("node is not null").select(F.col("key").alias("_key"), F.col("node").alias("_node"))
+        one = again.join(stays, ["_key", "_node"], "left_semi").dropDuplicates(["_key", "_node"])
+        single = single.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(again.filter("_node is null").select(*docs.columns))
     return single.select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import arrow_schema, discard, materialise, scratch_path, shuffle_width, workers_find_package
+from .shared import arrow_schema, discard, materialise, running_before, scratch_path, shuffle_width, workers_find_package
 from .suffix_array import common_prefixes, suffix_array
 
 WINDOW = 50
@@ -376,19 +376,40 @@ def cut_texts(batches, schema: pa.Schema):
         }, schema)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int | None]:
+    """(text and a number with the order of ids, (number, id) where numbers are not ids less a shift, the shift or None without null ids).
+
+    Null ids get numbers from NULL_ID on, by a hash of their text.  Ids are numbers as they
+    are where there is no null, or none reaches NULL_ID; else they are shifted down, or where
+    they fill the whole range, ranked.
+    """
+    text, number = F.col(text_col).alias("text"), F.col(id_col).cast("long")
+    nulls, low, high = docs.agg(F.max(number.isNull()), F.min(number), F.max(number)).first()
+    hashed = F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(NULL_ID // 2))
+    if not nulls:
+        return docs.select(text, number.alias("id")), None, None
+    if high is None or high < NULL_ID:
+        return docs.select(text, F.coalesce(number, hashed).alias("id")), None, 0
+    if low >= -NULL_ID:
+        return docs.select(text, F.coalesce(number - F.lit(NULL_ID), hashed).alias("id")), None, NULL_ID
+    ids = docs.select(number.alias("own")).filter("own is not null").distinct()
+    ranks = materialise(running_before(ids, [], ["own"], F.lit(1), "id", docs.count()), "suffix-ranks")
+    met = docs.select(text, number.alias("own")).join(ranks.hint("merge"), "own", "left")
+    return met.select("text", F.coalesce("id", F.lit(NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(NULL_ID // 2))).alias("id")), ranks, 0
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is empty; texts shorter than a window lose nothing.  Rows with the same id
-    do not count as smaller than each other.  Ids are below 2**62; null ids are larger and are
+    do not count as smaller than each other.  Ids may be any long; null ids are larger than all others and are
     ordered among themselves by a hash of their text.  An empty table gives an empty table;
     other columns are ignored.
     """
     spark = docs.sparkSession
     workers_find_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(NULL_ID // 2)))
-    texts = docs.select(F.col(text_col).alias("text"), number.alias("id"))
+    texts, ranks, shift = numbered(docs, id_col, text_col)
     buckets, deals = shuffle_width(spark), 2 * shuffle_width(spark)
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = arrow_schema(ddl)
@@ -403,6 +424,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = dealt(shared.union(deal_texts(texts, deals))).mapInArrow(lambda b: send_fragments(b, buckets), ROW)
     results = materialise(found.repartitionById(buckets, F.col("deal")).mapInArrow(match_fragments, ROW), "suffix-results")
     done = dealt(results.union(deal_texts(texts, deals))).mapInArrow(lambda b: cut_texts(b, schema), ddl)
-    return done.select(
-        F.when(F.col("id") < NULL_ID, F.col("id")).cast(id_type).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
-    )
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    if ranks is not None:
+        return done.join(ranks.hint("merge"), "id", "left").select(F.col("own").cast(id_type).alias("doc_id"), *columns)
+    own = F.col("id") if shift is None else F.when(F.col("id") < NULL_ID, F.col("id") + F.lit(shift))
+    return done.select(own.cast(id_type).alias("doc_id"), *columns)
