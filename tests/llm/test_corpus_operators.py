@@ -380,6 +380,56 @@ def test_languages_held_out(spark):
     assert sum(held) >= 0.94 * len(held)
 
 
+def test_every_language_counts_whatever_the_block(spark, monkeypatch):
+    """Rules and predictions are the same with one or three languages in a block."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    both = []
+    for size in (1, 3, 256):
+        monkeypatch.setattr(quality_rules, "LANG_BLOCK", size)
+        monkeypatch.setattr(language_id, "LANG_BLOCK", size)
+        both.append([sorted(map(tuple, f(docs).collect()), key=repr) for f in (quality_rules.apply_rules, language_id.identify)])
+    assert both[0] == both[1] == both[2]
+
+
+def test_nearest_centroid_by_force(spark):
+    """Predictions equal a plain search of all centroids, with vectors made word by word."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    idf, models = language_id.fit(docs, "doc_id", "text", "lang")
+    model = {k: v for m in models for k, v in m.items()}
+    for r in language_id.identify(docs).join(docs, "doc_id").limit(40).collect():
+        gap = r"[\x00-\x40\x5b-\x60\x7b-\x7f]"  # no n-gram crosses two gaps in a row
+        text = b" \xff ".join(re.sub(gap, " ", x).lower().encode() for x in re.split(gap + "{2,}", r.text))
+        counts = np.zeros(language_id.DIM)
+        for n in language_id.NGRAMS:
+            for i in range(len(text) - n + 1):
+                gram = text[i : i + n]
+                if gram == b" " or b"\xff" in gram:
+                    continue
+                h = n * 0x1B873593
+                for j, b in enumerate(gram):
+                    h = (h ^ b) * int(language_id._MULT[j]) & 0xFFFFFFFF
+                counts[(h ^ h >> 15) % language_id.DIM] += 1
+        v = np.log1p(counts) * idf
+        best = {k: float((c @ v).max() / np.linalg.norm(v)) for k, (c, _) in model.items()}
+        assert r.score == pytest.approx(max(best.values()), abs=1e-4) and best[r.lang_pred] >= max(best.values()) - 1e-4
+
+
+def test_guard_of_common_words_changes_a_verdict(spark):
+    """A language with few common words: a short text without any is no evidence, a long one is."""
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, " ".join("the" if rng.random() < 0.05 else word() for _ in range(400)), "xx") for i in range(30)]
+    rows += [(100, " ".join(word() for _ in range(60)), None), (101, " ".join(word() for _ in range(400)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
+    assert got[100].kept and got[100].word_distance == 0
+    assert not got[101].kept and got[101].word_distance > quality_rules.MAX_WORD_DISTANCE
+
+
 def test_scores(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}
@@ -466,7 +516,8 @@ def test_a_hot_id_does_not_thin_out_its_language(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE_PER_LANG", 20)
     rows = [(i, f"some words of text {i} {i % 7}", "xx") for i in range(60)] + [(1, "the same again", "xx")] * 20_000
     rows += [(100 + i, f"andere woorden hier {i}", "yy") for i in range(60)]
-    _, model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    _, models = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    (model,) = models
     assert set(model) == {"xx", "yy"} and len(model["xx"][0]) == language_id.CLUSTERS
 
 

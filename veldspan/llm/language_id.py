@@ -3,26 +3,30 @@
 Texts become normalised TF-IDF vectors of hashed byte n-grams (one to four bytes, ASCII
 and Latin-1 letters lower-cased, other ASCII bytes as gaps between words).  Each language has several centroids, found by spherical
 k-means on a bounded sample of its training documents (SAMPLE_PER_LANG, a parameter); the
-inverse document frequencies count all training documents.  A text gets the language of
+inverse document frequencies count all training documents.  Every language is learned; a task
+holds the centroids of about LANG_BLOCK languages, and with more, texts are compared with one
+block after the other.  A text gets the language of
 the centroid with the highest cosine; ``rejected`` is true where the cosine distance is
 above that language's limit, the REJECT_QUANTILE quantile of its own sample.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import map_text, seeded_unit
+from .shared import map_text, materialise, seeded_unit
 
 DIM = 1 << 13
 NGRAMS = (1, 2, 3, 4)
 CLUSTERS = 4
 ROUNDS = 8
 SAMPLE_PER_LANG = 400
-MAX_LANGS = 500
+LANG_BLOCK = 500  # languages whose centroids are held at a time
 REJECT_QUANTILE = 0.999
 SEED = "langid-2024"
 MODULUS, HELD_OUT = 5, 0
@@ -97,8 +101,11 @@ def centroids(v: np.ndarray) -> tuple[np.ndarray, float]:
     return c, float(np.quantile(1 - (v @ c.T).max(1), REJECT_QUANTILE))
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, float]]]:
-    """(idf, lang -> (centroids, rejection distance)) from the training documents with text and lang.
+Model = dict[str, tuple[np.ndarray, float]]
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, Iterator[Model]]:
+    """(idf, blocks of lang -> (centroids, rejection distance)) from the training documents with text and lang.
 
     The sample has about SAMPLE_PER_LANG ids a language, taken by a seeded number, and one text
     of each id and language; repeated rows of an id do not lower the share of the others.
@@ -121,12 +128,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.
         df[r["i"]] = r["n"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32)
     idf = np.maximum(idf, 0.05).astype(np.float32)
-    ids = train.select("lang", "id").distinct()
-    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return idf, {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_PER_LANG / n))])
-    sample = train.filter(F.col("unit") < F.element_at(share, F.col("lang"))).groupBy("lang", "unit").agg(F.min("text").alias("text")).select("text", "lang", "unit")
+    counts = train.select("lang", "id").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "language-counts")
+    blocks = -(-counts.count() // LANG_BLOCK)
 
     def embed():
         def each(s, rest):
@@ -141,10 +145,41 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.
         c, limit = centroids(v)
         return pdf.iloc[:1][["lang"]].assign(centroids=[c.tobytes()], distance=[limit])
 
-    fitted = map_text(sample, "lang string, unit double, vector binary", embed, SLICE_ROWS).groupBy("lang").applyInPandas(
-        learn, "lang string, centroids binary, distance double"
-    )
-    return idf, {r["lang"]: (np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM), r["distance"]) for r in fitted.collect()}
+    def models():
+        for i in range(blocks):
+            here = F.pmod(F.xxhash64("lang"), F.lit(blocks)) == i
+            n = {r["lang"]: r["n"] for r in counts.filter(here).collect()}
+            share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, SAMPLE_PER_LANG / v))]) if n else None
+            if share is None:
+                continue
+            picked = train.filter(here & (F.col("unit") < F.element_at(share, F.col("lang"))))
+            sample = picked.groupBy("lang", "unit").agg(F.min("text").alias("text")).select("text", "lang", "unit")
+            fitted = map_text(sample, "lang string, unit double, vector binary", embed, SLICE_ROWS).groupBy("lang").applyInPandas(
+                learn, "lang string, centroids binary, distance double"
+            )
+            yield {r["lang"]: (np.frombuffer(r["centroids"], np.float32).reshape(-1, DIM), r["distance"]) for r in fitted.collect()}
+
+    return idf, models()
+
+
+class Centroids:
+    """The centroids of a block of languages as one matrix."""
+
+    def __init__(self, model: Model):
+        self.names = sorted(model)
+        self.matrix = np.concatenate([model[n][0] for n in self.names])
+        self.owner = np.concatenate([[i] * len(model[n][0]) for i, n in enumerate(self.names)]).astype(int)
+        self.limits = np.array([model[n][1] for n in self.names])
+
+    def compare(self, v: np.ndarray, pred: np.ndarray, score: np.ndarray, rejected: np.ndarray) -> None:
+        """Updates language, cosine and rejection of rows where this block has a nearer centroid (of equals the first name)."""
+        cosine = v @ self.matrix.T
+        best = cosine.argmax(1)
+        top = np.clip(cosine[np.arange(len(v)), best], 0, 1).astype(float)
+        name = np.array(self.names, object)[self.owner[best]]
+        better = (top > score) | ((top == score) & (name < pred))
+        pred[better], score[better] = name[better], top[better]
+        rejected[better] = (1 - top > self.limits[self.owner[best]])[better]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -155,30 +190,34 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     (empty table, no lang) every text gets ``und``.  Repeated rows give repeated results;
     other columns are ignored.
     """
-    idf, model = fit(docs, id_col, text_col, lang_col)
-    names = sorted(model)
-    matrix = np.concatenate([model[n][0] for n in names]) if names else np.zeros((0, DIM), np.float32)
-    owner = np.concatenate([[i] * len(model[n][0]) for i, n in enumerate(names)]).astype(int) if names else np.zeros(0, int)
-    limits = np.array([model[n][1] for n in names])
-    shared = docs.sparkSession.sparkContext.broadcast((idf, matrix))
-    ddl = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean"
-
-    def predict():
-        def each(s, rest):
-            idf, matrix = shared.value
-            rows = s.hi - s.lo
-            known = has_letter(s) & s.valid & (len(names) > 0)
-            pred, score = np.full(rows, UNKNOWN, object), np.zeros(rows)
-            rejected = ~known
-            if known.any():
-                cosine = vectors(term_counts(s), idf) @ matrix.T
-                best = cosine.argmax(1)
-                top = np.clip(cosine[np.arange(rows), best], 0, 1).astype(float)
-                pred[known] = np.array(names, object)[owner[best]][known]
-                score[known] = np.round(top, 6)[known]
-                rejected = ~known | (1 - top > limits[owner[best]])
-            return {"doc_id": rest[0], "held_out": rest[1], "lang_pred": pred, "score": score, "rejected": rejected}
-
-        return each, None
-
-    return map_text(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out")), ddl, predict, SLICE_ROWS)
+    spark = docs.sparkSession
+    idf, models = fit(docs, id_col, text_col, lang_col)
+    blocks = [spark.sparkContext.broadcast((idf, Centroids(m))) for m in models]
+    id_type = docs.schema[id_col].dataType.simpleString()
+    carried = "lang_pred string, score double, rejected boolean"
+
+    def task(shared, last: bool):
+        def predict():
+            def each(s, rest):
+                known = has_letter(s) & s.valid
+                pred, score, rejected = (x.to_numpy(zero_copy_only=False).copy() for x in rest[2:5])
+                if shared is not None and known.any():
+                    idf, centroids = shared.value
+                    centroids.compare(vectors(term_counts(s), idf), pred, score, rejected)
+                if not last:
+                    return {"text": rest[5], "doc_id": rest[0], "held_out": rest[1], "lang_pred": pred, "score": score, "rejected": rejected}
+                known &= shared is not None
+                pred, score = np.where(known, pred, UNKNOWN), np.where(known, np.round(score, 6), 0.0)
+                return {"doc_id": rest[0], "held_out": rest[1], "lang_pred": pred, "score": score, "rejected": rejected | ~known}
+
+            return each, None
+
+        return predict
+
+    rows = docs.select(
+        F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
+        F.lit(UNKNOWN).alias("lang_pred"), F.lit(-1.0).alias("score"), F.lit(True).alias("rejected"),
+    )
+    for shared in blocks[:-1]:
+        rows = map_text(rows.select("*", F.col("text").alias("again")), f"text string, doc_id {id_type}, held_out boolean, {carried}", task(shared, False), SLICE_ROWS)
+    return map_text(rows, f"doc_id {id_type}, held_out boolean, {carried}", task(blocks[-1] if blocks else None, True), SLICE_ROWS)

@@ -91,7 +91,8 @@ all_bins AS (SELECT doc_id, lang, q, p FROM bins UNION ALL
 word_js AS (SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 1e-12 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0), 1)) AS dw
   FROM all_bins GROUP BY doc_id, lang),
 none_js AS (SELECT lang, sqrt((1 * log2(1 / ((1 + r.q) / 2)) + r.q * log2(r.q / ((1 + r.q) / 2)) + (1 - r.q)) / 2) AS d0 FROM rest r),
-near AS (SELECT doc_id, dc, CASE WHEN n_words < 50 THEN 0 ELSE dw / d0 END AS dw FROM class_js JOIN word_js USING (doc_id, lang) JOIN none_js USING (lang) JOIN judged USING (doc_id)),
+near AS (SELECT doc_id, dc, CASE WHEN n_words * (1 - rest.q) < 5 THEN 0 ELSE dw / d0 END AS dw
+  FROM class_js JOIN word_js USING (doc_id, lang) JOIN none_js USING (lang) JOIN rest USING (lang) JOIN judged USING (doc_id)),
 best AS (SELECT doc_id, worst, dc, dw FROM (SELECT *, round(greatest(dc / 0.3, dw / 0.98), 9) AS worst FROM near) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worst, dc) = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND worst <= 1 AS kept,
   round(dc, 4) AS class_distance, round(dw, 4) AS word_distance

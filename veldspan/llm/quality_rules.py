@@ -4,32 +4,33 @@ A document that passes the base rules is compared with the reference of every la
 the Jensen-Shannon distance (base 2, square root of the divergence, 0 to 1) between its
 and the language's histograms of character classes, and of common words, the latter as
 a share of the distance of a text without any common word.  It is kept if for some
-language both are within their limits.  A guard leaves out the
-comparison of common words for documents with fewer than ``MIN_COMMON_WORDS`` words,
-where chance alone makes the histograms differ.
-
-References are learned from all documents that pass the base rules, by their ``lang``.
-A word is common if it makes up at least ``COMMON_SHARE`` of a language's words; such a
-word reaches that share in some slice of the text, so candidates found per slice miss
-none, and a second pass counts the candidates exactly.
+language both are within their limits.  A guard leaves out the comparison of common words
+for documents too short to expect ``MIN_EXPECTED`` of a language's common words, where chance
+alone makes the histograms differ.
+
+References are learned from all documents that pass the base rules, by their ``lang``, and
+cover every language.  A word is common if it makes up at least ``COMMON_SHARE`` of a
+language's words; words are counted exactly over all documents.  A task holds the references of
+about LANG_BLOCK languages; with more, texts are compared with one block after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernel as K
-from .shared import map_text
+from .shared import map_text, materialise
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 COMMON_SHARE = 0.004
 MAX_COMMON = 128
-MAX_LANGS = 256
-MIN_COMMON_WORDS = 50
+LANG_BLOCK = 256  # languages whose references are held at a time
+MIN_EXPECTED = 5
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.98  # 1 is a text without any common word
 
@@ -138,91 +139,78 @@ def _langs(column) -> tuple[list[str], np.ndarray]:
     return d.dictionary.to_pylist(), d.indices.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def language_references(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """lang -> (distribution of classes, common word hashes, their distribution with the rest last).
+References = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+WORD, CLASS, TOTAL = 0, 1, 2
 
-    What reaches the driver is bounded: MAX_LANGS languages (the largest) with MAX_COMMON words each.
-    """
-    spark = docs.sparkSession
-    cols = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
-    def candidates():
-        found: dict[tuple[str, int], int] = {}
+def language_references(docs: DataFrame, text_col: str, lang_col: str) -> Iterator[References]:
+    """Blocks of lang -> (distribution of classes, common word hashes, their distribution with the rest last)."""
+    cols = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
+    def count():
         def each(s, rest):
             base, w = base_counts(s)
             names, code = _langs(rest[0])
+            classes = class_counts(s)
             good = ~base["base_failed"] & (code >= 0)
+            out = {"lang": [], "kind": [], "key": [], "n": []}
             for i, name in enumerate(names):
-                mine = w.hash[(good & (code == i))[w.doc]]
-                if len(mine):
-                    value, count = np.unique(mine, return_counts=True)
-                    for h, c in zip(value[count >= COMMON_SHARE * len(mine)], count[count >= COMMON_SHARE * len(mine)]):
-                        found[name, int(h)] = found.get((name, int(h)), 0) + int(c)
-
-        def last():
-            if not found:
-                return None
-            return {"lang": [k[0] for k in found], "hash": np.array([k[1] for k in found], np.uint64).view(np.int64), "n": list(found.values())}
-
-        return each, last
-
-    # small slices make candidates of rare words, so each task ranks its own before a language's meet
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("hash")))
-    top = (
-        map_text(cols, "lang string, hash long, n long", candidates)
-        .groupBy("lang", "hash")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= 4 * MAX_COMMON)
-        .groupBy("lang")
-        .agg(F.collect_list(F.struct("n", "hash")).alias("top"), F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(MAX_LANGS)
-        .collect()
-    )
-    words = {r["lang"]: np.sort(np.array([x["hash"] for x in r["top"]], np.int64).view(np.uint64)) for r in top}
-    shared = spark.sparkContext.broadcast(words)
+                rows = good & (code == i)
+                if rows.any():
+                    value, n = np.unique(w.hash[rows[w.doc]], return_counts=True)
+                    kind = [WORD] * len(value) + [CLASS] * len(CLASSES) + [TOTAL]
+                    out["lang"] += [name] * len(kind)
+                    out["kind"].append(kind)
+                    out["key"] += [value.view(np.int64), np.arange(len(CLASSES)), [0]]
+                    out["n"] += [n, classes[rows].sum(0), [n.sum()]]
+            return {k: v if k == "lang" else np.concatenate(v) for k, v in out.items()} if out["lang"] else None
 
-    def totals():
-        sums: dict[str, np.ndarray] = {}
+        return each, None
 
-        def each(s, rest):
-            base, w = base_counts(s)
-            names, code = _langs(rest[0])
-            classes = class_counts(s)
-            for i, name in enumerate(names):
-                rows = ~base["base_failed"] & (code == i)
-                if name in shared.value and rows.any():
-                    mine = common_counts(w, s.hi - s.lo, shared.value[name])[rows].sum(0)
-                    add = np.concatenate([classes[rows].sum(0), mine, [base["n_words"][rows].sum()]])
-                    sums[name] = sums.get(name, 0) + add
-
-        def last():
-            if not sums:
-                return None
-            return {
-                "lang": np.concatenate([[k] * len(v) for k, v in sums.items()]),
-                "i": np.concatenate([np.arange(len(v)) for v in sums.values()]),
-                "n": np.concatenate(list(sums.values())),
-            }
-
-        return each, last
-
-    got = map_text(cols, "lang string, i int, n long", totals).groupBy("lang", "i").agg(F.sum("n").alias("n")).collect()
-    out = {}
-    for name, hashes in words.items():
-        v = np.zeros(len(CLASSES) + len(hashes) + 1)
-        for r in got:
-            if r["lang"] == name:
-                v[r["i"]] = r["n"]
-        if not v[-1]:
-            continue
-        classes, counts, n = v[: len(CLASSES)], v[len(CLASSES) : -1], v[-1]
-        keep = np.sort(np.argsort(-counts, kind="stable")[: min(MAX_COMMON, int((counts >= COMMON_SHARE * n).sum()))])
-        counts = counts[keep]
-        out[name] = (classes / classes.sum(), hashes[keep], np.append(counts, n - counts.sum()) / n)
-    return out
+    counted = map_text(cols, "lang string, kind int, key long, n long", count).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "rules-counts")
+    sizes = counted.filter(F.col("kind") == TOTAL).select("lang", F.col("n").alias("total"))
+    blocks = -(-sizes.count() // LANG_BLOCK)
+    for i in range(blocks):
+        here = F.pmod(F.xxhash64("lang"), F.lit(blocks)) == i
+        total = {r["lang"]: r["total"] for r in sizes.filter(here).collect()}
+        rows = counted.filter(here & (F.col("kind") != TOTAL)).join(F.broadcast(sizes.filter(here)), "lang")
+        found: dict[str, dict[int, list]] = {}
+        for r in rows.filter((F.col("kind") == CLASS) | (F.col("n") >= F.lit(COMMON_SHARE) * F.col("total"))).collect():
+            found.setdefault(r["lang"], {WORD: [], CLASS: []})[r["kind"]].append((r["key"], r["n"]))
+        out: References = {}
+        for name, kinds in sorted(found.items()):
+            classes = np.zeros(len(CLASSES))
+            for k, n in kinds[CLASS]:
+                classes[k] = n
+            hashes = np.array([k for k, _ in kinds[WORD]], np.int64).view(np.uint64)
+            counts = np.array([n for _, n in kinds[WORD]], float)
+            order = np.lexsort((hashes, -counts))[:MAX_COMMON]
+            order = order[np.argsort(hashes[order])]
+            counts = counts[order]
+            out[name] = (classes / classes.sum(), hashes[order], np.append(counts, total[name] - counts.sum()) / total[name])
+        yield out
+
+
+class Nearest:
+    """The language each row is nearest to so far."""
+
+    def __init__(self, worst: np.ndarray, class_d: np.ndarray, word_d: np.ndarray):
+        self.worst, self.class_d, self.word_d = worst, class_d, word_d
+
+    def compare(self, s: K.Slice, w: K.Words, references: References) -> None:
+        rows = s.hi - s.lo
+        classes, n_words = class_counts(s), np.diff(w.first)
+        for ref_class, hashes, ref_words in references.values():
+            dc = js_distance(classes, ref_class)
+            counts = common_counts(w, rows, hashes)
+            dw = js_distance(np.column_stack([counts, n_words - counts.sum(1)]), ref_words)
+            none = js_distance(np.append(np.zeros(len(hashes)), 1.0)[None], ref_words)[0]
+            dw = np.where(n_words * (1 - ref_words[-1]) < MIN_EXPECTED, 0.0, dw / max(none, 1e-9))
+            worst = np.round(np.maximum(dc / MAX_CLASS_DISTANCE, dw / MAX_WORD_DISTANCE), 9)
+            better = (worst < self.worst) | ((worst == self.worst) & (dc < self.class_d))
+            for mine, new in ((self.worst, worst), (self.class_d, dc), (self.word_d, dw)):
+                mine[better] = new[better]
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -233,32 +221,43 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     be learned (an empty table, or no document with a language) the base rules alone decide.
     Repeated rows are judged one by one; other columns are ignored.
     """
-    references = language_references(docs, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(references)
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(r) for r in language_references(docs, text_col, lang_col)]
+    id_type = docs.schema[id_col].dataType.simpleString()
     ddl = (
-        "doc_id {}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, class_distance double, word_distance double"
-    ).format(docs.schema[id_col].dataType.simpleString())
+    )
+    carried = ("worst", "class_d", "word_d")
+
+    def state(rest):
+        return Nearest(*(x.to_numpy(zero_copy_only=False).copy() for x in rest[-3:]))
+
+    def step(shared):
+        def task():
+            def each(s, rest):
+                near = state(rest)
+                near.compare(s, K.words(s.data, s.offsets, lower=False), shared.value)
+                return {"text": rest[1], "doc_id": rest[0]} | {k: getattr(near, k) for k in carried}
+
+            return each, None
+
+        return task
 
     def judge():
         def each(s, rest):
             base, w = base_counts(s)
-            rows = s.hi - s.lo
-            classes = class_counts(s)
-            best = np.full(rows, np.inf)
-            class_d, word_d = np.ones(rows), np.ones(rows)
-            for ref_class, hashes, ref_words in shared.value.values():
-                dc = js_distance(classes, ref_class)
-                counts = common_counts(w, rows, hashes)
-                dw = js_distance(np.column_stack([counts, base["n_words"] - counts.sum(1)]), ref_words)
-                none = js_distance(np.append(np.zeros(len(hashes)), 1.0)[None], ref_words)[0]
-                dw = np.where(base["n_words"] < MIN_COMMON_WORDS, 0.0, dw / max(none, 1e-9))
-                worst = np.round(np.maximum(dc / MAX_CLASS_DISTANCE, dw / MAX_WORD_DISTANCE), 9)
-                better = (worst < best) | ((worst == best) & (dc < class_d))
-                best[better], class_d[better], word_d[better] = worst[better], dc[better], dw[better]
-            near = best <= 1 if shared.value else np.ones(rows, bool)
-            return base | {"doc_id": rest[0], "kept": ~base["base_failed"] & near, "class_distance": np.round(class_d, 4), "word_distance": np.round(word_d, 4)}
+            near = state(rest)
+            if blocks:
+                near.compare(s, w, blocks[-1].value)
+            kept = ~base["base_failed"] & ((near.worst <= 1) | (not blocks))
+            return base | {"doc_id": rest[0], "kept": kept, "class_distance": np.round(near.class_d, 4), "word_distance": np.round(near.word_d, 4)}
 
         return each, None
 
-    return map_text(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), ddl, judge)
+    start = [F.lit(x).cast("double").alias(k) for k, x in zip(carried, (float("inf"), 1.0, 1.0))]
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *start)
+    for shared in blocks[:-1]:
+        rows = rows.select("text", "doc_id", F.col("text").alias("again"), *carried)
+        rows = map_text(rows, f"text string, doc_id {id_type}, worst double, class_d double, word_d double", step(shared))
+    return map_text(rows.select("text", "doc_id", *carried), ddl, judge)
