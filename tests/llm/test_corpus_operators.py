@@ -463,15 +463,123 @@ def test_unknown_words_are_spelled(spark):
     assert two.bits_per_byte * len(long) > one.bits_per_byte * len(short) + 2 * (len(long) - len(short))
 
 
-def test_fit_texts_of_all_lengths_and_one_of_each_id(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "FIT_SAMPLE", 50)
-    rows = [(i, f"text{i} " * (5 if i < 300 else 4000)) for i in range(600)] + [(7, "hot " * 5)] * 2000 + [(None, None)]
-    texts = lm_scoring.fit_texts(spark.createDataFrame(rows, "doc_id long, text string"))
-    ids = [int(t.split()[-1][4:]) for t in texts if t.startswith("text") and len(t.split()) == 5]
-    assert len(texts) == 50 and all(len(t) <= lm_scoring.FIT_CHARS for t in texts)
-    assert sum(len(t) > 8000 for t in texts) > 20  # most of the corpus is in long texts
-    assert len(set(ids)) == len(ids) and sum(t.startswith("hot") for t in texts) <= 1
-    assert ids != sorted(ids) or len(ids) < 3
+def small_model(hot=(), pairs=()):
+    import numpy as np
+
+    counts = np.array([50, 30, 20, 9, 4, 3, 3])
+    code = lm_scoring.Code(np.arange(10, 17, dtype=np.uint64), counts, 12, 40)
+    model = lm_scoring.Shared(code, np.array(hot, np.uint64), np.array(pairs, np.uint64), 4)
+    _, node, bit, _ = code.expand(np.arange(9))
+    zero = np.bincount(2 * node + bit, np.repeat([40, 12, *counts], code.size), minlength=2 * code.nodes)
+    model.tables = [lm_scoring.pack(zero), np.zeros(1 << lm_scoring.HOT_BITS[0], np.uint16), np.zeros(1 << lm_scoring.HOT_BITS[1], np.uint16)]
+    return model
+
+
+def test_counts_by_runs_equal_counts_by_force():
+    import numpy as np
+
+    model, rng = small_model(), np.random.default_rng(2)
+    one, sym = rng.integers(2, 6, 400).astype(np.uint64), rng.integers(0, 9, 400)
+    key, times = np.unique((one << np.uint64(16)) | model.code.rank[sym], return_counts=True)
+    context, symbols = key & ~np.uint64(0xFFFF), np.argsort(model.code.rank)[(key & np.uint64(0xFFFF)).astype(int)]
+    got = lm_scoring.node_states(model.code, context, symbols, times)
+    count = {}
+    token, node, bit, _ = model.code.expand(symbols)
+    for t, n, b in zip(token, node, bit):
+        count[context[t], n, b] = count.get((context[t], n, b), 0) + times[t]
+    assert got.tolist() == [count.get((context[t], n, 0), 0) * 256 + count.get((context[t], n, 1), 0) for t, n in zip(token, node)]
+
+
+@pytest.mark.parametrize("hot", [(), (2, 3)])
+def test_probabilities_of_a_context_add_up_to_one(hot):
+    """Training tokens, and one token of every symbol under seen and unseen contexts, scored in one bucket."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model, n = small_model(hot), 3000
+    one, two = rng.integers(2, 9, n), rng.integers(2, 5, n)
+    sym = np.where(rng.random(n) < 0.7, one, rng.integers(0, 9, n))
+    asked = [(a, b) for a, b in ((2, 2), (5, 3), (7, 88), (77, 2))]
+    one = np.concatenate([one, *([a] * 9 for a, _ in asked)]).astype(np.uint64)
+    two = np.concatenate([two, *([b] * 9 for _, b in asked)]).astype(np.uint64)
+    sym, training = np.concatenate([sym, np.tile(np.arange(9), 4)]), np.arange(n + 36) < n
+    log = lm_scoring.mix_tokens(model, lm_scoring.Mixer(3), one, two, sym, training.astype(np.uint8))
+    assert (10 ** log[n:]).reshape(4, 9).sum(1) == pytest.approx(np.ones(4), abs=1e-4)
+    flat = np.repeat(np.log10(np.bincount(sym[:n], minlength=9) / n)[sym[:n]].mean(), n)
+    assert log[:n].mean() > flat.mean()  # the word before tells
+    pair = lm_scoring.contexts(one[-9:], two[-9:])
+    alone = lm_scoring.score_hot_pairs(model, *(lambda m: (m, m.luts(), m.costs()))(lm_scoring.Mixer(3)), *pair, np.arange(9))
+    assert (10**alone).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_by_force(spark):
+    """Ten texts in one bucket: the score is the sum of what each token costs by counts made word by word."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(12)]
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1][:10]
+    rows = [(i, " ".join(rng.choice(vocabulary, 40, p=np.arange(12, 0, -1) / 78).tolist())) for i in ids]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    # one model of all buckets is told by what it says: the same tokens, dealt and scored here without Spark
+    from veldspan.llm import kernel
+
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    w = kernel.words(data, np.cumsum([0, *(len(t) for _, t in rows)]))
+    values, counts = np.unique(w.hash, return_counts=True)
+    frequent = counts >= lm_scoring.MIN_HEAD_COUNT
+    order = np.lexsort((values[frequent].view(np.int64), -counts[frequent]))
+    code = lm_scoring.Code(values[frequent][order], counts[frequent][order], int(counts[~frequent].sum()), 10)
+    sym, row, first = code.symbols(w, 10)
+    one, two = lm_scoring.token_ids(w, sym, first)
+    buckets = 2 * int(before)
+    least = max(2, (len(w.hash) + 10) // (lm_scoring.HOT_SHARE * buckets))
+    symbol_counts = np.bincount(sym, minlength=len(code.size))
+    hot = np.concatenate([[0], np.flatnonzero(symbol_counts[2:] >= least) + 2]).astype(np.uint64)
+    pair_count: dict = {}
+    for a, b in zip(one.tolist(), two.tolist()):
+        pair_count[a, b] = pair_count.get((a, b), 0) + 1
+    many = np.array([k for k, n in pair_count.items() if n >= least], np.uint64).reshape(-1, 2)
+    pairs = np.sort(lm_scoring.contexts(many[:, 0], many[:, 1])[1])
+    model = lm_scoring.Shared(code, hot, pairs, buckets)
+    level = model.level(one, lm_scoring.contexts(one, two)[1])
+    # counts of hot contexts, word by word
+    count: dict = {}
+    token, node, bit, depth = code.expand(sym)
+    for t, n, b in zip(token.tolist(), node.tolist(), bit.tolist()):
+        for context in ((), (one[t],), (one[t], two[t])):
+            key = (*map(int, context), "node", n)
+            count.setdefault(key, [0, 0])[b] += 1
+    hot_bits = level[token] == 2
+    assert (level == 2).any() and (level == 1).any() and (level == 0).any()
+    states = [
+        np.array([count[(*c(t), "node", n)][0] * 256 + count[(*c(t), "node", n)][1] for t, n in zip(token, node)], np.int64)
+        for c in (lambda t: (), lambda t: (int(one[t]),), lambda t: (int(one[t]), int(two[t])))
+    ]
+    assert all((s >> 8 < 256).all() and (s & 255 < 256).all() for s in states)
+    single, pair = lm_scoring.contexts(one, two)
+    model.tables = [np.zeros(code.nodes, np.uint16), *(np.zeros(1 << b, np.uint16) for b in lm_scoring.HOT_BITS)]
+    model.tables[0][node] = states[0]
+    model.tables[1][lm_scoring.slots(single, token, node, lm_scoring.HOT_BITS[0])[level[token] >= 1]] = states[1][level[token] >= 1]
+    model.tables[2][lm_scoring.slots(pair, token, node, lm_scoring.HOT_BITS[1])[hot_bits]] = states[2][hot_bits]
+    log = np.zeros(len(sym))
+    bucket = model.bucket_of(level, single, pair)
+    for b in range(buckets):
+        mine = bucket == b
+        if mine.any():
+            log[mine] = lm_scoring.mix_tokens(model, lm_scoring.Mixer(3), one[mine], two[mine], sym[mine], np.ones(mine.sum(), np.uint8))
+    mixer = lm_scoring.Mixer(3)  # learns in the order of the text, before each piece is counted: nothing is counted yet
+    some = np.flatnonzero(hot_bits)
+    empty = [model.tables[0][node[some]], np.zeros(len(some), np.uint16), np.zeros(len(some), np.uint16)]
+    mixer.learn(*lm_scoring.gated(empty, depth[some]), bit[some], np.ones(len(some)))
+    fixed = lm_scoring.Mixer(3)
+    fixed.settle(mixer.learned())
+    use = level == 2
+    log[use] = lm_scoring.score_hot_pairs(model, fixed, fixed.luts(), fixed.costs(), single[use], pair[use], sym[use])
+    expected = np.bincount(row, log)
+    assert not (sym == lm_scoring.ESCAPE).any()
+    assert [got[i] for i in ids] == pytest.approx(expected.tolist(), abs=1e-3)
 
 
 def test_share_of_new_words_is_exact():
@@ -495,7 +603,7 @@ def test_corpus_counts_pass_32_bits(spark):
     task.counts[0][3] = 3_000_000_000
     ((block, raw),) = task.rows()
     parts = spark.createDataFrame([(block, bytearray(raw))] * 3, "block int, counts binary")
-    assert lm_scoring.sum_tables(parts, [4])[0].tolist() == [0, 0, 0, 9_000_000_000, 0, 0, 0, 0]
+    assert lm_scoring.sum_tables(parts, [4])[0][0].tolist() == [0, 0, 0, 9_000_000_000, 0, 0, 0, 0]
 
 
 def test_one_id_cannot_fill_a_sample(spark, monkeypatch):

@@ -5,19 +5,24 @@ words (the head, by counts over all training documents) and the end have Huffman
 words take an escape code and are then spelled.  Each bit is predicted by several predictors, each a table of
 counts addressed by a hash of its context and the code node: no word, the word before, the
 two words before.  Their stretched probabilities are added with weights gated by how often
-the context was seen and by the node's depth, learned online; an adaptive map then refines
+the two words were seen and by the node's depth, learned online; an adaptive map then refines
 the sum.  A word after the escape is a mixture of its share among all non-head training
 tokens (exact counts) and of a letter model of the same kind, whose contexts are the one to
 four letters before; the letter model has the share of new words, the words seen once among
 all non-head training tokens.
 
+The context tables are not one broadcast model: every token goes to the bucket of the word
+before it, and each bucket counts its own contexts, so that what the predictors gather grows
+with the corpus.  A word before too many tokens (hot) is split by the two words before; the counts
+of hot words, and of pairs that are hot themselves, are in tables of a fixed size that are broadcast.
+Tokens after a hot pair are scored where they are read, by a mixer that all tasks learn in part.
+Each bucket learns the weights and the map from all its training tokens, each bit being left
+out of its own counts, some contexts at a time, and scores those contexts after it has learned from them.
+So all tokens under a context are scored by one model, whose probabilities add up to one.
+
 The score is the log10 probability over the events of the base score: training words, one
 class of all unknown words, and the end.  ``bits_per_byte`` are the bits that tell the text's
 lower-cased words, unknown ones spelled, for each byte of text.
-
-The count tables have fixed sizes, so the model that is broadcast is bounded; counting
-covers all training documents and is a sum of per-task tables.  Counts of non-head words
-are exact: words meet by hash bucket, each slice of text sending a word once.
 """
 
 from __future__ import annotations
@@ -26,29 +31,32 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import arrow_schema, map_text, materialise, seeded_unit, shuffle_width, workers_find_package
+from .shared import arrow_schema, map_text, materialise, shuffle_width, workers_find_package
 
 MODULUS, HELD_OUT = 5, 1
-FIT_SAMPLE = 750  # pieces of text that the weights are learned on
-FIT_CHARS = 16_384  # length of a piece
 DISTINCT = 1 << 20  # words a task counts before it sends them on
-SEED = "lm-2024"
 HEAD = 32_768
 MIN_HEAD_COUNT = 3
-ORDER_BITS = (20, 22)  # table sizes for one and two words of context
+HOT_BITS = (20, 18)  # table sizes for hot words and hot pairs of words
+HOT_SHARE = 4  # a context is hot if it has more than a quarter of a bucket's mean
 LETTER_BITS = 20
 LETTER_ORDERS = (1, 2, 3, 4)
 TOKENS = 1 << 16  # tokens whose bits are expanded at a time
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 8192
 BLOCK = 1 << 16
 CONFIDENCE = 8
-GATES = 8
+GATES = 16
 STEPS = 24
 FINE = 64
+BATCH = 4096
 END, ESCAPE = 0, 1
+HEADS, LOGS, TAIL, STATS = 0, 1, 2, 3
+PARTS = ("a", "b", "c", "d", "e", "f", "g")
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -102,6 +110,13 @@ class Code:
         self.words = words[order]
         self.first, self.node, self.bit = huffman(np.concatenate([[max(ends, 1), max(escapes, 1)], counts[order]]) + 1)
         self.nodes = len(self.words) + 2
+        self.size = np.diff(self.first)
+        # code words from the left of 64 bits, and their order
+        symbol = np.repeat(np.arange(len(self.size)), self.size)
+        place = np.arange(len(self.bit)) - self.first[symbol]
+        self.left = np.zeros(len(self.size), np.uint64)
+        np.bitwise_or.at(self.left, symbol, self.bit.astype(np.uint64) << (np.uint64(63) - place.astype(np.uint64)))
+        self.rank = np.argsort(np.argsort(self.left)).astype(np.uint64)
 
     def symbols(self, w: K.Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, row, first) of all tokens of a slice, ends included."""
@@ -127,23 +142,6 @@ class Code:
         return token, self.node[at], self.bit[at], depth
 
 
-def token_contexts(w: K.Words, sym: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the one and two tokens before each token; a text starts with two blanks."""
-    value = np.zeros(len(sym), np.uint64)
-    body = np.ones(len(sym), bool)
-    body[first[1:] - 1] = False
-    value[body] = w.hash
-    one, two = np.zeros(len(sym), np.uint64), np.zeros(len(sym), np.uint64)
-    one[1:] = value[:-1]
-    two[2:] = value[:-2]
-    start = first[:-1]
-    one[start] = 1
-    two[start] = 2
-    second = start[np.diff(first) > 1] + 1
-    two[second] = 1
-    return [K.mix(one * _M1), K.mix(one * _M1 + K.mix(two) * _M2)]
-
-
 def slots(context: np.ndarray, token: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     h = context[token] + node.astype(np.uint64) * _M3
     h ^= h >> np.uint64(31)
@@ -171,71 +169,112 @@ class Tables:
                 number += 1
 
 
-def sum_tables(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
-    """Adds up blocks, in 64 bits, in the tasks they meet in; the sums, of fixed size, come to the driver."""
+def sum_tables(parts: DataFrame, sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray | None]:
+    """Adds up blocks, in 64 bits, in the tasks they meet in; the sums, of fixed size, come to the driver.
+
+    Block -1 holds real numbers (what mixers have learned), which are added as such.
+    """
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = expand(raw.as_py(), np.uint32)
-                total[number] = total[number] + part if number in total else part.astype(np.uint64)
+                part = expand(raw.as_py(), np.uint32 if number >= 0 else np.float64)
+                total[number] = total[number] + part if number in total else part.astype(np.uint64 if number >= 0 else np.float64)
         for number, part in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([squeeze(part)], pa.binary())], names=["block", "counts"])
 
     out = [np.zeros(2 * n, np.uint32) for n in sizes]  # 64 bits only where a sum needs them, for the driver's memory
     where = [(i, lo) for i, c in enumerate(out) for lo in range(0, len(c), BLOCK)]
-    width = max(shuffle_width(parts.sparkSession), len(where) // 8)
+    width, learned = max(shuffle_width(parts.sparkSession), len(where) // 8), None
     for r in parts.repartition(width, "block").mapInArrow(add, "block int, counts binary").collect():
+        if r["block"] < 0:
+            learned = expand(bytes(r["counts"]), np.float64)
+            continue
         i, lo = where[r["block"]]
         part = expand(bytes(r["counts"]), np.uint64)
         if part.max() >> np.uint64(32):
             out[i] = out[i].astype(np.uint64)
         out[i][lo : lo + len(part)] = part
+    return out, learned
+
+
+def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Pairs of counts as 16 bits: zeros * 256 + ones, scaled down to 255 where larger."""
+    top = np.maximum(zeros, ones)
+    out = (np.minimum(zeros, 255) * 256 + np.minimum(ones, 255)).astype(np.uint16)
+    large = np.flatnonzero(top > 255)
+    if len(large):
+        scale = 255 / top[large]
+        out[large] = np.ceil(zeros[large] * scale).astype(np.uint16) * 256 + np.ceil(ones[large] * scale).astype(np.uint16)
     return out
 
 
-def evidence(counts: np.ndarray, minus: np.ndarray | None = None, slot: np.ndarray | None = None) -> np.ndarray:
-    """Each slot as 16 bits: stretched probability (0..255, 128 even) and confidence (0..CONFIDENCE-1).
+def pack(counts: np.ndarray) -> np.ndarray:
+    """A table of counts, packed piece by piece for the driver's memory."""
+    parts = [counts[lo : lo + 2 * BLOCK].astype(np.int64) for lo in range(0, len(counts), 2 * BLOCK)]
+    return np.concatenate([packed(x[::2], x[1::2]) for x in parts])
 
-    With ``slot`` and ``minus`` (a bit for each), the counts of those slots less the bit itself.
-    """
-    pairs = counts.reshape(-1, 2)
-    if slot is None and len(pairs) > BLOCK:  # piece by piece, for the driver's memory
-        return np.concatenate([evidence(pairs[lo : lo + BLOCK]) for lo in range(0, len(pairs), BLOCK)])
-    pairs = (pairs if slot is None else pairs[slot]).astype(np.float64)
-    if slot is not None:
-        pairs[np.arange(len(slot)), minus] = np.maximum(pairs[np.arange(len(slot)), minus] - 1, 0)
-    n = pairs.sum(1)
-    p = (pairs[:, 1] + 0.05) / (n + 0.1)
+
+def _evidence_of_states() -> np.ndarray:
+    zeros, ones = np.divmod(np.arange(1 << 16), 256)
+    n = zeros + ones
+    p = (ones + 0.05) / (n + 0.1)
     stretch = np.clip(np.round(np.log(p / (1 - p)) * 14) + 128, 0, 255)
-    sure = np.minimum(np.floor(np.log2(n + 1)), CONFIDENCE - 1)
+    sure = np.searchsorted([1, 2, 3, 5, 9, 17, 65], n, "right")
     return (sure * 256 + stretch).astype(np.uint16)
 
 
+#: Packed counts as 16 bits: confidence (0..CONFIDENCE-1) and stretched probability (0..255, 128 even).
+EVIDENCE = _evidence_of_states()
+
+
+def packed_at(counts: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Packed counts of some slots of a table of counts."""
+    pairs = counts.reshape(-1, 2)[slot].astype(np.int64)
+    return packed(pairs[:, 0], pairs[:, 1])
+
+
+def left_out(state: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Packed counts less the bit itself; scaled counts stay."""
+    mine = np.where(bit == 1, state & 255, state >> 8)
+    return state - np.where((mine > 0) & (mine < 255), np.where(bit == 1, 1, 256), 0).astype(np.uint16)
+
+
 class Mixer:
     """Gated weights and the adaptive map after them."""
 
-    def __init__(self, inputs: int, first: int):
-        """Starts from predictor ``first`` alone."""
-        self.weights = np.zeros((inputs, GATES, CONFIDENCE))
-        self.weights[first] = 1.0
+    def __init__(self, inputs: int):
+        """Starts from the mean of the predictors."""
+        self.weights = np.full((inputs, GATES, CONFIDENCE), 1.0 / inputs)
         self.bias = np.zeros(GATES)
         self.power, self.bias_power = np.full(self.weights.shape, 1e-6), np.full(GATES, 1e-6)
         self.map = np.tile(np.linspace(-8, 8, STEPS + 1), (GATES, 1))
         self.seen = np.ones((GATES, STEPS + 1))
 
+    def learned(self) -> np.ndarray:
+        """Weights, biases and map in proportion to what they have seen, so that several mixers' can be added."""
+        n = float(self.seen.sum())
+        return np.concatenate([[n], n * self.weights.reshape(-1), n * self.bias, self.seen.reshape(-1), (self.seen * self.map).reshape(-1)])
+
+    def settle(self, total: np.ndarray) -> None:
+        """Takes over the mean of several mixers."""
+        at = np.cumsum([1, self.weights.size, self.bias.size, self.map.size])
+        self.weights = (total[1 : at[1]] / total[0]).reshape(self.weights.shape)
+        self.bias = total[at[1] : at[2]] / total[0]
+        self.map = (total[at[3] : at[3] + self.map.size] / total[at[2] : at[3]]).reshape(self.map.shape)
+
     def luts(self) -> np.ndarray:
         """Weighted input by predictor, gate and evidence."""
         stretch = (np.arange(256) - 128) / 14.0
-        return (self.weights[..., None] * stretch).reshape(len(self.weights), GATES, -1).astype(np.float32)
+        return (self.weights[..., None] * stretch).reshape(len(self.weights), -1).astype(np.float32)
 
     def predict(self, inputs: list[np.ndarray], gate: np.ndarray, luts: np.ndarray | None = None):
         luts = self.luts() if luts is None else luts
         flat = gate * (CONFIDENCE * 256)
         z = self.bias.astype(np.float32)[gate]
         for i, e in enumerate(inputs):
-            z += luts[i].reshape(-1)[flat + e]
+            z += luts[i][flat + e]
         return np.clip(z, -7.99, 7.99)
 
     def costs(self) -> np.ndarray:
@@ -253,32 +292,182 @@ class Mixer:
         lo += gate * (STEPS + 1)
         return (z + flat[lo] * (1 - part) + flat[lo + 1] * part) / 2
 
-    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, batch: int = 2048, rate: float = 0.04) -> None:
-        """One pass in order: predict a batch, then move the weights and the map towards it."""
-        stretch = (np.arange(256) - 128) / 14.0
-        for lo in range(0, len(bit), batch):
-            part = slice(lo, lo + batch)
-            g, b = gate[part], bit[part]
-            z = self.predict([e[part] for e in inputs], g)
-            error = b - 1 / (1 + np.exp(-z))
-            step = np.bincount(g, error, minlength=GATES) / len(b)
+    def log_of(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, luts: np.ndarray, costs: np.ndarray) -> np.ndarray:
+        """log10 probability of each bit."""
+        z = self.predict(inputs, gate, luts)
+        place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
+        return costs[2 * place + bit]
+
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rate: float = 0.04) -> None:
+        """One pass in order: predict a batch, then move the weights and the map towards it; a bit counts ``times`` times."""
+        stretch = ((np.arange(256) - 128) / 14.0).astype(np.float32)
+        for lo in range(0, len(bit), BATCH):
+            part = slice(lo, lo + BATCH)
+            g, b, n = gate[part], bit[part], times[part]
+            some = [e[part] for e in inputs]
+            flat = g * CONFIDENCE
+            z = self.bias[g]
+            for w, e in zip(self.weights, some):
+                z += w.reshape(-1)[flat + (e >> 8)] * stretch[e & 255]
+            z = np.clip(z, -7.99, 7.99)
+            error = (b - 1 / (1 + np.exp(-z))) * n
+            total = n.sum()
+            step = np.bincount(g, error, minlength=GATES) / total
             self.bias_power += step * step
             self.bias += rate * step / np.sqrt(self.bias_power)
-            for i, e in enumerate(inputs):
-                e = e[part]
-                step = np.bincount(g * CONFIDENCE + (e >> 8), error * stretch[e & 255], minlength=GATES * CONFIDENCE).reshape(GATES, CONFIDENCE) / len(b)
+            for i, e in enumerate(some):
+                step = np.bincount(flat + (e >> 8), error * stretch[e & 255], minlength=GATES * CONFIDENCE).reshape(GATES, CONFIDENCE) / total
                 self.power[i] += step * step
                 self.weights[i] += rate * step / np.sqrt(self.power[i])
             # the adaptive map moves towards what was coded, less and less
             key = g * (STEPS + 1) + np.round((z + 8) * (STEPS / 16)).astype(np.int64)
-            ones = np.bincount(key, b, minlength=self.map.size).reshape(self.map.shape)
-            n = np.bincount(key, minlength=self.map.size).reshape(self.map.shape)
+            ones = np.bincount(key, b * n, minlength=self.map.size).reshape(self.map.shape)
+            met = np.bincount(key, n, minlength=self.map.size).reshape(self.map.shape)
             p = 1 / (1 + np.exp(-self.map))
-            p += np.where(n > 0, n / (self.seen + n + 64), 0) * (ones / np.maximum(n, 1) - p)
-            self.seen += n
+            p += np.where(met > 0, met / (self.seen + met + 64), 0) * (ones / np.maximum(met, 1) - p)
+            self.seen += met
             self.map = np.log(p / (1 - p)).clip(-12, 12)
 
 
+def token_ids(w: K.Words, sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The one and two tokens before each token: 0 before the text, a head word's symbol, or 2**32 and 32 bits of a hash."""
+    value = sym.astype(np.uint64)
+    body = np.ones(len(sym), bool)
+    body[first[1:] - 1] = False
+    tail = sym == ESCAPE
+    value[tail] = (w.hash[tail[body]] >> np.uint64(32)) | np.uint64(1 << 32)
+    one, two = np.zeros(len(sym), np.uint64), np.zeros(len(sym), np.uint64)
+    one[1:] = value[:-1]
+    two[2:] = value[:-2]
+    start = first[:-1]
+    one[start] = two[start] = 0
+    two[start[np.diff(first) > 1] + 1] = 0
+    return one, two
+
+
+def contexts(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return K.mix(one * _M1), K.mix(one * _M1 + K.mix(two + np.uint64(1)) * _M2)
+
+
+def is_in(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(found):
+        return np.zeros(len(values), bool)
+    return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
+
+
+def pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Tokens as 16-bit symbols, with the hashes of those outside the head."""
+    tail = ids >> np.uint64(32) > 0
+    return squeeze(np.where(tail, ESCAPE, ids).astype(np.uint16)), squeeze((ids[tail] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
+def unpack_ids(symbols: bytes, hashes: bytes) -> np.ndarray:
+    out = expand(symbols, np.uint16).astype(np.uint64)
+    out[out == ESCAPE] = expand(hashes, np.uint32).astype(np.uint64) | np.uint64(1 << 32)
+    return out
+
+
+class Shared:
+    """What all tasks know: the code, the hot contexts and their tables, the letter tables."""
+
+    def __init__(self, code: Code, hot_words: np.ndarray, hot_pairs: np.ndarray, buckets: int):
+        self.code, self.hot_words, self.hot_pairs, self.buckets = code, hot_words, hot_pairs, buckets
+        self.tables: list[np.ndarray] = []  # packed counts: no word, hot words, hot pairs
+        self.letters: list[np.ndarray] = []
+
+    def level(self, one: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """0, 1 where the word before is hot, 2 where both words before are."""
+        hot = is_in(one, self.hot_words)
+        return hot.astype(np.int8) + (hot & is_in(pair, self.hot_pairs))
+
+    def bucket_of(self, level: np.ndarray, single: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Tokens meet by the word before, under hot words by both; those under hot pairs (-1) stay where they are."""
+        bucket = (np.where(level == 0, single, pair) >> np.uint64(20)) % np.uint64(self.buckets)
+        return np.where(level == 2, -1, bucket.astype(np.int64))
+
+
+def node_states(code: Code, context: np.ndarray, sym: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Packed counts of every code bit under its context and node, for distinct (context, symbol) in the order of contexts and codes.
+
+    Symbols that share a node are neighbours in that order, so the counts of a depth are sums of runs.
+    """
+    size, word = code.size[sym], code.left[sym]
+    first = np.cumsum(size) - size
+    common = np.full(len(sym), -1)  # bits shared with the entry before
+    same = np.flatnonzero(context[1:] == context[:-1]) + 1
+    common[same] = 53 - np.frexp(((word[same] ^ word[same - 1]) >> np.uint64(11)).astype(np.float64))[1]
+    out = np.zeros(int(size.sum()), np.uint16)
+    active, depth = np.arange(len(sym)), 0
+    while len(active):
+        bit = (word[active] >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int64)
+        run = np.cumsum(common[active] < depth) - 1
+        n = times[active]
+        ones = np.bincount(run, n * bit)
+        zeros = np.bincount(run, n) - ones
+        out[first[active] + depth] = packed(zeros, ones)[run]
+        depth += 1
+        active = active[size[active] > depth]
+    return out
+
+
+def mix_tokens(shared: Shared, mixer: Mixer, one: np.ndarray, two: np.ndarray, sym: np.ndarray, training: np.ndarray) -> np.ndarray:
+    """log10 probability of each token of a bucket, none under a hot pair; the mixer learns on the way."""
+    single, pair = contexts(one, two)
+    level = shared.level(one, pair)
+    group = np.where(level == 0, single, pair)  # contexts whose counts are made here stay together
+    order = np.argsort(group)
+    starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    log, lo = np.zeros(len(sym)), 0
+    while lo < len(order):
+        cut = np.searchsorted(starts, lo + TOKENS)
+        hi = int(starts[cut]) if cut < len(starts) else len(order)
+        use = order[lo:hi]
+        log[use] = _mix_chunk(shared, mixer, single[use], pair[use], sym[use], training[use], level[use], 2 if lo == 0 else 1)
+        lo = hi
+    return log
+
+
+def _mix_chunk(shared: Shared, mixer: Mixer, single, pair, sym, training, level, rounds: int) -> np.ndarray:
+    """Counts, learns from, and scores tokens of which all with the same context are here."""
+    code, low = shared.code, np.uint64(0xFFFF)
+    _, at, entry = np.unique((pair & ~low) | code.rank[sym], return_index=True, return_inverse=True)
+    times = np.bincount(entry, training, minlength=len(at))
+    single, pair, sym, level = single[at], pair[at], sym[at], level[at]
+    token, node, bit, depth = code.expand(sym)
+    n, level = times[token], level[token]
+    _, at, of = np.unique((single & ~low) | code.rank[sym], return_index=True, return_inverse=True)
+    by_word = node_states(code, single[at] & ~low, sym[at], np.bincount(of, times, minlength=len(at)))
+    size = code.size[sym[at]]
+    states = [shared.tables[0][node], by_word[(np.cumsum(size) - size)[of][token] + depth], node_states(code, pair & ~low, sym, times)]
+    hot = np.flatnonzero(level == 1)
+    states[1][hot] = shared.tables[1][slots(single, token[hot], node[hot], HOT_BITS[0])]
+    known = np.flatnonzero(n > 0)
+    if len(known):
+        inputs, gate = gated([left_out(s[known], bit[known]) for s in states], depth[known])
+        for _ in range(rounds):
+            mixer.learn(inputs, gate, bit[known], n[known])
+    log = mixer.log_of(*gated(states, depth), bit, mixer.luts(), mixer.costs())
+    return np.bincount(token, log, minlength=len(sym))[entry]
+
+
+def gated(states: list[np.ndarray], depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Evidence of packed counts, and the gate: how often both words were seen, and whether the code has run for some bits."""
+    inputs = [EVIDENCE[s].astype(np.int64) for s in states]
+    return inputs, (inputs[-1] >> 8) * 2 + (depth >= 4)
+
+
+def score_hot_pairs(shared: Shared, mixer: Mixer, luts, costs, single, pair, sym) -> np.ndarray:
+    """log10 probability of tokens under hot pairs, by the broadcast tables."""
+    log = np.zeros(len(sym))
+    for lo in range(0, len(sym), TOKENS):
+        some = slice(lo, lo + TOKENS)
+        token, node, bit, depth = shared.code.expand(sym[some])
+        states = [shared.tables[0][node], *(t[slots(c[some], token, node, b)] for t, c, b in zip(shared.tables[1:], (single, pair), HOT_BITS))]
+        log[some] = np.bincount(token, mixer.log_of(*gated(states, depth), bit, luts, costs), minlength=len(sym[some]))
+    return log
+
+
 def letter_contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(bytes with a 0 after each word, hashes of letters before, place in the word)."""
     n = np.diff(first)
@@ -333,28 +522,23 @@ def new_share(once: int, tokens: int) -> float:
     return (once + 0.5) / (tokens + 1)
 
 
-def fit_texts(train: DataFrame) -> list[str]:
-    """FIT_SAMPLE pieces of texts of all lengths, in seeded order, from one text of each id.
-
-    A long text counts as pieces of FIT_CHARS characters, so that it has its share of the
-    sample and the sample is bounded.
-    """
-    long = F.length(F.coalesce("text", F.lit("")))
-    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("long") / FIT_CHARS).cast("int") - 1, F.lit(0)))
-    chosen = (
-        train.groupBy("doc_id")
-        .agg(F.max(long).alias("long"))
-        .select("doc_id", "long", F.explode(pieces).alias("piece"))
-        .withColumn("unit", seeded_unit(SEED, F.col("doc_id"), F.col("piece")))
-        .orderBy("unit", "doc_id", "piece")
-        .limit(FIT_SAMPLE)
-    )
-    chosen = train.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (long == F.col("long"))
-    found = train.alias("t").join(F.broadcast(chosen.alias("c")), same).select(
-        "unit", "piece", F.coalesce("text", F.lit("")).substr(F.col("piece") * FIT_CHARS + 1, F.lit(FIT_CHARS)).alias("text")
-    )
-    return [r["text"] for r in found.groupBy("unit", "piece").agg(F.min("text").alias("text")).orderBy("unit", "piece").collect()]
+def hot_pairs_of(w: K.Words, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word before that, count) of pairs before at least ``least`` tokens of a slice; 0 before the text."""
+    n = int(first[-1])
+    value = np.zeros(n, np.uint64)
+    body = np.ones(n, bool)
+    body[first[1:] - 1] = False
+    value[body] = w.hash
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    one[1:], two[2:] = value[:-1], value[:-2]
+    start = first[:-1]
+    one[start] = two[start] = 0
+    two[start[np.diff(first) > 1] + 1] = 0
+    h = K.mix(one * _M1 + two * _M2)
+    often = np.flatnonzero(np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=1 << 16)[(h >> np.uint64(48)).astype(np.int64)] >= least)
+    _, at, count = np.unique(h[often], return_index=True, return_counts=True)
+    at = often[at[count >= least]]
+    return one[at], two[at], count[count >= least]
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,14 +547,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts are one end token.  A document with a null id is scored and is
     training material.  Rows with the same id are scored one by one.  Training documents
     are scored with themselves among the training counts, as in the base score.  An empty
-    table gives an empty table; other columns are ignored.
+    table gives an empty table; other columns are ignored.  ``docs`` should be read from a table, so
+    that a task that runs again sees the same rows.
     """
     spark = docs.sparkSession
+    workers_find_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
     train = rows.filter(~F.col("held_out"))
     n_train = train.count()
-    # all words counted; the head are the frequent ones
+    buckets = 2 * shuffle_width(spark)
+
+    # all training words counted (the head are the frequent ones), and the pairs of words many tokens follow
     def count_words():
         held = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
@@ -379,201 +567,292 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             held[1] = np.bincount(at, np.concatenate([held[1], n]), minlength=len(held[0])).astype(np.int64)
 
         def flush():
-            out = {"hash": held[0].view(np.int64), "n": held[1]}
+            out = {"hash": held[0].view(np.int64), "before": pa.nulls(len(held[0]), pa.int64()), "n": held[1]}
             held[:] = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
             return out
 
         def each(s, rest):
-            add(*np.unique(K.words(s.data, s.offsets).hash, return_counts=True))
-            return flush() if len(held[0]) >= DISTINCT else None
+            w = K.words(s.data, s.offsets)
+            first = np.concatenate([[0], np.cumsum(np.diff(w.first) + 1)])
+            training = ~np.asarray(rest[0].to_numpy(zero_copy_only=False), bool)
+            add(*np.unique(w.hash[training[w.doc]], return_counts=True))
+            one, two, n = hot_pairs_of(w, first, max(2, int(first[-1]) // (HOT_SHARE * buckets)))
+            words = flush() if len(held[0]) >= DISTINCT else None
+            pairs = {"hash": one.view(np.int64), "before": pa.array(two.view(np.int64)), "n": n}
+            if words is None:
+                return pairs if len(n) else None
+            as_array = lambda x: x if isinstance(x, pa.Array) else pa.array(x, pa.int64())
+            return {k: pa.concat_arrays([as_array(words[k]), as_array(pairs[k])]) for k in words}
 
         return each, lambda: flush() if len(held[0]) else None
 
-    counted = materialise(map_text(train.select("text"), "hash long, n long", count_words).groupBy("hash").agg(F.sum("n").alias("n")), "lm-counts")
-    head = counted.filter(F.col("n") >= MIN_HEAD_COUNT).orderBy(F.desc("n"), "hash").limit(HEAD).toPandas()
-    everything, once = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0))).first()
+    counted = map_text(rows.select("text", "held_out"), "hash long, before long, n long", count_words).groupBy("hash", "before").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "lm-counts")
+    words_of = counted.filter("before is null")
+    head = words_of.filter(F.col("n") >= MIN_HEAD_COUNT).orderBy(F.desc("n"), "hash").limit(HEAD).select("hash", "n").toPandas()
+    everything, once, distinct = words_of.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))
+    ).first()
     words, counts = head["hash"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
     tail_total = everything - int(counts.sum())
+    train_tokens = everything + n_train
     novel = new_share(once, tail_total)
+    vocabulary = distinct + (n_train > 0)
     code = Code(words, counts, tail_total, n_train)
-    shared_code = spark.sparkContext.broadcast(code)
-    sizes = [code.nodes, *(1 << b for b in ORDER_BITS), *[1 << LETTER_BITS] * len(LETTER_ORDERS), len(code.words) + 2]
-    n_orders = 1 + len(ORDER_BITS)
-
-    # counts over all training documents
+    by_hash = np.argsort(words)
+    symbol_counts = np.concatenate([[n_train, 0], counts[by_hash]]).astype(np.int64)
+
+    # hot contexts: few, as each has more than a share of all tokens
+    least = max(2, train_tokens // (HOT_SHARE * buckets))
+    hot_words = np.concatenate([[0], np.flatnonzero(symbol_counts[2:] >= least) + 2]).astype(np.uint64)
+    pairs = counted.filter(F.col("before").isNotNull() & (F.col("n") >= least)).select("hash", "before").toPandas()
+
+    def ids_of(column: str) -> np.ndarray:
+        h = pairs[column].to_numpy(np.int64).view(np.uint64)
+        at = np.minimum(np.searchsorted(code.words, h), max(len(code.words) - 1, 0))
+        inside = code.words[at] == h if len(code.words) else np.zeros(len(h), bool)
+        return np.where(h == 0, 0, np.where(inside, at.astype(np.uint64) + np.uint64(2), (h >> np.uint64(32)) | np.uint64(1 << 32))).astype(np.uint64)
+
+    model = Shared(code, hot_words, np.sort(contexts(ids_of("hash"), ids_of("before"))[1]), buckets)
+    _, node, bit, _ = code.expand(np.arange(len(symbol_counts)))
+    each_code = np.repeat(np.concatenate([[n_train, tail_total], symbol_counts[2:]]), np.diff(code.first))
+    order_zero = np.bincount(2 * node + bit, each_code, minlength=2 * code.nodes)
+    model.tables = [pack(order_zero)]
+    first_model = spark.sparkContext.broadcast(model)
+    sizes = [*(1 << b for b in HOT_BITS), *[1 << LETTER_BITS] * len(LETTER_ORDERS)]
+
+    # counts under hot contexts, and of letters, over all training documents
     def count_bits():
-        code, tables = shared_code.value, Tables(sizes)
+        model, tables, letter_mixer, pair_mixer = first_model.value, Tables(sizes), Mixer(len(LETTER_ORDERS)), Mixer(1 + len(HOT_BITS))
+        seen = [np.zeros(0, np.uint64)]
 
         def each(s, rest):
             data = K.LOWER[s.data]
             w = K.words(data, s.offsets, lower=False)
-            sym, _, first = code.symbols(w, s.hi - s.lo)
-            tables.counts[-1] += np.bincount(2 * sym, minlength=2 * sizes[-1]).astype(np.uint32)
-            contexts = token_contexts(w, sym, first)
-            for lo in range(0, len(sym), TOKENS):
-                token, node, bit, _ = code.expand(sym[lo : lo + TOKENS])
-                tables.add(0, node, bit)
-                for i, (c, b) in enumerate(zip(contexts, ORDER_BITS)):
-                    tables.add(1 + i, slots(c[lo : lo + TOKENS], token, node, b), bit)
-            # letters: each word that is not in the head, once a slice
+            sym, _, first = model.code.symbols(w, s.hi - s.lo)
+            one, two = token_ids(w, sym, first)
+            hot = np.flatnonzero(is_in(one, model.hot_words))
+            for lo in range(0, len(hot), TOKENS):
+                some = hot[lo : lo + TOKENS]
+                single, pair = contexts(one[some], two[some])
+                use = is_in(pair, model.hot_pairs)
+                if use.any():  # coded before they are counted
+                    token, node, bit, depth = model.code.expand(sym[some][use])
+                    found = [slots(c[use], token, node, b) for c, b in zip((single, pair), HOT_BITS)]
+                    states = [model.tables[0][node], *(packed_at(tables.counts[i], slot) for i, slot in enumerate(found))]
+                    pair_mixer.learn(*gated(states, depth), bit, np.ones(len(bit)))
+                for i, (context, mine) in enumerate(((single, sym[some]), (pair[use], sym[some][use]))):
+                    token, node, bit, _ = model.code.expand(mine)
+                    tables.add(i, slots(context, token, node, HOT_BITS[i]), bit)
+            # letters: each word that is not in the head, once a task; coded before it is counted
             at = tail_words(w, sym, first)
+            at = at[~is_in(w.hash[at], seen[0])]
+            seen[0] = np.union1d(seen[0] if len(seen[0]) < DISTINCT else seen[0][:0], w.hash[at])
             for lo in range(0, len(at), TOKENS // 8):
                 some = at[lo : lo + TOKENS // 8]
                 letters, spans = gather_spans(data, w.start[some], w.end[some])
-                for _, found, lbit, _ in letter_bits(letters, spans):
+                for _, found, lbit, gate in letter_bits(letters, spans):
+                    states = [packed_at(tables.counts[len(HOT_BITS) + i], slot) for i, slot in enumerate(found)]
+                    letter_mixer.learn([EVIDENCE[x].astype(np.int64) for x in states], gate, lbit, np.ones(len(lbit)))
                     for i, slot in enumerate(found):
-                        tables.add(n_orders + i, slot, lbit)
+                        tables.add(len(HOT_BITS) + i, slot, lbit)
 
         def last():
-            parts = list(tables.rows())
-            return {"block": [p[0] for p in parts], "counts": [p[1] for p in parts]} if parts else None
+            parts = [*tables.rows(), (-1, squeeze(np.concatenate([letter_mixer.learned(), pair_mixer.learned()])))]
+            return {"block": [p[0] for p in parts], "counts": [p[1] for p in parts]}
 
         return each, last
 
-    tables = sum_tables(map_text(train.select("text"), "block int, counts binary", count_bits), sizes)
-    symbol_counts = tables[-1][::2].astype(np.int64)
-    train_tokens = int(symbol_counts.sum())
-
-    # mixing weights, learned online on a sample with each bit left out of its own counts
-    mixer, letter_mixer = Mixer(n_orders, 0), Mixer(len(LETTER_ORDERS), 1)
-    texts = fit_texts(train)
-    for piece in K.text_slices(pa.array(texts, pa.string())):
-        data = K.LOWER[piece.data]
-        w = K.words(data, piece.offsets, lower=False)
-        sym, _, first = code.symbols(w, piece.hi - piece.lo)
-        token, node, bit, depth = code.expand(sym)
-        found = [node, *(slots(c, token, node, b) for c, b in zip(token_contexts(w, sym, first), ORDER_BITS))]
-        mixer.learn([evidence(t, bit, slot) for t, slot in zip(tables, found)], np.minimum(depth, GATES - 1), bit)
-        at = tail_words(w, sym, first)
-        letters, spans = gather_spans(data, w.start[at], w.end[at])
-        for _, found, lbit, gate in letter_bits(letters, spans):
-            letter_mixer.learn([evidence(t, lbit, slot) for t, slot in zip(tables[n_orders:-1], found)], gate, lbit)
-    letter_model = spark.sparkContext.broadcast(([evidence(t) for t in tables[n_orders:-1]], letter_mixer))
-    model = spark.sparkContext.broadcast(([evidence(t) for t in tables[:n_orders]], mixer, symbol_counts))
-    del tables
-
-    # score: bits of the head and the escape here, other words by bucket
-    buckets = 4 * shuffle_width(spark)
-    workers_find_package(spark)
-    head_ddl = f"row string, doc_id {id_type}, held_out boolean, n_tokens long, n_head long, head_log double, head_base_log double, n_bytes long"
-    ddl = f"bucket int, {head_ddl}, words binary, sizes binary, used binary, rows binary, times binary, training binary"
-    schema = arrow_schema(ddl)
-
-    def score(batches):
-        import uuid
-
-        code, (tables, mixer, symbol_counts) = shared_code.value, model.value
+    tables, learned = sum_tables(map_text(train.select("text"), "block int, counts binary", count_bits), sizes)
+    letter_mixer, pair_mixer = Mixer(len(LETTER_ORDERS)), Mixer(1 + len(HOT_BITS))
+    if learned is not None:
+        letter_mixer.settle(learned)
+        pair_mixer.settle(learned[len(letter_mixer.learned()) :])
+    packed = []
+    while tables:
+        packed.append(pack(tables.pop(0)))
+    model.tables, model.letters = [*model.tables, *packed[: len(HOT_BITS)]], packed[len(HOT_BITS) :]
+    whole = spark.sparkContext.broadcast((model, letter_mixer, pair_mixer))
+    del packed, model
+
+    # tokens go to the bucket of their context, other words besides to their own
+    row_ddl = f"bucket int, tag long, kind int, {', '.join(f'{p} binary' for p in PARTS)}, ids array<{id_type}>"
+    row_schema = arrow_schema(row_ddl)
+    id_arrow = row_schema.field("ids").type.value_type
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        """Rows of (bucket, tag, kind, parts, ids)."""
+        ids = [r[4] for r in rows]
+        given = [i.cast(id_arrow) for i in ids if i is not None]
+        offsets = np.cumsum([0] + [0 if i is None else len(i) for i in ids])
+        values = pa.concat_arrays(given) if given else pa.nulls(0, id_arrow)
+        arrays = [pa.array([r[k] for r in rows], row_schema.field(k).type) for k in range(3)]
+        arrays += [pa.array([r[3][k] if k < len(r[3]) else None for r in rows], pa.binary()) for k in range(len(PARTS))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(row_schema.field("ids").type)], schema=row_schema)
+
+    def deal(batches):
+        model, _, mixer = whole.value
         luts, costs = mixer.luts(), mixer.costs()
         base_log = np.log10(symbol_counts + 0.5)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for s in K.text_slices(batch.column(0), limit=1 << 20):
+            for s in K.text_slices(batch.column(0), SLICE_BYTES, SLICE_ROWS):
+                tag, number = number, number + 1
                 n_rows = s.hi - s.lo
                 data = K.LOWER[s.data]
                 w = K.words(data, s.offsets, lower=False)
-                sym, row, first = code.symbols(w, n_rows)
-                contexts, log = token_contexts(w, sym, first), np.zeros(n_rows)
-                for lo in range(0, len(sym), TOKENS):
-                    token, node, bit, depth = code.expand(sym[lo : lo + TOKENS])
-                    gate = np.minimum(depth, GATES - 1)
-                    inputs = [tables[0][node], *(t[slots(c[lo : lo + TOKENS], token, node, b)] for t, c, b in zip(tables[1:], contexts, ORDER_BITS))]
-                    z = mixer.predict(inputs, gate, luts)
-                    place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
-                    log += np.bincount(row[lo : lo + TOKENS][token], costs[2 * place + bit], minlength=n_rows)
-                known = sym != ESCAPE
-                tag = uuid.uuid4().hex
-                ids, held = batch.column(1).slice(s.lo, n_rows), batch.column(2).slice(s.lo, n_rows)
-                none = pa.nulls(n_rows, pa.binary())
-                yield K.table({
-                    "bucket": np.full(n_rows, -1), "row": [f"{tag}{i}" for i in range(n_rows)], "doc_id": ids, "held_out": held,
-                    "n_tokens": np.diff(first), "n_head": np.bincount(row[known & (symbol_counts[sym] > 0)], minlength=n_rows), "head_log": log,
-                    "head_base_log": np.bincount(row[known], base_log[sym[known]], minlength=n_rows), "n_bytes": np.diff(s.offsets),
-                    "words": none, "sizes": none, "used": none, "rows": none, "times": none, "training": none,
-                }, schema)
-                # every other word once, with the rows that use it
-                body = np.delete(sym, first[1:] - 1)
-                at = np.flatnonzero(body == ESCAPE)
-                if not len(at):
-                    continue
-                bucket = (w.hash[at] >> np.uint64(20)) % np.uint64(buckets)
-                order = np.lexsort((w.doc[at], w.hash[at], bucket))
-                at, bucket = at[order], bucket[order]
-                h, d = w.hash[at], w.doc[at]
-                pair = np.ones(len(at), bool)
-                pair[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                pair_at = np.flatnonzero(pair)
-                times = np.diff(np.append(pair_at, len(at)))
-                ph, pd_, pb = h[pair_at], d[pair_at], bucket[pair_at]
-                new = np.ones(len(ph), bool)
-                new[1:] = ph[1:] != ph[:-1]
-                word_at = np.flatnonzero(new)
-                used = np.diff(np.append(word_at, len(ph)))
-                training = ~np.asarray(held.to_numpy(zero_copy_only=False), bool)
-                letters, spans = gather_spans(data, w.start[at[pair_at[word_at]]], w.end[at[pair_at[word_at]]])
-                wb = pb[word_at]
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(wb.astype(np.int64))) + 1, [len(wb)]])
-                pair_cut = np.append(word_at, len(ph))[cut]
-                empty = pa.nulls(len(cut) - 1, pa.int64())
-                yield K.table({
-                    "bucket": wb[cut[:-1]].astype(np.int64), "row": [tag] * (len(cut) - 1), "doc_id": pa.nulls(len(cut) - 1, schema.field("doc_id").type),
-                    "held_out": pa.nulls(len(cut) - 1, pa.bool_()), "n_tokens": empty, "n_head": empty, "n_bytes": empty,
-                    "head_log": pa.nulls(len(cut) - 1, pa.float64()), "head_base_log": pa.nulls(len(cut) - 1, pa.float64()),
-                    "words": K.packed(letters, spans[cut]), "sizes": [squeeze(np.diff(spans)[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])],
-                    "used": [squeeze(used[a:b].astype(np.int32)) for a, b in zip(cut, cut[1:])],
-                    "rows": K.packed(pd_.astype(np.int16), pair_cut),
-                    "times": [squeeze(times[a:b].astype(np.int32)) for a, b in zip(pair_cut, pair_cut[1:])],
-                    "training": [squeeze(training[pd_[a:b]]) for a, b in zip(pair_cut, pair_cut[1:])],
-                }, schema)
-
-    scored = materialise(rows.mapInArrow(score, ddl), "lm-words")
-    heads = scored.filter("bucket < 0").select("row", *[c.split()[0] for c in head_ddl.split(", ")[1:]])
-    parts = scored.filter("bucket >= 0").select("bucket", "row", "words", "sizes", "used", "rows", "times", "training")
-
-    out_ddl = "row string, base_log double, log double, text_log double, known long, unknown long, distinct long, spelled double"
+                sym, row, first = model.code.symbols(w, n_rows)
+                training = ~np.asarray(batch.column(2).slice(s.lo, n_rows).to_numpy(zero_copy_only=False), bool)
+                inside = sym != ESCAPE
+                known = inside & (symbol_counts[sym] > 0)
+                numbers = np.stack([np.diff(first), np.bincount(row[known], minlength=n_rows), np.diff(s.offsets)])
+                base = np.bincount(row[inside], base_log[sym[inside]], minlength=n_rows)
+                one, two = token_ids(w, sym, first)
+                single, pair = contexts(one, two)
+                level = model.level(one, pair)
+                hot = np.flatnonzero(level == 2)
+                hot_log = np.bincount(row[hot], score_hot_pairs(model, mixer, luts, costs, single[hot], pair[hot], sym[hot]), minlength=n_rows)
+                heads = (squeeze(numbers), squeeze(base), squeeze(~training), squeeze(hot_log))
+                out = [((tag * 40503 >> 12) % model.buckets, tag, HEADS, heads, batch.column(1).slice(s.lo, n_rows))]
+                bucket = model.bucket_of(level, single, pair)
+                order = np.argsort(bucket.astype(np.int16 if model.buckets < 1 << 15 else np.int64), kind="stable")[len(hot) :]
+                one, two, sym16, row16 = one[order], two[order], sym[order].astype(np.uint16), row[order].astype(np.uint16)
+                for b, part in by_part(bucket[order]):
+                    parts = (squeeze(np.diff(row16[part], prepend=np.uint16(0))), squeeze(sym16[part]), squeeze(np.packbits(training[row16[part]])), *pack_ids(one[part]), *pack_ids(two[part]))
+                    out.append((b, tag, LOGS, parts, None))
+                yield batch_of(out + [(b, tag, TAIL, parts, None) for b, parts in tail_messages(w, data, np.delete(sym, first[1:] - 1), training, model.buckets)])
+
+    def answer(batches):
+        model, letter_mixer, _ = whole.value
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(3 + len(PARTS))]
+            for i, (b, tag, kind) in enumerate(zip(*cols[:3])):
+                if kind == HEADS:
+                    yield batch.slice(i, 1)
+                else:
+                    held.setdefault((kind, b), []).append((tag, [c[i] for c in cols[3:]]))
+        for kind, b in sorted(held):
+            group = held.pop((kind, b))
+            out = answer_tokens(group, model) if kind == LOGS else answer_words(group, model.letters, letter_mixer, tail_total, novel)
+            yield batch_of([(b, tag, k, parts, None) for tag, k, parts in out])
+
+    out_ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, n_unknown long, n_bytes long, base_log double, log double, text_log double, spelled double"
     out_schema = arrow_schema(out_ddl)
 
-    def tail(batches):
-        tables, mixer = letter_model.value
-        luts, costs = mixer.luts(), mixer.costs()
-        held: dict[int, list] = {}
+    def gather(batches):
+        """Adds up what the buckets say about the rows of each slice; rows come sorted by slice, heads first."""
+        now, head, sums = None, None, None
+
+        def done():
+            (tokens, known, n_bytes), base, held, ids = head
+            return K.table({
+                "doc_id": ids, "held_out": held, "n_tokens": tokens, "n_known": known + np.round(sums[3]).astype(np.int64), "n_unknown": np.round(sums[4]).astype(np.int64),
+                "n_bytes": n_bytes, "base_log": base + sums[0], "log": sums[1], "text_log": sums[2] + sums[1], "spelled": pa.nulls(len(base), pa.float64()),
+            }, out_schema)
+
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for b, tag, *raw in zip(*cols):
-                held.setdefault(b, []).append((tag, raw))
-        for group in held.values():
-            yield _tail_bucket(group, tables, mixer, luts, costs, tail_total, novel, out_schema)
-
-    logs = parts.repartition(buckets, "bucket").mapInArrow(tail, out_ddl)
-    logs = materialise(logs, "lm-tail")
-    distinct, spelled = logs.filter("distinct is not null").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("spelled"), F.lit(0.0))).first()
+            cols = [batch.column(i).to_pylist() for i in range(1, 3 + len(PARTS))]
+            for i, (tag, kind) in enumerate(zip(*cols[:2])):
+                parts = [c[i] for c in cols[2:]]
+                if kind == STATS:
+                    none = {f.name: pa.nulls(1, f.type) for f in out_schema}
+                    yield K.table(none | {"spelled": expand(parts[0], np.float64)}, out_schema)
+                    continue
+                if kind == HEADS:
+                    if head is not None:
+                        yield done()
+                    now, head = tag, (expand(parts[0], np.int64).reshape(3, -1), expand(parts[1], np.float64), expand(parts[2], bool), batch.column(3 + len(PARTS))[i].values)
+                    sums = np.zeros((5, len(head[1])))
+                    sums[1] = expand(parts[3], np.float64)
+                    continue
+                if tag != now:
+                    raise RuntimeError("a slice of documents changed while it was scored; read docs from a table")
+                rows = expand(parts[0], np.uint16)
+                if kind == LOGS:
+                    sums[1][rows] += expand(parts[1], np.float32)
+                else:
+                    for j, dtype in enumerate((np.float64, np.float32, np.float32, np.int32, np.int32)):
+                        sums[j][rows] += expand(parts[1 + j], dtype)
+        if head is not None:
+            yield done()
+
+    dealt = rows.mapInArrow(deal, row_ddl).repartitionById(buckets, F.col("bucket")).mapInArrow(answer, row_ddl)
+    slices = dealt.repartition(shuffle_width(spark), "tag").sortWithinPartitions("tag", "kind")
+    scored = materialise(slices.mapInArrow(gather, out_ddl), "lm-scores")
+    spelled = scored.agg(F.coalesce(F.sum("spelled"), F.lit(0.0))).first()[0]
     # what the letter model gives to training words is not left for the class of unknown words
     unknown = float(np.log10(max(1 - spelled, 1e-9)))
-    vocabulary = int(distinct) + int((np.delete(symbol_counts, ESCAPE) > 0).sum())
-    per_row = logs.filter("distinct is null").groupBy("row").agg(F.sum("base_log").alias("base_log"), F.sum("log").alias("log"), F.sum("text_log").alias("text_log"), F.sum("known").alias("known"), F.sum("unknown").alias("unknown"))
     scale = float(np.log10(train_tokens + 0.5 * (vocabulary + 1)))
-    total = heads.join(per_row, "row", "left")
-    known = F.col("n_head") + F.coalesce("known", F.lit(0))
-    text_value = F.col("head_log") + F.coalesce("text_log", F.lit(0.0))
-    return total.select(
+    return scored.filter("n_tokens is not null").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        known.alias("n_known"),
+        "n_known",
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base_log") + F.coalesce("base_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        (F.col("head_log") + F.coalesce("log", F.lit(0.0)) + F.coalesce("unknown", F.lit(0)) * F.lit(unknown)).alias("score"),
-        (-text_value / F.lit(float(np.log10(2))) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
+        (F.col("base_log") - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
+        (F.col("log") + F.col("n_unknown") * F.lit(unknown)).alias("score"),
+        (-F.col("text_log") / F.lit(float(np.log10(2))) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
 
 
-def _tail_bucket(group: list, tables: list, mixer: Mixer, luts: np.ndarray, costs: np.ndarray, tail_total: int, novel: float, schema: pa.Schema) -> pa.RecordBatch:
-    """Counts and spells the words of one bucket and gives each row its words' logarithms."""
-    letters = np.frombuffer(b"".join(r[0] for _, r in group), np.uint8)
-    first = np.concatenate([[0], np.cumsum(np.concatenate([expand(r[1], np.int32) for _, r in group]), dtype=np.int64)])
-    used = np.concatenate([expand(r[2], np.int32) for _, r in group])
-    row = np.frombuffer(b"".join(r[3] for _, r in group), np.int16)
-    times = np.concatenate([expand(r[4], np.int32) for _, r in group]).astype(np.int64)
-    training = np.concatenate([expand(r[5], bool) for _, r in group])
-    part = np.repeat(np.arange(len(group)), [len(r[3]) // 2 for _, r in group])
+def by_part(part: np.ndarray):
+    """Slices of equal values of a sorted array."""
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+    return [(int(part[a]), slice(int(a), int(b))) for a, b in zip(cut, cut[1:])]
+
+
+def tail_messages(w: K.Words, data: np.ndarray, body: np.ndarray, training: np.ndarray, buckets: int):
+    """(bucket, letters, sizes, rows a word, rows, times, training) of the words outside the head: each word once, with its rows."""
+    at = np.flatnonzero(body == ESCAPE)
+    bucket = ((w.hash[at] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((w.hash[at], bucket))  # rows stay in order
+    at, bucket = at[order], bucket[order]
+    h, d = w.hash[at], w.doc[at]
+    pair = np.ones(len(at), bool)
+    pair[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    pair_at = np.flatnonzero(pair)
+    times = np.diff(np.append(pair_at, len(at)))
+    ph, pd_, pb = h[pair_at], d[pair_at], bucket[pair_at]
+    new = np.ones(len(ph), bool)
+    new[1:] = ph[1:] != ph[:-1]
+    word_at = np.flatnonzero(new)
+    used = np.diff(np.append(word_at, len(ph)))
+    letters, spans = gather_spans(data, w.start[at[pair_at[word_at]]], w.end[at[pair_at[word_at]]])
+    ends = np.append(word_at, len(ph))
+    for b, s in by_part(pb[word_at]):
+        p = slice(int(ends[s.start]), int(ends[s.stop]))
+        yield b, (
+            squeeze(letters[spans[s.start] : spans[s.stop]]), squeeze(np.diff(spans)[s].astype(np.int32)), squeeze(used[s].astype(np.int32)),
+            squeeze(pd_[p].astype(np.uint16)), squeeze(times[p].astype(np.int32)), squeeze(training[pd_[p]]),
+        )
+
+
+def answer_tokens(group: list, model: Shared):
+    """(tag, LOGS, rows and their logarithms) for the messages of a bucket."""
+    rows = [np.cumsum(expand(m[0], np.uint16), dtype=np.uint16) for _, m in group]
+    sizes = [len(r) for r in rows]
+    sym = np.concatenate([expand(m[1], np.uint16) for _, m in group]).astype(np.int64)
+    training = np.concatenate([np.unpackbits(expand(m[2], np.uint8), count=n) for n, (_, m) in zip(sizes, group)])
+    one = np.concatenate([unpack_ids(m[3], m[4]) for _, m in group])
+    two = np.concatenate([unpack_ids(m[5], m[6]) for _, m in group])
+    log = mix_tokens(model, Mixer(3), one, two, sym, training)
+    at = 0
+    for (tag, _), row in zip(group, rows):
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        yield tag, LOGS, (squeeze(row[start]), squeeze(np.add.reduceat(log[at : at + len(row)], start).astype(np.float32)))
+        at += len(row)
+
+
+def answer_words(group: list, tables: list[np.ndarray], mixer: Mixer, tail_total: int, novel: float):
+    """(tag, TAIL, rows and sums) for the messages of a bucket, whose words are counted and spelled here."""
+    luts, costs = mixer.luts(), mixer.costs()
+    letters = np.concatenate([expand(m[0], np.uint8) for _, m in group])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([expand(m[1], np.int32) for _, m in group]), dtype=np.int64)])
+    used = np.concatenate([expand(m[2], np.int32) for _, m in group])
+    rows = [expand(m[3], np.uint16) for _, m in group]
+    times = np.concatenate([expand(m[4], np.int32) for _, m in group]).astype(np.int64)
+    training = np.concatenate([expand(m[5], bool) for _, m in group])
     # in pieces: the sums behind a hash are as long as the letters
     hashes = [np.zeros(0, np.uint64)]
     for lo in range(0, len(first) - 1, TOKENS):
@@ -587,26 +866,19 @@ def _tail_bucket(group: list, tables: list, mixer: Mixer, luts: np.ndarray, cost
         some = where[lo : lo + TOKENS // 8]
         data, spans = gather_spans(letters, first[some], first[some + 1])
         for at, found, bit, gate in letter_bits(data, spans):
-            z = mixer.predict([t[f] for t, f in zip(tables, found)], gate, luts)
-            place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
-            spell[lo : lo + len(some)] += np.bincount(at, costs[2 * place + bit], minlength=len(some))
+            log = mixer.log_of([EVIDENCE[t[f]].astype(np.int64) for t, f in zip(tables, found)], gate, bit, luts, costs)
+            spell[lo : lo + len(some)] += np.bincount(at, log, minlength=len(some))
     seen = count > 0
     share = (1 - novel) * count / max(tail_total, 1)
     # over all strings, new words spelled; in the score all unknown words are one class
     text_log = np.where(seen, np.log10(np.where(seen, share, 1) + novel * 10.0 ** np.maximum(spell, -300)), spell + np.log10(novel))
     log = np.where(seen, text_log, np.log10(novel))
-    key = part * 65536 + row
-    rows, at = np.unique(key, return_inverse=True)
-    tags = [group[p][0] for p in range(len(group))]
-    n = len(rows)
-    out = {
-        "row": [f"{tags[k >> 16]}{k & 65535}" for k in rows.tolist()] + [""],
-        "base_log": np.append(np.bincount(at, times * np.log10(count + 0.5)[of], minlength=n), 0),
-        "log": np.append(np.bincount(at, times * log[of], minlength=n), 0),
-        "text_log": np.append(np.bincount(at, times * text_log[of], minlength=n), 0),
-        "known": np.append(np.bincount(at, times * seen[of], minlength=n), 0).astype(np.int64),
-        "unknown": np.append(np.bincount(at, times * ~seen[of], minlength=n), 0).astype(np.int64),
-        "distinct": pa.array([None] * n + [int(seen.sum())], pa.int64()),
-        "spelled": pa.array([None] * n + [float((10.0 ** spell[seen]).sum())], pa.float64()),
-    }
-    return K.table(out, schema)
+    values = (np.log10(count + 0.5), log, text_log - log, seen.astype(float), (~seen).astype(float))
+    at = 0
+    for (tag, _), row in zip(group, rows):
+        mine, n = of[at : at + len(row)], times[at : at + len(row)]
+        there, inverse = np.unique(row, return_inverse=True)
+        sums = [np.bincount(inverse, n * v[mine], minlength=len(there)) for v in values]
+        yield tag, TAIL, (squeeze(there), *(squeeze(x.astype(t)) for x, t in zip(sums, (np.float64, np.float32, np.float32, np.int32, np.int32))))
+        at += len(row)
+    yield -1, STATS, (squeeze(np.array([(10.0 ** spell[seen]).sum()])),)
