@@ -46,7 +46,7 @@ HOT_BITS = (20, 18)  # table sizes for hot words and hot pairs of words
 HOT_SHARE = 4  # a context is hot if it has more than a quarter of a bucket's mean
 LETTER_BITS = 20
 LETTER_ORDERS = (1, 2, 3, 4)
-TOKENS = 1 << 16  # tokens whose bits are expanded at a time
+TOKENS, LETTERS = 1 << 14, 1 << 13  # tokens and letters whose bits are expanded at a time: they fit a processor's cache
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 8192
 BLOCK = 1 << 16
 CONFIDENCE = 8
@@ -212,8 +212,14 @@ def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def pack(counts: np.ndarray) -> np.ndarray:
     """A table of counts, packed piece by piece for the driver's memory."""
-    parts = [counts[lo : lo + 2 * BLOCK].astype(np.int64) for lo in range(0, len(counts), 2 * BLOCK)]
-    return np.concatenate([packed(x[::2], x[1::2]) for x in parts])
+    out = np.empty(len(counts) // 2, np.uint16)
+    for lo in range(0, len(out), BLOCK):
+        x = counts[2 * lo : 2 * lo + 2 * BLOCK].reshape(-1, 2)
+        out[lo : lo + BLOCK] = x[:, 0] * x.dtype.type(256) + x[:, 1]
+        large = np.flatnonzero((x > 255).any(1))
+        if len(large):
+            out[lo + large] = packed(*x[large].astype(np.int64).T)
+    return out
 
 
 def _evidence_of_states() -> np.ndarray:
@@ -227,12 +233,7 @@ def _evidence_of_states() -> np.ndarray:
 
 #: Packed counts as 16 bits: confidence (0..CONFIDENCE-1) and stretched probability (0..255, 128 even).
 EVIDENCE = _evidence_of_states()
-
-
-def packed_at(counts: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Packed counts of some slots of a table of counts."""
-    pairs = counts.reshape(-1, 2)[slot].astype(np.int64)
-    return packed(pairs[:, 0], pairs[:, 1])
+SURE, STRETCH = np.arange(CONFIDENCE * 256) >> 8, (((np.arange(CONFIDENCE * 256) & 255) - 128) / 14.0).astype(np.float32)
 
 
 def left_out(state: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -300,27 +301,26 @@ class Mixer:
 
     def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rate: float = 0.04) -> None:
         """One pass in order: predict a batch, then move the weights and the map towards it; a bit counts ``times`` times."""
-        stretch = ((np.arange(256) - 128) / 14.0).astype(np.float32)
         for lo in range(0, len(bit), BATCH):
             part = slice(lo, lo + BATCH)
             g, b, n = gate[part], bit[part], times[part]
-            some = [e[part] for e in inputs]
-            flat = g * CONFIDENCE
-            z = self.bias[g]
-            for w, e in zip(self.weights, some):
-                z += w.reshape(-1)[flat + (e >> 8)] * stretch[e & 255]
-            z = np.clip(z, -7.99, 7.99)
-            error = (b - 1 / (1 + np.exp(-z))) * n
+            flat, z, used = g * CONFIDENCE, self.bias.astype(np.float32)[g], []
+            for w, e in zip(self.weights.astype(np.float32), inputs):
+                key, x = flat + SURE[e[part]], STRETCH[e[part]]
+                used.append((key, x))
+                z += w.reshape(-1)[key] * x
+            z = np.clip(z, np.float32(-7.99), np.float32(7.99))
+            error = (b.astype(np.float32) - 1 / (1 + np.exp(-z))) * n.astype(np.float32)
             total = n.sum()
             step = np.bincount(g, error, minlength=GATES) / total
             self.bias_power += step * step
             self.bias += rate * step / np.sqrt(self.bias_power)
-            for i, e in enumerate(some):
-                step = np.bincount(flat + (e >> 8), error * stretch[e & 255], minlength=GATES * CONFIDENCE).reshape(GATES, CONFIDENCE) / total
+            for i, (key, x) in enumerate(used):
+                step = np.bincount(key, error * x, minlength=GATES * CONFIDENCE).reshape(GATES, CONFIDENCE) / total
                 self.power[i] += step * step
                 self.weights[i] += rate * step / np.sqrt(self.power[i])
             # the adaptive map moves towards what was coded, less and less
-            key = g * (STEPS + 1) + np.round((z + 8) * (STEPS / 16)).astype(np.int64)
+            key = g * (STEPS + 1) + ((z + np.float32(8)) * np.float32(STEPS / 16) + np.float32(0.5)).astype(np.int64)
             ones = np.bincount(key, b * n, minlength=self.map.size).reshape(self.map.shape)
             met = np.bincount(key, n, minlength=self.map.size).reshape(self.map.shape)
             p = 1 / (1 + np.exp(-self.map))
@@ -453,8 +453,8 @@ def _mix_chunk(shared: Shared, mixer: Mixer, single, pair, sym, training, level,
 
 def gated(states: list[np.ndarray], depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Evidence of packed counts, and the gate: how often both words were seen, and whether the code has run for some bits."""
-    inputs = [EVIDENCE[s].astype(np.int64) for s in states]
-    return inputs, (inputs[-1] >> 8) * 2 + (depth >= 4)
+    inputs = [EVIDENCE[s] for s in states]
+    return inputs, SURE[inputs[-1]] * 2 + (depth >= 4)
 
 
 def score_hot_pairs(shared: Shared, mixer: Mixer, luts, costs, single, pair, sym) -> np.ndarray:
@@ -493,8 +493,8 @@ def letter_bits(data: np.ndarray, first: np.ndarray):
     """(word, slots by order, bit, gate) of the eight bits of every letter and word end, some letters at a time."""
     out, hashes, _ = letter_contexts(data, first)
     words = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
-    for lo in range(0, len(out), TOKENS):
-        some = slice(lo, lo + TOKENS)
+    for lo in range(0, len(out), LETTERS):
+        some = slice(lo, lo + LETTERS)
         letter = out[some].astype(np.int64)
         at = np.repeat(np.arange(len(letter)), 8)
         k = np.tile(np.arange(8), len(letter))
@@ -511,9 +511,10 @@ def gather_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return data[at], first
 
 
-def tail_words(w: K.Words, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places of the words of a slice that are not in the head, each word once."""
+def new_words(w: K.Words, sym: np.ndarray, first: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Places of the words of a slice that are neither in the head nor in ``seen`` (sorted), each word once, in the order of hashes."""
     at = np.flatnonzero(np.delete(sym, first[1:] - 1) == ESCAPE)
+    at = at[~is_in(w.hash[at], seen)]
     return at[np.unique(w.hash[at], return_index=True)[1]]
 
 
@@ -624,36 +625,38 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # counts under hot contexts, and of letters, over all training documents
     def count_bits():
         model, tables, letter_mixer, pair_mixer = first_model.value, Tables(sizes), Mixer(len(LETTER_ORDERS)), Mixer(1 + len(HOT_BITS))
-        seen = [np.zeros(0, np.uint64)]
+        seen, so_far, slices = [np.zeros(0, np.uint64)], [], [0, 0]
 
         def each(s, rest):
             data = K.LOWER[s.data]
             w = K.words(data, s.offsets, lower=False)
             sym, _, first = model.code.symbols(w, s.hi - s.lo)
             one, two = token_ids(w, sym, first)
+            if slices[0] >= slices[1]:  # now and then: packing takes all slots
+                so_far[:], slices[1] = [pack(t) for t in tables.counts], slices[0] * 5 // 4 + 1
+            slices[0] += 1
             hot = np.flatnonzero(is_in(one, model.hot_words))
             for lo in range(0, len(hot), TOKENS):
                 some = hot[lo : lo + TOKENS]
                 single, pair = contexts(one[some], two[some])
                 use = is_in(pair, model.hot_pairs)
-                if use.any():  # coded before they are counted
+                if use.any():  # coded by the slices before
                     token, node, bit, depth = model.code.expand(sym[some][use])
-                    found = [slots(c[use], token, node, b) for c, b in zip((single, pair), HOT_BITS)]
-                    states = [model.tables[0][node], *(packed_at(tables.counts[i], slot) for i, slot in enumerate(found))]
+                    states = [model.tables[0][node], *(t[slots(c[use], token, node, b)] for t, c, b in zip(so_far, (single, pair), HOT_BITS))]
                     pair_mixer.learn(*gated(states, depth), bit, np.ones(len(bit)))
                 for i, (context, mine) in enumerate(((single, sym[some]), (pair[use], sym[some][use]))):
                     token, node, bit, _ = model.code.expand(mine)
                     tables.add(i, slots(context, token, node, HOT_BITS[i]), bit)
-            # letters: each word that is not in the head, once a task; coded before it is counted
-            at = tail_words(w, sym, first)
-            at = at[~is_in(w.hash[at], seen[0])]
-            seen[0] = np.union1d(seen[0] if len(seen[0]) < DISTINCT else seen[0][:0], w.hash[at])
-            for lo in range(0, len(at), TOKENS // 8):
-                some = at[lo : lo + TOKENS // 8]
+            # letters: each word that is not in the head, once a task; coded by the slices before
+            at = new_words(w, sym, first, seen[0])
+            known = seen[0] if len(seen[0]) < DISTINCT else seen[0][:0]
+            seen[0] = np.sort(np.concatenate([known, w.hash[at]]), kind="stable")  # two sorted runs
+            for lo in range(0, len(at), TOKENS):
+                some = at[lo : lo + TOKENS]
                 letters, spans = gather_spans(data, w.start[some], w.end[some])
                 for _, found, lbit, gate in letter_bits(letters, spans):
-                    states = [packed_at(tables.counts[len(HOT_BITS) + i], slot) for i, slot in enumerate(found)]
-                    letter_mixer.learn([EVIDENCE[x].astype(np.int64) for x in states], gate, lbit, np.ones(len(lbit)))
+                    inputs = [EVIDENCE[t[slot]] for t, slot in zip(so_far[len(HOT_BITS) :], found)]
+                    letter_mixer.learn(inputs, gate, lbit, np.ones(len(lbit), np.float32))
                     for i, slot in enumerate(found):
                         tables.add(len(HOT_BITS) + i, slot, lbit)
 
@@ -862,11 +865,11 @@ def answer_words(group: list, tables: list[np.ndarray], mixer: Mixer, tail_total
     of = np.repeat(word, used)  # the word of every (word, row) pair
     count = np.bincount(of, times * training, minlength=len(one))
     spell = np.zeros(len(one))
-    for lo in range(0, len(one), TOKENS // 8):
-        some = where[lo : lo + TOKENS // 8]
+    for lo in range(0, len(one), TOKENS):
+        some = where[lo : lo + TOKENS]
         data, spans = gather_spans(letters, first[some], first[some + 1])
         for at, found, bit, gate in letter_bits(data, spans):
-            log = mixer.log_of([EVIDENCE[t[f]].astype(np.int64) for t, f in zip(tables, found)], gate, bit, luts, costs)
+            log = mixer.log_of([EVIDENCE[t[f]] for t, f in zip(tables, found)], gate, bit, luts, costs)
             spell[lo : lo + len(some)] += np.bincount(at, log, minlength=len(some))
     seen = count > 0
     share = (1 - novel) * count / max(tail_total, 1)
