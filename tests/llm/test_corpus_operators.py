@@ -350,11 +350,88 @@ def test_license_notices_in_running_text_and_full_texts(spark):
     ]
     got = {r.doc_id: (r.own_license, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {
-        1: ("MIT", "MIT"), 2: ("GPL-3.0", "GPL-3.0"), 3: (None, None), 4: ("Apache-2.0", "Apache-2.0"),
+        1: ("MIT", "MIT"), 2: ("GPL", "GPL"), 3: (None, None), 4: ("Apache-2.0", "Apache-2.0"),
         5: (None, "LGPL-3.0"), 6: ("LGPL-3.0", "LGPL-3.0"), 7: ("MPL-2.0", "MPL-2.0"),
     }
 
 
+def test_versions_of_licences_are_told_apart(spark):
+    prose = " ".join(f"plain{i % 50}" for i in range(100))
+    text = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version.\n"
+    rows = [
+        (1, gpl.format(2) + prose, "GPL-2.0"), (2, gpl.format(3) + prose, "GPL-3.0"), (3, "This work is licensed under the GNU General Public License, version 2. " + prose, "GPL-2.0"),
+        (4, "Licensed under CC BY 3.0. " + prose, "CC-BY-3.0"), (5, "Licensed under the BSD 2-Clause License.\n" + prose, "BSD-2-Clause"),
+        (6, text["ISC"], "ISC"), (7, text["BSD-2-Clause"], "BSD-2-Clause"), (8, text["BSD-3-Clause"], "BSD-3-Clause"),
+        (9, text["GPL-3.0"], "GPL-3.0"), (10, text["GPL-3.0"].replace("Version 3", "Version 2").replace("version 3", "version 2"), "GPL-2.0"),
+        (11, "Licensed under CC BY 2.5. " + prose, None), (12, "Copyright 2020. Released under the MIT License.", "MIT"),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t, _ in rows], "doc_id long, path string, text string")
+    assert {r.doc_id: r.own_license for r in licenses.scan_licenses(df).collect()} == {i: n for i, _, n in rows}
+
+
+def test_cosines_by_force(spark):
+    """The best cosine of a file, from word counts of every line and window."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) < 1500").limit(60)
+    rows = docs.collect()
+    token = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff-]+", "".join(c.lower() if c.isascii() else c for c in t))
+    full = [f.read_text() for f in sorted(licenses.TEXTS.glob("*.txt"))]
+    wanted = [token(t) for _, t in licenses.TEMPLATES] + [token(t) for t in full]
+    vocabulary = {w for t in wanted for w in t}
+    df = Counter(w for r in rows for w in set(token(r.text or "")) & vocabulary)
+    idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1 if w in vocabulary else math.log(1 + len(rows)) + 1
+
+    def cosine(span, template):
+        known, t = Counter(w for w in span if w in vocabulary), Counter(template)
+        dot = sum(n * t[w] * idf(w) ** 2 for w, n in known.items())
+        other = sum(w not in vocabulary for w in span)
+        norm = math.sqrt(sum((n * idf(w)) ** 2 for w, n in known.items()) + other * (math.log(1 + len(rows)) + 1) ** 2)
+        return dot / norm / math.sqrt(sum((n * idf(w)) ** 2 for w, n in t.items())) if span else 0.0
+
+    number = lambda span: sorted(w for w in span if re.search("[0-9]", w))
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, path=licenses.document_path()).collect()}
+    for r in rows:
+        words = token(r.text or "")
+        lines = [x for x in map(token, (r.text or "").split("\n")) if len(x) >= licenses.MIN_LINE_WORDS]
+        best = 0.0
+        for t in wanted[: len(licenses.TEMPLATES)]:
+            spans = lines + [words[i : i + len(t)] for i in range(len(words) - len(t) + 1)]
+            best = max([best, *(cosine(x, t) for x in spans if number(x) == number(t))])
+        assert got[r.doc_id].cosine == pytest.approx(best if best >= licenses.MIN_COSINE else 0, abs=1e-5)
+
+
+def test_expectation_maximisation_by_force():
+    """The same estimates from single votes, one document at a time."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    truth = rng.random(400) < 0.3
+    votes = np.column_stack([np.where(rng.random(400) < 0.2, -1, np.where(rng.random(400) < a, truth, ~truth)) for a in (0.9, 0.8, 0.7)]).astype(np.int8)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    got = quality_classifier.expectation_maximisation(patterns, counts.astype(float))
+    p = [0.9 if (v == 1).any() else 0.02 for v in votes]
+    for _ in range(60):
+        prior = min(max((sum(p) + 1) / (len(p) + 4), 1e-4), 0.5)
+        rates = {}
+        for y in (0, 1):
+            for j in range(3):
+                n = [0.1 + sum(q if y else 1 - q for v, q in zip(votes, p) if v[j] == x) for x in (-1, 0, 1)]
+                rates[y, j] = [x / sum(n) for x in n]
+        p = []
+        for v in votes:
+            good, bad = 1 - prior, prior
+            for j in range(3):
+                good, bad = good * rates[0, j][v[j] + 1], bad * rates[1, j][v[j] + 1]
+            p.append(bad / (good + bad))
+    assert got["prior"] == pytest.approx(prior, abs=1e-6)
+    assert all(got["rates"][y, j].tolist() == pytest.approx(rates[y, j], abs=1e-6) for y in (0, 1) for j in range(3))
+    assert quality_classifier.posterior(votes, **got).tolist() == pytest.approx(p, abs=1e-6)
+    assert abs(prior - truth.mean()) < 0.08 and np.mean((np.array(p) > 0.5) == truth) > 0.85
+
+
 def test_classifier_agrees_with_labels(spark):
     docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
     rows = quality_classifier.classify(docs, labels).join(labels, "doc_id").collect()

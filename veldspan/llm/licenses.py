@@ -3,7 +3,9 @@
 Every line of a file, and every window of as many words as a notice has, across line
 breaks, is compared with short notices of known licences, and the file as a whole with
 full licence texts.  Vectors are sparse: the words of the templates with their inverse
-document frequency over the whole corpus, and one weight for all other words.  A file's
+document frequency over the whole corpus, and one weight for all other words.  Versions must
+agree: the words with digits of a line or window are those of the notice, and the number after
+the first "version" of a file is that of the full text.  A file's
 own licence is that of the full text it equals (cosine of MIN_FILE_COSINE), else that of
 its best line or window, if the cosine reaches MIN_COSINE.  A licence file (a full text, or
 a licence was found and the file has few words besides, or its name says so) speaks for
@@ -16,13 +18,14 @@ all files is one row.
 from __future__ import annotations
 
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import map_text
+from .shared import map_text, materialise
 
 MIN_COSINE = 0.7
 MIN_FILE_COSINE = 0.9
@@ -39,12 +42,27 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -54,12 +72,15 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+GENERAL = ("GPL", "BSD")  # notices that tell no version: they count where no other notice is found
+
 #: Full texts by licence, read on the driver.
 TEXTS = Path(__file__).parent / "licence_texts"
 
 _BREAK = np.ones(256, bool)  # words are runs of ASCII letters, digits, dots and hyphens, and non-ASCII bytes
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 _BREAK[[45]] = False
+_VERSION = K.words(np.frombuffer(b"version", np.uint8), np.array([0, 7])).hash[0]
 
 
 def _line_words(data: np.ndarray, offsets: np.ndarray):
@@ -75,13 +96,40 @@ def _line_words(data: np.ndarray, offsets: np.ndarray):
     return w, line, rows
 
 
-def template_words() -> tuple[np.ndarray, list[np.ndarray], list[str]]:
-    """(all words, words of each template, licences): the notices, then the full texts."""
+def number_words(data: np.ndarray, w: K.Words) -> np.ndarray:
+    """A number for each word with a digit, from its hash; 0 for other words."""
+    digits = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
+    return np.where(digits[w.end] > digits[w.start], K.mix(w.hash) | np.uint64(1), np.uint64(0))
+
+
+def first_versions(w: K.Words, numbers: np.ndarray) -> np.ndarray:
+    """For each row, the number word after its first "version" that has one; 0 without."""
+    said = np.flatnonzero((w.hash[:-1] == _VERSION) & (numbers[1:] > 0) & (w.doc[1:] == w.doc[:-1]))
+    row, at = np.unique(w.doc[said], return_index=True)
+    out = np.zeros(len(w.first) - 1, np.uint64)
+    out[row] = numbers[said[at] + 1]
+    return out
+
+
+class Templates(NamedTuple):
+    vocabulary: np.ndarray  # all words
+    words: list[np.ndarray]  # of each template: the notices, then the full texts
+    names: list[str]
+    numbers: np.ndarray  # sum of the number words of each
+    versions: np.ndarray
+
+
+def templates() -> Templates:
     full = [(f.stem, f.read_bytes()) for f in sorted(TEXTS.glob("*.txt"))]
     raw = [t.encode() for _, t in TEMPLATES] + [t for _, t in full]
     data = np.frombuffer(b"".join(raw), np.uint8)
     w = K.words(data, np.cumsum([0, *map(len, raw)]), space=_BREAK)
-    return np.unique(w.hash), [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(raw))], [n for n, _ in [*TEMPLATES, *full]]
+    numbers = number_words(data, w)
+    return Templates(
+        np.unique(w.hash), [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(raw))], [n for n, _ in [*TEMPLATES, *full]],
+        np.diff(_running(numbers)[w.first]), first_versions(w, numbers),
+    )
 
 
 def _template_matrix(vocabulary, lists, idf) -> np.ndarray:
@@ -92,6 +140,10 @@ def _template_matrix(vocabulary, lists, idf) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+
+
 def _sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(x)])
 
@@ -108,14 +160,17 @@ def _exact(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, dot: np.ndarray, idf:
     return dot / np.sqrt(np.bincount(span, square, minlength=len(lo)))
 
 
-def best_spans(at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, matrix: np.ndarray, sizes: list[int], idf: np.ndarray, rare: float):
+def best_spans(at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, matrix: np.ndarray, sizes: list[int], idf: np.ndarray, rare: float,
+               numbers: np.ndarray, wanted: np.ndarray):
     """(row, template, cosine) of all spans that reach MIN_COSINE: the given ones (lines), and all windows of a template's length.
 
+    ``numbers`` are the number words, ``wanted`` their sum in each template.
+
     Sums up to each word give a span's product with a template, and a bound of its length
     that is exact unless a word repeats; only spans whose bound passes are counted.
     """
     weight = np.append(idf, rare)
-    square = _sums((weight * weight)[at])
+    square, counted = _sums((weight * weight)[at]), _running(numbers)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for t, size in enumerate(sizes):
         product = _sums(np.append(idf * matrix[t], 0)[at])
@@ -123,7 +178,7 @@ def best_spans(at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray,
         begin = begin[doc[begin] == doc[begin + size - 1]]
         for a, b in ((lo, hi), (begin, begin + size)):
             dot = product[b] - product[a]
-            some = np.flatnonzero(dot * dot >= (MIN_COSINE * MIN_COSINE - 1e-9) * (square[b] - square[a]))
+            some = np.flatnonzero((dot * dot >= (MIN_COSINE * MIN_COSINE - 1e-9) * (square[b] - square[a])) & (counted[b] - counted[a] == wanted[t]))
             for k in range(0, len(some), SPANS):
                 part = some[k : k + SPANS]
                 cosine = _exact(at, a[part], b[part], dot[part], idf, rare)
@@ -132,8 +187,8 @@ def best_spans(at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def best_texts(at: np.ndarray, first: np.ndarray, matrix: np.ndarray, idf: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:
-    """(template, cosine) of the nearest full text of every row, as a whole; cosine 0 where too few words are known."""
+def best_texts(at: np.ndarray, first: np.ndarray, matrix: np.ndarray, idf: np.ndarray, rare: float, version: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(template, cosine) of the nearest full text of every row, as a whole; cosine 0 where too few words are known or another version is named."""
     rows = len(first) - 1
     template, value = np.zeros(rows, np.int64), np.zeros(rows)
     size = np.diff(first)
@@ -148,6 +203,7 @@ def best_texts(at: np.ndarray, first: np.ndarray, matrix: np.ndarray, idf: np.nd
         v = np.bincount(row[hit] * len(idf) + word[hit], minlength=len(part) * len(idf)).reshape(len(part), -1) * idf
         norm = np.sqrt((v * v).sum(1) + (n - known[part]) * rare * rare)
         cosine = (v @ matrix.T) / norm[:, None]
+        cosine[(version[part][:, None] != wanted) & (version[part][:, None] > 0) & (wanted > 0)] = 0
         template[part] = cosine.argmax(1)
         value[part] = cosine.max(1)
     return template, value
@@ -165,7 +221,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
     """
     path = F.col("path") if path is None else path
     rows = files.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), path.alias("path"))
-    vocabulary, lists, names = template_words()
+    vocabulary, lists, names, wanted, versions = templates()
     notices = len(TEMPLATES)
 
     def frequencies():
@@ -189,6 +245,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
     matrix = _template_matrix(vocabulary, lists, idf)
     names = np.array(names, object)
     sizes = [len(x) for x in lists[:notices]]
+    general = np.isin(names, GENERAL)
     ddl = "doc_id {}, path string, own_license string, cosine double, words long, whole boolean".format(files.schema[id_col].dataType.simpleString())
 
     def match():
@@ -200,18 +257,19 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
             at[vocabulary[at] != w.hash] = len(vocabulary)
             edge = np.searchsorted(line, np.arange(len(line_row) + 1))
             long = np.diff(edge) >= MIN_LINE_WORDS
-            row, template, value = best_spans(at, w.doc, edge[:-1][long], edge[1:][long], matrix[:notices], sizes, idf, rare)
-            order = np.lexsort((-template, np.round(value, 9)))
+            numbers = number_words(s.data, w)
+            row, template, value = best_spans(at, w.doc, edge[:-1][long], edge[1:][long], matrix[:notices], sizes, idf, rare, numbers, wanted)
+            order = np.lexsort((-template, np.round(value, 9), ~general[template]))
             best[row[order]] = value[order]
             name[row[order]] = names[template[order]]
-            template, value = best_texts(at, w.first, matrix[notices:], idf, rare)
+            template, value = best_texts(at, w.first, matrix[notices:], idf, rare, first_versions(w, numbers), versions[notices:])
             whole = value >= MIN_FILE_COSINE
             best[whole], name[whole] = value[whole], names[notices + template[whole]]
             return {"doc_id": rest[0], "path": rest[1], "own_license": name, "cosine": np.round(best, 6), "words": np.diff(w.first), "whole": whole}
 
         return each, None
 
-    own = map_text(rows, ddl, match).withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    own = materialise(map_text(rows, ddl, match), "license-own").withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     own = own.withColumn("_dir", F.when(F.col("path").isNull(), None).otherwise(F.col("_dir")))
     speaks = F.col("own_license").isNotNull() & (F.col("whole") | (F.col("words") <= LICENSE_FILE_WORDS) | F.col("path").rlike(LICENSE_NAMES))
     given = (
