@@ -250,6 +250,28 @@ def test_repeats(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == repeats_by_force(rows)
 
 
+def test_a_phrase_in_every_document(spark):
+    """A hot anchor with other bytes around it: its windows spread over the buckets, and none is lost."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    phrase, other = "this phrase stands in each of all texts", letters(30)
+    rows = [(i, letters(40) + (other if i % 9 == 0 else letters(30)) + phrase + (other if i % 7 == 0 else letters(30)) + letters(20)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.remove_repeats(df)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == repeats_by_force(rows)
+    # the phrase is hot, and as windows no fragment group of it is large
+    raw = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t) for _, t in rows)])
+    row, first, last, h = suffix_dedup.fragments(raw, offsets)
+    keys, n = np.unique(h.astype(np.uint32), return_counts=True)
+    assert n.max() > 2000
+    assert (last - first).max() > 0 and len(suffix_dedup.split_hot(raw, row, first, last, h, keys[n > 2000])[0]) > len(row)
+
+
 @pytest.mark.parametrize("ids", [(-(2**63), -5, 2**62 + 7, 2**63 - 1), (-5, 3, 2**62 + 7, 2**63 - 1), (-(2**63), -7, -6, 2**62 - 1)])
 def test_repeats_of_any_id(spark, ids):
     text = [f"{i} {PASSAGE[: 100 + 20 * i]} end {i}" for i in range(4)]

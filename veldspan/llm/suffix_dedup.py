@@ -16,7 +16,10 @@ windows with one anchor make a fragment.
 4. Back at the documents, windows whose smallest id is below the document's are marked and
    their bytes removed.
 
-No task holds all fragments of a hot passage: tasks send each distinct fragment once.
+No task holds all fragments of a hot passage: tasks send each distinct fragment once.  An anchor
+in more documents than a HOT_PART of its bucket (a common phrase with other words around it)
+is hot: its windows are fragments of their own, under a hash of their bytes, so that they
+spread over the buckets and equal ones still meet.
 """
 
 from __future__ import annotations
@@ -38,7 +41,8 @@ FLUSH_BYTES = 16 << 20
 PIECE_BYTES = 1 << 20
 NULL_ID = 1 << 62
 ROW = "deal int, kind int, a binary, b binary, c binary"
-ANCHORS, SHARED, RESULTS, TEXTS = 0, 1, 2, 3
+ANCHORS, SHARED, RESULTS, TEXTS, HOT = 0, 1, 2, 3, 4
+HOT_PART, HOT_LEAST = 16, 1024  # a sixteenth of a bucket's anchors, and so many documents at least
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -80,6 +84,21 @@ def fragments(data: np.ndarray, offsets: np.ndarray):
     return row[first], first, end, h[place[first]]
 
 
+def split_hot(data: np.ndarray, row, first, last, h, hot: np.ndarray):
+    """The fragments, those under hot anchors (sorted, 32 bits) window by window under a hash of the window."""
+    key = h.astype(np.uint32)
+    is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(h), bool)
+    if not is_hot.any():
+        return row, first, last, h
+    n = np.where(is_hot, last - first + 1, 1)
+    of = np.repeat(np.arange(len(n)), n)
+    start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    each = is_hot[of]
+    h = h[of]
+    h[each] = content_numbers(data, start[each], start[each] + WINDOW)
+    return row[of], start, np.where(each, start, last[of]), h
+
+
 def _match_key(ids: np.ndarray, key32: np.ndarray) -> np.ndarray:
     return K.mix(ids.astype(np.int64).view(np.uint64)) + key32.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,15 +131,16 @@ def find_anchors(texts: DataFrame, buckets: int, deals: int) -> DataFrame:
             h, ids = h[new], ids[new]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
-            several = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1] > 1
+            many = np.diff(np.append(np.flatnonzero(first), len(h)))[np.cumsum(first) - 1]
+            several = many > 1
             out = []
             for kind, use in ((ANCHORS, first), (SHARED, several)):
-                key, who = h[use], ids[use]
+                key, who, times = h[use], ids[use], many[use]
                 deal = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64) if kind == ANCHORS else deal_of(who, deals)
                 order = np.lexsort((who, deal))
-                key, who, deal = key[order].astype(np.uint32), who[order], deal[order]
+                key, who, deal, times = key[order].astype(np.uint32), who[order], deal[order], times[order].astype(np.uint32)
                 for d, s in _by_part(deal):
-                    out.append((d, kind, squeeze(np.diff(who[s], prepend=0)), key[s].tobytes(), None))
+                    out.append((d, kind, squeeze(np.diff(who[s], prepend=0)), key[s].tobytes(), squeeze(times[s]) if kind == ANCHORS else None))
             return _rows(out)
 
         for batch in batches:
@@ -139,16 +159,19 @@ def find_anchors(texts: DataFrame, buckets: int, deals: int) -> DataFrame:
 
 
 def share_anchors(batches, deals: int):
-    """Anchors of several documents, sent on to the documents' deals."""
+    """Anchors of several documents, sent on to the documents' deals, and the hot ones."""
     held: dict[int, list] = {}
     for batch in batches:
-        for d, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            held.setdefault(d, []).append((np.cumsum(expand(a, np.int64)), np.frombuffer(b, np.uint32)))
+        for d, a, b, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+            held.setdefault(d, []).append((np.cumsum(expand(a, np.int64)), np.frombuffer(b, np.uint32), expand(c, np.uint32)))
     for parts in held.values():
-        ids, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        ids, key, times = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((ids, key))
-        ids, key = ids[order], key[order]
+        ids, key, times = ids[order], key[order], times[order].astype(np.int64)
         start = np.concatenate([[True], key[1:] != key[:-1]])
+        hot = np.add.reduceat(times, np.flatnonzero(start)) > max(HOT_LEAST, int(times.sum()) // HOT_PART)
+        if hot.any():
+            yield _rows([(0, HOT, None, key[np.flatnonzero(start)[hot]].tobytes(), None)])
         low = ids[np.flatnonzero(start)][np.cumsum(start) - 1]
         differs = np.bincount(np.cumsum(start) - 1, ids != low) > 0
         use = differs[np.cumsum(start) - 1]
@@ -213,7 +236,7 @@ def content_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return out
 
 
-def _shared_fragments(shared: np.ndarray, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+def _shared_fragments(shared: np.ndarray, hot: np.ndarray, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     """(row, first window, last window, anchor, content number) of the fragments under shared anchors."""
     row, first, last, h = fragments(data, offsets)
     if len(shared) and len(row):
@@ -222,7 +245,7 @@ def _shared_fragments(shared: np.ndarray, ids: np.ndarray, data: np.ndarray, off
         use = shared[at] == key
     else:
         use = np.zeros(len(row), bool)
-    row, first, last, h = row[use], first[use], last[use], h[use]
+    row, first, last, h = split_hot(data, row[use], first[use], last[use], h[use], hot)
     return row, first, last, h, content_numbers(data, first, last + WINDOW)
 
 
@@ -232,7 +255,7 @@ def _joined(texts: list):
     return ids, np.concatenate([t[2] for t in texts]), offsets
 
 
-def send_fragments(batches, buckets: int):
+def send_fragments(batches, buckets: int, hot: np.ndarray):
     """Distinct fragments of each deal of documents by anchor bucket: anchors, smallest and largest ids, sizes, bytes."""
     kept: list = []
     deal_now = None
@@ -262,7 +285,7 @@ def send_fragments(batches, buckets: int):
         deal_now = deal
         ids, data, offsets = _joined(texts)
         keys = np.sort(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
-        row, first, last, h, content = _shared_fragments(keys, ids, data, offsets)
+        row, first, last, h, content = _shared_fragments(keys, hot, ids, data, offsets)
         if not len(row):
             continue
         order = np.lexsort((ids[row], content))
@@ -346,11 +369,11 @@ def _suffix_runs(number: np.ndarray, pieces: list[np.ndarray], low: np.ndarray)
     return np.column_stack([number[owner[first]], place[first] - start[owner[first]], place[last] - start[owner[first]], value[first]])
 
 
-def cut_texts(batches, schema: pa.Schema):
+def cut_texts(batches, schema: pa.Schema, hot: np.ndarray):
     """The result of every document."""
     for _, _, results, texts in _deals(batches):
         ids, data, offsets = _joined(texts)
-        row, first, last, _ = fragments(data, offsets)
+        row, first, last, _ = split_hot(data, *fragments(data, offsets), hot)
         content = content_numbers(data, first, last + WINDOW)
         depth = np.zeros(len(data) + 1, np.int32)
         if results and len(row):
@@ -420,10 +443,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = materialise(met.union(anchors.filter(F.col("kind") == SHARED)), "suffix-shared")
     del anchors, met
     discard(spark, path)
+    keys = [np.frombuffer(r["b"], np.uint32) for r in shared.filter(F.col("kind") == HOT).select("b").collect()]  # few: see HOT_PART
+    hot = np.unique(np.concatenate([np.zeros(0, np.uint32), *keys]))
+    shared = shared.filter(F.col("kind") == SHARED)
     dealt = lambda df: df.repartitionById(deals, F.col("deal")).sortWithinPartitions("deal", "kind")
-    found = dealt(shared.union(deal_texts(texts, deals))).mapInArrow(lambda b: send_fragments(b, buckets), ROW)
+    found = dealt(shared.union(deal_texts(texts, deals))).mapInArrow(lambda b: send_fragments(b, buckets, hot), ROW)
     results = materialise(found.repartitionById(buckets, F.col("deal")).mapInArrow(match_fragments, ROW), "suffix-results")
-    done = dealt(results.union(deal_texts(texts, deals))).mapInArrow(lambda b: cut_texts(b, schema), ddl)
+    done = dealt(results.union(deal_texts(texts, deals))).mapInArrow(lambda b: cut_texts(b, schema, hot), ddl)
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if ranks is not None:
         return done.join(ranks.hint("merge"), "id", "left").select(F.col("own").cast(id_type).alias("doc_id"), *columns)
