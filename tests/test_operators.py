@@ -159,3 +159,33 @@ def test_consensus_needs_no_pairs(spark):
     got = {r.id: r.consensus for r in candidates.consensus(rows, "g", "v").collect()}
     assert got[3] == pytest.approx(0.707107, abs=1e-6) and got[1] == pytest.approx(0.353553, abs=1e-6) and got[4] is None
     assert candidates.pick_one(candidates.consensus(rows, "g", "v").filter("g = 'g'"), "g", F.col("consensus"), "id").first().id == 3
+
+
+def test_gather_wants_one_record_a_key(spark):
+    import pytest
+
+    from veldspan.operators import validate
+
+    wanted = spark.createDataFrame([(1,), (2,)], "k long")
+    once = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    assert sorted(map(tuple, validate.gathered(wanted, once, "k").collect())) == [(1, "a"), (2, "b")]
+    for bad in (once.union(once), once.filter("k > 1")):
+        with pytest.raises(Exception, match="not one record for"):
+            validate.gathered(wanted, bad, "k").collect()
+
+
+def test_full_frechet_distance(spark):
+    import numpy as np
+
+    from veldspan.operators import metrics
+
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(300, 4)), rng.normal(size=(200, 4)) @ np.diag([1, 2, 0.5, 1]) + 0.3
+    frame = lambda x: spark.createDataFrame([(v.tolist(),) for v in x], "e array<double>")
+    got = metrics.frechet_full(frame(a), frame(b), "e").first()
+    ca, cb = np.cov(a.T), np.cov(b.T)
+    cross = np.sqrt(np.maximum(np.linalg.eigvals(ca @ cb).real, 0)).sum()
+    want = ((a.mean(0) - b.mean(0)) ** 2).sum() + np.trace(ca) + np.trace(cb) - 2 * cross
+    assert got.dims == 4 and abs(got.frechet - want) < 1e-5
+    same = metrics.frechet_full(frame(a), frame(a), "e").first()
+    assert abs(same.frechet) < 1e-5

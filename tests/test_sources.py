@@ -48,6 +48,27 @@ def test_lines_listing_and_logs(spark, tmp_path):
     assert [tuple(r) for r in readers.read_metrics(spark, str(tmp_path / "run.log")).collect()] == [("clap_score", 0.25)]
 
 
+def test_lines_follow_file_names(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a0\na1\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(5000)))
+    (tmp_path / "c.txt").write_text("c0\n")
+    got = [r.line for r in readers.read_lines(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == ["a0", "a1", *(f"b{i}" for i in range(5000)), "c0"]
+
+
+def test_arrays_and_rotation(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "n").mkdir()
+    np.savez(tmp_path / "n" / "1.npz", mean=np.ones((2, 2)), std=np.zeros(3))
+    np.savez(tmp_path / "n" / "2.npz", mean=np.arange(2.0))
+    got = {r.id: (r["mean"], r["std"]) for r in readers.read_arrays(spark, str(tmp_path / "n"), ("mean", "std")).collect()}
+    assert got == {"1": ([1.0] * 4, [0.0] * 3), "2": ([0.0, 1.0], None)}
+    rows = spark.range(3)
+    assert [writers.rotate(rows, str(tmp_path / "r")) for _ in range(4)] == [0, 1, 2, 3]
+    assert sorted(p.name for p in (tmp_path / "r").glob("version=*")) == ["version=2", "version=3"]
+
+
 def test_writers(spark, tmp_path):
     metrics = spark.createDataFrame([("b", 2.0), ("a", 1.0)], "key string, value double")
     writers.write_metrics(metrics, str(tmp_path / "m"))

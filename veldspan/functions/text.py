@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CRASH = r"Traceback|CRITICAL|OOM|Killed|loss:nan"
+#: Fixed value: what a log line says when a run has crashed.
+CRASH = r"Traceback|CRITICAL|CUDA out of memory|OOM|Killed|loss:[nN][aA][nN]"
 
 
 def fixed(x: str, digits: int = 2) -> Column:
@@ -13,6 +16,28 @@ def fixed(x: str, digits: int = 2) -> Column:
     return F.expr(f"format_number({x}, '0.{'0' * digits}')")
 
 
+def fixed_width(x: str, width: int = 9) -> Column:
+    """A number (SQL text) with nine decimals, cut to ``width`` characters."""
+    return F.substring(fixed(x, 9), 1, width)
+
+
+def unix_lines(text: Column) -> Column:
+    """Carriage returns as line feeds, as progress bars in logs need it."""
+    return F.translate(text, "\r", "\n")
+
+
+def structured_name(name: Column, fields: tuple[str, ...], sep: str = "-") -> Column:
+    """The parts of a composed name as a struct; null where their number is another."""
+    parts = F.split(name, re.escape(sep))
+    return F.when(F.size(parts) == len(fields), F.struct(*[parts[i].alias(f) for i, f in enumerate(fields)]))
+
+
+def local_time(ts: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A UTC time as text in a time zone."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), pattern)
+
+
+# the sentences that prompts start with are fixed values
 def alignment_prompt(similarity: str, caption: Column) -> Column:
     return F.concat(F.lit("Text alignment is "), fixed(similarity), F.lit(". "), caption)
 

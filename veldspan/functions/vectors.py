@@ -135,3 +135,32 @@ def preserving_sum(a: Column, b: Column, weight: float = 0.5) -> Column:
     """A weighted sum scaled so that independent unit inputs give a unit output."""
     scale = ((1 - weight) ** 2 + weight**2) ** 0.5
     return F.zip_with(a, b, lambda x, y: (x * (1 - weight) + y * weight) / scale)
+
+
+def adaptive_weight(square: Column, gamma: float = 0.0, c: float = 1e-3) -> Column:
+    """d / (d + c) ** (1 - gamma): a squared error weighted down where it is large."""
+    return square / F.pow(square + F.lit(c), F.lit(1.0 - gamma))
+
+
+def signed_range(a: Column) -> Column:
+    """[0, 1] to [-1, 1], element by element."""
+    return F.transform(doubles(a), lambda v: v * 2 - 1)
+
+
+def unit_range(a: Column) -> Column:
+    """[-1, 1] to [0, 1], element by element."""
+    return F.transform(doubles(a), lambda v: (v + 1) * 0.5)
+
+
+def padded_rows(rows: Column, length: int, width: int) -> Column:
+    """An array of arrays cut or filled with rows of zeros to ``length`` rows."""
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), width), F.greatest(F.lit(length) - F.size(rows), F.lit(0)))
+    return F.slice(F.concat(rows, zeros), 1, length)
+
+
+def pooled_with_first(rows: Column, width: int = 8) -> Column:
+    """The first row, then the means of groups of ``width`` of the others; a last group that is not full is dropped."""
+    others = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+    groups = F.floor(F.size(others) / width).cast("int")
+    pooled = F.transform(F.sequence(F.lit(1), groups), lambda g: mean_of(F.slice(others, (g - 1) * width + 1, width)))
+    return F.when(groups > 0, F.concat(F.slice(rows, 1, 1), pooled)).otherwise(F.slice(rows, 1, 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,18 @@ def ranked(metrics: DataFrame, by: list[str], value: str, descending: bool = Tru
     return metrics.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(order)))
 
 
+def top_ranked(metrics: DataFrame, by: list[str], value: str, k: int, descending: bool = True) -> DataFrame:
+    """The rows of rank 1 to ``k`` of each group; equal values share a rank."""
+    return ranked(metrics, by, value, descending).filter(F.col("rank") <= k)
+
+
+def with_hooks(metrics: DataFrame, *hooks) -> DataFrame:
+    """Adds what each hook, a function of the aggregated table, derives from it."""
+    for hook in hooks:
+        metrics = metrics.transform(hook)
+    return metrics
+
+
 def against_baseline(metrics: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Difference of each row to the first of its group, absolute and in percent."""
     base = F.first(value).over(Window.partitionBy(*by).orderBy(order))
@@ -60,6 +73,42 @@ def frechet_diagonal(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
     return d.agg(F.round(F.sum(part), 6).alias("frechet"), F.count(F.lit(1)).alias("dims"))
 
 
+def moments(vectors: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, sample covariance): tasks add up sums and products, so width * width numbers a task are all that moves."""
+    import pyarrow as pa
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if not len(column):
+                continue
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+            x = np.column_stack([np.ones(len(x)), x])
+            total = x.T @ x + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], names=["i", "s"])
+
+    rows = vectors.select(vector).mapInArrow(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toPandas()
+    width = int(round(len(rows) ** 0.5))
+    total = rows["s"].to_numpy().reshape(width, width)
+    n, first = total[0, 0], total[0, 1:]
+    return int(n), first / n, (total[1:, 1:] - np.outer(first, first) / n) / (n - 1)
+
+
+def frechet_full(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
+    """One row: |mean difference|^2 + trace(Ca + Cb - 2 sqrt(Ca Cb)) of two sets of vectors.
+
+    The sets meet only as moments; what the driver holds has the size of the vectors' width squared.
+    """
+    (_, ma, ca), (_, mb, cb) = moments(a, vector), moments(b, vector)
+    value, base = np.linalg.eigh(ca)
+    root = base * np.sqrt(np.maximum(value, 0)) @ base.T
+    cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ cb @ root), 0)).sum()
+    distance = float(((ma - mb) ** 2).sum() + np.trace(ca) + np.trace(cb) - 2 * cross)
+    return a.sparkSession.createDataFrame([(round(distance, 6), len(ma))], "frechet double, dims long")
+
+
 def recall_at_k(queries: DataFrame, items: DataFrame, id_col: str, label: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
     """One row: the share of queries with an item of their label among the k nearest others by cosine.
 

@@ -39,3 +39,9 @@ def concatenated(parts: list[tuple[DataFrame, int]]) -> DataFrame:
         df.withColumn("source", F.lit(i)).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))) for i, (df, times) in enumerate(parts)
     ]
     return reduce(DataFrame.unionByName, repeated)
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + n`` in an order that tells all rows apart; n of -1 takes all that follow."""
+    ordered = rows.orderBy(*order).offset(offset)
+    return ordered if n < 0 else ordered.limit(n)

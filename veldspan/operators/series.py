@@ -20,6 +20,12 @@ def running_average(points: DataFrame, key: str, order: list[str], value: str, a
     return series.select(key, F.size("_v").alias("points"), F.when(F.size("_v") > 1, F.round(folded, 6)).alias("average"))
 
 
+def remaining_seconds(points: DataFrame, key: str, order: list[str], value: str, steps: int, every: int = 1, alpha: float = 0.7) -> DataFrame:
+    """Adds to the running averages the time left: remaining steps times the average of ``every`` steps; 0 without an average."""
+    left = F.greatest(F.lit(steps) - F.col("points") * every, F.lit(0)) * F.col("average") / every
+    return running_average(points, key, order, value, alpha).withColumn("seconds_left", F.round(F.coalesce(left, F.lit(0.0)), 6))
+
+
 def step_durations(points: DataFrame, key: str, order: list[str], ts: str) -> DataFrame:
     """Adds the seconds since the key's previous point; null at its first."""
     before = F.lag(ts).over(Window.partitionBy(key).orderBy(*order))

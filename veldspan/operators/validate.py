@@ -25,6 +25,47 @@ def manifest_verdict(expected: DataFrame, found: DataFrame | None, key: str, col
     return "mismatch" if manifest_mismatches(expected, found, key, columns).limit(1).count() else "ok"
 
 
+def first_mismatches(expected: DataFrame, found: DataFrame, key: str, columns: list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` mismatches by key."""
+    return manifest_mismatches(expected, found, key, columns).orderBy(key).limit(n)
+
+
+def parsed_lines(lines: DataFrame, line: str, names: list[str], sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """(columns of lines with the right number of fields, the other lines)."""
+    cut = lines.withColumn("_parts", F.split(F.rtrim(line), sep))
+    fits = F.size("_parts") == len(names)
+    good = cut.filter(fits).select(*[F.trim(F.col("_parts")[i]).alias(n) for i, n in enumerate(names)])
+    return good, cut.filter(~F.coalesce(fits, F.lit(False))).select(line)
+
+
+def required_columns(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(column, present, filled): whether each is there, and whether the first row that is read has a value."""
+    first = rows.first()
+    found = [(n, n in rows.columns, bool(first is not None and n in rows.columns and first[n] is not None)) for n in names]
+    return rows.sparkSession.createDataFrame(found, "column string, present boolean, filled boolean")
+
+
+def changed_columns(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(column, same, changed) over the keys of both tables."""
+    pairs = old.select(key, *[F.col(c).alias(f"old_{c}") for c in columns]).join(new.select(key, *[F.col(c).alias(f"new_{c}") for c in columns]), key)
+    same = lambda c: F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+    counts = pairs.agg(*[F.struct(F.count_if(same(c)).alias("same"), F.count_if(~same(c)).alias("changed")).alias(c) for c in columns])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.same").alias("same"), F.col(f"{c}.changed").alias("changed")) for c in columns])).alias("x")).select("x.*")
+
+
+def completeness(rows: DataFrame, by: str, expected: int) -> DataFrame:
+    """(by, found, complete): whether each group has as many rows as expected."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("found")).withColumn("complete", F.col("found") == expected)
+
+
+def gathered(wanted: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """The records of the wanted keys; a key that has several records, or none, is an error raised where it is met."""
+    once = records.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[c for c in records.columns if c != key])).alias("_record"))
+    met = wanted.join(once, key, "left")
+    checked = F.when(F.col("_n") == 1, F.col("_record")).otherwise(F.raise_error(F.concat(F.lit("not one record for "), F.col(key).cast("string"))))
+    return met.withColumn("_record", checked).select(*wanted.columns, "_record.*")
+
+
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

@@ -161,7 +161,8 @@ def vector_pool_concat(t):
     return rows.select("vec_id", F.size("p").cast("long").alias("size"), F.round(F.get("p", F.lit(0)), 6).alias("first_pool"), F.round(F.get("p", F.lit(7)), 6).alias("last_pool"), F.round(total, 6).alias("total"))
 
 
-@query("""SELECT vec_id, len(embedding) AS dims, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, true AS unchanged FROM embeddings""")
+@query("""SELECT vec_id, len(embedding) AS dims, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm,
+list_bool_and(list_transform(embedding::DOUBLE[], lambda x: abs(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - x) <= 1e-4 + 1e-4 * abs(x))) AS unchanged FROM embeddings""")
 def vector_normalize_check(t):
     e = F.col("embedding")
     return t("embeddings").select(
@@ -169,7 +170,7 @@ def vector_normalize_check(t):
     )
 
 
-@query("""SELECT vec_id, len(embedding) + 16 AS padded, 8::BIGINT AS sliced, round(embedding[5]::DOUBLE, 6) AS first_sliced, round(list_aggregate(list_transform(embedding, lambda x: abs(x::DOUBLE)), 'max'), 6) AS peak FROM embeddings""")
+@query("""SELECT vec_id, len(list_resize(embedding, greatest(80, len(embedding)), 0)) AS padded, len(embedding[5:12]) AS sliced, round(embedding[5]::DOUBLE, 6) AS first_sliced, round(list_aggregate(list_transform(embedding, lambda x: abs(x::DOUBLE)), 'max'), 6) AS peak FROM embeddings""")
 def pad_slice(t):
     e = F.col("embedding")
     padded, cut = V.slice_or_pad(e, 4, 80), V.slice_or_pad(e, 4, 12)

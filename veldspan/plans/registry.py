@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import captions, measures, more, streams, values  # noqa: F401
+    from . import arrays, captions, files, measures, more, streams, values  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,7 +14,7 @@ def safe_filename(t):
     return t("pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
-@query(r"""SELECT event_id, regexp_extract(props, '"k": *(\d+)', 1)::INTEGER AS k, event_type = 'error' OR regexp_matches(props, 'Traceback|CRITICAL|OOM|Killed|loss:nan') AS crashed FROM events""")
+@query(r"""SELECT event_id, regexp_extract(props, '"k": *(\d+)', 1)::INTEGER AS k, event_type = 'error' OR regexp_matches(props, 'Traceback|CRITICAL|CUDA out of memory|OOM|Killed|loss:[nN][aA][nN]') AS crashed FROM events""")
 def log_markers(t):
     k = F.get_json_object("props", "$.k").cast("int")
     return t("events").select("event_id", k.alias("k"), ((F.col("event_type") == "error") | T.crashed(F.col("props"))).alias("crashed"))
@@ -67,7 +67,7 @@ def renamed_weights(t):
     return t("nation").select("n_nationkey", F.map_keys(T.renamed_keys(weights, "module\\.", "NATION", "block"))[0].alias("key"))
 
 
-@query("""SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: abs(x::DOUBLE)), 'max') >= 0.3 AS loud, len(embedding) >= 64 AS whole, true AS finite FROM embeddings""")
+@query("""SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: abs(x::DOUBLE)), 'max') >= 0.3 AS loud, len(embedding) >= 64 AS whole, list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AS finite FROM embeddings""")
 def signal_filters(t):
     e = F.col("embedding")
     return t("embeddings").select("vec_id", (V.max_abs(e) >= 0.3).alias("loud"), (F.size(e) >= 64).alias("whole"), V.finite(e).alias("finite"))

@@ -25,7 +25,9 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t",
 def read_tolerant(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines): lines that do not fit the schema are kept apart, not lost."""
     rows = spark.read.csv(path, schema=f"{schema}, _corrupt STRING", sep=sep, header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-    return rows.filter("_corrupt IS NULL").drop("_corrupt"), rows.filter("_corrupt IS NOT NULL").withColumnRenamed("_corrupt", "line")
+    # Spark refuses plans that read the corrupt lines alone (a count, say), so the first column is looked at too
+    seen = F.length(F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit(""))) >= 0
+    return rows.filter("_corrupt IS NULL").filter(seen).drop("_corrupt"), rows.filter("_corrupt IS NOT NULL").filter(seen).withColumnRenamed("_corrupt", "line")
 
 
 def read_manifest(spark: SparkSession, path: str, level: int | None = None) -> DataFrame:
@@ -55,16 +57,17 @@ def read_documents(spark: SparkSession, path: str, schema: str = "path STRING")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line): trimmed lines that are not blank, numbered in the order of files and lines.
+    """(pos, line): trimmed lines that are not blank, numbered in the order of file names and of lines in a file.
 
-    Line numbers come from the reader's row positions: partitions are counted, then offset.
+    Splits of a file are read in order; Spark may pack files in any order, so files are
+    ordered by name and splits by where they start in the file.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("_at")).filter(F.length("line") > 0)
-    part = F.shiftright("_at", 33)
-    counts = lines.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), at.alias("_part"), F.monotonically_increasing_id().alias("_at")).filter(F.length("line") > 0)
+    counts = lines.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
-    return lines.withColumn("_part", part).join(before, "_part").select((F.col("_before") + inside).cast("long").alias("pos"), "line")
+    return lines.join(before, "_part").select((F.col("_before") + inside).cast("long").alias("pos"), "line")
 
 
 def sequence_names(spark: SparkSession, n: int, suffix: str = ".npz") -> DataFrame:
@@ -73,10 +76,10 @@ def sequence_names(spark: SparkSession, n: int, suffix: str = ".npz") -> DataFra
 
 
 def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("wav", "flac")) -> DataFrame:
-    """(path, stem, size, modified) of the files with one of the extensions; contents are not read."""
+    """(path, stem, size, modified) of the files with one of the extensions, by path; contents are not read."""
     rows = spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    kept = rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
+    kept = rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions)).orderBy("path")
     return kept.select("path", stem.alias("stem"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
@@ -93,3 +96,29 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     line = read_lines(spark, path)
     key, value = F.regexp_extract("line", r"^(\w+):", 1), F.regexp_extract("line", r"^\w+:\s*(-?[0-9.eE+-]+)", 1)
     return line.select(key.alias("key"), value.try_cast("double").alias("value")).filter("key <> '' AND value IS NOT NULL")
+
+
+def read_partials(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """Partial tables that ranks wrote under ``root`` (rank=0, rank=1, ...), with their rank, files and rows in order."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.parquet(root)
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"))
+
+
+def read_arrays(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    """(id, one flat array of doubles per name) of NPZ records, one file each; a missing name is null."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def unpack(frames):
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as record:
+                    rows.append([path.rsplit("/", 1)[-1].removesuffix(".npz"), *(record[n].astype(float).reshape(-1).tolist() if n in record else None for n in names)])
+            yield pd.DataFrame(rows, columns=["id", *names])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).select("path", "content")
+    return files.mapInPandas(unpack, ", ".join(["id string", *(f"`{n}` array<double>" for n in names)]))

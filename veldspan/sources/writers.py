@@ -37,6 +37,24 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
 
 
+def rotate(rows: DataFrame, root: str, keep: int = 2) -> int:
+    """Writes the next version and drops all but the ``keep`` newest (the last and its shadow); returns its number."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    have = sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(at) if f.getPath().getName().startswith("version=")) if files.exists(at) else []
+    number = have[-1] + 1 if have else 0
+    write_version(rows, root, number)
+    for old in have[: len(have) + 1 - keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={old}"), True)
+    return number
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Adds alert rows to a table, stamped with the time; nothing is sent anywhere."""
+    alerts.withColumn("raised_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def fingerprint(rows: DataFrame) -> str:
     """The same for equal multisets of rows, whatever their order."""
     parts = rows.select(F.xxhash64(*rows.columns).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
