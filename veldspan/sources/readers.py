@@ -25,8 +25,8 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t",
 def read_tolerant(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines): lines that do not fit the schema are kept apart, not lost."""
     rows = spark.read.csv(path, schema=f"{schema}, _corrupt STRING", sep=sep, header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-    # Spark refuses plans that read the corrupt lines alone (a count, say), so the first column is looked at too
-    seen = F.length(F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit(""))) >= 0
+    # Spark parses only the columns that a plan reads, and a line is found bad only by a column that is parsed
+    seen = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns if c != "_corrupt"])) >= 0
     return rows.filter("_corrupt IS NULL").filter(seen).drop("_corrupt"), rows.filter("_corrupt IS NOT NULL").filter(seen).withColumnRenamed("_corrupt", "line")
 
 
