@@ -56,6 +56,7 @@ FINE = 64
 BATCH = 4096
 END, ESCAPE = 0, 1
 HEADS, LOGS, TAIL, STATS = 0, 1, 2, 3
+LETTER_MARK = -1  # among the counts of pairs: counts of letters, 0 being the end of a word
 PARTS = ("a", "b", "c", "d", "e", "f", "g")
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -102,15 +103,30 @@ def expand(raw: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], size, "zstd", asbytes=True), dtype) if size else np.zeros(0, dtype)
 
 
-class Code:
+class Tree:
+    """The Huffman code of some symbols."""
+
+    def __init__(self, counts: np.ndarray):
+        self.first, self.node, self.bit = huffman(counts)
+        self.size = np.diff(self.first)
+
+    def expand(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, node, bit, depth) of every code bit."""
+        size = self.size[sym]
+        token = np.repeat(np.arange(len(sym)), size)
+        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        at = self.first[sym][token] + depth
+        return token, self.node[at], self.bit[at], depth
+
+
+class Code(Tree):
     """Head words and their bit codes."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, escapes: int, ends: int):
         order = np.argsort(words)
         self.words = words[order]
-        self.first, self.node, self.bit = huffman(np.concatenate([[max(ends, 1), max(escapes, 1)], counts[order]]) + 1)
+        super().__init__(np.concatenate([[max(ends, 1), max(escapes, 1)], counts[order]]) + 1)
         self.nodes = len(self.words) + 2
-        self.size = np.diff(self.first)
         # code words from the left of 64 bits, and their order
         symbol = np.repeat(np.arange(len(self.size)), self.size)
         place = np.arange(len(self.bit)) - self.first[symbol]
@@ -133,14 +149,6 @@ class Code:
             sym[body] = ESCAPE
         return sym, row, first
 
-    def expand(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token, node, bit, depth) of every code bit."""
-        size = self.first[sym + 1] - self.first[sym]
-        token = np.repeat(np.arange(len(sym)), size)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        at = self.first[sym][token] + depth
-        return token, self.node[at], self.bit[at], depth
-
 
 def slots(context: np.ndarray, token: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     h = context[token] + node.astype(np.uint64) * _M3
@@ -236,10 +244,15 @@ EVIDENCE = _evidence_of_states()
 SURE, STRETCH = np.arange(CONFIDENCE * 256) >> 8, (((np.arange(CONFIDENCE * 256) & 255) - 128) / 14.0).astype(np.float32)
 
 
-def left_out(state: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Packed counts less the bit itself; scaled counts stay."""
-    mine = np.where(bit == 1, state & 255, state >> 8)
-    return state - np.where((mine > 0) & (mine < 255), np.where(bit == 1, 1, 256), 0).astype(np.uint16)
+def _left_out() -> np.ndarray:
+    """Evidence of packed counts less a bit: of 0 in the first half, of 1 in the second; scaled counts stay."""
+    state = np.arange(1 << 16)
+    mine = np.concatenate([state >> 8, state & 255])
+    step = np.repeat([256, 1], 1 << 16)
+    return EVIDENCE[np.tile(state, 2) - np.where((mine > 0) & (mine < 255), step, 0)]
+
+
+LEFT_OUT = _left_out()
 
 
 class Mixer:
@@ -299,10 +312,11 @@ class Mixer:
         place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
         return costs[2 * place + bit]
 
-    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rate: float = 0.04) -> None:
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rate: float = 0.04, batch: int = BATCH) -> None:
         """One pass in order: predict a batch, then move the weights and the map towards it; a bit counts ``times`` times."""
-        for lo in range(0, len(bit), BATCH):
-            part = slice(lo, lo + BATCH)
+        bit, times = bit.astype(np.float32), times.astype(np.float32)
+        for lo in range(0, len(bit), batch):
+            part = slice(lo, lo + batch)
             g, b, n = gate[part], bit[part], times[part]
             flat, z, used = g * CONFIDENCE, self.bias.astype(np.float32)[g], []
             for w, e in zip(self.weights.astype(np.float32), inputs):
@@ -310,7 +324,7 @@ class Mixer:
                 used.append((key, x))
                 z += w.reshape(-1)[key] * x
             z = np.clip(z, np.float32(-7.99), np.float32(7.99))
-            error = (b.astype(np.float32) - 1 / (1 + np.exp(-z))) * n.astype(np.float32)
+            error = (b - 1 / (1 + np.exp(-z))) * n
             total = n.sum()
             step = np.bincount(g, error, minlength=GATES) / total
             self.bias_power += step * step
@@ -369,9 +383,10 @@ def unpack_ids(symbols: bytes, hashes: bytes) -> np.ndarray:
 
 
 class Shared:
-    """What all tasks know: the code, the hot contexts and their tables, the letter tables."""
+    """What all tasks know: the codes of words and letters, the hot contexts and their tables, the letter tables."""
 
-    def __init__(self, code: Code, hot_words: np.ndarray, hot_pairs: np.ndarray, buckets: int):
+    def __init__(self, code: Code, letter_code: Tree, hot_words: np.ndarray, hot_pairs: np.ndarray, buckets: int):
+        self.letter_code = letter_code
         self.code, self.hot_words, self.hot_pairs, self.buckets = code, hot_words, hot_pairs, buckets
         self.tables: list[np.ndarray] = []  # packed counts: no word, hot words, hot pairs
         self.letters: list[np.ndarray] = []
@@ -444,9 +459,10 @@ def _mix_chunk(shared: Shared, mixer: Mixer, single, pair, sym, training, level,
     states[1][hot] = shared.tables[1][slots(single, token[hot], node[hot], HOT_BITS[0])]
     known = np.flatnonzero(n > 0)
     if len(known):
-        inputs, gate = gated([left_out(s[known], bit[known]) for s in states], depth[known])
+        side = bit[known] << 16
+        inputs = [LEFT_OUT[s[known] + side] for s in states]
         for _ in range(rounds):
-            mixer.learn(inputs, gate, bit[known], n[known])
+            mixer.learn(inputs, gate_of(inputs[-1], depth[known]), bit[known], n[known])
     log = mixer.log_of(*gated(states, depth), bit, mixer.luts(), mixer.costs())
     return np.bincount(token, log, minlength=len(sym))[entry]
 
@@ -454,7 +470,11 @@ def _mix_chunk(shared: Shared, mixer: Mixer, single, pair, sym, training, level,
 def gated(states: list[np.ndarray], depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Evidence of packed counts, and the gate: how often both words were seen, and whether the code has run for some bits."""
     inputs = [EVIDENCE[s] for s in states]
-    return inputs, SURE[inputs[-1]] * 2 + (depth >= 4)
+    return inputs, gate_of(inputs[-1], depth)
+
+
+def gate_of(evidence: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    return SURE[evidence] * 2 + (depth >= 4)
 
 
 def score_hot_pairs(shared: Shared, mixer: Mixer, luts, costs, single, pair, sym) -> np.ndarray:
@@ -489,18 +509,14 @@ def letter_contexts(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, li
     return out, hashes, place
 
 
-def letter_bits(data: np.ndarray, first: np.ndarray):
-    """(word, slots by order, bit, gate) of the eight bits of every letter and word end, some letters at a time."""
+def letter_bits(code: Tree, data: np.ndarray, first: np.ndarray):
+    """(word, slots by order, bit, gate) of the code bits of every letter and word end, some letters at a time."""
     out, hashes, _ = letter_contexts(data, first)
     words = np.repeat(np.arange(len(first) - 1), np.diff(first) + 1)
     for lo in range(0, len(out), LETTERS):
         some = slice(lo, lo + LETTERS)
-        letter = out[some].astype(np.int64)
-        at = np.repeat(np.arange(len(letter)), 8)
-        k = np.tile(np.arange(8), len(letter))
-        bit = (letter[at] >> (7 - k)) & 1
-        node = (1 << k) | (letter[at] >> (8 - k))
-        yield words[some][at], [slots(h[some], at, node, LETTER_BITS) for h in hashes], bit, k
+        at, node, bit, depth = code.expand(out[some].astype(np.int64))
+        yield words[some][at], [slots(h[some], at, node, LETTER_BITS) for h in hashes], bit, np.minimum(depth, GATES - 1)
 
 
 def gather_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -562,6 +578,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # all training words counted (the head are the frequent ones), and the pairs of words many tokens follow
     def count_words():
         held = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        letters = np.zeros(256, np.int64)
 
         def add(h, n):
             held[0], at = np.unique(np.concatenate([held[0], h]), return_inverse=True)
@@ -573,7 +590,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             return out
 
         def each(s, rest):
-            w = K.words(s.data, s.offsets)
+            data = K.LOWER[s.data]
+            w = K.words(data, s.offsets, lower=False)
+            letters[:] += np.bincount(data, minlength=256)
+            letters[0] += len(w.hash)
             first = np.concatenate([[0], np.cumsum(np.diff(w.first) + 1)])
             training = ~np.asarray(rest[0].to_numpy(zero_copy_only=False), bool)
             add(*np.unique(w.hash[training[w.doc]], return_counts=True))
@@ -585,7 +605,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             as_array = lambda x: x if isinstance(x, pa.Array) else pa.array(x, pa.int64())
             return {k: pa.concat_arrays([as_array(words[k]), as_array(pairs[k])]) for k in words}
 
-        return each, lambda: flush() if len(held[0]) else None
+        def last():
+            words = flush()
+            both = {"hash": (words["hash"], np.arange(256)), "before": (words["before"], np.full(256, LETTER_MARK)), "n": (words["n"], letters)}
+            return {k: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in v]) for k, v in both.items()}
+
+        return each, last
 
     counted = map_text(rows.select("text", "held_out"), "hash long, before long, n long", count_words).groupBy("hash", "before").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "lm-counts")
@@ -606,7 +631,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # hot contexts: few, as each has more than a share of all tokens
     least = max(2, train_tokens // (HOT_SHARE * buckets))
     hot_words = np.concatenate([[0], np.flatnonzero(symbol_counts[2:] >= least) + 2]).astype(np.uint64)
-    pairs = counted.filter(F.col("before").isNotNull() & (F.col("n") >= least)).select("hash", "before").toPandas()
+    pairs = counted.filter((F.col("before") != LETTER_MARK) & (F.col("n") >= least)).select("hash", "before").toPandas()
+    letters = np.zeros(256, np.int64)
+    for r in counted.filter(F.col("before") == LETTER_MARK).collect():
+        letters[r["hash"]] = r["n"]
+    letters[[0x20, *range(0x09, 0x0E)]] = 0  # never inside a word
 
     def ids_of(column: str) -> np.ndarray:
         h = pairs[column].to_numpy(np.int64).view(np.uint64)
@@ -614,7 +643,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         inside = code.words[at] == h if len(code.words) else np.zeros(len(h), bool)
         return np.where(h == 0, 0, np.where(inside, at.astype(np.uint64) + np.uint64(2), (h >> np.uint64(32)) | np.uint64(1 << 32))).astype(np.uint64)
 
-    model = Shared(code, hot_words, np.sort(contexts(ids_of("hash"), ids_of("before"))[1]), buckets)
+    model = Shared(code, Tree(letters + 1), hot_words, np.sort(contexts(ids_of("hash"), ids_of("before"))[1]), buckets)
     _, node, bit, _ = code.expand(np.arange(len(symbol_counts)))
     each_code = np.repeat(np.concatenate([[n_train, tail_total], symbol_counts[2:]]), np.diff(code.first))
     order_zero = np.bincount(2 * node + bit, each_code, minlength=2 * code.nodes)
@@ -633,7 +662,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sym, _, first = model.code.symbols(w, s.hi - s.lo)
             one, two = token_ids(w, sym, first)
             if slices[0] >= slices[1]:  # now and then: packing takes all slots
-                so_far[:], slices[1] = [pack(t) for t in tables.counts], slices[0] * 5 // 4 + 1
+                so_far[:], slices[1] = [pack(t) for t in tables.counts], slices[0] * 3 // 2 + 1
             slices[0] += 1
             hot = np.flatnonzero(is_in(one, model.hot_words))
             for lo in range(0, len(hot), TOKENS):
@@ -654,9 +683,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for lo in range(0, len(at), TOKENS):
                 some = at[lo : lo + TOKENS]
                 letters, spans = gather_spans(data, w.start[some], w.end[some])
-                for _, found, lbit, gate in letter_bits(letters, spans):
+                for _, found, lbit, gate in letter_bits(model.letter_code, letters, spans):
                     inputs = [EVIDENCE[t[slot]] for t, slot in zip(so_far[len(HOT_BITS) :], found)]
-                    letter_mixer.learn(inputs, gate, lbit, np.ones(len(lbit), np.float32))
+                    letter_mixer.learn(inputs, gate, lbit, np.ones(len(lbit), np.float32), batch=4 * BATCH)
                     for i, slot in enumerate(found):
                         tables.add(len(HOT_BITS) + i, slot, lbit)
 
@@ -737,7 +766,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     held.setdefault((kind, b), []).append((tag, [c[i] for c in cols[3:]]))
         for kind, b in sorted(held):
             group = held.pop((kind, b))
-            out = answer_tokens(group, model) if kind == LOGS else answer_words(group, model.letters, letter_mixer, tail_total, novel)
+            out = answer_tokens(group, model) if kind == LOGS else answer_words(group, model, letter_mixer, tail_total, novel)
             yield batch_of([(b, tag, k, parts, None) for tag, k, parts in out])
 
     out_ddl = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, n_unknown long, n_bytes long, base_log double, log double, text_log double, spelled double"
@@ -847,7 +876,7 @@ def answer_tokens(group: list, model: Shared):
         at += len(row)
 
 
-def answer_words(group: list, tables: list[np.ndarray], mixer: Mixer, tail_total: int, novel: float):
+def answer_words(group: list, model: Shared, mixer: Mixer, tail_total: int, novel: float):
     """(tag, TAIL, rows and sums) for the messages of a bucket, whose words are counted and spelled here."""
     luts, costs = mixer.luts(), mixer.costs()
     letters = np.concatenate([expand(m[0], np.uint8) for _, m in group])
@@ -868,8 +897,8 @@ def answer_words(group: list, tables: list[np.ndarray], mixer: Mixer, tail_total
     for lo in range(0, len(one), TOKENS):
         some = where[lo : lo + TOKENS]
         data, spans = gather_spans(letters, first[some], first[some + 1])
-        for at, found, bit, gate in letter_bits(data, spans):
-            log = mixer.log_of([EVIDENCE[t[f]] for t, f in zip(tables, found)], gate, bit, luts, costs)
+        for at, found, bit, gate in letter_bits(model.letter_code, data, spans):
+            log = mixer.log_of([EVIDENCE[t[f]] for t, f in zip(model.letters, found)], gate, bit, luts, costs)
             spell[lo : lo + len(some)] += np.bincount(at, log, minlength=len(some))
     seen = count > 0
     share = (1 - novel) * count / max(tail_total, 1)
