@@ -92,7 +92,7 @@ def test_myers(pattern, text):
 def test_pigeonhole_finds_every_item_within_budget(data):
     item = data.draw(st.text("abcdefgh ", min_size=30, max_size=60))
     item = D.normalise(item)
-    if len(item) < D.MIN_CHARS:
+    if len(item) < D.SHORT_CHARS:
         return
     k = D.budget(len(item))
     copy = list(item)
