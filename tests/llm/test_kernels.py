@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from veldspan.llm import decontamination as D
 from veldspan.llm import kernel as K
 from veldspan.llm.quality_rules import base_counts
-from veldspan.llm.suffix_array import common_prefixes, suffix_array
+from veldspan.llm.suffix_array import common_prefixes, s_types, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="ab é\n\t#|Z.", max_size=30)), max_size=6)
@@ -72,6 +72,25 @@ def test_suffix_array(x, limit):
     assert common_prefixes(np.array(x, np.int64), sa, limit).tolist() == common
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 700), max_size=60), st.integers(1, 4))
+def test_suffix_array_of_many_characters(x, times):
+    x = x * times  # repeats need the names of names
+    assert suffix_array(np.array(x, np.int64)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def test_suffix_array_recursion():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(900)]
+    once = b" ".join(words[i] for i in rng.integers(0, 900, 3000))
+    text = once + once[:9000] + b"ab" * 300 + b"z" * 200 + once[4000:]
+    t = np.frombuffer(text, np.uint8).astype(np.int64)
+    small = s_types(t)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    assert len({text[a:b] for a, b in zip(lms, lms[1:] + 1)}) > 512  # names of the first recursion
+    assert suffix_array(t).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 def edit_search(pattern: str, text: str) -> int:
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):

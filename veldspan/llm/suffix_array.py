@@ -1,10 +1,14 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in array operations.
 
-Suffixes are classified as smaller (S) or larger (L) than their right neighbour.  The
-substrings between leftmost-S (LMS) positions are sorted and named; if names repeat, the
-string of names is sorted recursively.  The order of the LMS suffixes then induces that of
-all L suffixes in one pass over the character buckets upwards, and of all S suffixes in one
-pass downwards.  A pass handles the entries of a bucket together; characters that repeat
+Suffixes are classified as smaller (S) or larger (L) than their right neighbour.  Leftmost S
+suffixes (LMS), put into the buckets of their characters, induce the order of the substrings
+between them: of all L suffixes in one pass over the buckets upwards, and of all S suffixes
+in one pass downwards.  The substrings are named by their order; if names repeat, the string
+of names is sorted by the same method.  The order of the LMS suffixes found so induces that
+of all suffixes.
+
+A pass handles the entries of a span of buckets together: buckets that put nothing into each
+other.  So an alphabet of many rare names needs few steps.  Characters that repeat
 their neighbour come in further waves, as many as the longest run of one character.
 """
 
@@ -12,8 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 
-SMALL_ALPHABET = 512
-
 
 def s_types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its right neighbour; the last one is not."""
@@ -23,135 +25,139 @@ def s_types(t: np.ndarray) -> np.ndarray:
     return np.repeat(smaller, np.diff(np.append(-1, ends)))
 
 
-def name_substrings(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Numbers of the LMS substrings in their order; equal for equal substrings.
-
-    A substring ends with the next LMS character; after it comes a mark above all
-    characters, as an S suffix is larger than an L suffix with the same start.  The last
-    one ends with the end of the text, which is below all characters.
-    """
-    mark = int(t.max()) + 1
-    bits = int(mark).bit_length()
-    per = max(1, 63 // bits)
-    end = np.append(lms[1:], len(t))
-    padded = np.append(t.astype(np.int64), 0)
-    names = np.zeros(len(lms), np.int64)
-    at, active = 0, np.arange(len(lms))
-    while len(active):
-        chunk = np.zeros(len(active), np.int64)
-        for j in range(per):
-            i = lms[active] + at + j
-            chunk = chunk << bits | np.where(i <= end[active], padded[np.minimum(i, len(t))], mark)
-        # within equal names so far, order by this chunk; the others keep their places
-        order = np.lexsort((chunk, names[active]))
-        a, c = names[active][order], chunk[order]
-        fresh = np.concatenate([[True], (a[1:] != a[:-1])])
-        step = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-        # names leave room: a group's name is the number of substrings before it
-        base = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        first = np.maximum.accumulate(np.where(step, np.arange(len(order)), 0))
-        names[active[order]] = a + first - base
-        at += per
-        active = active[lms[active] + at <= end[active] + 1]  # its mark still counts
-        # only groups of several still need more characters
-        if len(active):
-            _, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
-            active = active[count[inverse[active]] > 1]
-    return np.unique(names, return_inverse=True)[1]
-
-
-def doubled(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array by prefix doubling, for strings of many different names; up to ``depth`` names."""
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    n, step = len(t), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key)
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank[order] = new
-        if new[-1] == n - 1 or step >= min(n, depth or n):
-            return order
-        step *= 2
+def spans(t: np.ndarray, alphabet: int) -> tuple[list[int], list[int]]:
+    """Bounds of the spans of buckets of the pass upwards, and of that downwards, in the order of the pass."""
+    left, right = t[:-1], t[1:]
+    lowest = np.full(alphabet, alphabet, np.int64)  # least character that the bucket's L suffixes go to
+    highest = np.full(alphabet, -1, np.int64)
+    up = left > right
+    np.minimum.at(lowest, right[up], left[up])
+    up = left < right
+    np.maximum.at(highest, right[up], left[up])
+    upward, limit = [0], alphabet
+    for c, to in enumerate(lowest.tolist()):
+        if c >= limit:
+            upward.append(c)
+            limit = alphabet
+        limit = min(limit, to)
+    downward, limit = [alphabet], -1
+    for c, to in zip(range(alphabet - 1, -1, -1), highest[::-1].tolist()):
+        if c <= limit:
+            downward.append(c + 1)
+            limit = -1
+        limit = max(limit, to)
+    return [*upward, alphabet], [*downward, 0]
 
 
 def _append(sa: np.ndarray, pointer: np.ndarray, entries: np.ndarray, symbols: np.ndarray, down: bool) -> None:
     """Puts entries into the buckets of their symbols, in order, at the moving ends."""
     order = np.argsort(symbols, kind="stable")
     symbols = symbols[order]
-    start = np.concatenate([[True], symbols[1:] != symbols[:-1]])
-    rank = np.arange(len(symbols)) - np.maximum.accumulate(np.where(start, np.arange(len(symbols)), 0))
-    sa[pointer[symbols] - rank if down else pointer[symbols] + rank] = entries[order]
-    first = np.flatnonzero(start)
-    count = np.diff(np.append(first, len(symbols)))
-    pointer[symbols[first]] += -count if down else count
-
-
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The starts of the suffixes of ``t`` (integers from 1) in order.
-
-    With ``depth``, suffixes that agree in that many characters may stand in any order.
-    """
+    first = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
+    first = np.concatenate([[0], first, [len(symbols)]])
+    count, first = first[1:] - first[:-1], first[:-1]
+    bucket = symbols[first]
+    end = pointer[bucket]
+    if down:
+        sa[np.repeat(end + first, count) - np.arange(len(symbols))] = entries[order]
+        pointer[bucket] = end - count
+    else:
+        sa[np.repeat(end - first, count) + np.arange(len(symbols))] = entries[order]
+        pointer[bucket] = end + count
+
+
+def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: tuple[list[int], list[int]], counts: np.ndarray) -> np.ndarray:
+    """The suffixes in order, from LMS suffixes in order; from LMS suffixes in any order, the LMS substrings are in order."""
     n = len(t)
-    if n < 2:
-        return np.arange(n)
-    if int(t.max()) > SMALL_ALPHABET:
-        return doubled(t, depth)
-    t = t.astype(np.int16)  # small numbers sort by radix
-    small = s_types(t)
-    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    if len(lms):
-        names = name_substrings(t, lms)
-        if int(names.max()) + 1 < len(names):
-            lms = lms[suffix_array(names + 1, depth and depth // 2 + 1)]  # a name covers two characters at least
-        else:
-            lms = lms[np.argsort(names)]
-    counts = np.bincount(t)
-    alphabet = len(counts)
     tails = np.cumsum(counts)
     heads = tails - counts
+    edge = np.append(heads, n).tolist()
+    repeats = np.append(False, t[1:] == t[:-1])
     sa = np.full(n, -1, np.int32)
-    symbol = t[lms]
-    order = np.argsort(symbol, kind="stable")
-    lms, symbol = lms[order], symbol[order]
-    lms_first = np.searchsorted(symbol, np.arange(alphabet + 1))
+    if len(lms):
+        _append(sa, tails - 1, lms[::-1], t[lms[::-1]], True)
 
-    # upwards: L suffixes from what stands before them
     head = heads.copy()
-    sa[head[t[n - 1]]] = n - 1  # the last suffix is L: before it stands the end
-    head[t[n - 1]] += 1
-    for c in range(alphabet):
-        done = heads[c]
-        while done < head[c]:
-            wave = sa[done : head[c]]
-            done = head[c]
-            before = wave[wave > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                _append(sa, head, before, t[before], False)
-        before = lms[lms_first[c] : lms_first[c + 1]] - 1
+    _append(sa, head, np.array([n - 1], np.int32), t[n - 1 :], False)  # the last suffix is L: before it stands the end
+    for lo, hi in zip(bounds[0], bounds[0][1:]):
+        wave = sa[edge[lo] : edge[hi]]
+        while len(wave):  # L suffixes before which their own character stands
+            wave = wave[wave > 0]
+            before = wave - 1
+            wave = before[repeats[wave] & ~small[before]]
+            if len(wave):
+                _append(sa, head, wave, t[wave], False)
+        here = sa[edge[lo] : edge[hi]]
+        here = here[here > 0]
+        before = here - 1
+        before = before[t[before] > t[here]]
         if len(before):
             _append(sa, head, before, t[before], False)
 
-    # downwards: S suffixes, without the LMS order put in first
+    sa[small[sa] & (sa >= 0)] = -1
     tail = tails - 1
-    for c in range(alphabet - 1, -1, -1):
-        done = tails[c] - 1
-        while done > tail[c]:
-            wave = sa[tail[c] + 1 : done + 1][::-1]
-            done = tail[c]
-            before = wave[wave > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                _append(sa, tail, before, t[before], True)
-        wave = sa[heads[c] : head[c]][::-1]
-        before = wave[wave > 0] - 1
-        before = before[small[before]]
+    for hi, lo in zip(bounds[1], bounds[1][1:]):
+        wave = sa[edge[lo] : edge[hi]][::-1]
+        while len(wave):
+            wave = wave[wave > 0]
+            before = wave - 1
+            wave = before[repeats[wave] & small[before]]
+            if len(wave):
+                _append(sa, tail, wave, t[wave], True)
+        here = sa[edge[lo] : edge[hi]][::-1]
+        here = here[here > 0]
+        before = here - 1
+        before = before[t[before] < t[here]]
         if len(before):
             _append(sa, tail, before, t[before], True)
     return sa
 
 
+def name_substrings(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Numbers of the LMS substrings from 1 on, ``order`` being their order; equal for equal substrings.
+
+    A substring ends with the next LMS character; the last one ends with the end of the
+    text, which is like no other.
+    """
+    size = np.append(np.diff(lms), len(t) - lms[-1])
+    new = np.ones(len(lms), bool)
+    a, b = order[:-1], order[1:]
+    last = len(lms) - 1
+    alike = np.flatnonzero((size[a] == size[b]) & (a != last) & (b != last))
+    length = size[a[alike]] + 1
+    first = np.cumsum(length) - length
+    step = np.arange(int(length.sum())) - np.repeat(first, length)
+    differs = t[np.repeat(lms[a[alike]], length) + step] != t[np.repeat(lms[b[alike]], length) + step]
+    if len(alike):
+        new[alike + 1] = np.add.reduceat(differs, first) > 0
+    names = np.zeros(len(lms), np.int64)
+    names[order] = np.cumsum(new)
+    return names
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The starts of the suffixes of ``t`` (integers from 0, not much above its length) in order."""
+    n = len(t)
+    if n < 2:
+        return np.arange(n)
+    counts = np.bincount(t)
+    if len(counts) <= 1 << 15:
+        t = t.astype(np.int16)  # small numbers sort by radix
+    small = s_types(t)
+    bounds = spans(t, len(counts))
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+    if len(lms) > 1:
+        place = np.full(n, -1, np.int32)
+        place[lms] = np.arange(len(lms))
+        order = place[induce(t, small, lms, bounds, counts)]
+        order = order[order >= 0]
+        names = name_substrings(t, lms, order)
+        if int(names.max()) < len(names):
+            order = suffix_array(names)
+        lms = lms[order]
+    return induce(t, small, lms, bounds, counts)
+
+
 def common_prefixes(t: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     """For each suffix array entry, its common prefix with the entry before, up to ``limit``.
 
