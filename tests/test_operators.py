@@ -81,6 +81,26 @@ def test_running_average(spark):
     assert got == {"a": 2.6, "b": None}
 
 
+def test_running_average_of_a_key_in_many_ranges(spark):
+    rows = [("hot", i, (i * 37 % 101) / 7) for i in range(3000)] + [("hot", 5, 5 * 37 / 7)] * 3
+    rows += [(None, i, float(i)) for i in range(4)] + [("gap", i, None if i == 1 else 1.0) for i in range(9)]
+    rows += [("late gap", i, None if i == 8 else 1.0) for i in range(9)] + [("first", i, None if i == 0 else 2.0) for i in range(3)]
+    points = spark.createDataFrame(rows, "k string, i int, v double").withColumnsRenamed({"v": "_value"})
+
+    def folded(key):
+        v = [x[2] for x in sorted((r for r in rows if r[0] == key), key=lambda r: r[1])]
+        out = v[1]
+        for x in v[2:]:
+            out = None if out is None or x is None else 0.7 * out + 0.3 * x
+        return len(v), out
+
+    got = {r.k: (r.points, r.average) for r in series.running_average(points, "k", ["i"], "_value").collect()}
+    assert set(got) == {r[0] for r in rows}
+    for key, (n, average) in got.items():
+        assert (n, average) == (folded(key)[0], pytest.approx(folded(key)[1], abs=1e-6) if folded(key)[1] is not None else None)
+    assert series.running_average(points.limit(0), "k", ["i"], "_value").count() == 0
+
+
 @pytest.mark.parametrize(("flags", "alerts"), [([1] * 9 + [0], 0), ([1] * 10, 1), ([1] * 11, 1), ([1] * 10 + [0] + [1] * 10, 2)])
 def test_bad_runs_batch_and_stream(spark, tmp_path, flags, alerts):
     rows = spark.createDataFrame([("t", i, bool(f)) for i, f in enumerate(flags)], "k string, i int, bad boolean")

@@ -10,14 +10,33 @@ from pyspark.sql.window import Window
 def running_average(points: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.7) -> DataFrame:
     """(key, points, average): the first value is dropped, the second is the start, then alpha old + (1 - alpha) new.
 
-    A key with one point has no average.
+    A key with one point has no average, nor has one with a null value after its first point.
+    Points alike in ``order`` come by value; a null key is a key.  So that a key of very many points is not one task,
+    points are cut into ranges of keys and order.  A value weighs alpha to the number of points after it: ranges add up their
+    weighted values, and a table of one row for each key and range brings them together.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_value"))))
-    values = F.transform(ordered, lambda x: x["_value"])
-    series = points.groupBy(key).agg(values.alias("_v"))
-    rest = F.slice("_v", 3, F.greatest(F.size("_v") - 2, F.lit(0)))
-    folded = F.aggregate(rest, F.get("_v", F.lit(1)), lambda s, v: s * alpha + v * (1 - alpha))
-    return series.select(key, F.size("_v").alias("points"), F.when(F.size("_v") > 1, F.round(folded, 6)).alias("average"))
+    by = [f"_o{i}" for i in range(len(order))] + ["_value"]
+    rows = points.select(F.col(key).alias("_key"), *[F.col(c).alias(b) for c, b in zip(order, by)], F.col(value).cast("double").alias("_value"))
+    ranged = rows.repartitionByRange("_key", *by).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("_key", "_range")
+    placed = ranged.withColumn("_i", F.row_number().over(inside.orderBy(*by))).withColumn("_n", F.count(F.lit(1)).over(inside))
+    late = F.col("_i") > 2  # the first two of a range may be the first two of the key
+    ranges = placed.groupBy("_key", "_range").agg(
+        F.max("_n").alias("_n"),
+        F.coalesce(F.sum(F.when(late, F.pow(F.lit(alpha), F.col("_n") - F.col("_i")) * F.col("_value"))), F.lit(0.0)).alias("_late"),
+        F.max(F.when(F.col("_i") == 1, F.col("_value"))).alias("_one"),
+        F.max(F.when(F.col("_i") == 2, F.col("_value"))).alias("_two"),
+        F.max(late & F.col("_value").isNull()).alias("_gap"),
+    )
+    others = lambda o: F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("_before", others(F.asc("_range"))).withColumn("_after", others(F.desc("_range")))
+    fading = lambda after: F.pow(F.lit(alpha), F.col("_after") + after)
+    start = F.col("_before") == 0
+    one = F.when(start, F.lit(0.0)).otherwise(F.when(F.col("_before") == 1, F.lit(1.0)).otherwise(1 - alpha) * fading(F.col("_n") - 1) * F.col("_one"))
+    two = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.when(start, F.lit(1.0)).otherwise(1 - alpha) * fading(F.col("_n") - 2) * F.col("_two"))
+    part = F.when(~F.col("_gap"), (1 - alpha) * fading(F.lit(0)) * F.col("_late") + one + two)
+    series = ranges.groupBy("_key").agg(F.sum("_n").cast("int").alias("points"), F.sum(part).alias("_sum"), F.max(part.isNull()).alias("_lost"))
+    return series.select(F.col("_key").alias(key), "points", F.when((F.col("points") > 1) & ~F.col("_lost"), F.round("_sum", 6)).alias("average"))
 
 
 def remaining_seconds(points: DataFrame, key: str, order: list[str], value: str, steps: int, every: int = 1, alpha: float = 0.7) -> DataFrame:
