@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from math import log10
@@ -454,6 +455,19 @@ def test_expectation_maximisation_by_force():
     assert abs(prior - truth.mean()) < 0.08 and np.mean((np.array(p) > 0.5) == truth) > 0.85
 
 
+def test_junk_scorer_reads_words(spark):
+    """Labels alone tell junk here: no ratio does, so the scorer must learn the words."""
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(300)]
+    spam = [f"s{i}" for i in range(12)]
+    text = lambda bad: " ".join(rng.sample(plain, 60) + (rng.sample(spam, 6) if bad else []))
+    rows = [(i, text(i % 4 == 0)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_classifier.classify(docs, labels).collect()}
+    assert [i for i in range(600, 800) if got[i] != (i % 4 != 0)] == []
+
+
 def test_classifier_agrees_with_labels(spark):
     docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
     rows = quality_classifier.classify(docs, labels).join(labels, "doc_id").collect()

@@ -4,7 +4,8 @@ Overlapping heuristic labellers vote good, bad or abstain on two questions, junk
 toxicity; where the labels table covers a document, its entry is one more labeller.
 Expectation-maximisation over the counts of vote patterns estimates each labeller's
 accuracies and the posterior of every pattern.  Posteriors of a bounded sample of
-documents (SAMPLE, a parameter) train a hashed linear scorer, which judges every document.
+documents (SAMPLE, a parameter) train a hashed linear scorer for each question, which judges every
+document: of words and bins of ratios for junk, of words and word beginnings for toxicity.
 
 One labeller is a lexicon: hashed words and word beginnings whose log-odds between toxic
 and other labelled documents of the sample are high.
@@ -64,6 +65,12 @@ class Terms(NamedTuple):
     columns: np.ndarray  # feature numbers, one row for words and one for each prefix length; -1 where too short
 
 
+class Model(NamedTuple):
+    index: np.ndarray  # of each feature number, its column in weights; column 0 is of those that weigh nothing
+    weights: np.ndarray  # one row for junk, one for toxicity
+    bias: list[float]
+
+
 def terms(s: K.Slice) -> Terms:
     data = K.LOWER[s.data]
     w = K.words(data, s.offsets, lower=False, space=_BREAK)
@@ -144,9 +151,18 @@ def posterior(votes: np.ndarray, prior: float, rates: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def ratio_bins(ratio: np.ndarray) -> np.ndarray:
-    """One bin number per ratio: fine near zero, where good and bad meet."""
-    return np.minimum(np.sqrt(np.maximum(ratio, 0)) * BINS, BINS - 1).astype(np.int64) + np.arange(ratio.shape[1]) * BINS
+def ratio_slots(ratio: np.ndarray) -> np.ndarray:
+    """One feature number per ratio, by the hash of its bin: bins are fine near zero, where good and bad meet."""
+    bins = np.minimum(np.sqrt(np.maximum(ratio, 0)) * BINS, BINS - 1).astype(np.int64) + np.arange(ratio.shape[1]) * BINS
+    return (K.mix(bins.astype(np.uint64) + np.uint64(1 << 40)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def telling(doc: np.ndarray, slot: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """True for the slots of words that teach: rare ones, or those about as frequent in good documents, are only noise."""
+    seen = np.bincount(slot, target[doc], minlength=1 << BITS)
+    other = np.bincount(slot, minlength=1 << BITS) - seen
+    lift = seen * (len(target) - target.sum()) >= LIFT * other * target.sum()
+    return lift & (seen >= max(LEXICON_COUNT, LEXICON_SHARE * target.sum()))
 
 
 def train_linear(doc: np.ndarray, feature: np.ndarray, target: np.ndarray, width: int) -> tuple[np.ndarray, float]:
@@ -191,7 +207,7 @@ def learn_lexicon(t: Terms, toxic_label: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"):
-    """The two linear scorers (junk, toxicity) as a broadcast list of (weights, bias)."""
+    """The two linear scorers (junk, toxicity) as a broadcast Model."""
     spark = docs.sparkSession
     workers_find_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -265,29 +281,38 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         pattern = np.array([[r[g] for g in group] for r in patterns], np.int8)
         target = posterior(votes_here, **expectation_maximisation(pattern, counts))
         if kind == 0:
-            feature = ratio_bins(ratio).reshape(-1)
-            doc = np.repeat(np.arange(n_rows), ratio.shape[1])
-            scorers.append(train_linear(doc, feature, target, ratio.shape[1] * BINS))
+            used = telling(t.doc, t.columns[0], target)[t.columns[0]]
+            doc = np.concatenate([np.repeat(np.arange(n_rows), ratio.shape[1]), t.doc[used]])
+            feature = np.concatenate([ratio_slots(ratio).reshape(-1), t.columns[0][used]])
+            order = np.argsort(doc, kind="stable")
+            scorers.append(train_linear(doc[order], feature[order], target, 1 << BITS))
         else:
             flat = t.columns.T.reshape(-1)
             doc = np.repeat(t.doc.astype(np.int32), len(t.columns))
-            seen = np.bincount(flat[flat >= 0], target[doc[flat >= 0]], minlength=1 << BITS)
-            other = np.bincount(flat[flat >= 0], minlength=1 << BITS) - seen
-            # words that are rare, or about as frequent in good documents, teach only noise
-            lift = seen * (len(target) - target.sum()) >= LIFT * other * target.sum()
-            used = (flat >= 0) & ((seen >= max(LEXICON_COUNT, LEXICON_SHARE * target.sum())) & lift)[flat]
+            used = (flat >= 0) & telling(doc[flat >= 0], flat[flat >= 0], target)[flat]
             scorers.append(train_linear(doc[used], flat[used], target, 1 << BITS))
-    return spark.sparkContext.broadcast([(w.astype(np.float32), b) for w, b in scorers])
+    return spark.sparkContext.broadcast(pack(scorers))
+
+
+def pack(scorers: list[tuple[np.ndarray, float]]) -> Model:
+    """The scorers as one table, as most slots weigh nothing."""
+    used = np.flatnonzero(np.any([w != 0 for w, _ in scorers], 0))
+    index = np.zeros(1 << BITS, np.int32)
+    index[used] = np.arange(1, len(used) + 1)
+    weights = np.zeros((len(scorers), len(used) + 1), np.float32)
+    for j, (w, _) in enumerate(scorers):
+        weights[j, 1:] = w[used]
+    return Model(index, weights, [b for _, b in scorers])
 
 
 def judge(model, s: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(junk score, toxicity score, kept) of the rows of a slice."""
-    (wj, bj), (wt, bt) = model
+    index, (for_junk, for_toxic), (junk_bias, toxic_bias) = model
     rows = s.hi - s.lo
     r, t = ratios(s), terms(s)
-    junk = wj[np.minimum(ratio_bins(r), len(wj) - 1)].sum(1) + bj
-    weight = np.where(t.columns >= 0, wt[np.maximum(t.columns, 0)], 0).sum(0)
-    toxic = np.bincount(t.doc, weight, minlength=rows) + bt
+    at = np.where(t.columns >= 0, index[np.maximum(t.columns, 0)], 0)
+    junk = for_junk[index[ratio_slots(r)]].sum(1) + np.bincount(t.doc, for_junk[at[0]], minlength=rows) + junk_bias
+    toxic = np.bincount(t.doc, for_toxic[at].sum(0), minlength=rows) + toxic_bias
     junk, toxic = 1 / (1 + np.exp(-np.clip(junk, -30, 30))), 1 / (1 + np.exp(-np.clip(toxic, -30, 30)))
     empty = np.diff(K.words(s.data, s.offsets).first) == 0
     junk = np.where(empty, 1.0, junk)
