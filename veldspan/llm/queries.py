@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, licenses, lm_scoring, mixing, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import decontamination, jaccard_join, language_id, licenses, lm_scoring, merkle, mixing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_stratified_shards,
         op9_divide_skip_join,
         op10_context_mixing,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
