@@ -140,10 +140,34 @@ SELECT doc_id, leaf, subroot, root.h AS root, sha256(coalesce(p, '')) AS proof_s
 FROM leaves JOIN folded USING (leaf_no) LEFT JOIN proof USING (leaf_no) CROSS JOIN (SELECT h FROM b WHERE n = 1) root
 """
 
+TRIE = f"""
+WITH t AS ({CRC_TABLE}),
+w AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, length(text) AS chars, strlen(role) || ':' || role || strlen(text) || ':' || text AS step,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) - 1 AS place FROM w),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM w), t),
+r AS (SELECT c.conv_id, 0 AS part, place, step, chars FROM c JOIN p ON p.conv_id = c.base AND place < h
+  UNION ALL SELECT p.conv_id, 1, place, step, chars FROM p JOIN c USING (conv_id) WHERE place >= h),
+s AS (SELECT conv_id, chars, step, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM r),
+way AS (SELECT conv_id, depth, chars, md5(string_agg(step, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM s
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+ending AS (SELECT conv_id, max(depth) AS depth FROM way GROUP BY conv_id),
+nodes AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM way GROUP BY depth, node),
+up AS (SELECT n.*, w.node AS above, a.conv_id AS parent FROM nodes n LEFT JOIN way w ON w.conv_id = n.conv_id AND w.depth = n.depth - 1
+  LEFT JOIN nodes a ON a.node = w.node AND a.depth = w.depth),
+kids AS (SELECT depth - 1 AS depth, above AS node, count(*) AS k FROM up WHERE above IS NOT NULL GROUP BY ALL),
+full_nodes AS (SELECT up.*, coalesce(k, 0) AS k FROM up LEFT JOIN kids USING (depth, node)),
+sums AS (SELECT w.depth, w.node, sum((u.k = 0)::INT) AS leaves, sum((u.n - 1) * u.chars) AS saved FROM full_nodes u JOIN way w ON w.conv_id = u.conv_id AND w.depth <= u.depth GROUP BY ALL),
+ends AS (SELECT depth, node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM way JOIN ending USING (conv_id, depth) GROUP BY ALL)
+SELECT conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n AS n_convs, k AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM full_nodes JOIN sums USING (depth, node) LEFT JOIN ends USING (depth, node)
+"""
+
 SQL: dict[str, str] = {
     "op1_curriculum_mix": MIX,
     "op5_divergence_rules": RULES,
     "op8_stratified_shards": SHARDS,
     "op9_divide_skip_join": LINKS,
+    "op12_prefix_trie": TRIE,
     "op13_merkle_manifest": MANIFEST,
 }

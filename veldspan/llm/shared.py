@@ -54,7 +54,12 @@ def group_key(col: Column) -> Column:
 
 
 def running_before(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, rows: int) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows (``rows`` in all) of the group that come before this row in ``order``.
+    """Adds ``out``: the sum of ``value`` over the rows (``rows`` in all) of the group that come before this row in ``order``."""
+    return running_sums(df, group, order, {out: value}, rows)
+
+
+def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], rows: int) -> DataFrame:
+    """Adds for each of ``values`` its sum over the rows (``rows`` in all) of the group that come before this row in ``order``.
 
     A window over a whole group would send a hot group to one task.  Here rows are
     range-sorted by group, order and a number of their own, so that neither a hot group nor
@@ -64,21 +69,16 @@ def running_before(df: DataFrame, group: list[str], order: list[str], value: Col
     """
     spark = df.sparkSession
     width = max(shuffle_width(spark), -(-rows // RANGE_ROWS))
-    numbered = df.withColumn("_value", value).withColumn("_twin", F.monotonically_increasing_id())
+    inputs = {f"_value_{out}": value for out, value in values.items()}
+    numbered = df.withColumns(inputs).withColumn("_twin", F.monotonically_increasing_id())
     ranged = numbered.repartitionByRange(width, *group, *order, "_twin").withColumn("_range", F.spark_partition_id())
     cut = materialise(ranged, "ranges")
-    sums = cut.groupBy(*group, "_range").agg(F.sum("_value").alias("_sum"))
-    over = Window.partitionBy(*group) if group else Window.partitionBy()
-    before = sums.withColumn(
-        "_before",
-        F.coalesce(F.sum("_sum").over(over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_sum")
+    sums = cut.groupBy(*group, "_range").agg(*[F.sum(f"_value_{out}").alias(f"_sum_{out}") for out in values])
+    over = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*group, "_range", *[F.coalesce(F.sum(f"_sum_{out}").over(over), F.lit(0)).alias(f"_before_{out}") for out in values])
     inside = Window.partitionBy(*group, "_range").orderBy(*order, "_twin").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        cut.join(before, [*group, "_range"])
-        .withColumn(out, (F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long"))
-        .drop("_range", "_value", "_before", "_twin")
-    )
+    sum_before = {out: (F.col(f"_before_{out}") + F.coalesce(F.sum(f"_value_{out}").over(inside), F.lit(0))).cast("long") for out in values}
+    return cut.join(before, [*group, "_range"]).withColumns(sum_before).drop("_range", "_twin", *inputs, *[f"_before_{out}" for out in values])
 
 
 def word_count(text: Column) -> Column:
