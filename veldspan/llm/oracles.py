@@ -30,21 +30,23 @@ SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
 FROM p
 """
 
-LINKS = r"""
+JOIN = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 sh AS (SELECT DISTINCT doc_id, s FROM (
-  SELECT doc_id, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM w WHERE len(w) >= 5
-  UNION ALL SELECT doc_id, '/' || array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4)),
+  SELECT doc_id, unnest(list_transform(range(len(w) - $words + 1), lambda i: array_to_string(w[i + 1 : i + $words], ' '))) AS s FROM w WHERE len(w) >= $words
+  UNION ALL SELECT doc_id, '/' || array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND $words - 1)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= $percent * (x.n + y.n - k)),
 sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, sym.b FROM r JOIN sym ON r.b = sym.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.b AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id
 """
+LINKS = JOIN.replace("$words", "5").replace("$percent", "75")
+NEAR = f"SELECT *, doc_id = component_id AS kept FROM ({JOIN.replace('$words', '4').replace('$percent', '80')})"
 
 #: CRC-32 by its table, which is made from the polynomial.
 SHARDS = f"""
@@ -168,6 +170,7 @@ SQL: dict[str, str] = {
     "op5_divergence_rules": RULES,
     "op8_stratified_shards": SHARDS,
     "op9_divide_skip_join": LINKS,
+    "op11_superminhash": NEAR,
     "op12_prefix_trie": TRIE,
     "op13_merkle_manifest": MANIFEST,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, licenses, lm_scoring, merkle, mixing, prefix_trie, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import decontamination, jaccard_join, language_id, licenses, lm_scoring, merkle, minhash, mixing, prefix_trie, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_stratified_shards,
         op9_divide_skip_join,
         op10_context_mixing,
+        op11_superminhash,
         op12_prefix_trie,
         op13_merkle_manifest,
     )
