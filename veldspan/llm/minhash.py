@@ -11,10 +11,10 @@ Banding.  ROWS components in a row make a band; nodes alike in a band are candid
 0.8, a pair of nodes shares none of the bands with a probability of 5e-8, less above.  A group of nodes
 alike in a band is compared with its smallest node first; pairs whose signatures agree in fewer than LEAST of the
 M components (more than five deviations below 0.8) are dropped, and the others are verified on their full sets.
-What the links join needs no more comparing.  Groups that still hold several components are compared
-signature by signature in one task up to GROUP nodes; larger ones are first split by a second band, and
-where that leaves groups as large, dealt into pairs of chunks, so that no task holds a large group.
-No pair of one component is ever written out.
+What the links join needs no more comparing.  Groups that still hold several components are compared in one task
+up to GROUP nodes, by signature, by a bitmap of the set and at last by full sets; larger ones are first split by
+a second band, and where that leaves groups as large, dealt into pairs of chunks, so that no task holds a
+large group.  No pair of one component is ever looked at, and only links that join components are written.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .components import connected_components
-from .jaccard_join import keyed
+from .components import Forest, connected_components
+from .jaccard_join import bitmap_distance, keyed, parity_bitmaps
 from .shared import map_text, materialise, workers_find_package
 
 WORDS = 4
@@ -43,6 +43,11 @@ _ROUND = K.mix(np.arange(1, 2 * M + 1, dtype=np.uint64))
 EMPTY = np.uint64(2**64 - 1)
 
 
+def needed(a, b):
+    """Least overlap at which sets of sizes a and b link."""
+    return -(-PERCENT * (a + b) // (100 + PERCENT))
+
+
 def signatures(h: np.ndarray, o: np.ndarray) -> np.ndarray:
     """SuperMinHash signatures (rows x M, 64 bits) of sets given as hashes and row offsets; empty sets are all EMPTY."""
     n = len(o) - 1
@@ -88,7 +93,7 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, n, digest, sketch, bands) of every row; digest (of the whole set), sketch and bands are null for empty sets."""
+    """(doc_id, key, n, digest, sketch, bitmap, bands) of every row; those of the set but n are null for empty sets."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def task():
@@ -97,6 +102,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             n, sig = np.diff(o), signatures(h, o)
             none = n == 0
             bands = pa.ListArray.from_arrays(np.arange(0, (len(n) + 1) * (M // ROWS), M // ROWS, dtype=np.int32), bands_of(sig).view(np.int64).ravel())
+            maps = parity_bitmaps(h, o)
             low = sig.astype(np.uint8)  # equal components are equal in their last byte
             pick = pa.array(np.where(none, None, np.arange(len(n))), pa.int64())
             return {
@@ -105,12 +111,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 "n": n,
                 "digest": set_digests(h, o),
                 "sketch": K.packed(low.ravel(), np.arange(len(n) + 1) * M).take(pick),
+                "bitmap": maps.take(pick),
                 "bands": bands.take(pick),
             }
 
         return each, None
 
-    return map_text(keyed(docs, id_col, text_col), f"doc_id {id_type}, key string, n long, digest binary, sketch binary, bands array<long>", task)
+    return map_text(keyed(docs, id_col, text_col), f"doc_id {id_type}, key string, n long, digest binary, sketch binary, bitmap binary, bands array<long>", task)
 
 
 def set_digests(h: np.ndarray, o: np.ndarray) -> pa.Array:
@@ -127,35 +134,65 @@ def _alike(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok)], names=["a", "b", "size", "ok"])
 
 
-def _compare(batches):
-    """Pairs of different components whose sketches agree, within each part; rows (part, node, label, sketch) come sorted by part."""
-
-    def pairs(nodes, labels, maps):
-        node, label, x = np.array(nodes), np.array(labels), np.frombuffer(b"".join(maps), np.uint8).reshape(-1, M)
-        node, once = np.unique(node, return_index=True)
-        label, x, a, b = label[once], x[once], [], []
-        if (label == label[0]).all():
-            return None
-        for i in range(len(node) - 1):
-            rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            hit = rest[(x[rest] == x[i]).sum(1) >= LEAST]
-            a.append(np.full(len(hit), node[i]))
-            b.append(node[hit])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+def may_link(label: np.ndarray, n: np.ndarray, x: np.ndarray, maps: list[bytes]):
+    """(i, others): for each node of a part, the later ones of other components that it may link with.
 
-    part, nodes, labels, maps = None, [], [], []
+    Sketches are compared first, then parity bitmaps: two sets that link cannot differ in more bits than in elements.
+    """
+    for i in range(len(n) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        rest = rest[(x[rest] == x[i]).sum(1) >= LEAST]
+        if len(rest):
+            different = n[rest] + n[i] - 2 * needed(n[rest], n[i])
+            rest = rest[[bitmap_distance(maps[i], maps[j]) <= most for j, most in zip(rest.tolist(), different.tolist())]]
+            if len(rest):
+                yield i, rest
+
+
+def _parts(batches, columns: int):
+    """(part, columns) of each part; rows come sorted by part, each node once."""
+    part, held = None, [[] for _ in range(columns)]
     for batch in batches:
-        for p, n, g, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if p != part and nodes:
-                if (found := pairs(nodes, labels, maps)) is not None:
-                    yield found
-                nodes, labels, maps = [], [], []
+        for p, *row in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(1, columns + 1))):
+            if p != part and held[0]:
+                yield part, held
+                held = [[] for _ in range(columns)]
             part = p
-            nodes.append(n)
-            labels.append(g)
-            maps.append(m)
-    if nodes and (found := pairs(nodes, labels, maps)) is not None:
-        yield found
+            for out, value in zip(held, row):
+                out.append(value)
+    if held[0]:
+        yield part, held
+
+
+def _may_link(batches):
+    """The nodes of each part (part, node, label, n, sketch, bitmap) that may link with one of another component."""
+    for part, (node, label, n, sketch, maps) in _parts(batches, 5):
+        hit = np.zeros(len(node), bool)
+        for i, rest in may_link(np.array(label), np.array(n), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, M), maps):
+            hit[i] = True
+            hit[rest] = True
+        if hit.any():
+            found = np.array(node)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part), pa.int64()), pa.array(found, pa.int64())], names=["part", "node"])
+
+
+def _link(batches):
+    """Links that join components within each part (part, node, label, n, sketch, bitmap, shingles); none within a component."""
+    for _, (node, label, n, sketch, maps, raw) in _parts(batches, 6):
+        names, label = np.unique(label, return_inverse=True)
+        forest, sets, a, b = Forest(len(names)), [np.frombuffer(r, np.uint64) for r in raw], [], []
+        for i, rest in may_link(label, np.array(n), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, M), maps):
+            for j in rest.tolist():
+                if forest.find(int(label[i])) == forest.find(int(label[j])):
+                    continue
+                place = np.minimum(np.searchsorted(sets[i], sets[j]), n[i] - 1)
+                both = int((sets[i][place] == sets[j]).sum())
+                if 100 * both >= PERCENT * (n[i] + n[j] - both):
+                    forest.union(int(label[i]), int(label[j]))
+                    a.append(node[i])
+                    b.append(node[j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _verify(batches):
@@ -209,16 +246,21 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def open_groups(members: DataFrame) -> DataFrame:
-    """(part, size, main) of the parts of ``members`` (part, node, label) that hold several components."""
-    counts = members.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("main"), F.max("label").alias("_most"))
-    return counts.filter("main <> _most").drop("_most")
+def open_parts(members: DataFrame) -> DataFrame:
+    """(part, size, main) of the parts of ``members`` (part, node, label) that hold several components, alike parts once."""
+    name = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"_name{i}") for i in (0, 1)]
+    counts = members.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("main"), F.max("label").alias("_most"), *name)
+    return counts.filter("main <> _most").groupBy("size", "_name0", "_name1").agg(F.min("part").alias("part"), F.any_value("main").alias("main")).select("part", "size", "main")
+
 
+def open_links(met: DataFrame, labels: DataFrame, facts: DataFrame, full: DataFrame, group: int) -> DataFrame:
+    """Links that join components in groups of more than two nodes that have several.
 
-def open_pairs(met: DataFrame, labels: DataFrame, sketch: DataFrame, group: int) -> DataFrame:
-    """Alike pairs of different components in groups of more than two nodes that have several components."""
+    A task gets the facts (node, n, sketch, bitmap) of a part of at most ``group`` nodes; only nodes that may link with another
+    component are met again with their full sets, and only links that join components come out.
+    """
     members = labelled(met.filter("size > 2").select(F.col("key").alias("part"), "node"), labels)
-    members = materialise(members.join(open_groups(members).hint("merge"), "part"), "minhash-open")
+    members = materialise(members.join(open_parts(members).hint("merge"), "part"), "minhash-open")
     parts = [members.filter(F.col("size") <= group).select("part", "node", "label")]
     large = members.filter(F.col("size") > group)
     if large.limit(1).count():
@@ -228,18 +270,21 @@ def open_pairs(met: DataFrame, labels: DataFrame, sketch: DataFrame, group: int)
         split = several.select("node", "label", "outside", F.explode(twice).alias("part"))
         outside = split.filter("outside").select("part").distinct()
         split = materialise(split.join(outside, "part", "left_semi").select("part", "node", "label"), "minhash-split")
-        again = split.join(open_groups(split).hint("merge"), "part")
+        again = split.join(open_parts(split).hint("merge"), "part")
         parts.append(again.filter(F.col("size") <= group).select("part", "node", "label"))
         chunks = F.ceil(2 * F.col("size") / group)
         mine = F.pmod(F.xxhash64("node"), chunks)
         dealt = again.filter(F.col("size") > group).withColumns({"_mine": mine, "_other": F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))})
-        dealt = dealt.select(F.xxhash64("part", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("part"), "node", "label")
-        parts.append(dealt)
+        parts.append(dealt.select(F.xxhash64("part", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("part"), "node", "label"))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    rows = rows.join(sketch.hint("merge"), "node").select("part", "node", "label", "sketch").repartition("part").sortWithinPartitions("part")
-    return rows.mapInArrow(_compare, "a long, b long").distinct()
+    columns = ["part", "node", "label", "n", "sketch", "bitmap"]
+    rows = materialise(rows.join(facts.hint("merge"), "node").select(columns), "minhash-parts")
+    near = rows.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_may_link, "part long, node long")
+    again = materialise(rows.join(near.hint("merge"), ["part", "node"]), "minhash-again")
+    sets = again.join(full.hint("merge"), "node").select(*columns, "shingles")
+    return materialise(sets.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_link, "a long, b long"), "minhash-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -253,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     workers_find_package(docs.sparkSession)
     rows = materialise(sketches(docs, id_col, text_col), "minhash-rows")
     nodes = rows.filter("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("low"), F.min("key").alias("key"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")
+        F.min("doc_id").alias("low"), F.min("key").alias("key"), F.max("n").alias("n"), *[F.any_value(c).alias(c) for c in ("sketch", "bitmap", "bands")]
     )
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     sketch = nodes.select("node", "sketch")
@@ -275,9 +320,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = tried.join(ends("a"), "a", "left").join(ends("b"), "b", "left").filter("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
     links = links.union(verified(materialise(apart, "minhash-apart"), full, "minhash-links"))
     labels = connected_components(links)
-    rest = materialise(open_pairs(met, labels, sketch, group).join(tried.hint("merge"), ["a", "b"], "left_anti"), "minhash-rest")
-    if rest.limit(1).count():
-        labels = connected_components(links.union(verified(rest, full, "minhash-links")))
+    more = open_links(met, labels, nodes.select("node", "n", "sketch", "bitmap"), full, group)
+    if more.limit(1).count():
+        labels = connected_components(links.union(more))
 
     classes = nodes.select("node", "digest", "low").join(labels, "node", "left")
     lowest = classes.filter("label is not null").groupBy("label").agg(F.min("low").alias("component_id"))
