@@ -142,7 +142,8 @@ def test_training_time_inverts_the_integral(spark):
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_sql_twins(spark, name):
     connection = duckdb.connect()
-    connection.sql(f"CREATE VIEW documents AS FROM '{SMALL}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        connection.sql(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
     df = queries.queries()[name](spark, SMALL)
     columns = sorted(df.columns)
     plain = lambda x: round(float(x), 6) if isinstance(x, float) else x

@@ -18,7 +18,8 @@ of hot words, and of pairs that are hot themselves, are in tables of a fixed siz
 Tokens after a hot pair are scored where they are read, by a mixer that all tasks learn in part.
 Each bucket learns the weights and the map from all its training tokens, each bit being left
 out of its own counts, some contexts at a time, and scores those contexts after it has learned from them.
-So all tokens under a context are scored by one model, whose probabilities add up to one.
+So all tokens under a context are scored by one model, whose probabilities add up to one.  The number of buckets follows
+from the bytes of training text, and held-out texts have no part in any count, code, chunk or order of learning.
 
 The score is the log10 probability over the events of the base score: training words, one
 class of all unknown words, and the end.  ``bits_per_byte`` are the bits that tell the text's
@@ -41,6 +42,8 @@ from .shared import arrow_schema, map_text, materialise, shuffle_width, workers_
 MODULUS, HELD_OUT = 5, 1
 DISTINCT = 1 << 20  # words a task counts before it sends them on
 HEAD = 32_768
+BUCKET_BYTES, MOST_BYTES, BUCKETS = 8 << 20, 32 << 20, (8, 256)
+MANY = 4
 MIN_HEAD_COUNT = 3
 HOT_BITS = (20, 18)  # table sizes for hot words and hot pairs of words
 HOT_SHARE = 4  # a context is hot if it has more than a quarter of a bucket's mean
@@ -426,20 +429,43 @@ def node_states(code: Code, context: np.ndarray, sym: np.ndarray, times: np.ndar
     return out
 
 
+def whole_runs(keys: np.ndarray, size: int) -> list[int]:
+    """Where to cut sorted keys so that a part has at least ``size`` of them and no key is in two; the first is 0, the last all."""
+    starts, cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), [0]
+    while cuts[-1] < len(keys):
+        at = np.searchsorted(starts, cuts[-1] + size)
+        cuts.append(int(starts[at]) if at < len(starts) else len(keys))
+    return cuts
+
+
 def mix_tokens(shared: Shared, mixer: Mixer, one: np.ndarray, two: np.ndarray, sym: np.ndarray, training: np.ndarray) -> np.ndarray:
-    """log10 probability of each token of a bucket, none under a hot pair; the mixer learns on the way."""
+    """log10 probability of each token of a bucket, none under a hot pair; the mixer learns on the way.
+
+    Chunks are cut by training tokens alone, so other tokens change nothing of what is learned, nor when.
+    """
     single, pair = contexts(one, two)
     level = shared.level(one, pair)
     group = np.where(level == 0, single, pair)  # contexts whose counts are made here stay together
     order = np.argsort(group)
-    starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
-    log, lo = np.zeros(len(sym)), 0
-    while lo < len(order):
-        cut = np.searchsorted(starts, lo + TOKENS)
-        hi = int(starts[cut]) if cut < len(starts) else len(order)
-        use = order[lo:hi]
-        log[use] = _mix_chunk(shared, mixer, single[use], pair[use], sym[use], training[use], level[use], 2 if lo == 0 else 1)
-        lo = hi
+    group, learns = group[order], training[order] > 0
+    mine = group[learns]
+    edges = mine[whole_runs(mine, TOKENS)[1:-1]]
+    cuts = [0, *np.searchsorted(group, edges).tolist(), len(group)]
+    log = np.zeros(len(sym))
+
+    def chunk(use: np.ndarray, rounds: int) -> np.ndarray:
+        return _mix_chunk(shared, mixer, single[use], pair[use], sym[use], training[use], level[use], rounds)
+
+    for number, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        rounds, use = 1 if number else 2, order[lo:hi]
+        if hi - lo > MANY * TOKENS:  # mostly tokens that are not learned from: these are scored in pieces
+            if learns[lo:hi].any():
+                chunk(use[learns[lo:hi]], rounds)
+            pieces = whole_runs(group[lo:hi], TOKENS)
+            for a, b in zip(pieces, pieces[1:]):
+                log[use[a:b]] = chunk(use[a:b], 0)
+        elif hi > lo:
+            log[use] = chunk(use, rounds)
     return log
 
 
@@ -534,6 +560,14 @@ def new_words(w: K.Words, sym: np.ndarray, first: np.ndarray, seen: np.ndarray)
     return at[np.unique(w.hash[at], return_index=True)[1]]
 
 
+def bucket_count(n_bytes: int) -> int:
+    """Buckets by the bytes of training text alone: what is learned doesn't change with the cluster.
+
+    A bucket has 8 MB, beyond 256 buckets up to 32 MB.
+    """
+    return max(BUCKETS[0], min(-(-n_bytes // BUCKET_BYTES), BUCKETS[1]), -(-n_bytes // MOST_BYTES))
+
+
 def new_share(once: int, tokens: int) -> float:
     """The share of new words among tokens outside the head: of those seen once, half a token added to either side."""
     return (once + 0.5) / (tokens + 1)
@@ -572,8 +606,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
     train = rows.filter(~F.col("held_out"))
-    n_train = train.count()
-    buckets = 2 * shuffle_width(spark)
+    n_train, n_bytes = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = bucket_count(n_bytes)
 
     # all training words counted (the head are the frequent ones), and the pairs of words many tokens follow
     def count_words():
@@ -595,8 +629,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             letters[:] += np.bincount(data, minlength=256)
             letters[0] += len(w.hash)
             first = np.concatenate([[0], np.cumsum(np.diff(w.first) + 1)])
-            training = ~np.asarray(rest[0].to_numpy(zero_copy_only=False), bool)
-            add(*np.unique(w.hash[training[w.doc]], return_counts=True))
+            add(*np.unique(w.hash, return_counts=True))
             one, two, n = hot_pairs_of(w, first, max(2, int(first[-1]) // (HOT_SHARE * buckets)))
             words = flush() if len(held[0]) >= DISTINCT else None
             pairs = {"hash": one.view(np.int64), "before": pa.array(two.view(np.int64)), "n": n}
@@ -612,7 +645,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         return each, last
 
-    counted = map_text(rows.select("text", "held_out"), "hash long, before long, n long", count_words).groupBy("hash", "before").agg(F.sum("n").alias("n"))
+    counted = map_text(train.select("text"), "hash long, before long, n long", count_words).groupBy("hash", "before").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "lm-counts")
     words_of = counted.filter("before is null")
     head = words_of.filter(F.col("n") >= MIN_HEAD_COUNT).orderBy(F.desc("n"), "hash").limit(HEAD).select("hash", "n").toPandas()
@@ -678,8 +711,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     tables.add(i, slots(context, token, node, HOT_BITS[i]), bit)
             # letters: each word that is not in the head, once a task; coded by the slices before
             at = new_words(w, sym, first, seen[0])
-            known = seen[0] if len(seen[0]) < DISTINCT else seen[0][:0]
-            seen[0] = np.sort(np.concatenate([known, w.hash[at]]), kind="stable")  # two sorted runs
+            seen[0] = np.sort(np.concatenate([seen[0], w.hash[at]]), kind="stable")  # two sorted runs; a task's input bounds them
             for lo in range(0, len(at), TOKENS):
                 some = at[lo : lo + TOKENS]
                 letters, spans = gather_spans(data, w.start[some], w.end[some])
