@@ -35,7 +35,7 @@ WORDS = 4
 PERCENT = 80
 M, ROWS = 128, 4
 LEAST = 77
-GROUP = 1024
+GROUP = 4096
 STAR = 256  # sets that are compared with one copy of a star's centre
 REPLAY = 4  # rounds without a table of permutations
 
