@@ -11,6 +11,7 @@ from veldspan.functions import text as T
 from veldspan.functions import vectors as V
 from veldspan.functions.ordering import with_position
 from veldspan.operators import candidates, lookup, metrics, sampling, segment, series, validate
+from veldspan.streaming import progress
 from veldspan.streaming.progress import drain, publish, run_lengths
 
 
@@ -111,11 +112,48 @@ def test_bad_runs_batch_and_stream(spark, tmp_path, flags, alerts):
     assert any(r.alert for r in got) == bool(alerts)
 
 
-def test_publish(spark, tmp_path):
-    spark.range(5).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).groupBy().count()
-    publish(stream, str(tmp_path / "board"), str(tmp_path / "history"), str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "board")).first()[0] == 5 and spark.read.json(str(tmp_path / "history")).count() == 1
+def test_publish_writes_a_batch_once(spark, tmp_path):
+    """The second run adds its own batch; a batch that runs again after its write changes nothing."""
+    paths = [str(tmp_path / x) for x in ("board", "history", "check")]
+    for i in range(2):
+        spark.range(5 * i, 5 * i + 5).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = progress.stream_table(spark, str(tmp_path / "in")).groupBy().count()
+        publish(stream, *paths).awaitTermination()
+        assert progress.latest(spark, paths[0]).first()[0] == 5 * i + 5
+        assert spark.read.parquet(paths[1]).count() == i + 1
+    write = progress.once(str(tmp_path / "once"))
+    for rows in (spark.range(3), spark.range(8)):
+        write(rows, 0)
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 3
+
+
+def test_a_partitioned_table_is_streamed_whole(spark, tmp_path):
+    rows = spark.range(1000).withColumn("part", F.col("id") % 2)
+    rows.write.partitionBy("part").parquet(str(tmp_path / "events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "plain.parquet"))
+    one = next((tmp_path / "plain.parquet").glob("part*"))
+    for path in (tmp_path / "events.parquet", tmp_path / "plain.parquet", one):
+        assert drain(spark, progress.stream_table(spark, str(path)), "append").count() == 1000
+
+
+def test_run_alerts_wait_for_late_points(spark, tmp_path):
+    """Points that arrive out of order within the watermark give the alerts of their order in time; silence ends a run."""
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda minute: start + dt.timedelta(minutes=minute)
+    batches = [
+        [("a", at(2), 2, True), ("a", at(0), 0, True), ("b", at(1), 10, True), ("b", at(2), 11, None)],
+        [("a", at(1), 1, True), ("a", at(3), 3, True), ("b", at(3), 12, True), ("b", at(4), 13, True), (None, at(3), 30, True)],
+        [("a", at(300), 4, False), ("b", at(200), 14, True), ("b", None, 15, True)],
+        [("a", at(600), 5, True), ("b", at(601), 16, True)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, ts timestamp, n long, bad boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for idle, want in ((None, [("a", 2), ("b", 14)]), ("1 hour", [("a", 2)])):
+        stream = progress.stream_table(spark, str(tmp_path / "in"), 1)
+        got = drain(spark, progress.run_alerts(stream, "k", "ts", "n", "bad", 3, "10 minutes", idle), "append").collect()
+        assert sorted((r.key, r.n) for r in got) == want
 
 
 def test_trailing_flags(spark):
@@ -209,3 +247,24 @@ def test_full_frechet_distance(spark):
     assert got.dims == 4 and abs(got.frechet - want) < 1e-5
     same = metrics.frechet_full(frame(a), frame(a), "e").first()
     assert abs(same.frechet) < 1e-5
+
+
+def test_nearest_items_in_many_parts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (180, 4)).astype(float)  # many equal scores, some zero vectors
+    rows = [(i, int(i % 3), v.tolist()) for i, v in enumerate(x)] + [(900, 0, None), (901, 1, [float("nan")] * 4)]
+    items = spark.createDataFrame(rows, "id long, label int, v array<float>").repartition(3)
+    queries = items.filter("id % 4 = 0")
+    good = [i for i in range(180) if x[i].any()]
+    unit = {i: x[i] / np.linalg.norm(x[i]) for i in good}
+    want = {(q, i) for q in good if q % 4 == 0 for _, i in sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in good if i != q)[:5]}
+    for sizes in ({}, {"query_rows": 10, "item_rows": 16}):
+        near = metrics.nearest_items(queries, items, "id", "label", "v", 5, **sizes)
+        got = [(r.q, r.i) for r in near.collect()]
+        assert len(got) == len(want) and set(got) == want
+    same = np.mean([any(i % 3 == q % 3 for a, i in want if a == q) for q in {q for q, _ in want}])
+    row = metrics.recall_at_k(queries, items, "id", "label", "v", 5, query_rows=10, item_rows=16).first()
+    assert row.queries == len({q for q, _ in want}) and row.recall == pytest.approx(same, abs=1e-6)
+    assert metrics.recall_at_k(queries.limit(0), items, "id", "label", "v", 5).first().queries == 0

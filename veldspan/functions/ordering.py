@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-MAX_RANGES = 10_000
+from .ranges import Scan
 
 
 def seeded_unit(seed: str, key: Column) -> Column:
@@ -19,28 +15,24 @@ def seeded_unit(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_position(df: DataFrame, order: str, *ties: str, name: str = "pos") -> DataFrame:
-    """Adds the dense position (from 0) of each row in the order of a numeric column, then ``ties``; nulls last.
+def with_position(df: DataFrame, order: str, *ties: str, name: str = "pos", keys: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
+    """Adds the dense position (from 0) of each row of its key in the order of a column (of any type), then ``ties``; nulls last.
 
-    Rows are cut into about sqrt(rows) ranges at approximate quantiles (a binary search per
-    row); a table with one row a range holds what comes before it, and only the rows of
-    one range meet in a window.
+    Rows alike in all of these come as they stand in the input.  ``total`` names a column for the rows
+    of the key.  Rows are counted by range; only the rows of one range meet in a window.
     """
-    rows = df.count()
-    parts = min(MAX_RANGES, max(1, math.isqrt(rows)))
-    value = F.col(order).cast("double")
-    bounds = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], MAX_RANGES)).first()[0] if parts > 1 else None
-    edges = [-math.inf, *sorted(set(bounds or [0.0])), math.inf]
-    cut = Bucketizer(splits=edges, inputCol="_value", outputCol="_part", handleInvalid="keep").transform(df.withColumn("_value", value))
-    sums = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_last(), *ties))
-    return cut.join(before, "_part").withColumn(name, (F.col("_before") + inside - 1).cast("long")).drop("_part", "_before", "_value")
-
-
-def equal_frequency(position: Column, rows: int, levels: int) -> Column:
+    scan = Scan(df, list(keys), [F.col(order).isNull(), *[F.col(c) for c in (order, *ties)]])
+    handed = {"_before": F.coalesce(F.sum("_n").over(scan.before()), F.lit(0))}
+    if total:
+        handed[total] = F.sum("_n").over(Window.partitionBy("_key"))
+    placed = scan.carrying({"_n": F.count(F.lit(1))}, handed)
+    placed = placed.withColumn(name, (F.col("_before") + F.row_number().over(scan.inside) - 1).cast("long"))
+    return scan.finished(placed, name, *([total] if total else []))
+
+
+def equal_frequency(position: Column, rows: Column, levels: int) -> Column:
     """The level (from 0) of a dense position when ``rows`` rows are dealt to equal levels, larger ones first."""
-    size, more = divmod(rows, levels)
+    size, more = F.floor(rows / levels), rows % levels
     cut = more * (size + 1)
-    late = F.lit(more) + F.floor((position - cut) / max(size, 1))
+    late = more + F.floor((position - cut) / F.greatest(size, F.lit(1)))
     return F.when(position < cut, F.floor(position / (size + 1))).otherwise(late).cast("int")

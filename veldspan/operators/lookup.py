@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import with_running_sum
+from .intervals import interval_join
+
 
 def last_caption(captions: DataFrame, id_col: str, pos_col: str, caption_col: str) -> DataFrame:
     """One caption per id: the one that comes last."""
@@ -53,14 +56,15 @@ def override(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Da
 def locate(indexes: DataFrame, sources: DataFrame, index_col: str) -> DataFrame:
     """Global index -> (source, local index) over sources laid end to end; negative indexes count from the end.
 
-    ``sources`` has (source, ordinal, size), one row per concatenated dataset; an index out of range finds none.
+    ``sources`` has (source, ordinal, size), one row per concatenated dataset, however many; an index out of range
+    finds none.
     """
-    from pyspark.sql.window import Window
-
-    ends = sources.withColumn("end", F.sum("size").over(Window.orderBy("ordinal")))
-    ends = ends.withColumn("start", F.col("end") - F.col("size")).withColumn("total", F.max("end").over(Window.partitionBy()))
-    at = F.when(F.col(index_col) < 0, F.col("total") + F.col(index_col)).otherwise(F.col(index_col))
-    return indexes.join(ends, (at >= F.col("start")) & (at < F.col("end"))).select(index_col, "source", (at - F.col("start")).alias("local_index"))
+    laid = with_running_sum(sources, [], [F.col("ordinal")], F.col("size").cast("long"), "start")
+    total = laid.agg(F.sum("size").alias("_total"))  # one row
+    spans = laid.select("source", "start", (F.col("start") + F.col("size")).alias("end"))
+    at = F.when(F.col(index_col) < 0, F.col("_total") + F.col(index_col)).otherwise(F.col(index_col))
+    placed = indexes.crossJoin(F.broadcast(total)).select(index_col, at.cast("long").alias("_at"))
+    return interval_join(placed, spans, "_at", "start", "end").select(index_col, "source", (F.col("_at") - F.col("start")).alias("local_index"))
 
 
 def padded_key(col, width: int, prefix: str = "", suffix: str = ""):

@@ -109,20 +109,107 @@ def frechet_full(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
     return a.sparkSession.createDataFrame([(round(distance, 6), len(ma))], "frechet double, dims long")
 
 
-def recall_at_k(queries: DataFrame, items: DataFrame, id_col: str, label: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """One row: the share of queries with an item of their label among the k nearest others by cosine.
+def _best(k: int, width: int, chunk: int):
+    """The k best items of each query in a part; rows (part, item, id, label, vector) come sorted, queries first."""
+    import pyarrow as pa
 
-    The query set meets the items in blocks; each block keeps its k best per query before
-    the blocks' survivors are ranked together.
+    def matrix(column) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors of the rows whose vector has a length, and which rows these are."""
+        whole = np.flatnonzero(np.asarray(column.value_lengths().fill_null(0)) == width)
+        x = column.take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(whole), -1)
+        length = np.sqrt((x * x).sum(1, keepdims=True))
+        good = (length[:, 0] > 0) & np.isfinite(x).all(1)
+        return x[good] / length[good], whole[good]
+
+    class Part:
+        def __init__(self):
+            self.q, self.ids, self.labels = [], [], []
+            self.best = None
+
+        def add(self, ids, labels, vectors):
+            x, rows = matrix(vectors)
+            if len(rows):
+                self.q.append(x)
+                self.ids.append(np.asarray(ids)[rows])
+                self.labels.append(labels.take(pa.array(rows)))
+
+        def meet(self, ids, labels, vectors):
+            x, rows = matrix(vectors)
+            if self.best is None:
+                if not self.q:
+                    return
+                self.q, self.ids, self.labels = np.concatenate(self.q), np.concatenate(self.ids), pa.concat_arrays(self.labels)
+                none = np.zeros(0, np.int64)
+                self.best, self.worst = (none, np.zeros(0), none, labels.slice(0, 0)), np.full(len(self.q), -np.inf)
+            ids = np.asarray(ids)[rows]
+            for lo in range(0, len(rows), chunk):
+                score = np.round(self.q @ x[lo : lo + chunk].T, 6)
+                # equal scores go by id, so what equals the worst may still enter
+                row, col = np.nonzero((score >= self.worst[:, None]) & (self.ids[:, None] != ids[lo : lo + chunk]))
+                q, s, i, g = self.best
+                q, s, i = np.concatenate([q, row]), np.concatenate([s, score[row, col]]), np.concatenate([i, ids[lo + col]])
+                order = np.lexsort((i, -s, q))
+                q = q[order]
+                start = np.searchsorted(q, np.arange(len(self.q)))
+                keep = np.arange(len(q)) - start[q] < k
+                order, q = order[keep], q[keep]
+                g = pa.concat_arrays([g, labels.take(pa.array(rows[lo + col]))]).take(pa.array(order))
+                self.best = q, s[order], i[order], g
+                full = np.bincount(q, minlength=len(self.q)) == k
+                last = np.searchsorted(q, np.arange(len(self.q)), "right") - 1
+                self.worst = np.where(full, self.best[1][last] if len(q) else -np.inf, -np.inf)
+
+        def rows(self, names):
+            if self.best is None or not len(self.best[0]):
+                return None
+            q, s, i, g = self.best
+            return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), self.labels.take(pa.array(q)), pa.array(i), g, pa.array(s)], names=names)
+
+    def run(batches):
+        names, now, part = ["q", "ql", "i", "il", "score"], None, None
+        for batch in batches:
+            parts, items = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cut = np.flatnonzero((np.diff(parts) != 0) | (np.diff(items) != 0)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(parts)]):
+                if hi == lo:
+                    continue
+                if parts[lo] != now:
+                    if part is not None and (out := part.rows(names)) is not None:
+                        yield out
+                    now, part = parts[lo], Part()
+                columns = [batch.column(c).slice(lo, hi - lo) for c in (2, 3, 4)]
+                (part.meet if items[lo] else part.add)(*columns)
+        if part is not None and (out := part.rows(names)) is not None:
+            yield out
+
+    return run
+
+
+def nearest_items(queries: DataFrame, items: DataFrame, id_col: str, label: str, vector: str, k: int, query_rows: int = 4096, item_rows: int = 65_536) -> DataFrame:
+    """(q, ql, i, il, score): the k items nearest to each query by cosine (six decimals; ties by id), the query itself left out.
+
+    Queries and items are dealt into groups of about ``query_rows`` and ``item_rows`` rows, whose number grows with
+    the tables; each pair of groups is a part, in which a task holds the queries and takes the items as they
+    come, as one matrix product a chunk.  A part gives k rows a query, never a row for a pair, and these are ranked together.
+    Ids are whole numbers; rows whose vector is null, zero, not finite or of another length than most items' are left out.
     """
-    from ..functions.vectors import normalised
-
-    q = queries.select(F.col(id_col).alias("q"), F.col(label).alias("ql"), normalised(F.col(vector)).alias("qv"))
-    i = items.select(F.col(id_col).alias("i"), F.col(label).alias("il"), normalised(F.col(vector)).alias("iv")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    score = F.round(F.aggregate(F.zip_with("qv", "iv", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 6)
-    pairs = q.join(i, "block").filter("q <> i").select("q", "ql", "block", "i", "il", score.alias("score"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q", "block").orderBy(F.desc("score"), "i"))).filter(F.col("r") <= k)
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i"))).filter(F.col("r") <= k)
-    hits = best.groupBy("q").agg(F.max((F.col("ql") == F.col("il")).cast("int")).alias("hit"))
+    number, width = items.agg(F.count(F.lit(1)), F.mode(F.size(vector))).first()
+    g, h = max(1, -(-queries.count() // query_rows)), max(1, -(-number // item_rows))
+    side = lambda rows, item: rows.select(F.lit(item).alias("item"), F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    group = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = side(queries, 0).withColumns({"_g": group(g), "_h": every(h)})
+    i = side(items, 1).withColumns({"_h": group(h), "_g": every(g)})
+    parts = q.unionByName(i).select((F.col("_g") * h + F.col("_h")).alias("part"), "item", "id", "label", "vector")
+    kind = items.schema[label].dataType.simpleString()
+    schema = f"q long, ql {kind}, i long, il {kind}, score double"
+    near = parts.repartition("part").sortWithinPartitions("part", "item").mapInArrow(_best(k, max(width or 1, 1), 1024), schema)
+    if h == 1:
+        return near
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i"))).filter(F.col("_r") <= k).drop("_r")
+
+
+def recall_at_k(queries: DataFrame, items: DataFrame, id_col: str, label: str, vector: str, k: int, **sizes: int) -> DataFrame:
+    """One row: queries (with any neighbour) and the share of them with an item of their label among the k nearest others by cosine."""
+    hits = nearest_items(queries, items, id_col, label, vector, k, **sizes).groupBy("q").agg(F.max((F.col("ql") == F.col("il")).cast("int")).alias("hit"))
     return hits.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("hit"), 6).alias("recall"))

@@ -29,8 +29,8 @@ def dropped(key: Column, seed: str, share: float) -> Column:
 
 def levels(rows: DataFrame, order: str, tie: str, count: int = 10, name: str = "q_level") -> DataFrame:
     """Adds equal-frequency levels 0..count-1 in the order of a numeric column."""
-    n = rows.count()
-    return with_position(rows, order, tie, name="_pos").withColumn(name, equal_frequency(F.col("_pos"), n, count)).drop("_pos")
+    placed = with_position(rows, order, tie, name="_pos", total="_rows")
+    return placed.withColumn(name, equal_frequency(F.col("_pos"), F.col("_rows"), count)).drop("_pos", "_rows")
 
 
 def concatenated(parts: list[tuple[DataFrame, int]]) -> DataFrame:

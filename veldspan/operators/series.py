@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import with_position
+from ..functions.ranges import KEY, RANGE, Scan, with_previous, with_recent
+
 
 def running_average(points: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.7) -> DataFrame:
     """(key, points, average): the first value is dropped, the second is the start, then alpha old + (1 - alpha) new.
@@ -47,22 +50,39 @@ def remaining_seconds(points: DataFrame, key: str, order: list[str], value: str,
 
 def step_durations(points: DataFrame, key: str, order: list[str], ts: str) -> DataFrame:
     """Adds the seconds since the key's previous point; null at its first."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(*order))
-    return points.withColumn("seconds", F.round(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 - F.unix_micros(before.cast("timestamp")) / 1e6, 3))
+    timed = points.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    before = with_previous(timed, [key], [F.col(c) for c in order], "_us", "_before")
+    return before.withColumn("seconds", F.round(F.col("_us") / 1e6 - F.col("_before") / 1e6, 3)).drop("_us", "_before")
 
 
 def bad_runs(points: DataFrame, key: str, order: list[str], bad: Column, alert_at: int = 10) -> DataFrame:
-    """(key, runs, longest, alerts): runs of consecutive bad points; a run alerts once, when it reaches ``alert_at``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = points.withColumn("_bad", bad.cast("int")).withColumn("_island", F.sum(1 - F.col("_bad")).over(w))
-    runs = marked.filter("_bad = 1").groupBy(key, "_island").agg(F.count(F.lit(1)).alias("_n"))
-    return runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs"), F.max("_n").alias("longest"), F.count_if(F.col("_n") >= alert_at).alias("alerts"))
+    """(key, runs, longest, alerts): runs of consecutive bad points; a run alerts once, when it reaches ``alert_at``.
+
+    A null flag is not bad.  Runs are counted in ranges of the key's points; a run that touches the start of its range
+    goes on from one that touches the end of the range before.
+    """
+    scan = Scan(points.withColumn("_bad", F.coalesce(bad.cast("int"), F.lit(0))), [key], [F.col(c) for c in order])
+    marked = scan.rows.withColumn("_island", F.sum(1 - F.col("_bad")).over(scan.inside)).withColumn("_i", F.row_number().over(scan.inside))
+    sizes = scan.summaries(_n=F.count(F.lit(1))).withColumn("_earlier", F.lag(RANGE).over(scan.across))
+    runs = marked.filter("_bad = 1").groupBy(KEY, RANGE, "_island").agg(F.min("_i").alias("_from"), F.max("_i").alias("_to")).join(sizes, [KEY, RANGE])
+    # of a range, at most the first and the last run are at its borders
+    border = runs.filter((F.col("_from") == 1) | (F.col("_to") == F.col("_n")))
+    over = Window.partitionBy(KEY).orderBy(RANGE, "_from")
+    goes_on = (F.col("_from") == 1) & (F.lag(RANGE).over(over) == F.col("_earlier")) & (F.lag(F.col("_to") == F.col("_n")).over(over))
+    chained = border.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(over))
+    length = F.col("_to") - F.col("_from") + 1
+    whole = chained.groupBy(KEY, "_run").agg(F.sum(length).alias("_length")).select(KEY, "_length")
+    whole = whole.unionByName(runs.filter((F.col("_from") > 1) & (F.col("_to") < F.col("_n"))).select(KEY, length.alias("_length")))
+    counted = whole.groupBy(KEY).agg(F.count(F.lit(1)).alias("runs"), F.max("_length").cast("long").alias("longest"), F.count_if(F.col("_length") >= alert_at).alias("alerts"))
+    return counted.select(F.col(KEY)[key].alias(key), "runs", "longest", "alerts")
 
 
 def trailing_flags(points: DataFrame, key: str, order: list[str], flag: Column, window: int = 3, least: int = 2) -> DataFrame:
-    """Adds ``alert``: at least ``least`` of the last ``window`` rows of the key are flagged."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - window, 0)
-    return points.withColumn("alert", F.sum(flag.cast("int")).over(w) >= least)
+    """Adds ``alert``: at least ``least`` of the last ``window`` rows of the key are flagged; null where none of them says."""
+    flagged = with_recent(points.withColumn("_flag", flag.cast("int")), [key], [F.col(c) for c in order], "_flag", "_recent", window)
+    known = F.filter("_recent", lambda x: x.isNotNull())
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0), lambda s, x: s + x))
+    return flagged.withColumn("alert", total >= least).drop("_flag", "_recent")
 
 
 def frame_hold(frames: DataFrame, stream: str, at: str, rate: int) -> DataFrame:
@@ -70,7 +90,14 @@ def frame_hold(frames: DataFrame, stream: str, at: str, rate: int) -> DataFrame:
 
     A frame is shown at the ticks after the frame before it: intervals, not a join.
     """
-    w = Window.partitionBy(stream).orderBy(at)
-    first = F.coalesce(F.floor(F.lag(at).over(w) * rate) + 1, F.lit(0))
-    spans = frames.withColumn("_from", first).withColumn("_to", F.floor(F.col(at) * rate)).filter("_from <= _to")
+    rows = with_previous(frames, [stream], [F.col(at)], at, "_previous")
+    first = F.coalesce(F.floor(F.col("_previous") * rate) + 1, F.lit(0))
+    spans = rows.withColumn("_from", first).withColumn("_to", F.floor(F.col(at) * rate)).filter("_from <= _to")
     return spans.select(stream, F.explode(F.sequence("_from", "_to")).alias("tick"), F.col(at).alias("at"))
+
+
+def interval_rates(points: DataFrame, key: str, order: list[str], ts: str, every: int) -> DataFrame:
+    """(key, interval, seconds_per_step): seconds from the first to the last of ``every`` points in a row, by their number."""
+    placed = with_position(points.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), order[0], *order[1:], name="_pos", keys=(key,))
+    seconds = (F.max("_us") - F.min("_us")) / F.lit(1e6) / F.count(F.lit(1))
+    return placed.groupBy(key, F.expr(f"_pos div {every}").alias("interval")).agg(F.round(seconds, 2).alias("seconds_per_step"))

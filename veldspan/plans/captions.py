@@ -106,16 +106,17 @@ def override_merge(t):
     return lookup.override(old, t("labels").withColumnRenamed("quality", "q_level"), "doc_id", ["q_level", "toxic"])
 
 
-@query("""WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
-e AS (SELECT source, size, sum(size) OVER (ORDER BY source) AS e, sum(size) OVER () AS total FROM s),
-p AS (SELECT unnest([0, 1, 99, 250, 999, -1, -100, -1000]) AS idx)
-SELECT idx::BIGINT AS idx, source, ((CASE WHEN idx < 0 THEN total + idx ELSE idx END) - (e - size))::BIGINT AS local_index FROM p, e
-WHERE (CASE WHEN idx < 0 THEN total + idx ELSE idx END) >= e - size AND (CASE WHEN idx < 0 THEN total + idx ELSE idx END) < e""")
+@query("""WITH s AS (SELECT doc_id AS source, coalesce(n_chars, 0) AS size FROM documents),
+e AS (SELECT source, size, sum(size) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS e, sum(size) OVER () AS total FROM s),
+i AS (SELECT o_orderkey, (o_orderkey * 104729) % (2 * total + 2000) - total - 1000 AS idx FROM orders, (SELECT any_value(total) AS total FROM e)),
+p AS (SELECT o_orderkey, idx, CASE WHEN idx < 0 THEN total + idx ELSE idx END AS pos FROM i, (SELECT any_value(total) AS total FROM e))
+SELECT o_orderkey, idx::BIGINT AS idx, source, (pos - (e - size))::BIGINT AS local_index FROM p JOIN e ON pos >= e - size AND pos < e""")
 def global_index_lookup(t):
-    docs = t("documents")
-    sources = docs.groupBy("source").agg(F.count(F.lit(1)).alias("size")).withColumn("ordinal", F.col("source"))
-    probes = docs.sparkSession.createDataFrame([(i,) for i in (0, 1, 99, 250, 999, -1, -100, -1000)], "idx long")
-    return lookup.locate(probes, sources, "idx")
+    docs = t("documents").select(F.col("doc_id").alias("source"), F.col("doc_id").alias("ordinal"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("size"))
+    total = docs.agg(F.sum("size").alias("total"))
+    wanted = t("orders").crossJoin(F.broadcast(total)).select("o_orderkey", (F.col("o_orderkey") * 104729 % (2 * F.col("total") + 2000) - F.col("total") - 1000).alias("idx"))
+    found = lookup.locate(wanted.select("idx").distinct(), docs, "idx")
+    return wanted.join(found, "idx").select("o_orderkey", "idx", "source", "local_index")
 
 
 @query("SELECT conv_id, arg_min(turn, md5('7:' || conv_id || ':' || turn)) AS turn, arg_min(text, md5('7:' || conv_id || ':' || turn)) AS text FROM conversations GROUP BY conv_id")

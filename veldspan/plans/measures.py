@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import learning_rate
-from ..operators import candidates, metrics, series
+from ..operators import candidates, intervals, metrics, series
 from .registry import query
 
 UNIT = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings"
@@ -208,3 +208,24 @@ def frame_hold(t):
     frames = t("events").select(F.col("user_id").alias("stream"), (at / 3600).alias("hours"))
     held = series.frame_hold(frames, "stream", "hours", 1)
     return held.groupBy("stream").agg(F.count(F.lit(1)).alias("ticks"), F.round(F.sum((F.col("at") - F.col("tick")) * 3600), 3).alias("lag"))
+
+
+@query("""WITH r AS (SELECT user_id, ts, max(event_id) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT e.event_id, e.user_id, r.purchase, round(epoch_us(e.ts) / 1e6 - epoch_us(r.ts) / 1e6, 3) AS seconds
+FROM (FROM events WHERE event_type = 'error') e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts""")
+def asof_last_purchase(t):
+    timed = t("events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    errors = timed.filter("event_type = 'error'").select("event_id", "user_id", "us")
+    purchases = timed.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("us").alias("at"))
+    met = intervals.asof_join(errors, purchases, ["user_id"], "us", "at", ["purchase", "at"], tie="purchase")
+    return met.select("event_id", "user_id", "purchase", F.round(F.col("us") / 1e6 - F.col("at") / 1e6, 3).alias("seconds"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, (o_orderkey * 7919) % 1000003 AS place FROM orders),
+p AS (SELECT p_partkey, (p_partkey * 104729) % 1000003 AS low, (p_partkey * 104729) % 1000003 + (p_partkey % 97) * (p_partkey % 13) AS high FROM part)
+SELECT o_orderkey, p_partkey FROM o JOIN p ON place >= low AND place < high""")
+def interval_hits(t):
+    points = t("orders").select("o_orderkey", ((F.col("o_orderkey") * 7919) % 1000003).alias("at"))
+    low = (F.col("p_partkey") * 104729) % 1000003
+    spans = t("part").select("p_partkey", low.alias("low"), (low + F.col("p_partkey") % 97 * (F.col("p_partkey") % 13)).alias("high"))
+    return intervals.interval_join(points, spans, "at", "low", "high").select("o_orderkey", "p_partkey")

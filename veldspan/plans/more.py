@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import sketches
 from ..functions import vectors as V
 from ..functions.ordering import seeded_unit, with_position
 from ..functions.signal import log_mel_spectrogram, resampled
+from ..operators import series
+from ..sources import shards
+from ..sources.scratch import scratch
 from .captions import unit
 from .registry import query
 
@@ -40,19 +45,16 @@ def parameter_counts(t):
 
 @query("SELECT user_id, rn // 20 AS win, round((max(us) - min(us)) / 1e6 / count(*), 2) AS seconds_per_step FROM (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events) GROUP BY 1, 2")
 def step_timing(t):
-    from pyspark.sql.window import Window
-
-    rows = t("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("rn"))
-    return rows.groupBy("user_id", F.expr("rn div 20").alias("win")).agg(F.round((F.max("us") - F.min("us")) / F.lit(1e6) / F.count(F.lit(1)), 2).alias("seconds_per_step"))
+    return series.interval_rates(t("events"), "user_id", ["ts", "event_id"], "ts", 20).withColumnRenamed("interval", "win")
 
 
 @query(f"""SELECT event_id, greatest(value, v2) AS t, CASE WHEN rn <= floor(0.75 * n) THEN greatest(value, v2) ELSE least(value, v2) END AS r
 FROM (SELECT event_id, value, 500 - value AS v2, row_number() OVER (ORDER BY {unit('flow', 'event_id')}, event_id) AS rn, count(*) OVER () AS n FROM events)""")
 def flow_pairs(t):
     rows = t("events").select("event_id", "value", (500 - F.col("value")).alias("v2"), seeded_unit("flow", F.col("event_id")).alias("u"))
-    n = rows.count()
     high, low = F.greatest("value", "v2"), F.least("value", "v2")
-    return with_position(rows, "u", "event_id").select("event_id", high.alias("t"), F.when(F.col("pos") < int(0.75 * n), high).otherwise(low).alias("r"))
+    placed = with_position(rows, "u", "event_id", total="n")
+    return placed.select("event_id", high.alias("t"), F.when(F.col("pos") < F.floor(0.75 * F.col("n")), high).otherwise(low).alias("r"))
 
 
 @query("SELECT event_id, round(value * 0.95 ** 10, 6) AS x FROM events")
@@ -85,3 +87,36 @@ def std_sessions(t):
     events = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
     sessions = events.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"))
     return sessions.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("""SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near, true AS late_near FROM events GROUP BY event_type""")
+def daily_sketches(t):
+    """Sketches a day and type, put together a type, held against exact figures: users within 5 %, ranks within 2 %."""
+    rows = t("events").withColumn("day", F.to_date("ts"))
+    path = scratch(t.spark, "sketches")
+    sketches.summarised(rows, ["day", "event_type"], {"users": F.col("user_id")}, {"value": F.col("value")}).write.parquet(path)
+    whole = sketches.merged(t.spark.read.parquet(path), ["event_type"], ["users"], ["value"])
+    told = whole.select("event_type", "rows", sketches.distinct_estimate("users").alias("about"), *[sketches.quantile_estimate("value", q).alias(f"q{int(100 * q)}") for q in (0.5, 0.9)])
+    below = lambda q: F.avg((F.col("value") <= F.col(q)).cast("double"))
+    exact = rows.join(told, "event_type").groupBy("event_type").agg(
+        F.first("rows").alias("rows"), F.countDistinct("user_id").alias("users"), F.first("about").alias("about"), below("q50").alias("r50"), below("q90").alias("r90")
+    )
+    near = lambda rank, at: F.abs(F.col(rank) - at) <= 0.02
+    return exact.select("event_type", "rows", "users", (F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(0.05) * F.col("users"), F.lit(1))).alias("users_near"), near("r50", 0.5).alias("median_near"), near("r90", 0.9).alias("late_near"))
+
+
+@query("""WITH o AS (SELECT *, o_orderkey % 8 AS shard FROM orders), m AS (SELECT shard, count(*) AS n FROM o GROUP BY 1)
+SELECT shard, CASE shard WHEN 2 THEN 'short' WHEN 5 THEN 'missing' WHEN 6 THEN 'repeated' WHEN 7 THEN 'long' ELSE 'ok' END AS status,
+  CASE shard WHEN 2 THEN (SELECT count(*) FROM o WHERE shard = 2 AND o_orderkey <> (SELECT min(o_orderkey) + 8 FROM o WHERE shard = 2)) WHEN 5 THEN NULL WHEN 6 THEN (SELECT n FROM m WHERE shard = 1) WHEN 7 THEN n + 1 ELSE n END AS rows,
+  n AS expected, CASE shard WHEN 2 THEN (SELECT count(*) FROM o WHERE shard = 2 AND o_orderkey <> (SELECT min(o_orderkey) + 8 FROM o WHERE shard = 2)) WHEN 6 THEN (SELECT n FROM m WHERE shard = 1) WHEN 7 THEN n END AS distinct_keys FROM m""")
+def shard_verification(t):
+    """Shards of orders of which one lost a row, one is gone, one holds another's rows and one a row twice."""
+    orders = t("orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 8).alias("shard"))
+    low = F.min("o_orderkey").over(Window.partitionBy("shard"))  # the shards of this query are small
+    marked = orders.withColumn("_low", low)
+    lost = (F.col("shard") == 2) & (F.col("o_orderkey") == F.col("_low") + 8) | F.col("shard").isin(5, 6)
+    kept = marked.filter(~lost).unionByName(marked.filter((F.col("shard") == 7) & (F.col("o_orderkey") == F.col("_low"))))
+    kept = kept.unionByName(marked.filter("shard = 1").withColumn("shard", F.lit(6).cast("long"))).drop("_low")
+    path = scratch(t.spark, "shards")
+    shards.write_sharded(kept, path, "shard", "o_orderkey")
+    return shards.verify_shards(t.spark, path, shards.manifest_of(orders, "shard", "o_orderkey"), "shard", "o_orderkey")

@@ -14,13 +14,26 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+class Tables:
+    """Reads the tables of a folder by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(sql: str | None = None):
     """Registers a function of (table reader) under its name, with the SQL that gives the same rows."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             workers_find_package(spark)
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(Tables(spark, sf_dir))
 
         _QUERIES[f.__name__] = run
         if sql:

@@ -3,10 +3,30 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def stream_table(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet table at ``path``, whole: a file, a folder of files or a partitioned table.
+
+    Files come in the order they were written, ``per_batch`` of them a batch, or all that are there.
+    """
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name = at.getName()
+    one_file = not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(schema)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    # a stream reads folders: of a table that is one file, the folder with the file's name as a filter
+    return reader.option("pathGlobFilter", name).parquet(str(at.getParent())) if one_file else reader.parquet(path)
+
 
 def daily_totals(events: DataFrame, ts: str, key: str, value: str, late: str = "1 day") -> DataFrame:
     """Tumbling one-day windows per key; rows later than ``late`` are dropped when streaming."""
@@ -22,7 +42,7 @@ def daily_totals(events: DataFrame, ts: str, key: str, value: str, late: str = "
 def run_lengths(events: DataFrame, key: str, bad: str, alert_at: int) -> DataFrame:
     """(key, run, alert) for each micro-batch: the current run of bad points; alerts once, on reaching ``alert_at``.
 
-    Points of a key are taken in the order they arrive.
+    Points of a key are taken in the order they arrive; ``run_alerts`` orders them.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -40,19 +60,125 @@ def run_lengths(events: DataFrame, key: str, bad: str, alert_at: int) -> DataFra
     return events.groupBy(key).applyInPandasWithState(step, "key string, run long, alert boolean", "run long", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_alerts(points: DataFrame, key: str, ts: str, order: str, bad: str, alert_at: int, late: str, idle: str | None = None) -> DataFrame:
+    """(key, order, at, run): one row each time a run of bad points of a key reaches ``alert_at``, in the order of event time.
+
+    Points may arrive in any order within ``late``: a point waits in the key's state until the watermark has
+    passed it, and then joins the run by (ts, order), whole numbers; a null flag is not bad.  Points that come later than that, and
+    points without a time, are dropped.  A key that is silent for ``idle`` forgets its run.  Needs the state store of ``drain``.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+
+    class Runs(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "us long, place long, bad boolean")
+            self.run = handle.getValueState("run", "run long, last long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            fresh = []
+            for part in rows:
+                us = pd.to_datetime(part[ts], utc=True).astype("datetime64[us, UTC]").astype("int64")
+                fresh.extend(zip(us.tolist(), part[order].tolist(), part[bad].fillna(False).astype(bool).tolist()))
+            self.waiting.appendList(fresh)
+            for at in {us // 1000 + 1 for us, _, _ in fresh}:
+                self.handle.registerTimer(at)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = timerValues.getCurrentWatermarkInMs() * 1000
+            held = sorted(self.waiting.get())
+            due = [p for p in held if p[0] < now]
+            if not due:
+                return
+            self.waiting.put([p for p in held if p[0] >= now]) if len(due) < len(held) else self.waiting.clear()
+            run, last = self.run.get() if self.run.exists() else (0, None)
+            alerts = []
+            for us, place, is_bad in due:
+                if pause is not None and last is not None and us - last > pause * 1000:
+                    run = 0
+                run, last = run + 1 if is_bad else 0, us
+                if run == alert_at:
+                    alerts.append((None if key[0] is None else str(key[0]), place, us, run))
+            self.run.update((run, last))
+            if alerts:
+                yield pd.DataFrame(alerts, columns=["key", "place", "us", "run"])
+
+        def close(self):
+            pass
+
+    timed = points.filter(F.col(ts).isNotNull()).select(key, ts, order, bad).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    out = timed.groupBy(key).transformWithStateInPandas(Runs(), "key string, place long, us long, run long", "Append", "EventTime")
+    return out.select("key", F.col("place").alias(order), F.timestamp_micros("us").alias("at"), "run")
+
+
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now and returns the sink's rows."""
     name = f"drain_{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
+    had = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)  # operators with timers and lists need it
+    try:
+        stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, had) if had else spark.conf.unset(PROVIDER)
     return spark.table(name)
 
 
-def publish(stream: DataFrame, dashboard: str, history: str, checkpoint: str):
-    """Starts a query that overwrites a dashboard and appends a history line for every micro-batch."""
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote ``path`` came to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def once(root: str, make: Callable[[DataFrame], DataFrame] = lambda batch: batch):
+    """A function for foreachBatch that writes ``make(batch)`` to ``root/batch=N``, once however often the batch runs.
+
+    A batch that runs again after its write was finished is skipped; one whose write broke off is written anew.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(dashboard)
-        batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(number)).write.mode("append").json(history)
+        path = f"{root.rstrip('/')}/batch={number}"
+        if not is_written(batch.sparkSession, path):
+            make(batch).write.mode("overwrite").parquet(path)
 
-    return stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    return write
+
+
+def publish(stream: DataFrame, dashboard: str, history: str, checkpoint: str, mode: str = "complete", every: str | None = None):
+    """Starts a query that writes each micro-batch as the dashboard's next version and adds a line (rows) to the history.
+
+    Both are written once a batch, so a restart from ``checkpoint`` changes nothing that is there; ``latest`` reads the newest
+    dashboard.  ``every`` polls at that interval until the query is stopped; without it what is there now is processed.
+    """
+    board = once(dashboard)
+
+    def write(batch: DataFrame, number: int) -> None:
+        board(batch, number)
+        written = batch.sparkSession.read.parquet(f"{dashboard.rstrip('/')}/batch={number}")
+        once(history, lambda rows: rows.agg(F.count(F.lit(1)).alias("rows")))(written, number)
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def latest(spark: SparkSession, dashboard: str) -> DataFrame:
+    """The dashboard as the last finished batch has left it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(dashboard)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    done = [int(n.split("=")[1]) for n in names if n.startswith("batch=") and is_written(spark, f"{dashboard.rstrip('/')}/{n}")]
+    return spark.read.parquet(f"{dashboard.rstrip('/')}/batch={max(done)}")
+
+
+def log_states(lines: DataFrame, run: str, at: str, line: str) -> DataFrame:
+    """(run, lines, last_line, crashes, finished): the state of each run from its log lines so far; for streams in complete mode."""
+    from ..functions.text import crashed
+
+    return lines.groupBy(run).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.max_by(line, at).alias("last_line"),
+        F.count_if(crashed(F.col(line))).alias("crashes"),
+        F.max(F.col(line).startswith("Training finished")).alias("finished"),
+    )
