@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import sketches
+from ..functions import signal, sketches
 from ..functions import vectors as V
 from ..functions.ordering import seeded_unit, with_position
-from ..functions.signal import log_mel_spectrogram, resampled
 from ..operators import series
 from ..sources import shards
 from ..sources.scratch import scratch
@@ -68,11 +68,29 @@ def support_gating(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.round(F.min("l_discount"), 6).alias("low"), F.round(F.max("l_discount"), 6).alias("high"), F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))
 
 
-@query()
+def numbers(x) -> str:
+    """A list of numbers, or of lists, in SQL; names of doubles, not decimals."""
+    return "[" + ", ".join(numbers(v) if np.ndim(v) else f"{v!r}::DOUBLE" for v in np.asarray(x).tolist()) + "]"
+
+
+#: The same sums as the matrix products: taps, window, Fourier sums and mel triangles, written out.
+SPECTROGRAM = f"""WITH c AS (SELECT {numbers(signal.sinc_filter(2, 1))} AS taps, {numbers(signal.hann(32))} AS hann, {numbers(signal.mel_filters(128, 32, 8))} AS mel,
+  list_transform(range(17), lambda k: list_transform(range(32), lambda n: cos(2 * pi() * k * n / 32))) AS re, list_transform(range(17), lambda k: list_transform(range(32), lambda n: sin(2 * pi() * k * n / 32))) AS im),
+y AS (SELECT vec_id, list_transform(range(128), lambda m: list_sum(list_transform(range(64), lambda i: CASE WHEN m - 2 * i BETWEEN -32 AND 32 THEN embedding[i + 1]::DOUBLE * taps[m - 2 * i + 33] ELSE 0 END))) AS y FROM embeddings, c),
+p AS (SELECT vec_id, list_concat(list_reverse(y[2:17]), y, list_reverse(y[112:127])) AS p FROM y),
+f AS (SELECT vec_id, unnest(range(9)) AS f, p FROM p),
+w AS (SELECT vec_id, f, list_transform(range(1, 33), lambda n: p[16 * f + n] * hann[n]) AS x FROM f, c),
+g AS (SELECT vec_id, f, list_transform(range(1, 18), lambda k: sqrt(list_dot_product(x, re[k]) ** 2 + list_dot_product(x, im[k]) ** 2)) AS g FROM w, c),
+l AS (SELECT vec_id, f, list_transform(mel, lambda b: log10(greatest(list_dot_product(b, g), 1e-5))) AS l FROM g, c)
+SELECT vec_id, any_value(len(l))::INTEGER AS bands, count(*)::INTEGER AS frames, round(max(list_max(l)), 6) AS top, round(sum(list_sum(l)), 4) AS total FROM l GROUP BY vec_id"""
+
+
+@query(SPECTROGRAM)
 def spectrogram_frames(t):
-    mel = log_mel_spectrogram(resampled(F.col("embedding"), 64, 128), 128, 32, 16, 8)
+    mel = signal.log_mel_spectrogram(signal.resampled(F.col("embedding"), 64, 128), 128, 32, 16, 8)
     rows = t("embeddings").select("vec_id", mel.alias("mel"))
-    return rows.select("vec_id", F.size("mel").alias("bands"), F.size(F.get("mel", F.lit(0))).alias("frames"), F.round(F.array_max(F.flatten("mel")), 6).alias("top"))
+    total = F.aggregate(F.flatten("mel"), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("vec_id", F.size("mel").alias("bands"), F.size(F.get("mel", F.lit(0))).alias("frames"), F.round(F.array_max(F.flatten("mel")), 6).alias("top"), F.round(total, 4).alias("total"))
 
 
 @query("SELECT grouping(l_returnflag) AS g, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
