@@ -394,6 +394,25 @@ def test_versions_of_licences_are_told_apart(spark):
     assert {r.doc_id: r.own_license for r in licenses.scan_licenses(df).collect()} == {i: n for i, _, n in rows}
 
 
+def test_licences_that_are_not_known_are_not_named(spark):
+    """Headers of the wrong kind or version name no licence; tags and headings name theirs."""
+    prose = " ".join(f"plain{i % 50}" for i in range(100))
+    lesser = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {} General Public\nLicense as published by the Free Software Foundation; either\nversion {} of the License, or (at your option) any later version.\n"
+    rows = [
+        (lesser.format("Lesser", "2.1"), "LGPL-2.1"), (lesser.format("Lesser", "3"), "LGPL-3.0"), (lesser.format("Lesser", "2.0"), None), (lesser.format("Library", "2"), None),
+        (lesser.replace("library", "program").format("Affero", "3"), "AGPL-3.0"), (lesser.replace("library", "program").format("Affero", "1"), None),
+        ("Licensed under the Apache License, Version 1.1.\n", None), ("Licensed under the EUPL, Version 1.2 or later.\n", None), ("Licensed under the EUPL License.\n", None),
+        ("// SPDX-License-Identifier: MIT\n", "MIT"), ("# SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0"), ("/* SPDX-License-Identifier: LGPL-2.1-or-later */\n", "LGPL-2.1"),
+        ("SPDX-License-Identifier: GPL-2.0-only\n", "GPL-2.0"), ("SPDX-License-Identifier: EUPL-1.2\n", None), ("SPDX-License-Identifier: Zlib\n", None),
+        ("MIT License\n\nCopyright (c) 2020 Someone\n", "MIT"), ("Mit Freunden\n", None), ("Licensed under CC BY-ND 4.0.\n", None), ("We spoke of the MIT License then.\n", None),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x.txt", t + prose) for i, (t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    assert {r.doc_id: r.own_license for r in licenses.scan_licenses(df).collect()} == {i: n for i, (_, n) in enumerate(rows)}
+    for name in ("GPL-2.0", "LGPL-2.1"):
+        text = (licenses.TEXTS / f"{name}.txt").read_text()
+        assert licenses.scan_licenses(spark.createDataFrame([(1, "a/b", text)], "doc_id long, path string, text string")).first().own_license == name
+
+
 def test_cosines_by_force(spark):
     """The best cosine of a file, from word counts of every line and window."""
     import math
@@ -403,7 +422,7 @@ def test_cosines_by_force(spark):
     rows = docs.collect()
     token = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff-]+", "".join(c.lower() if c.isascii() else c for c in t))
     full = [f.read_text() for f in sorted(licenses.TEXTS.glob("*.txt"))]
-    wanted = [token(t) for _, t in licenses.TEMPLATES] + [token(t) for t in full]
+    wanted = [token(t) for _, t in (*licenses.TEMPLATES, *licenses.LINES)] + [token(t) for t in full]
     vocabulary = {w for t in wanted for w in t}
     df = Counter(w for r in rows for w in set(token(r.text or "")) & vocabulary)
     idf = lambda w: math.log((1 + len(rows)) / (1 + df[w])) + 1 if w in vocabulary else math.log(1 + len(rows)) + 1
@@ -415,15 +434,17 @@ def test_cosines_by_force(spark):
         norm = math.sqrt(sum((n * idf(w)) ** 2 for w, n in known.items()) + other * (math.log(1 + len(rows)) + 1) ** 2)
         return dot / norm / math.sqrt(sum((n * idf(w)) ** 2 for w, n in t.items())) if span else 0.0
 
-    number = lambda span: sorted(w for w in span if re.search("[0-9]", w))
+    marks = lambda span: sorted(w for w in span if re.search("[0-9]", w) or w in licenses.MARKS)
     got = {r.doc_id: r for r in licenses.scan_licenses(docs, path=licenses.document_path()).collect()}
     for r in rows:
         words = token(r.text or "")
-        lines = [x for x in map(token, (r.text or "").split("\n")) if len(x) >= licenses.MIN_LINE_WORDS]
+        lines = [x for x in map(token, (r.text or "").split("\n")) if x]
         best = 0.0
-        for t in wanted[: len(licenses.TEMPLATES)]:
-            spans = lines + [words[i : i + len(t)] for i in range(len(words) - len(t) + 1)]
-            best = max([best, *(cosine(x, t) for x in spans if number(x) == number(t))])
+        for i, t in enumerate(wanted[: len(licenses.TEMPLATES) + len(licenses.LINES)]):
+            spans = lines
+            if i < len(licenses.TEMPLATES):
+                spans = [x for x in lines if len(x) >= licenses.MIN_LINE_WORDS] + [words[i : i + len(t)] for i in range(len(words) - len(t) + 1)]
+            best = max([best, *(cosine(x, t) for x in spans if marks(x) == marks(t))])
         assert got[r.doc_id].cosine == pytest.approx(best if best >= licenses.MIN_COSINE else 0, abs=1e-5)
 
 

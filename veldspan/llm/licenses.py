@@ -3,9 +3,10 @@
 Every line of a file, and every window of as many words as a notice has, across line
 breaks, is compared with short notices of known licences, and the file as a whole with
 full licence texts.  Vectors are sparse: the words of the templates with their inverse
-document frequency over the whole corpus, and one weight for all other words.  Versions must
-agree: the words with digits of a line or window are those of the notice, and the number after
-the first "version" of a file is that of the full text.  A file's
+document frequency over the whole corpus, and one weight for all other words.  Versions and names must
+agree: the words with digits, and those that name a licence (MARKS), of a line or window are just those of the
+notice, and the number after the first "version" of a file is that of the full text.  Headings and SPDX tags
+(LINES) count as whole lines only.  A file's
 own licence is that of the full text it equals (cosine of MIN_FILE_COSINE), else that of
 its best line or window, if the cosine reaches MIN_COSINE.  A licence file (a full text, or
 a licence was found and the file has few words besides, or its name says so) speaks for
@@ -54,6 +55,20 @@ TEMPLATES = (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
+    *[
+        (
+            name,
+            f"This {kind} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+            f"as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        )
+        for name, version in (("LGPL-2.1", "2.1"), ("LGPL-3.0", "3"))
+        for kind in ("library", "program")
+    ],
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
@@ -72,6 +87,35 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+#: Identifiers of the SPDX list.
+SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0",
+    "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC0-1.0", "Unlicense",
+)
+
+#: Headings and tags: they count as whole lines only, as text may speak of any licence.
+LINES = (
+    *[(name, f"SPDX-License-Identifier: {name}{more}") for name in SPDX for more in (("", "-only", "-or-later") if "GPL" in name else ("",))],
+    *[("MIT", x) for x in ("MIT License", "The MIT License", "The MIT License (MIT)")],
+    ("ISC", "ISC License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3"),
+)
+
+#: Words that name a licence or a kind of it.
+MARKS = (
+    "affero agpl apache artistic boost by-nc by-nc-nd by-nc-sa by-nd by-sa cddl eclipse epl eupl european general gpl isc lesser lgpl library "
+    "mit mozilla mpl openssl postgresql proprietary python spdx-license-identifier unlicense wtfpl zlib"
+).split()
+
 GENERAL = ("GPL", "BSD")  # notices that tell no version: they count where no other notice is found
 
 #: Full texts by licence, read on the driver.
@@ -80,6 +124,7 @@ TEXTS = Path(__file__).parent / "licence_texts"
 _BREAK = np.ones(256, bool)  # words are runs of ASCII letters, digits, dots and hyphens, and non-ASCII bytes
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 _BREAK[[45]] = False
+_MARKS = np.sort(K.words(np.frombuffer(" ".join(MARKS).encode(), np.uint8), np.array([0, len(" ".join(MARKS))]), space=_BREAK).hash)
 _VERSION = K.words(np.frombuffer(b"version", np.uint8), np.array([0, 7])).hash[0]
 
 
@@ -103,6 +148,11 @@ def number_words(data: np.ndarray, w: K.Words) -> np.ndarray:
     return np.where(digits[w.end] > digits[w.start], K.mix(w.hash) | np.uint64(1), np.uint64(0))
 
 
+def mark_words(w: K.Words, numbers: np.ndarray) -> np.ndarray:
+    """``numbers``, and a number for each of MARKS as well."""
+    return np.where(_MARKS[np.minimum(np.searchsorted(_MARKS, w.hash), len(_MARKS) - 1)] == w.hash, K.mix(w.hash) | np.uint64(1), numbers)
+
+
 def first_versions(w: K.Words, numbers: np.ndarray) -> np.ndarray:
     """For each row, the number word after its first "version" that has one; 0 without."""
     said = np.flatnonzero((w.hash[:-1] == _VERSION) & (numbers[1:] > 0) & (w.doc[1:] == w.doc[:-1]))
@@ -114,21 +164,22 @@ def first_versions(w: K.Words, numbers: np.ndarray) -> np.ndarray:
 
 class Templates(NamedTuple):
     vocabulary: np.ndarray  # all words
-    words: list[np.ndarray]  # of each template: the notices, then the full texts
+    words: list[np.ndarray]  # of each template: the notices, the lines, then the full texts
     names: list[str]
-    numbers: np.ndarray  # sum of the number words of each
+    marks: np.ndarray  # sum of the marks of each
     versions: np.ndarray
 
 
 def templates() -> Templates:
     full = [(f.stem, f.read_bytes()) for f in sorted(TEXTS.glob("*.txt"))]
-    raw = [t.encode() for _, t in TEMPLATES] + [t for _, t in full]
+    short = [*TEMPLATES, *LINES]
+    raw = [t.encode() for _, t in short] + [t for _, t in full]
     data = np.frombuffer(b"".join(raw), np.uint8)
     w = K.words(data, np.cumsum([0, *map(len, raw)]), space=_BREAK)
     numbers = number_words(data, w)
     return Templates(
-        np.unique(w.hash), [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(raw))], [n for n, _ in [*TEMPLATES, *full]],
-        np.diff(_running(numbers)[w.first]), first_versions(w, numbers),
+        np.unique(w.hash), [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(raw))], [n for n, _ in [*short, *full]],
+        np.diff(_running(mark_words(w, numbers))[w.first]), first_versions(w, numbers),
     )
 
 
@@ -160,30 +211,42 @@ def _exact(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, dot: np.ndarray, idf:
     return dot / np.sqrt(np.bincount(span, square, minlength=len(lo)))
 
 
-def best_spans(at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, matrix: np.ndarray, sizes: list[int], idf: np.ndarray, rare: float,
-               numbers: np.ndarray, wanted: np.ndarray):
+def best_spans(at: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, matrix: np.ndarray, sizes: list[int], windows: int, idf: np.ndarray,
+               rare: float, marks: np.ndarray, wanted: np.ndarray):
     """(row, template, cosine) of all spans that reach MIN_COSINE: the given ones (lines), and all windows of a template's length.
 
-    ``numbers`` are the number words, ``wanted`` their sum in each template.
+    ``marks`` are the words that must agree, ``wanted`` their sum in each template; the first ``windows`` templates are
+    looked for in windows, in lines of MIN_LINE_WORDS and more too, the others in lines.
 
-    Sums up to each word give a span's product with a template, and a bound of its length
-    that is exact unless a word repeats; only spans whose bound passes are counted.
+    A template with marks is only compared where they agree.  For others, sums up to each word give a span's
+    product with the template, and a bound of its length that is exact unless a word repeats; only spans
+    whose bound passes are counted.
     """
     weight = np.append(idf, rare)
-    square, counted = _sums((weight * weight)[at]), _running(numbers)
+    square, counted = _sums((weight * weight)[at]), _running(marks)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    long = hi - lo >= MIN_LINE_WORDS
+    in_line = counted[hi] - counted[lo]
     for t, size in enumerate(sizes):
-        product = _sums(np.append(idf * matrix[t], 0)[at])
-        begin = np.arange(max(len(at) - size + 1, 0))
-        begin = begin[doc[begin] == doc[begin + size - 1]]
-        for a, b in ((lo, hi), (begin, begin + size)):
-            dot = product[b] - product[a]
-            some = np.flatnonzero((dot * dot >= (MIN_COSINE * MIN_COSINE - 1e-9) * (square[b] - square[a])) & (counted[b] - counted[a] == wanted[t]))
-            for k in range(0, len(some), SPANS):
-                part = some[k : k + SPANS]
-                cosine = _exact(at, a[part], b[part], dot[part], idf, rare)
+        weighted = np.append(idf * matrix[t], 0)
+        begin, use = np.arange(0), np.flatnonzero((in_line == wanted[t]) & (long if t < windows else hi > lo))
+        if t < windows and len(at) >= size:
+            begin = np.flatnonzero(counted[size:] - counted[:-size] == wanted[t])
+            begin = begin[doc[begin] == doc[begin + size - 1]]
+        product = None if wanted[t] else _sums(weighted[at])
+        for a, b in ((lo[use], hi[use]), (begin, begin + size)):
+            if product is not None:
+                dot = product[b] - product[a]
+                some = np.flatnonzero(dot * dot >= (MIN_COSINE * MIN_COSINE - 1e-9) * (square[b] - square[a]))
+                a, b = a[some], b[some]
+            for k in range(0, len(a), SPANS):
+                start, end = a[k : k + SPANS], b[k : k + SPANS]
+                n = end - start
+                word = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+                dot = np.bincount(np.repeat(np.arange(len(n)), n), weighted[at[word]], minlength=len(n))
+                cosine = _exact(at, start, end, dot, idf, rare)
                 good = cosine >= MIN_COSINE
-                found.append((doc[a[part][good]], np.full(good.sum(), t), cosine[good]))
+                found.append((doc[start[good]], np.full(good.sum(), t), cosine[good]))
     return [np.concatenate(x) for x in zip(*found)]
 
 
@@ -222,7 +285,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
     path = F.col("path") if path is None else path
     rows = files.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), path.alias("path"))
     vocabulary, lists, names, wanted, versions = templates()
-    notices = len(TEMPLATES)
+    notices = len(TEMPLATES) + len(LINES)
 
     def frequencies():
         total = np.zeros(len(vocabulary) + 1, np.int64)
@@ -256,9 +319,8 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path: Column | None
             at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
             at[vocabulary[at] != w.hash] = len(vocabulary)
             edge = np.searchsorted(line, np.arange(len(line_row) + 1))
-            long = np.diff(edge) >= MIN_LINE_WORDS
             numbers = number_words(s.data, w)
-            row, template, value = best_spans(at, w.doc, edge[:-1][long], edge[1:][long], matrix[:notices], sizes, idf, rare, numbers, wanted)
+            row, template, value = best_spans(at, w.doc, edge[:-1], edge[1:], matrix[:notices], sizes, len(TEMPLATES), idf, rare, mark_words(w, numbers), wanted)
             order = np.lexsort((-template, np.round(value, 9), ~general[template]))
             best[row[order]] = value[order]
             name[row[order]] = names[template[order]]
