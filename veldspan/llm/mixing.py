@@ -88,8 +88,9 @@ def mix_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, position.
+    """One row per document: doc_id, size, source_size, target, taken, copies, position, and the columns of ``keep``.
 
     ``taken`` are the words the mix takes, repeats counted; the document at a source's
     target is cut there, so a source's taken words equal its target to the word.  ``copies``
@@ -104,13 +105,14 @@ def mix_plan(
             word_count(F.col(text_col)).alias("size"),
             group_key(F.col(source_col)).alias("_source"),
             seeded_unit(seed, F.col(id_col)).alias("_unit"),
+            *keep,
         ),
         "mix-rows",
     )
     sources = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = source_targets(sources, total, max_epochs, schedules)
-    placed = running_before(rows, ["_source"], ["_unit", "doc_id", "size"], F.col("size"), "_start", n).join(targets, "_source")
+    placed = running_before(rows, ["_source"], ["_unit", "doc_id", "size", *keep], F.col("size"), "_start", n).join(targets, "_source")
     budget = F.floor(F.col("target")).cast("long")
     starts = [F.col("_start") + F.col("source_size") * j for j in range(max_epochs)]
     taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), budget - s)) for s in starts), F.lit(0))
@@ -124,6 +126,7 @@ def mix_plan(
         taken.cast("long").alias("taken"),
         copies.alias("copies"),
         F.when(taken > 0, F.round(training_time(share, F.col("kind"), schedules), 9)).alias("position"),
+        *keep,
     )
 
 
@@ -142,26 +145,23 @@ def mix_documents(docs: DataFrame, seed: str = SEED, text_col: str = "text", pos
     """The documents themselves, each as often as the mix takes it, in training order.
 
     Whole documents: a document is repeated ``copies`` times, in consecutive passes over its
-    source; documents the mix does not take are left out.  All columns are kept.  Rows that
-    share an id get the same number of copies; rows with a null id go by their text.  Documents
-    without words are left out; an empty table gives an empty table.  ``position_col`` adds the
+    source; documents the mix does not take are left out.  All columns are kept.  Every row has the copies of its own
+    plan: rows are numbered in a copy in the shared folder, so rows alike in id or in everything are told apart; a null id
+    goes by its text.  Documents without words are left out; an empty table gives an empty table.  ``position_col`` adds the
     training time of each copy, by which ``assign_shards`` can keep the order.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.col(text_col))), F.lit("~"))
-    keyed = docs.withColumn("_mix_key", key)
-    plan = mix_plan(keyed, seed, id_col="_mix_key", text_col=text_col)
-    passes = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_key")).agg(
-        F.max("copies").alias("_copies"),
-        F.min("position").alias("_position"),
-        F.max((F.col("source_size") / F.col("target"))).alias("_pass"),
+    numbered = materialise(docs.withColumns({"_mix_row": F.monotonically_increasing_id(), "_mix_key": key}), "mix-texts")
+    plan = mix_plan(numbered, seed, id_col="_mix_key", text_col=text_col, keep=("_mix_row",))
+    passes = plan.filter("copies > 0").select(
+        "_mix_row", F.col("copies").alias("_copies"), F.col("position").alias("_position"), (F.col("source_size") / F.col("target")).alias("_pass")
     )
     # later passes come one pass length of the source's demand later
     placed = (
-        keyed.join(passes.hint("merge"), "_mix_key")
+        numbered.join(passes.hint("merge"), "_mix_row")
         .withColumn("_n", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
         .withColumn("_at", F.least(F.lit(1.0), F.col("_position") + F.col("_n") * F.col("_pass")))
     )
-    width = shuffle_width(docs.sparkSession)
-    return placed.repartitionByRange(width, "_at", "_mix_key").sortWithinPartitions("_at", "_mix_key").select(
-        *docs.columns, *([F.col("_at").alias(position_col)] if position_col else [])
-    )
+    order = ["_at", "_mix_key", "_mix_row"]
+    placed = placed.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return placed.select(*docs.columns, *([F.col("_at").alias(position_col)] if position_col else []))
