@@ -39,10 +39,12 @@ def parsed_lines(lines: DataFrame, line: str, names: list[str], sep: str = "\t")
 
 
 def required_columns(rows: DataFrame, names: list[str]) -> DataFrame:
-    """(column, present, filled): whether each is there, and whether the first row that is read has a value."""
-    first = rows.first()
-    found = [(n, n in rows.columns, bool(first is not None and n in rows.columns and first[n] is not None)) for n in names]
-    return rows.sparkSession.createDataFrame(found, "column string, present boolean, filled boolean")
+    """(column, present, filled): whether each is there, and whether all rows have a value in it; one pass, one row a column."""
+    there = [n for n in names if n in rows.columns]
+    counts = rows.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(n)).alias(f"_{i}") for i, n in enumerate(there)])
+    filled = {n: F.col(f"_{i}") == F.col("_rows") for i, n in enumerate(there)}
+    told = [F.struct(F.lit(n).alias("column"), F.lit(n in there).alias("present"), filled.get(n, F.lit(False)).alias("filled")) for n in names]
+    return counts.select(F.explode(F.array(*told)).alias("x")).select("x.*")
 
 
 def changed_columns(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.ordering import seeded_unit
+from ..functions.ordering import seeded_unit, with_position
 from ..operators import metrics, sampling, series, validate
 from ..sources import readers, writers
 from ..sources.scratch import scratch
@@ -101,9 +101,11 @@ def metric_lines(t):
     return readers.read_metrics(spark_of(rows), path)
 
 
-@query("SELECT r_regionkey::BIGINT AS pos, r_regionkey || '.npz' AS name FROM region")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, (row_number() OVER (ORDER BY o_orderkey) - 1) || '.npz' AS name FROM orders")
 def file_sequence(t):
-    return readers.sequence_names(spark_of(t("region")), t("region").count())
+    """The records of a table by the names 0.npz, 1.npz, ... of their places."""
+    placed = with_position(t("orders").select("o_orderkey"), "o_orderkey")
+    return placed.join(readers.sequence_names(t.spark, placed.count()), "pos").select("o_orderkey", "pos", "name")
 
 
 @query("SELECT vec_id, label, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
@@ -132,18 +134,14 @@ def alert_rows(t):
     return spark_of(rows).read.parquet(path).filter("raised_at IS NOT NULL").drop("raised_at")
 
 
-@query("SELECT vec_id % 4 AS rank, row_number() OVER (ORDER BY vec_id % 4, vec_id) - 1 AS pos, vec_id FROM embeddings")
+@query("SELECT vec_id % 4 AS rank, row_number() OVER (ORDER BY vec_id % 4, (vec_id * 37) % 1009, vec_id) - 1 AS pos, vec_id FROM embeddings")
 def combined_partials(t):
-    rows = t("embeddings").select("vec_id", (F.col("vec_id") % 4).alias("rank"))
+    """Tables that ranks wrote in an order of their own are put together by rank, file and place in the file."""
+    rows = t("embeddings").select("vec_id", (F.col("vec_id") % 4).alias("rank"), ((F.col("vec_id") * 37) % 1009).alias("turn"))
     root = scratch(spark_of(rows), "partials")
-    rows.repartition("rank").sortWithinPartitions("vec_id").write.partitionBy("rank").parquet(root)
-    parts = readers.read_partials(spark_of(rows), root).select(F.col("rank").cast("long"), "vec_id")
-    counts = parts.groupBy("rank").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql.window import Window
-
-    before = counts.select("rank", (F.sum("_n").over(Window.orderBy("rank")) - F.col("_n")).alias("_before"))  # one row a rank
-    inside = F.row_number().over(Window.partitionBy("rank").orderBy("vec_id")) - 1
-    return parts.join(before, "rank").select("rank", (F.col("_before") + inside).alias("pos"), "vec_id")
+    order = ["rank", "turn", "vec_id"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("turn").write.partitionBy("rank").parquet(root)
+    return readers.combined(readers.read_partials(spark_of(rows), root)).select(F.col("rank").cast("long"), "pos", "vec_id")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
@@ -174,11 +172,22 @@ def time_left(t):
     return series.remaining_seconds(t("events"), "user_id", ["ts", "event_id"], "value", 1000, 5)
 
 
-@query("""SELECT o_orderkey, o_orderstatus AS expected_status, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS found_status
-FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 ORDER BY o_orderkey LIMIT 0""")
+@query("""SELECT o_orderkey, c // 10 AS expected_price, (c + 4) // 10 AS found_price FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders) WHERE c // 10 <> (c + 4) // 10""")
+def price_mismatches(t):
+    """Prices in tens of cents, against prices four cents higher: only those that come to another ten."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    side = lambda more: t("orders").select("o_orderkey", F.floor((cents + more) / 10).alias("price"))
+    return validate.manifest_mismatches(side(0), side(4), "o_orderkey", ["price"])
+
+
+@query("SELECT o_orderkey, o_orderstatus AS expected_status, 'O' AS found_status FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 2 = 5")
 def no_mismatch(t):
+    """A table against itself written, read and sorted anew: what differs, nothing if all went well."""
     rows = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return validate.first_mismatches(rows, rows, "o_orderkey", ["status"])
+    path = scratch(t.spark, "same")
+    writers.write_delimited(rows.orderBy(F.desc("o_orderkey")), path)
+    again = readers.read_delimited(t.spark, path, "o_orderkey BIGINT, status STRING")
+    return validate.first_mismatches(rows, again, "o_orderkey", ["status"])
 
 
 @query("""SELECT o_orderkey, o_orderstatus AS expected_status, 'X' AS found_status FROM orders WHERE o_orderkey % 7 = 0 ORDER BY o_orderkey LIMIT 5""")
@@ -196,9 +205,11 @@ def manifest_lines(t):
     return summary.join(bad.agg(F.count(F.lit(1)).alias("skipped")), F.lit(True)).select("good", "skipped", "total")
 
 
-@query("SELECT * FROM (VALUES ('doc_id', true, true), ('text', true, true), ('q_level', false, false)) AS v(\"column\", present, filled)")
+@query("""SELECT 'doc_id' AS "column", true AS present, count(*) = count(doc_id) AS filled FROM documents UNION ALL SELECT 'text', true, count(*) = count(text) FROM documents
+UNION ALL SELECT 'q_level', false, false UNION ALL SELECT 'quality', true, count(*) = count(quality) FROM documents LEFT JOIN labels USING (doc_id)""")
 def schema_check(t):
-    return validate.required_columns(t("documents"), ["doc_id", "text", "q_level"])
+    rows = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    return validate.required_columns(rows, ["doc_id", "text", "q_level", "quality"])
 
 
 @query("""SELECT 'status' AS "column", count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS same, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS changed FROM orders
@@ -272,3 +283,126 @@ def flat_ids(t):
 @query("SELECT event_id, '[consistency=' || printf('%.2f', round(value, 1) / 1) || '] ' || event_type AS prompt FROM events")
 def consistency_prompts(t):
     return t("events").select("event_id", T.consistency_prompt("round(value, 1)", F.col("event_type")).alias("prompt"))
+
+
+@query("SELECT 'entity' || p_partkey AS id, p_type AS audio_prompt FROM part WHERE p_partkey % 10 = 0")
+def entity_files(t):
+    """One JSON object a file, named by its entity."""
+    rows = t("part").filter("p_partkey % 10 = 0").select(F.concat(F.lit("entity"), "p_partkey").alias("id"), F.col("p_type").alias("audio_prompt"), F.col("p_partkey").alias("x"))
+    root = scratch(t.spark, "entities")
+    rows.write.partitionBy("id").json(root)  # a folder an entity; names of files are Spark's
+    found = t.spark.read.json(root, schema="audio_prompt STRING", multiLine=True).select(F.regexp_extract(F.input_file_name(), "id=([^/]+)/", 1).alias("id"), "audio_prompt")
+    return found
+
+
+@query("""SELECT 'n' || n_nationkey AS folder, count(*) AS files, sum(length(n_name) + 1)::BIGINT AS bytes FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1""")
+def folder_listing(t):
+    """Files of a tree by extension, sizes and names without their contents."""
+    rows = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("folder"), F.when(F.col("n_nationkey") % 3 == 0, "log").otherwise("txt").alias("kind"), "n_name")
+    root = scratch(t.spark, "listing")
+    rows.write.partitionBy("kind", "folder").text(root)
+    found = readers.list_files(t.spark, f"{root}/kind=*/*", ("txt",)).filter(F.col("path").contains("kind=txt"))
+    return found.groupBy(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT vec_id::VARCHAR AS id, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 5) AS first, false AS has_std FROM embeddings WHERE vec_id % 25 = 0")
+def array_records(t):
+    """Vectors written as array records, one file each by the tasks that hold them, and read again; a name that no record has is null."""
+    rows = t("embeddings").filter("vec_id % 25 = 0").select("vec_id", "embedding")
+    root = scratch(t.spark, "records")
+    writers.write_arrays(rows, root, "vec_id", {"mean": "embedding"})
+    found = readers.read_packed_arrays(t.spark, root, ("mean", "std"))
+    return found.select("id", F.size("mean").alias("width"), F.round(F.get("mean", F.lit(0)), 5).alias("first"), F.col("std").isNotNull().alias("has_std"))
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, 'it ' || event_id || ' ' || event_type AS line FROM events WHERE event_id % 2 = 1)
+SELECT pos, line FROM l ORDER BY pos DESC LIMIT 120""")
+def newest_log_tail(t):
+    """The last 120 lines of the newer of two logs."""
+    lines = t("events").select("event_id", F.concat(F.lit("it "), "event_id", F.lit(" "), "event_type").alias("value"))
+    root = scratch(t.spark, "logs")
+    for i in (0, 1):
+        lines.filter(F.col("event_id") % 2 == i).coalesce(1).sortWithinPartitions("event_id").select("value").write.mode("append").text(root)
+    return readers.newest_log(t.spark, root)
+
+
+@query("SELECT l_returnflag || '/' || l_linestatus AS key, round(avg(l_discount), 6) AS value FROM lineitem GROUP BY 1")
+def metrics_report(t):
+    """Metrics written as one JSON object and read again as rows."""
+    rows = t("lineitem").groupBy(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("key")).agg(F.round(F.avg("l_discount"), 6).alias("value"))
+    path = scratch(t.spark, "report")
+    writers.write_metrics(rows, path)
+    parsed = t.spark.read.text(path).select(F.from_json("value", "map<string,double>").alias("m"))
+    return parsed.select(F.explode("m").alias("key", "value"))
+
+
+@query("SELECT user_id::VARCHAR AS key, round(sum(value), 4) AS value FROM events GROUP BY 1")
+def metrics_lines(t):
+    """A metric a user as sorted JSON lines, read again."""
+    rows = t("events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.round(F.sum("value"), 4).alias("value"))
+    path = scratch(t.spark, "metric-lines")
+    writers.write_metric_lines(rows, path)
+    return t.spark.read.json(path, schema="key STRING, value DOUBLE")
+
+
+@query("SELECT event_type AS key, count(*) AS points, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def appended_series(t):
+    """A series written in three runs, one after the other."""
+    path = scratch(t.spark, "series")
+    for i in range(3):
+        writers.append_series(t("events").filter(F.col("event_id") % 3 == i).select(F.col("event_type").alias("key"), "value"), path)
+    return t.spark.read.parquet(path).groupBy("key").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT 'orders' AS kind, true AS first_run, true AS again, count(*) FILTER (WHERE o_orderkey = 1) = 0 AS other FROM orders")
+def finished_runs(t):
+    """A run of a table is done once, known as done by its fingerprint, and done anew for other rows."""
+    rows, marker = t("orders"), scratch(t.spark, "marker")
+    started = []
+    for part in (rows, rows.orderBy("o_totalprice"), rows.filter("o_orderkey <> 1")):
+        print_of = writers.fingerprint(part)
+        done = writers.already_done(t.spark, marker, kind="orders", print=print_of)
+        started.append(not done)
+        if not done:
+            writers.mark_done(t.spark, marker, kind="orders", print=print_of)
+    first, again, other = started
+    return rows.limit(1).select(F.lit("orders").alias("kind"), F.lit(first).alias("first_run"), F.lit(not again).alias("again"), F.lit(not other).alias("other"))
+
+
+@query("""SELECT idx, clip_id, npz_fname, CASE WHEN idx % 11 = 0 THEN 'mismatch' ELSE 'ok' END AS verdict
+FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey::VARCHAR AS clip_id, o_orderkey || '.npz' AS npz_fname FROM orders)""")
+def written_manifest(t):
+    """A manifest of records in order is written, read again and held against records of which some are others by now."""
+    placed = with_position(t("orders").select("o_orderkey"), "o_orderkey", name="idx")
+    rows = placed.select("idx", F.col("o_orderkey").cast("string").alias("clip_id"), F.concat("o_orderkey", F.lit(".npz")).alias("npz_fname"))
+    path = scratch(t.spark, "manifest-check")
+    writers.write_delimited(rows, path)
+    stored = readers.read_delimited(t.spark, path, readers.ALIGNMENT)
+    now = rows.withColumn("npz_fname", F.when(F.col("idx") % 11 == 0, "other.npz").otherwise(F.col("npz_fname")))
+    wrong = validate.manifest_mismatches(stored, now, "idx", ["clip_id", "npz_fname"]).select("idx", F.lit("mismatch").alias("verdict"))
+    return stored.join(wrong, "idx", "left").withColumn("verdict", F.coalesce("verdict", F.lit("ok")))
+
+
+@query("SELECT kind, verdict FROM (VALUES ('none', 'write'), ('shorter', 'length'), ('changed', 'mismatch'), ('same', 'ok')) v(kind, verdict) WHERE EXISTS (SELECT 1 FROM supplier)")
+def manifest_verdicts(t):
+    """What is to be done about a manifest on disk: none, one of another length, one with other names, the same."""
+    rows = t("supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("name"))
+    found = {"none": None, "shorter": rows.filter("idx > 1"), "changed": rows.withColumn("name", F.when(F.col("idx") == 3, "x").otherwise(F.col("name"))), "same": rows}
+    verdicts = [(kind, validate.manifest_verdict(rows, df, "idx", ["name"])) for kind, df in found.items()]
+    return t.spark.createDataFrame(verdicts, "kind string, verdict string")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey" )
+def ordered_export(t):
+    """Rows exported in files whose order, file by file, is that of the key."""
+    path = scratch(t.spark, "export")
+    t("orders").select("o_orderkey", "o_orderstatus").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("value")).write.text(path)
+    lines = readers.read_lines(t.spark, path)
+    at = with_position(lines.select(F.split("line", ",")[0].cast("long").alias("o_orderkey"), F.split("line", ",")[1].alias("o_orderstatus"), "pos"), "o_orderkey", name="want")
+    return at.filter("pos = want").select("o_orderkey", "o_orderstatus")  # a row out of order would be missing
+
+
+@query("SELECT user_id, event_type, value FROM events WHERE value > 250 AND event_type IN ('error', 'click') AND user_id % 7 <> 0")
+def chained_filters(t):
+    """Several conditions, all of them pushed into the scan."""
+    return t("events").filter("value > 250").filter(F.col("event_type").isin("error", "click")).filter("user_id % 7 <> 0").select("user_id", "event_type", "value")

@@ -77,14 +77,15 @@ def recent_flag_window(t):
     return series.trailing_flags(t("events"), "user_id", ["ts", "event_id"], F.col("value") < 10).select("event_id", "alert")
 
 
-@query("""SELECT s::BIGINT AS step, round(CASE WHEN s < 100 THEN (s + 1) / 101.0::DOUBLE ELSE pow(1 - s / 1000.0::DOUBLE, 0.9) END, 9) AS poly,
+@query("""SELECT event_id, s AS step, round(CASE WHEN s < 100 THEN (s + 1) / 101.0::DOUBLE ELSE pow(1 - s / 1000.0::DOUBLE, 0.9) END, 9) AS poly,
 round(CASE WHEN s < 100 THEN (s + 1) / 101.0::DOUBLE WHEN s >= 900 THEN 0.01 WHEN s >= 800 THEN 0.1 ELSE 1 END, 9)::DOUBLE AS step_decay, (s + 1) % 50 = 0 AS logs
-FROM (SELECT unnest(range(1000)) AS s)""")
+FROM (SELECT event_id, event_id % 1000 AS s FROM events)""")
 def lr_schedule(t):
-    s = F.col("id")
-    rows = t("region").sparkSession.range(1000)
+    rows = t("events").select("event_id", (F.col("event_id") % 1000).alias("step"))
+    s = F.col("step")
     return rows.select(
-        s.alias("step"),
+        "event_id",
+        "step",
         F.round(learning_rate(s, 1000, 100, "poly"), 9).alias("poly"),
         F.round(learning_rate(s, 1000, 100, "step"), 9).alias("step_decay"),
         (F.pmod(s + 1, F.lit(50)) == 0).alias("logs"),

@@ -99,10 +99,18 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_partials(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
-    """Partial tables that ranks wrote under ``root`` (rank=0, rank=1, ...), with their rank, files and rows in order."""
+    """Partial tables that ranks wrote under ``root`` (rank=0, rank=1, ...), with their rank, and file and place of each row."""
     reader = spark.read.schema(schema) if schema else spark.read
     rows = reader.parquet(root)
-    return rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    place = F.struct(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("name"), F.col("_metadata.row_index").alias("row"))
+    return rows.select("*", place.alias("_place"))
+
+
+def combined(partials: DataFrame) -> DataFrame:
+    """Adds ``pos``: the place of each row in the order of ranks, names of files and rows in a file.  No task holds a rank."""
+    from ..functions.ordering import with_position
+
+    return with_position(partials.withColumn("_at", F.struct(F.col("rank").cast("long"), "_place")), "_at").drop("_at", "_place")
 
 
 def read_arrays(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
@@ -122,3 +130,21 @@ def read_arrays(spark: SparkSession, folder: str, names: tuple[str, ...]) -> Dat
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).select("path", "content")
     return files.mapInPandas(unpack, ", ".join(["id string", *(f"`{n}` array<double>" for n in names)]))
+
+
+def read_packed_arrays(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    """(id, one flat array of doubles per name) of records that ``write_arrays`` has packed; a missing name is null."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def unpack(frames):
+        for frame in frames:
+            rows = []
+            for key, content in zip(frame["id"], frame["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as record:
+                    rows.append([key, *(record[n].astype(float).reshape(-1).tolist() if n in record else None for n in names)])
+            yield pd.DataFrame(rows, columns=["id", *names])
+
+    return spark.read.parquet(folder).select("id", "content").mapInPandas(unpack, ", ".join(["id string", *(f"`{n}` array<double>" for n in names)]))

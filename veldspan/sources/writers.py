@@ -16,11 +16,35 @@ def write_features(rows: DataFrame, path: str, key: str = "idx") -> None:
     rows.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
+def write_arrays(rows: DataFrame, path: str, key: str, arrays: dict[str, str]) -> None:
+    """Records as the bytes of NPZ archives (name -> column of ``arrays``), one a row beside its key, instead of a file each."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def pack(frames):
+        for frame in frames:
+            content = []
+            for values in zip(*(frame[c] for c in arrays.values())):
+                out = io.BytesIO()
+                np.savez(out, **{n: np.asarray(v, float) for n, v in zip(arrays, values) if v is not None})
+                content.append(out.getvalue())
+            yield pd.DataFrame({"id": frame[key].astype(str), "content": content})
+
+    rows.select(key, *arrays.values()).mapInPandas(pack, "id string, content binary").write.mode("overwrite").parquet(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One JSON object of key -> value."""
+    """A small report: one JSON object of key -> value, keys in order.  Use ``write_metric_lines`` for tables that grow."""
     metrics.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_metric_lines(metrics: DataFrame, path: str) -> None:
+    """``{"key": ..., "value": ...}`` lines sorted by key over the files, of any number of metrics."""
+    metrics.select("key", "value").repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").json(path)
+
+
 def append_series(points: DataFrame, path: str) -> None:
     points.write.mode("append").parquet(path)
 
