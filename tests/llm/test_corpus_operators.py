@@ -128,6 +128,16 @@ def test_mix_targets(spark):
     assert all(sum(v) == pytest.approx(k, abs=1) for k, v in by.items())
 
 
+def test_repeated_ids_do_not_pass_the_target(spark):
+    """A third of the rows under one id, and rows alike in everything: each row has the copies of its own plan."""
+    rows = [(7, "w w", "a", i) for i in range(40)] + [(i, "w w", "a", 0) for i in range(100, 160)] + [(7, "w w", "b", 0)] * 9 + [(None, "w w", "b", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(4)
+    plan = mixing.mix_plan(docs).groupBy("target").agg(F.sum("copies").alias("n"), F.sum("taken").alias("taken")).collect()
+    mixed = {r.source: r["count"] for r in mixing.mix_documents(docs).groupBy("source").count().collect()}
+    assert sorted(mixed.values()) == sorted(r.n for r in plan)
+    assert all(abs(2 * r.n - r.target) <= 2 and abs(r.taken - r.target) <= 1 for r in plan)
+
+
 def test_training_time_inverts_the_integral(spark):
     for kind, knots in enumerate(mixing.SCHEDULES):
         rows = spark.range(101).select((F.col("id") / 100).alias("y")).withColumn("t", mixing.training_time(F.col("y"), F.lit(kind))).collect()
@@ -784,3 +794,13 @@ def test_pipeline(spark):
     assert copies == plan and mixed.columns == docs.columns
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted(r.doc_id for r in rows) == sorted(i for i, n in copies.items() for _ in range(n))
+
+
+def test_pipeline_on_null_repeated_and_empty_rows(spark, tmp_path):
+    for name, rows in (("edge", ROWS), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"node": "_mix_key", "size": "_row"}).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(BENCH if rows else [], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        spark.createDataFrame([(1, 1, 0), (8, None, 1), (None, 1, 1)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and len({(r.shard, r.slot) for r in got}) == len(got)
