@@ -85,7 +85,7 @@ class_js AS (SELECT doc_id, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p
 word_count AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM judged) GROUP BY doc_id, x),
 lang_words AS (SELECT lang, sum(n_words) AS total FROM judged WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang),
 common AS (SELECT lang, x, n / total AS q FROM (SELECT lang, x, sum(n) AS n FROM word_count JOIN judged USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang, x)
-  JOIN lang_words USING (lang) WHERE n >= 0.004 * total QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) <= 128),
+  JOIN lang_words USING (lang) WHERE n >= 0.004 * total),
 rest AS (SELECT lang, 1 - sum(q) AS q FROM common GROUP BY lang),
 bins AS (SELECT k.doc_id, r.lang, r.x, r.q, coalesce(c.n, 0) / greatest(k.n_words, 1) AS p FROM judged k CROSS JOIN common r LEFT JOIN word_count c ON c.doc_id = k.doc_id AND c.x = r.x),
 all_bins AS (SELECT doc_id, lang, q, p FROM bins UNION ALL

@@ -10,7 +10,7 @@ alone makes the histograms differ.
 
 References are learned from all documents that pass the base rules, by their ``lang``, and
 cover every language.  A word is common if it makes up at least ``COMMON_SHARE`` of a
-language's words; words are counted exactly over all documents.  A task holds the references of
+language's words, so there are 250 at most; words are counted exactly over all documents.  A task holds the references of
 about LANG_BLOCK languages; with more, texts are compared with one block after the other.
 """
 
@@ -28,7 +28,6 @@ from .shared import map_text, materialise
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 COMMON_SHARE = 0.004
-MAX_COMMON = 128
 LANG_BLOCK = 256  # languages whose references are held at a time
 MIN_EXPECTED = 5
 MAX_CLASS_DISTANCE = 0.3
@@ -185,8 +184,7 @@ def language_references(docs: DataFrame, text_col: str, lang_col: str) -> Iterat
                 classes[k] = n
             hashes = np.array([k for k, _ in kinds[WORD]], np.int64).view(np.uint64)
             counts = np.array([n for _, n in kinds[WORD]], float)
-            order = np.lexsort((hashes, -counts))[:MAX_COMMON]
-            order = order[np.argsort(hashes[order])]
+            order = np.argsort(hashes)
             counts = counts[order]
             out[name] = (classes / classes.sum(), hashes[order], np.append(counts, total[name] - counts.sum()) / total[name])
         yield out
