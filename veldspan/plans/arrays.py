@@ -139,7 +139,23 @@ def mean_cosine(t):
     return rows.groupBy("label").agg(F.round(F.avg(V.cosine(e, F.reverse(e))), 6).alias("mean_cosine"))
 
 
-@query()
+#: The trace of the root of a product of covariances, by Newton's iteration for matrix roots (40 steps).
+FRECHET = """WITH RECURSIVE e AS (SELECT vec_id, vec_id % 2 AS side, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT side, i, avg(v) AS m, count(*) AS n FROM e GROUP BY 1, 2),
+x AS (SELECT vec_id, side, i, v - m AS v, n FROM e JOIN m USING (side, i)),
+c AS (SELECT a.side, a.i AS i, b.i AS j, sum(a.v * b.v) / (any_value(a.n) - 1) AS v FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2, 3),
+p AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i WHERE a.side = 0 AND b.side = 1 GROUP BY 1, 2),
+s AS (SELECT sqrt(sum(v * v)) AS s FROM p),
+it AS (SELECT 0 AS k, 'y' AS kind, i, j, v / s AS v FROM p, s UNION ALL SELECT 0, 'z', i, j, (i = j)::INT FROM p
+  UNION ALL SELECT * FROM (WITH zy AS (SELECT z.k, z.i, y.j, sum(z.v * y.v) AS v FROM it z JOIN it y ON z.j = y.i WHERE z.kind = 'z' AND y.kind = 'y' AND z.k < 40 GROUP BY 1, 2, 3),
+    t AS (SELECT k, i, j, ((CASE WHEN i = j THEN 3 ELSE 0 END) - v) / 2 AS v FROM zy)
+    SELECT t.k + 1, 'y', y.i, t.j, sum(y.v * t.v) FROM it y JOIN t ON y.j = t.i WHERE y.kind = 'y' GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT t.k + 1, 'z', t.i, z.j, sum(t.v * z.v) FROM t JOIN it z ON t.j = z.i WHERE z.kind = 'z' GROUP BY 1, 2, 3, 4))
+SELECT round((SELECT sum((a.m - b.m) ** 2) FROM m a JOIN m b USING (i) WHERE a.side = 0 AND b.side = 1) + (SELECT sum(v) FROM c WHERE i = j)
+  - 2 * (SELECT sum(v) FROM it WHERE k = 40 AND kind = 'y' AND i = j) * (SELECT sqrt(s) FROM s), 6) AS frechet, (SELECT count(DISTINCT i) FROM m) AS dims"""
+
+
+@query(FRECHET)
 def frechet_full(t):
     rows = t("embeddings")
     return metrics.frechet_full(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1"), "embedding")
