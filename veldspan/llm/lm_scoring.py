@@ -42,7 +42,7 @@ from .shared import arrow_schema, map_text, materialise, shuffle_width, workers_
 MODULUS, HELD_OUT = 5, 1
 DISTINCT = 1 << 20  # words a task counts before it sends them on
 HEAD = 32_768
-BUCKET_BYTES, MOST_BYTES, BUCKETS = 8 << 20, 32 << 20, (8, 256)
+BUCKET_BYTES, MOST_BYTES, BUCKETS = 6 << 20, 32 << 20, (8, 256)
 MANY = 4
 MIN_HEAD_COUNT = 3
 HOT_BITS = (20, 18)  # table sizes for hot words and hot pairs of words
@@ -563,7 +563,7 @@ def new_words(w: K.Words, sym: np.ndarray, first: np.ndarray, seen: np.ndarray)
 def bucket_count(n_bytes: int) -> int:
     """Buckets by the bytes of training text alone: what is learned doesn't change with the cluster.
 
-    A bucket has 8 MB, beyond 256 buckets up to 32 MB.
+    A bucket has 6 MB, beyond 256 buckets up to 32 MB.
     """
     return max(BUCKETS[0], min(-(-n_bytes // BUCKET_BYTES), BUCKETS[1]), -(-n_bytes // MOST_BYTES))
 
