@@ -84,3 +84,66 @@ def test_writers(spark, tmp_path):
     assert writers.already_done(spark, str(tmp_path / "mark"), n=1) and not writers.already_done(spark, str(tmp_path / "mark"), n=2)
     writers.write_features(spark.createDataFrame([(1, [1.0]), (0, [2.0])], "idx long, mean array<float>"), str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+
+
+def test_shards_against_a_manifest(spark, tmp_path):
+    """Every kind of bad shard is named, from footers; only those are counted from the data."""
+    from pyspark.sql import functions as F
+
+    from veldspan.sources import shards
+
+    rows = spark.range(80).select(F.col("id"), (F.col("id") % 8).alias("shard"))
+    manifest = shards.manifest_of(rows, "shard", "id")
+    kept = rows.filter("shard NOT IN (1, 2) AND id <> 40").unionByName(spark.createDataFrame([(19, 3), (900, 11)], "id long, shard long"))
+    kept = kept.withColumn("id", F.when(F.col("id") == 4, 1004).otherwise(F.col("id"))).unionByName(rows.filter("shard = 5").withColumn("shard", F.lit(2).cast("long")))
+    shards.write_sharded(kept, str(tmp_path / "s"), "shard", "id")
+    got = {r.shard: (r.status, r.rows, r.expected, r.distinct_keys) for r in shards.verify_shards(spark, str(tmp_path / "s"), manifest, "shard", "id").collect()}
+    assert got == {
+        0: ("short", 9, 10, 9), 1: ("missing", None, 10, None), 2: ("repeated", 10, 10, 10), 3: ("long", 11, 10, 10), 4: ("bounds", 10, 10, 10),
+        5: ("ok", 10, 10, None), 6: ("ok", 10, 10, None), 7: ("ok", 10, 10, None), 11: ("unexpected", 1, None, 1),
+    }
+
+
+def test_sketches_of_parts_are_those_of_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    from veldspan.functions import sketches
+
+    rows = spark.range(20_000).select((F.col("id") % 7).alias("day"), (F.col("id") % 4000).alias("user"), F.sqrt("id").alias("x"))
+    parts = sketches.summarised(rows, ["day"], {"users": F.col("user")}, {"x": F.col("x")})
+    whole = sketches.merged(parts, [], ["users"], ["x"]).select("rows", sketches.distinct_estimate("users").alias("n"), sketches.quantile_estimate("x", 0.25).alias("q"), sketches.rank_estimate("x", 100.0).alias("r")).first()
+    assert whole.rows == 20_000 and abs(whole.n - 4000) < 200 and abs(whole.q**2 / 20_000 - 0.25) < 0.02 and abs(whole.r - 0.5) < 0.02
+
+
+def test_partials_keep_the_order_of_files_and_rows(spark, tmp_path):
+    for rank in (1, 0):
+        for part in (0, 1):
+            rows = [(10 * rank + 5 * part + i,) for i in (3, 1, 2)]
+            spark.createDataFrame(rows, "v long").coalesce(1).write.parquet(str(tmp_path / "w"))
+            (tmp_path / "p" / f"rank={rank}").mkdir(parents=True, exist_ok=True)
+            next((tmp_path / "w").glob("part*")).rename(tmp_path / "p" / f"rank={rank}" / f"f{part}.parquet")
+            (tmp_path / "w").rename(tmp_path / f"gone-{rank}-{part}")
+    got = [r.v for r in readers.combined(readers.read_partials(spark, str(tmp_path / "p"))).orderBy("pos").collect()]
+    assert got == [3, 1, 2, 8, 6, 7, 13, 11, 12, 18, 16, 17]
+
+
+def test_packed_arrays(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], None), (2, [3.0], [4.0])], "k long, a array<double>, b array<double>")
+    writers.write_arrays(rows, str(tmp_path / "a"), "k", {"mean": "a", "std": "b"})
+    got = {r.id: (r["mean"], r["std"]) for r in readers.read_packed_arrays(spark, str(tmp_path / "a"), ("mean", "std")).collect()}
+    assert got == {"1": ([1.0, 2.0], None), "2": ([3.0], [4.0])}
+
+
+def test_a_local_warehouse_is_no_shared_folder(spark):
+    import types
+
+    import pytest
+
+    from veldspan.sources import scratch
+
+    conf = types.SimpleNamespace(get=lambda key, default=None: {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}.get(key, default))
+    cluster = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_root(cluster)
+    cluster.sparkContext.master = "local[4]"
+    assert scratch.shared_root(cluster) == "file:/tmp/warehouse"

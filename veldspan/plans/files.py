@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.ordering import seeded_unit, with_position
@@ -406,3 +407,14 @@ def ordered_export(t):
 def chained_filters(t):
     """Several conditions, all of them pushed into the scan."""
     return t("events").filter("value > 250").filter(F.col("event_type").isin("error", "click")).filter("user_id % 7 <> 0").select("user_id", "event_type", "value")
+
+
+@query("SELECT folder, part, total FROM (SELECT 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS folder, row_number() OVER (ORDER BY n_nationkey) - 1 AS place, count(*) OVER () AS total FROM nation), (SELECT unnest(['head', 'rest']) AS part) WHERE CASE part WHEN 'head' THEN place >= 2 AND place < 9 ELSE place >= 9 END")
+def file_listing_slice(t):
+    """A folder's files by path, from one place to another, and with an end of -1 to the last."""
+    rows = t("nation").select(F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("folder"), "n_name")
+    root = scratch(t.spark, "slices")
+    rows.write.partitionBy("folder").text(root)
+    listing = readers.list_files(t.spark, f"{root}/*", ("txt",)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
+    parts = [sampling.first_rows(listing, ["path"], n, start).withColumn("part", F.lit(name)) for name, start, n in (("head", 2, 7), ("rest", 9, -1))]
+    return parts[0].unionByName(parts[1]).select(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder"), "part", "total")
