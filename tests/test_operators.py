@@ -152,7 +152,7 @@ def test_run_alerts_wait_for_late_points(spark, tmp_path):
         spark.createDataFrame(rows, "k string, ts timestamp, n long, bad boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     for idle, want in ((None, [("a", 2), ("b", 14)]), ("1 hour", [("a", 2)])):
         stream = progress.stream_table(spark, str(tmp_path / "in"), 1)
-        got = drain(spark, progress.run_alerts(stream, "k", "ts", "n", "bad", 3, "10 minutes", idle), "append").collect()
+        got = drain(spark, progress.run_alerts(stream, "k", "ts", "n", "bad", 3, "10 minutes", idle), "append", progress.ROCKS).collect()
         assert sorted((r.key, r.n) for r in got) == want
 
 

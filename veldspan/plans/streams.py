@@ -25,15 +25,15 @@ def in_batches(rows, path: str, batch, number: int) -> None:
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM e WHERE event_type = 'error')
 SELECT user_id::VARCHAR AS key, event_id, ts AS at, 3::BIGINT AS run FROM r WHERE run = 3 AND epoch_ms(ts) < epoch_ms(latest) - 86400000 * 4""")
 def run_alert_stream(t):
-    """Alerts in the order of event time, from points that arrive up to three days late in five batches."""
+    """Alerts in the order of event time, from points that arrive up to three days late in three batches."""
     rows = t("events").withColumn("bad", F.col("event_type") == "error")
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
     days = F.datediff(F.col("ts"), F.lit(first)) + F.pmod(F.xxhash64("event_id"), F.lit(4))  # a point arrives up to three days after its time
     span = (last - first).days + 4
     path = scratch(t.spark, "late-points")
-    in_batches(rows, path, F.least(F.floor(days * 5 / F.lit(span)), F.lit(4)), 5)
+    in_batches(rows, path, F.least(F.floor(days * 3 / F.lit(span)), F.lit(2)), 3)
     stream = progress.stream_table(t.spark, path, 1)
-    alerts = progress.drain(t.spark, progress.run_alerts(stream, "user_id", "ts", "event_id", "bad", 3, "4 days"), "append")
+    alerts = progress.drain(t.spark, progress.run_alerts(stream, "user_id", "ts", "event_id", "bad", 3, "4 days"), "append", progress.ROCKS)
     return alerts.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 

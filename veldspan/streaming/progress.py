@@ -65,7 +65,7 @@ def run_alerts(points: DataFrame, key: str, ts: str, order: str, bad: str, alert
 
     Points may arrive in any order within ``late``: a point waits in the key's state until the watermark has
     passed it, and then joins the run by (ts, order), whole numbers; a null flag is not bad.  Points that come later than that, and
-    points without a time, are dropped.  A key that is silent for ``idle`` forgets its run.  Needs the state store of ``drain``.
+    points without a time, are dropped.  A key that is silent for ``idle`` forgets its run.  Needs the state store ``ROCKS``.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
@@ -77,6 +77,7 @@ def run_alerts(points: DataFrame, key: str, ts: str, order: str, bad: str, alert
             self.handle = handle
             self.waiting = handle.getListState("waiting", "us long, place long, bad boolean")
             self.run = handle.getValueState("run", "run long, last long")
+            self.now, self.settled = None, set()  # keys that have been brought up to this watermark
 
         def handleInputRows(self, key, rows, timerValues):
             fresh = []
@@ -84,17 +85,29 @@ def run_alerts(points: DataFrame, key: str, ts: str, order: str, bad: str, alert
                 us = pd.to_datetime(part[ts], utc=True).astype("datetime64[us, UTC]").astype("int64")
                 fresh.extend(zip(us.tolist(), part[order].tolist(), part[bad].fillna(False).astype(bool).tolist()))
             self.waiting.appendList(fresh)
-            for at in {us // 1000 + 1 for us, _, _ in fresh}:
-                self.handle.registerTimer(at)
+            self.wake(fresh)
             return iter(())
 
+        def wake(self, points):
+            """A timer for the first bad point: a point that is not bad ends in no alert, and what is due is taken all at once."""
+            first = min((us for us, _, is_bad in points if is_bad), default=None)
+            if first is not None:
+                self.handle.registerTimer(first // 1000 + 1)
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             now = timerValues.getCurrentWatermarkInMs() * 1000
+            if now != self.now:
+                self.now, self.settled = now, set()
+            if key in self.settled:
+                return
+            self.settled.add(key)
             held = sorted(self.waiting.get())
             due = [p for p in held if p[0] < now]
             if not due:
                 return
-            self.waiting.put([p for p in held if p[0] >= now]) if len(due) < len(held) else self.waiting.clear()
+            later = held[len(due) :]
+            self.waiting.put(later) if later else self.waiting.clear()
+            self.wake(later)
             run, last = self.run.get() if self.run.exists() else (0, None)
             alerts = []
             for us, place, is_bad in due:
@@ -115,15 +128,17 @@ def run_alerts(points: DataFrame, key: str, ts: str, order: str, bad: str, alert
     return out.select("key", F.col("place").alias(order), F.timestamp_micros("us").alias("at"), "run")
 
 
-def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns the sink's rows."""
+def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete", store: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now and returns the sink's rows; ``store`` is the state store to use (``ROCKS`` for timers and lists)."""
     name = f"drain_{uuid.uuid4().hex}"
     had = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)  # operators with timers and lists need it
+    if store:
+        spark.conf.set(PROVIDER, store)
     try:
         stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, had) if had else spark.conf.unset(PROVIDER)
+        if store:
+            spark.conf.set(PROVIDER, had) if had else spark.conf.unset(PROVIDER)
     return spark.table(name)
 
 
