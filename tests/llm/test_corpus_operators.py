@@ -216,13 +216,16 @@ def test_shards_keep_the_order_of_the_mix(spark):
 
 
 def test_operators_run_without_a_checkpoint_folder(spark, docs):
-    from veldspan.llm import shared
+    from veldspan.sources import scratch
 
     class Session:  # a session whose spark.checkpoint.dir is unset
+        sparkContext = spark.sparkContext
+        _jsc = spark._jsc
+
         class conf:
             get = staticmethod(lambda key, default=None: default if key == "spark.checkpoint.dir" else spark.conf.get(key, default))
 
-    assert shared.shared_dir(Session) == spark.conf.get("spark.sql.warehouse.dir")
+    assert scratch.shared_root(Session) == spark.conf.get("spark.sql.warehouse.dir")
 
 
 def repeats_by_force(rows):

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import scratch
 from ..workers import workers_find_package
 
 RANGE_ROWS = 1_000_000  # rows of a range that are sorted in one task
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset the warehouse.
-
-    The setting is only read: Spark refuses to change it in a running session.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/veldspan/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder all executors share."""
+    return scratch(spark, name)
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
