@@ -286,10 +286,10 @@ def consistency_prompts(t):
     return t("events").select("event_id", T.consistency_prompt("round(value, 1)", F.col("event_type")).alias("prompt"))
 
 
-@query("SELECT 'entity' || p_partkey AS id, p_type AS audio_prompt FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT 'entity' || s_suppkey AS id, s_name AS audio_prompt FROM supplier")
 def entity_files(t):
     """One JSON object a file, named by its entity."""
-    rows = t("part").filter("p_partkey % 10 = 0").select(F.concat(F.lit("entity"), "p_partkey").alias("id"), F.col("p_type").alias("audio_prompt"), F.col("p_partkey").alias("x"))
+    rows = t("supplier").select(F.concat(F.lit("entity"), "s_suppkey").alias("id"), F.col("s_name").alias("audio_prompt"), F.col("s_suppkey").alias("x"))
     root = scratch(t.spark, "entities")
     rows.write.partitionBy("id").json(root)  # a folder an entity; names of files are Spark's
     found = t.spark.read.json(root, schema="audio_prompt STRING", multiLine=True).select(F.regexp_extract(F.input_file_name(), "id=([^/]+)/", 1).alias("id"), "audio_prompt")
@@ -306,10 +306,10 @@ def folder_listing(t):
     return found.groupBy(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
-@query("SELECT vec_id::VARCHAR AS id, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 5) AS first, false AS has_std FROM embeddings WHERE vec_id % 25 = 0")
+@query("SELECT vec_id::VARCHAR AS id, len(embedding)::INTEGER AS width, round(embedding[1]::DOUBLE, 5) AS first, false AS has_std FROM embeddings")
 def array_records(t):
-    """Vectors written as array records, one file each by the tasks that hold them, and read again; a name that no record has is null."""
-    rows = t("embeddings").filter("vec_id % 25 = 0").select("vec_id", "embedding")
+    """Vectors packed as array records by the tasks that hold them, and read again; a name that no record has is null."""
+    rows = t("embeddings").select("vec_id", "embedding")
     root = scratch(t.spark, "records")
     writers.write_arrays(rows, root, "vec_id", {"mean": "embedding"})
     found = readers.read_packed_arrays(t.spark, root, ("mean", "std"))

@@ -195,18 +195,17 @@ def latent_stats_norm(t):
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
-s AS (SELECT i, avg(v) AS m, stddev_samp(v) AS d FROM e WHERE vec_id % 2 = 0 GROUP BY i)
-SELECT vec_id, round(avg((v - m) / d), 5) AS mean_z, round(max(abs((v - m) / d)), 5) AS max_z FROM e JOIN s USING (i) WHERE vec_id % 2 = 1 GROUP BY vec_id""")
+s AS (SELECT i, avg(v) AS m, stddev_samp(v) AS d FROM e GROUP BY i)
+SELECT vec_id, round(avg((v - m) / d), 5) AS mean_z, round(max(abs((v - m) / d)), 5) AS max_z FROM e JOIN s USING (i) GROUP BY vec_id""")
 def stored_stats_norm(t):
-    """Means and deviations of one half are stored as arrays, loaded as literals (a vector's width) and applied to the other half."""
-    half = lambda k: t("embeddings").filter(F.col("vec_id") % 2 == k)
-    e = half(0).select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.stddev_samp(F.col("v").cast("double")).alias("d"))
+    """Means and deviations are stored, loaded as literals (a vector's width) and applied."""
+    e = t("embeddings").select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.stddev_samp(F.col("v").cast("double")).alias("d"))
     path = scratch(t.spark, "stats")
     e.write.parquet(path)
     stats = t.spark.read.parquet(path).orderBy("i").collect()
     mean, deviation = (F.array(*[F.lit(r[c]) for r in stats]) for c in ("m", "d"))
     z = F.zip_with(F.zip_with(V.doubles(F.col("embedding")), mean, lambda v, m: v - m), deviation, lambda x, d: x / d)
-    rows = half(1).select("vec_id", z.alias("z"))
+    rows = t("embeddings").select("vec_id", z.alias("z"))
     return rows.select("vec_id", F.round(F.aggregate("z", F.lit(0.0), lambda s, v: s + v) / F.size("z"), 5).alias("mean_z"), F.round(V.max_abs(F.col("z")), 5).alias("max_z"))
 
 
