@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from veldspan.llm import decontamination as D
 from veldspan.llm import kernel as K
+from veldspan.llm import quality_classifier as Q
 from veldspan.llm.quality_rules import base_counts
 from veldspan.llm.suffix_array import common_prefixes, s_types, suffix_array
 
@@ -127,3 +128,18 @@ def test_pigeonhole_finds_every_item_within_budget(data):
     text = data.draw(st.text("abz ", max_size=40)) + "".join(copy) + data.draw(st.text("abz ", max_size=40))
     found = D.Matcher([(7, item)]).find(text)
     assert len(found) == 1 and found[0][1] == edit_search(item, text)
+
+
+def test_kept_rows_come_in_small_batches():
+    texts = [f"{i} " + "one two three four five " * 400 if i % 50 else None for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    model = Q.Model(np.zeros(1 << Q.BITS, np.int32), np.zeros((2, 1), np.float32), [-5.0, -5.0])
+    got = list(Q.kept_rows([batch.slice(0, 0), batch], 1, model))
+    assert [i for b in got for i in b.column(0).to_pylist()] == [i for i in range(400) if i % 50]
+    assert batch.nbytes > 3_000_000 and max(sum(map(len, b.column(1).to_pylist())) for b in got) <= K.LEAN_BYTES
+
+
+def test_tables_of_powers_follow_the_slices(monkeypatch):
+    monkeypatch.setattr(K, "_powers", {})
+    assert K.powers(1000, 3)[:4].tolist() == [1, 3, 9, 27]
+    assert K.powers(5000, 3)[4999] == pow(3, 4999, 1 << 64) and len(K._powers[3]) <= 10_000

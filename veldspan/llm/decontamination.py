@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .shared import arrow_schema, workers_find_package
 
 ERROR_RATE = 0.10
@@ -221,12 +222,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
         def keep(batches, shared=shared):
             matcher = Matcher(shared.value)
             for batch in batches:
-                texts = batch.column(at)
-                clean = []
-                for i in range(batch.num_rows):
-                    text = texts[i].as_py()
-                    clean.append(not text or not matcher.find(normalise(text)))
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                for s in K.text_slices(batch.column(at), K.LEAN_BYTES):
+                    part = batch.slice(s.lo, s.hi - s.lo)
+                    clean = []
+                    for text in part.column(at):
+                        text = text.as_py()
+                        clean.append(not text or not matcher.find(normalise(text)))
+                    yield part.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

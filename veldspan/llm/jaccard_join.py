@@ -93,7 +93,7 @@ def all_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return each, None
 
-    return map_text(keyed(docs, id_col, text_col), f"doc_id {id_type}, key string, n long, node long, bitmap binary", task)
+    return map_text(keyed(docs, id_col, text_col), f"doc_id {id_type}, key string, n long, node long, bitmap binary", task, limit=K.LEAN_BYTES)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,7 +115,7 @@ def frequent_shingles(docs: DataFrame, rows: int, id_col: str, text_col: str) ->
 
         return each, None
 
-    counted = map_text(sample, "hash long, n long", task).groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_COUNT)
+    counted = map_text(sample, "hash long, n long", task, limit=K.LEAN_BYTES).groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_COUNT)
     top = counted.orderBy(F.desc("n"), "hash").limit(MAX_FREQUENT)
     return np.sort(np.array([r["hash"] for r in top.collect()], np.int64).view(np.uint64))
 
@@ -163,7 +163,7 @@ def prefix_postings(docs: DataFrame, frequent: np.ndarray, buckets: int, text_co
 
         return each, None
 
-    return map_text(docs.select(F.col(text_col).alias("text")), "bucket int, keys binary, nodes binary, sizes binary", task)
+    return map_text(docs.select(F.col(text_col).alias("text")), "bucket int, keys binary, nodes binary, sizes binary", task, limit=2 * K.LEAN_BYTES)
 
 
 def _lists(batches):
@@ -387,7 +387,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = keyed(docs, id_col, text_col).select("text", "key").join(
         members.select("key", "node", "cluster", "size").hint("merge"), "key"  # members grow with the corpus: never broadcast
     )
-    full = materialise(map_text(texts.select("text", "node", "cluster", "size"), "node long, cluster long, size long, shingles binary", shingles), "jaccard-full")
+    full = materialise(map_text(texts.select("text", "node", "cluster", "size"), "node long, cluster long, size long, shingles binary", shingles, limit=K.LEAN_BYTES), "jaccard-full")
     part = lambda salt: F.concat_ws(
         ":", F.col("cluster"), F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0))
     )
@@ -434,12 +434,10 @@ def with_node(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            numbers = []
-            for s in K.text_slices(batch.column(at)):
+            for s in K.text_slices(batch.column(at), K.LEAN_BYTES):
                 h, o = K.shingle_sets(K.words(s.data, s.offsets), s.hi - s.lo, WORDS)
-                numbers.append(pa.array(set_keys(h, o).view(np.int64), pa.int64(), mask=np.diff(o) == 0))
-            if numbers:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.concat_arrays(numbers)], names=batch.schema.names)
+                number = pa.array(set_keys(h, o).view(np.int64), pa.int64(), mask=np.diff(o) == 0)
+                yield pa.RecordBatch.from_arrays([*batch.slice(s.lo, s.hi - s.lo).columns[:-1], number], names=batch.schema.names)
 
     return out.mapInArrow(run, out.schema)
 

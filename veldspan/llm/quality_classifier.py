@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
         return each, None
 
-    rows = map_text(sample, f"doc_id {id_type}, junk_label int, toxic_label int, terms binary, ratios binary", gather).collect()
+    rows = map_text(sample, f"doc_id {id_type}, junk_label int, toxic_label int, terms binary, ratios binary", gather, limit=K.LEAN_BYTES).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["ratios"], r["terms"]))
     cols = [np.frombuffer(r["terms"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in rows]
     ratio = np.array([np.frombuffer(r["ratios"], np.float64) for r in rows]).reshape(len(rows), len(JUNK_RULES))
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
         return each, None
 
-    ballots = map_text(docs, f"doc_id {id_type}, " + ", ".join(f"{n} int" for n in names), vote)
+    ballots = map_text(docs, f"doc_id {id_type}, " + ", ".join(f"{n} int" for n in names), vote, limit=K.LEAN_BYTES)
     ballots = ballots.join(marks, "doc_id", "left").fillna(-1, ["junk_label", "toxic_label"])
     questions = [
         (LABELLERS, np.column_stack([junk_votes(ratio), junk_label])),
@@ -319,6 +319,13 @@ def judge(model, s: K.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return junk, toxic, (junk < MAX_JUNK) & (toxic < MAX_TOXIC)
 
 
+def kept_rows(batches, at: int, model: Model):
+    """The rows to keep of batches with texts in column ``at``, slice by slice: whole rows are held once, not once more as a result."""
+    for batch in batches:
+        for s in K.text_slices(batch.column(at), K.LEAN_BYTES):
+            yield batch.slice(s.lo, s.hi - s.lo).filter(pa.array(judge(model, s)[2]))
+
+
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, junk_score, toxic_score (0 to 1), kept.
 
@@ -338,17 +345,11 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
         return each, None
 
     ddl = f"doc_id {docs.schema[id_col].dataType.simpleString()}, junk_score double, toxic_score double, kept boolean"
-    return map_text(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), ddl, score)
+    return map_text(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")), ddl, score, limit=K.LEAN_BYTES)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that ``classify`` keeps."""
     model, at = fit(docs, labels, id_col, text_col), docs.columns.index(text_col)
 
-    def filtered(batches):
-        for batch in batches:
-            kept = [judge(model.value, s)[2] for s in K.text_slices(batch.column(at))]
-            if kept:
-                yield batch.filter(pa.array(np.concatenate(kept)))
-
-    return docs.mapInArrow(filtered, docs.schema)
+    return docs.mapInArrow(lambda batches: kept_rows(batches, at, model.value), docs.schema)
