@@ -118,6 +118,17 @@ def test_interval_join(spark):
     assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_interval_join_compares_places_not_points(spark):
+    points = spark.range(40_000).select(F.col("id").alias("p"), F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") < 30_000, F.lit(7)).otherwise(F.col("id") % 50).alias("at"))
+    spans = spark.createDataFrame([(i, i % 40, i % 40 + 9) for i in range(80)], "s long, low long, high long")
+    placed = intervals.places(points, "at").select(F.size("_points").alias("n")).collect()
+    assert sum(r.n for r in placed) == 36_000 and 26 < len(placed) < 90 and max(r.n for r in placed) < 2 * intervals.PLACE_ROWS
+    joined = intervals.interval_join(points, spans, "at", "low", "high")
+    got = {(r.at, r.low): (r.n, r.p) for r in joined.groupBy("at", "low").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("p")).collect()}
+    here = {r.at: r.n for r in points.filter("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(a, low): (2 * n, n) for a, n in here.items() for low in range(40) if low <= a < low + 9}
+
+
 def test_locate_among_a_million_sources(spark):
     sources = spark.range(1_000_000).select(F.col("id").alias("source"), F.col("id").alias("ordinal"), (F.col("id") % 5).alias("size"))
     probes = spark.createDataFrame([(0,), (1_999_999,), (-1,), (-2_000_000,), (2_000_000,), (-2_000_001,), (10,)], "idx long")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import with_nearest_set
 
+PLACE_ROWS = 1024  # points of one place that are held as one row
+
 
 def asof_join(
     left: DataFrame,
@@ -49,13 +51,24 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
 
     An interval lies in at most two bins of the least power of two that is not shorter than it; a point
     looks into its bin of each such size that occurs (64 at most, read first).  So bins are met by equality, whatever the
-    lengths and overlaps, and an interval is never cut into many.  Empty intervals and nulls meet nothing.
+    lengths and overlaps, and an interval is never cut into many.  Points at one place look as one row, in groups of about
+    ``PLACE_ROWS``, and part only when their intervals are found.  Empty intervals and nulls meet nothing.
     """
     length = F.col(end) - F.col(start)
     sized = intervals.filter(length > 0).withColumn("_level", F.when(length == 1, F.lit(0)).otherwise(F.length(F.bin(length - 1))).cast("int"))
     levels = sorted(r[0] for r in sized.select("_level").distinct().collect())
     bins = F.array_distinct(F.array(F.expr(f"shiftright(`{start}`, _level)"), F.expr(f"shiftright(`{end}` - 1, _level)")))
     dealt = sized.withColumn("_bin", F.explode(bins))
-    looked = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_bin", F.expr(f"shiftright(`{at}`, _level)"))
-    met = looked.join(dealt, ["_level", "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
-    return met.drop("_level", "_bin")
+    looked = places(points, at).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_bin", F.expr("shiftright(_place, _level)"))
+    met = looked.join(dealt, ["_level", "_bin"]).filter((F.col("_place") >= F.col(start)) & (F.col("_place") < F.col(end)))
+    # a place's points part last: what is compared grows with places, not with points
+    return met.select(F.explode("_points").alias("_point"), *intervals.columns).select("_point.*", *intervals.columns)
+
+
+def places(points: DataFrame, at: str) -> DataFrame:
+    """(_place, _points): the points of each place that is not null; a place of over ``PLACE_ROWS`` is dealt over several rows."""
+    placed = points.filter(F.col(at).isNotNull()).select(F.col(at).alias("_place"), F.struct(*points.columns).alias("_point"))
+    full = placed.groupBy("_place").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PLACE_ROWS)
+    parts = full.select("_place", F.ceil(F.col("_n") / PLACE_ROWS).alias("_parts"))
+    dealt = placed.join(parts, "_place", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts")), F.lit(0)))
+    return dealt.groupBy("_place", "_part").agg(F.collect_list("_point").alias("_points")).select("_place", "_points")
