@@ -147,3 +147,21 @@ def test_a_local_warehouse_is_no_shared_folder(spark):
         scratch.shared_root(cluster)
     cluster.sparkContext.master = "local[4]"
     assert scratch.shared_root(cluster) == "file:/tmp/warehouse"
+
+
+def test_packed_entities(spark, tmp_path):
+    rows = [(f"a/{i}=x", f'say "{i}"\n', i) for i in range(200)] + [(None, "rain", 1), ("none", None, 2)]
+    path = tmp_path / "packed"
+    writers.write_entities(spark.createDataFrame(rows, "id string, audio_prompt string, x long").coalesce(2), str(path))
+    assert len(list(path.rglob("*.parquet"))) == 2
+    assert json.loads(spark.read.parquet(str(path)).filter("id = 'a/7=x'").first().content) == {"audio_prompt": 'say "7"\n', "x": 7}
+    assert {tuple(r) for r in readers.read_packed_entities(spark, str(path)).collect()} == {r[:2] for r in rows}
+    assert {r[0] for r in readers.read_packed_entities(spark, str(path), "other").select("other").collect()} == {None}
+
+
+def test_entity_files_of_suppliers_without_a_key(spark, tmp_path):
+    from veldspan.plans import registry
+
+    spark.createDataFrame([(1, "one"), (None, "nobody"), (3, None)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {tuple(r) for r in registry.queries()["entity_files"](spark, str(tmp_path)).collect()}
+    assert got == {("entity1", "one"), (None, "nobody"), ("entity3", None)}

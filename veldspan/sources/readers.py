@@ -51,6 +51,12 @@ def read_entities(spark: SparkSession, folder: str, field: str = "audio_prompt")
     return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("id"), F.col(field))
 
 
+def read_packed_entities(spark: SparkSession, folder: str, field: str = "audio_prompt") -> DataFrame:
+    """(id, field) of the objects that ``write_entities`` has packed; a missing field is null."""
+    rows = spark.read.schema("id STRING, content STRING").parquet(folder)
+    return rows.select("id", F.from_json("content", f"`{field}` STRING")[field].alias(field))
+
+
 def read_documents(spark: SparkSession, path: str, schema: str = "path STRING") -> DataFrame:
     """A file that is one JSON array of objects."""
     return spark.read.json(path, schema=schema, multiLine=True)

@@ -35,6 +35,12 @@ def write_arrays(rows: DataFrame, path: str, key: str, arrays: dict[str, str]) -
     rows.select(key, *arrays.values()).mapInPandas(pack, "id string, content binary").write.mode("overwrite").parquet(path)
 
 
+def write_entities(rows: DataFrame, path: str, key: str = "id") -> None:
+    """One JSON object of the other columns an entity, a row beside its key instead of a file each."""
+    rest = [c for c in rows.columns if c != key]
+    rows.select(F.col(key).cast("string").alias("id"), F.to_json(F.struct(*rest)).alias("content")).write.mode("overwrite").parquet(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """A small report: one JSON object of key -> value, keys in order.  Use ``write_metric_lines`` for tables that grow."""
     metrics.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
