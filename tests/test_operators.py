@@ -268,3 +268,13 @@ def test_nearest_items_in_many_parts(spark):
     row = metrics.recall_at_k(queries, items, "id", "label", "v", 5, query_rows=10, item_rows=16).first()
     assert row.queries == len({q for q, _ in want}) and row.recall == pytest.approx(same, abs=1e-6)
     assert metrics.recall_at_k(queries.limit(0), items, "id", "label", "v", 5).first().queries == 0
+
+
+def test_batches_are_read_by_all_tasks(spark, tmp_path):
+    from veldspan.plans.streams import in_batches
+
+    rows = spark.range(0, 400, 1, 4).withColumn("task", F.spark_partition_id())
+    in_batches(rows, str(tmp_path / "in"), F.col("id") % 2, 2)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 2
+    got = spark.read.parquet(str(tmp_path / "in"))
+    assert got.count() == 400 and got.select("task").distinct().count() == 4

@@ -16,9 +16,9 @@ def daily_window_stream(t):
 
 
 def in_batches(rows, path: str, batch, number: int) -> None:
-    """Writes the rows as ``number`` files one after the other, those of batch i as the i-th."""
+    """Writes the rows as ``number`` files one after the other, those of batch i as the i-th; all tasks read, one writes the file."""
     for i in range(number):
-        rows.filter(batch == i).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(batch == i).repartition(1).write.mode("append").parquet(path)
 
 
 @query("""WITH e AS (SELECT *, max(ts) OVER () AS latest, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events),
@@ -31,7 +31,7 @@ def run_alert_stream(t):
     days = F.datediff(F.col("ts"), F.lit(first)) + F.pmod(F.xxhash64("event_id"), F.lit(4))  # a point arrives up to three days after its time
     span = (last - first).days + 4
     path = scratch(t.spark, "late-points")
-    in_batches(rows, path, F.least(F.floor(days * 3 / F.lit(span)), F.lit(2)), 3)
+    in_batches(rows.select("user_id", "ts", "event_id", "bad"), path, F.least(F.floor(days * 3 / F.lit(span)), F.lit(2)), 3)
     stream = progress.stream_table(t.spark, path, 1)
     alerts = progress.drain(t.spark, progress.run_alerts(stream, "user_id", "ts", "event_id", "bad", 3, "4 days"), "append", progress.ROCKS)
     return alerts.withColumn("at", F.col("at").cast("timestamp_ntz"))
