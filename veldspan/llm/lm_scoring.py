@@ -54,6 +54,7 @@ SLICE_BYTES, SLICE_ROWS = 4 << 20, 8192
 BLOCK = 1 << 16
 CONFIDENCE = 8
 GATES = 16
+FIND_BITS = 18  # first bits of a hash by which head words are looked up
 STEPS = 24
 FINE = 64
 BATCH = 4096
@@ -112,14 +113,17 @@ class Tree:
     def __init__(self, counts: np.ndarray):
         self.first, self.node, self.bit = huffman(counts)
         self.size = np.diff(self.first)
+        depth = np.arange(len(self.bit)) - np.repeat(self.first[:-1], self.size)
+        self.step = (depth << 17 | self.node << 1 | self.bit).astype(np.int32)  # one look-up for all three
 
     def expand(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token, node, bit, depth) of every code bit."""
         size = self.size[sym]
         token = np.repeat(np.arange(len(sym)), size)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        at = self.first[sym][token] + depth
-        return token, self.node[at], self.bit[at], depth
+        at = np.arange(len(token))
+        at += (self.first[sym] - (np.cumsum(size) - size)).take(token)
+        step = self.step.take(at).astype(np.int64)
+        return token, step >> 1 & 0xFFFF, step & 1, step >> 17
 
 
 class Code(Tree):
@@ -128,6 +132,9 @@ class Code(Tree):
     def __init__(self, words: np.ndarray, counts: np.ndarray, escapes: int, ends: int):
         order = np.argsort(words)
         self.words = words[order]
+        # where the words begin that share their first bits, and a word after the last
+        self.start = np.searchsorted(self.words, np.arange(1 << FIND_BITS, dtype=np.uint64) << np.uint64(64 - FIND_BITS))
+        self.padded = np.append(self.words, ~np.uint64(0))
         super().__init__(np.concatenate([[max(ends, 1), max(escapes, 1)], counts[order]]) + 1)
         self.nodes = len(self.words) + 2
         # code words from the left of 64 bits, and their order
@@ -137,6 +144,17 @@ class Code(Tree):
         np.bitwise_or.at(self.left, symbol, self.bit.astype(np.uint64) << (np.uint64(63) - place.astype(np.uint64)))
         self.rank = np.argsort(np.argsort(self.left)).astype(np.uint64)
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The symbol of each hash, as a binary search would find it: most stand where their first bits begin."""
+        at = self.start.take((h >> np.uint64(64 - FIND_BITS)).view(np.int64))
+        word = self.padded.take(at)
+        behind = np.flatnonzero(word < h)
+        while len(behind):
+            at[behind] += 1
+            word[behind] = self.padded[at[behind]]
+            behind = behind[word[behind] < h[behind]]
+        return np.where((word == h) & (at < len(self.words)), at + 2, ESCAPE)
+
     def symbols(self, w: K.Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, row, first) of all tokens of a slice, ends included."""
         n = np.diff(w.first)
@@ -145,11 +163,7 @@ class Code(Tree):
         sym = np.full(len(row), END, np.int64)
         body = np.ones(len(row), bool)
         body[first[1:] - 1] = False
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, w.hash), len(self.words) - 1)
-            sym[body] = np.where(self.words[at] == w.hash, at + 2, ESCAPE)
-        else:
-            sym[body] = ESCAPE
+        sym[body] = self.find(w.hash)
         return sym, row, first
 
 
@@ -212,8 +226,8 @@ def sum_tables(parts: DataFrame, sizes: list[int]) -> tuple[list[np.ndarray], np
 
 def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Pairs of counts as 16 bits: zeros * 256 + ones, scaled down to 255 where larger."""
+    out = (zeros * 256 + ones).astype(np.uint16)
     top = np.maximum(zeros, ones)
-    out = (np.minimum(zeros, 255) * 256 + np.minimum(ones, 255)).astype(np.uint16)
     large = np.flatnonzero(top > 255)
     if len(large):
         scale = 255 / top[large]
@@ -227,7 +241,7 @@ def pack(counts: np.ndarray) -> np.ndarray:
     for lo in range(0, len(out), BLOCK):
         x = counts[2 * lo : 2 * lo + 2 * BLOCK].reshape(-1, 2)
         out[lo : lo + BLOCK] = x[:, 0] * x.dtype.type(256) + x[:, 1]
-        large = np.flatnonzero((x > 255).any(1))
+        large = np.flatnonzero(np.maximum(x[:, 0], x[:, 1]) > 255)
         if len(large):
             out[lo + large] = packed(*x[large].astype(np.int64).T)
     return out
@@ -244,7 +258,11 @@ def _evidence_of_states() -> np.ndarray:
 
 #: Packed counts as 16 bits: confidence (0..CONFIDENCE-1) and stretched probability (0..255, 128 even).
 EVIDENCE = _evidence_of_states()
-SURE, STRETCH = np.arange(CONFIDENCE * 256) >> 8, (((np.arange(CONFIDENCE * 256) & 255) - 128) / 14.0).astype(np.float32)
+SUREST = 1 / (1 + np.exp([12.0, -12.0]))  # the least and the most the adaptive map gives
+
+
+def stretch_of(evidence: np.ndarray) -> np.ndarray:
+    return ((evidence & 255).view(np.int16) - np.int16(128)).astype(np.float32) / np.float32(14)
 
 
 def _left_out() -> np.ndarray:
@@ -289,16 +307,17 @@ class Mixer:
     def predict(self, inputs: list[np.ndarray], gate: np.ndarray, luts: np.ndarray | None = None):
         luts = self.luts() if luts is None else luts
         flat = gate * (CONFIDENCE * 256)
-        z = self.bias.astype(np.float32)[gate]
+        z = self.bias.astype(np.float32).take(gate)
         for i, e in enumerate(inputs):
-            z += luts[i][flat + e]
+            z += luts[i].take(flat + e)
         return np.clip(z, -7.99, 7.99)
 
     def costs(self) -> np.ndarray:
         """log10 probability of a bit by gate, mixed logit (in steps of 1 / FINE) and bit."""
         z = np.tile((np.arange(16 * FINE) + 0.5) / FINE - 8, GATES)
-        z = self.refine(z, np.repeat(np.arange(GATES), 16 * FINE))[:, None] * np.array([-1, 1])
-        return (-np.log1p(np.exp(-z)) / np.log(10)).reshape(-1).astype(np.float32)
+        z = self.refine(z, np.repeat(np.arange(GATES), 16 * FINE))
+        one = -np.log1p(np.exp(-z))
+        return (np.stack([one - z, one], 1) / np.log(10)).reshape(-1).astype(np.float32)
 
     def refine(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Logit after the adaptive map: half the mixer, half the map."""
@@ -311,39 +330,46 @@ class Mixer:
 
     def log_of(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, luts: np.ndarray, costs: np.ndarray) -> np.ndarray:
         """log10 probability of each bit."""
-        z = self.predict(inputs, gate, luts)
-        place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + gate * (16 * FINE)
-        return costs[2 * place + bit]
+        out = np.empty(len(bit), np.float32)
+        for lo in range(0, len(bit), 4 * BATCH):
+            part = slice(lo, lo + 4 * BATCH)
+            g = gate[part]
+            z = self.predict([e[part] for e in inputs], g, luts)
+            place = ((z + np.float32(8)) * np.float32(FINE)).astype(np.int64) + g * (16 * FINE)
+            out[part] = costs.take(2 * place + bit[part])
+        return out
 
     def learn(self, inputs: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rate: float = 0.04, batch: int = BATCH) -> None:
         """One pass in order: predict a batch, then move the weights and the map towards it; a bit counts ``times`` times."""
-        bit, times = bit.astype(np.float32), times.astype(np.float32)
+        times, many = times.astype(np.float32), len(inputs)
+        own = (np.arange(many) * (GATES * CONFIDENCE))[:, None]  # the weights of all inputs in one row
+        p = 1 / (1 + np.exp(-self.map))
         for lo in range(0, len(bit), batch):
             part = slice(lo, lo + batch)
             g, b, n = gate[part], bit[part], times[part]
-            flat, z, used = g * CONFIDENCE, self.bias.astype(np.float32)[g], []
-            for w, e in zip(self.weights.astype(np.float32), inputs):
-                key, x = flat + SURE[e[part]], STRETCH[e[part]]
-                used.append((key, x))
-                z += w.reshape(-1)[key] * x
+            e = np.stack([x[part] for x in inputs])
+            key, x = own + g * CONFIDENCE + (e >> 8), stretch_of(e)
+            z = self.bias.astype(np.float32).take(g)
+            for each in self.weights.astype(np.float32).take(key) * x:
+                z += each
             z = np.clip(z, np.float32(-7.99), np.float32(7.99))
-            error = (b - 1 / (1 + np.exp(-z))) * n
+            error = (b.astype(np.float32) - 1 / (1 + np.exp(-z))) * n
             total = n.sum()
             step = np.bincount(g, error, minlength=GATES) / total
             self.bias_power += step * step
             self.bias += rate * step / np.sqrt(self.bias_power)
-            for i, (key, x) in enumerate(used):
-                step = np.bincount(key, error * x, minlength=GATES * CONFIDENCE).reshape(GATES, CONFIDENCE) / total
-                self.power[i] += step * step
-                self.weights[i] += rate * step / np.sqrt(self.power[i])
+            x *= error
+            step = np.bincount(key.reshape(-1), x.reshape(-1), minlength=self.weights.size).reshape(self.weights.shape) / total
+            self.power += step * step
+            self.weights += rate * step / np.sqrt(self.power)
             # the adaptive map moves towards what was coded, less and less
-            key = g * (STEPS + 1) + ((z + np.float32(8)) * np.float32(STEPS / 16) + np.float32(0.5)).astype(np.int64)
-            ones = np.bincount(key, b * n, minlength=self.map.size).reshape(self.map.shape)
-            met = np.bincount(key, n, minlength=self.map.size).reshape(self.map.shape)
-            p = 1 / (1 + np.exp(-self.map))
-            p += np.where(met > 0, met / (self.seen + met + 64), 0) * (ones / np.maximum(met, 1) - p)
+            place = g * (STEPS + 1) + ((z + np.float32(8)) * np.float32(STEPS / 16) + np.float32(0.5)).astype(np.int64)
+            coded = np.bincount(2 * place + b, n, minlength=2 * self.map.size).reshape(*self.map.shape, 2)
+            ones, met = coded[..., 1], coded[..., 0] + coded[..., 1]
+            p += met / (self.seen + met + 64) * (ones / np.maximum(met, 1) - p)
+            p = np.clip(p, *SUREST)
             self.seen += met
-            self.map = np.log(p / (1 - p)).clip(-12, 12)
+        self.map = np.log(p / (1 - p)).clip(-12, 12)
 
 
 def token_ids(w: K.Words, sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -410,25 +436,52 @@ def node_states(code: Code, context: np.ndarray, sym: np.ndarray, times: np.ndar
 
     Symbols that share a node are neighbours in that order, so the counts of a depth are sums of runs.
     """
-    size, word = code.size[sym], code.left[sym]
-    first = np.cumsum(size) - size
-    common = np.full(len(sym), -1)  # bits shared with the entry before
+    size, word = code.size[sym].astype(np.int8), code.left[sym]
+    at = np.cumsum(size, dtype=np.int64) - size  # where the bit of this depth stands
+    common = np.full(len(sym), -1, np.int8)  # bits shared with the entry before
     same = np.flatnonzero(context[1:] == context[:-1]) + 1
     common[same] = 53 - np.frexp(((word[same] ^ word[same - 1]) >> np.uint64(11)).astype(np.float64))[1]
-    out = np.zeros(int(size.sum()), np.uint16)
-    active, depth = np.arange(len(sym)), 0
-    while len(active):
-        bit = (word[active] >> np.uint64(63 - depth) & np.uint64(1)).astype(np.int64)
-        run = np.cumsum(common[active] < depth) - 1
-        n = times[active]
-        ones = np.bincount(run, n * bit)
-        zeros = np.bincount(run, n) - ones
-        out[first[active] + depth] = packed(zeros, ones)[run]
+    out = np.zeros(int(size.sum(dtype=np.int64)), np.uint16)
+    depth, least, word, times = 0, size.min() if len(size) else 0, word.view(np.int64), times.astype(np.float64)
+    while len(at):
+        run = np.cumsum(common < depth)  # from 1
+        both = np.bincount(2 * run + (word >> (63 - depth) & 1), times, minlength=2 * int(run[-1]) + 2).astype(np.int64)
+        out[at] = packed(both[::2], both[1::2]).take(run)
         depth += 1
-        active = active[size[active] > depth]
+        at += 1
+        if depth >= least:  # an entry that ends shares its whole code with none, so runs stay as they are
+            go_on = np.flatnonzero(size > depth)
+            size, word, at, times, common = (x.take(go_on) for x in (size, word, at, times, common))
     return out
 
 
+def order_of(keys: np.ndarray, low: int = 0) -> np.ndarray:
+    """The order of keys whose upper bits are a hash: first bits of the hash, the ``low`` last bits and the place are sorted as one number.
+
+    Keys whose hashes differ only in the bits left out are rare; where there are any, the keys are sorted as they are.
+    """
+    n = len(keys).bit_length()
+    cut, place = np.uint64(low + n), np.uint64(n)
+    both = keys >> cut << cut | np.arange(len(keys), dtype=np.uint64)
+    if low:
+        both |= (keys & np.uint64((1 << low) - 1)) << place
+    both.sort()
+    order = (both & np.uint64((1 << n) - 1)).view(np.int64)
+    found = keys.take(order)
+    return np.argsort(keys, kind="stable") if (found[1:] < found[:-1]).any() else order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places of the distinct keys in their order, number of each key), as np.unique has them."""
+    order = order_of(keys, 16)
+    found = keys.take(order)
+    new = np.ones(len(keys), bool)
+    new[1:] = found[1:] != found[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def whole_runs(keys: np.ndarray, size: int) -> list[int]:
     """Where to cut sorted keys so that a part has at least ``size`` of them and no key is in two; the first is 0, the last all."""
     starts, cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), [0]
@@ -446,7 +499,7 @@ def mix_tokens(shared: Shared, mixer: Mixer, one: np.ndarray, two: np.ndarray, s
     single, pair = contexts(one, two)
     level = shared.level(one, pair)
     group = np.where(level == 0, single, pair)  # contexts whose counts are made here stay together
-    order = np.argsort(group)
+    order = order_of(group)
     group, learns = group[order], training[order] > 0
     mine = group[learns]
     edges = mine[whole_runs(mine, TOKENS)[1:-1]]
@@ -472,35 +525,36 @@ def mix_tokens(shared: Shared, mixer: Mixer, one: np.ndarray, two: np.ndarray, s
 def _mix_chunk(shared: Shared, mixer: Mixer, single, pair, sym, training, level, rounds: int) -> np.ndarray:
     """Counts, learns from, and scores tokens of which all with the same context are here."""
     code, low = shared.code, np.uint64(0xFFFF)
-    _, at, entry = np.unique((pair & ~low) | code.rank[sym], return_index=True, return_inverse=True)
+    at, entry = distinct((pair & ~low) | code.rank[sym])
     times = np.bincount(entry, training, minlength=len(at))
     single, pair, sym, level = single[at], pair[at], sym[at], level[at]
     token, node, bit, depth = code.expand(sym)
-    n, level = times[token], level[token]
-    _, at, of = np.unique((single & ~low) | code.rank[sym], return_index=True, return_inverse=True)
+    at, of = distinct((single & ~low) | code.rank[sym])
     by_word = node_states(code, single[at] & ~low, sym[at], np.bincount(of, times, minlength=len(at)))
-    size = code.size[sym[at]]
-    states = [shared.tables[0][node], by_word[(np.cumsum(size) - size)[of][token] + depth], node_states(code, pair & ~low, sym, times)]
-    hot = np.flatnonzero(level == 1)
-    states[1][hot] = shared.tables[1][slots(single, token[hot], node[hot], HOT_BITS[0])]
-    known = np.flatnonzero(n > 0)
-    if len(known):
-        side = bit[known] << 16
-        inputs = [LEFT_OUT[s[known] + side] for s in states]
+    first = np.cumsum(code.size[sym[at]]) - code.size[sym[at]]
+    states = [shared.tables[0].take(node), by_word.take(first[of].take(token) + depth), node_states(code, pair & ~low, sym, times)]
+    if level.any():
+        hot = np.flatnonzero(level[token] == 1)
+        states[1][hot] = shared.tables[1][slots(single, token[hot], node[hot], HOT_BITS[0])]
+    known = slice(None) if times.all() else np.flatnonzero((times > 0)[token])
+    if rounds and times.any():
+        n, side = times[token[known]], bit[known] << 16
+        inputs = [LEFT_OUT.take(s[known] + side) for s in states]
+        gate = gate_of(inputs[-1], depth[known])
         for _ in range(rounds):
-            mixer.learn(inputs, gate_of(inputs[-1], depth[known]), bit[known], n[known])
+            mixer.learn(inputs, gate, bit[known], n)
     log = mixer.log_of(*gated(states, depth), bit, mixer.luts(), mixer.costs())
     return np.bincount(token, log, minlength=len(sym))[entry]
 
 
 def gated(states: list[np.ndarray], depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Evidence of packed counts, and the gate: how often both words were seen, and whether the code has run for some bits."""
-    inputs = [EVIDENCE[s] for s in states]
+    inputs = [EVIDENCE.take(s) for s in states]
     return inputs, gate_of(inputs[-1], depth)
 
 
 def gate_of(evidence: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    return SURE[evidence] * 2 + (depth >= 4)
+    return (evidence >> 8).astype(np.int64) * 2 + (depth >= 4)
 
 
 def score_hot_pairs(shared: Shared, mixer: Mixer, luts, costs, single, pair, sym) -> np.ndarray:
@@ -679,7 +733,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     model = Shared(code, Tree(letters + 1), hot_words, np.sort(contexts(ids_of("hash"), ids_of("before"))[1]), buckets)
     _, node, bit, _ = code.expand(np.arange(len(symbol_counts)))
     each_code = np.repeat(np.concatenate([[n_train, tail_total], symbol_counts[2:]]), np.diff(code.first))
-    order_zero = np.bincount(2 * node + bit, each_code, minlength=2 * code.nodes)
+    order_zero = np.bincount(2 * node + bit, each_code, minlength=2 * code.nodes).astype(np.int64)
     model.tables = [pack(order_zero)]
     first_model = spark.sparkContext.broadcast(model)
     sizes = [*(1 << b for b in HOT_BITS), *[1 << LETTER_BITS] * len(LETTER_ORDERS)]
