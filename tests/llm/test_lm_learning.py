@@ -127,3 +127,12 @@ def test_learning_equals_its_plain_form():
         plain.map = np.log(p / (1 - p)).clip(-12, 12)
     for name in ("weights", "bias", "map", "seen"):
         assert getattr(mixer, name) == pytest.approx(getattr(plain, name), abs=1e-4)
+
+
+def test_large_counts_keep_their_side():
+    """Scaled to 255, not to 256 by a rounding: 269 zeros were read as a context never seen."""
+    many = np.arange(256, 3000)
+    none, few = np.zeros_like(many), np.ones_like(many)
+    for one, state in ((none, 0), (few, 1)):
+        assert set(lm_scoring.packed(many, one).tolist()) == {255 * 256 + state}
+        assert set(lm_scoring.packed(one, many).tolist()) == {255 + 256 * state}

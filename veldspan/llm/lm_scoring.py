@@ -231,7 +231,9 @@ def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     large = np.flatnonzero(top > 255)
     if len(large):
         scale = 255 / top[large]
-        out[large] = np.ceil(zeros[large] * scale).astype(np.uint16) * 256 + np.ceil(ones[large] * scale).astype(np.uint16)
+        # the product may lie a rounding above 255, and 256 would not fit
+        zeros, ones = (np.minimum(np.ceil(x[large] * scale), 255).astype(np.uint16) for x in (zeros, ones))
+        out[large] = zeros * np.uint16(256) + ones
     return out
 
 
