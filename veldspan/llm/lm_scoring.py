@@ -168,10 +168,13 @@ class Code(Tree):
 
 
 def slots(context: np.ndarray, token: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = context[token] + node.astype(np.uint64) * _M3
+    h = node.astype(np.uint64)
+    h *= _M3
+    h += context.take(token)
     h ^= h >> np.uint64(31)
     h *= _M2
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    h >>= np.uint64(64 - bits)
+    return h.view(np.int64)
 
 
 class Tables:
@@ -420,7 +423,7 @@ class Shared:
         self.letter_code = letter_code
         self.code, self.hot_words, self.hot_pairs, self.buckets = code, hot_words, hot_pairs, buckets
         self.tables: list[np.ndarray] = []  # packed counts: no word, hot words, hot pairs
-        self.letters: list[np.ndarray] = []
+        self.letters: list[np.ndarray] = []  # evidence by letters
 
     def level(self, one: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """0, 1 where the word before is hot, 2 where both words before are."""
@@ -433,28 +436,35 @@ class Shared:
         return np.where(level == 2, -1, bucket.astype(np.int64))
 
 
-def node_states(code: Code, context: np.ndarray, sym: np.ndarray, times: np.ndarray) -> np.ndarray:
+def node_states(code: Code, context: np.ndarray, sym: np.ndarray, times: np.ndarray, expanded: tuple | None = None) -> np.ndarray:
     """Packed counts of every code bit under its context and node, for distinct (context, symbol) in the order of contexts and codes.
 
     Symbols that share a node are neighbours in that order, so the counts of a depth are sums of runs.
+    ``expanded`` may pass in the symbols' (token, bit): bits no neighbour shares, most under two words, are then filled in at once.
     """
     size, word = code.size[sym].astype(np.int8), code.left[sym]
     at = np.cumsum(size, dtype=np.int64) - size  # where the bit of this depth stands
     common = np.full(len(sym), -1, np.int8)  # bits shared with the entry before
     same = np.flatnonzero(context[1:] == context[:-1]) + 1
     common[same] = 53 - np.frexp(((word[same] ^ word[same - 1]) >> np.uint64(11)).astype(np.float64))[1]
-    out = np.zeros(int(size.sum(dtype=np.int64)), np.uint16)
+    if expanded is None:
+        out = np.zeros(int(size.sum(dtype=np.int64)), np.uint16)
+    else:
+        own = np.minimum(times, 255).astype(np.uint16)
+        out = np.stack([own * np.uint16(256), own], 1).reshape(-1).take(2 * expanded[0] + expanded[1])
+        size = np.maximum(common, np.append(common[1:], np.int8(-1))) + np.int8(1)
     depth, least, word, times = 0, size.min() if len(size) else 0, word.view(np.int64), times.astype(np.float64)
-    while len(at):
+    while True:
+        if depth >= least:  # an entry that ends shares no more with others, so runs stay as they are
+            go_on = np.flatnonzero(size > depth)
+            size, word, at, times, common = (x.take(go_on) for x in (size, word, at, times, common))
+        if not len(at):
+            return out
         run = np.cumsum(common < depth)  # from 1
         both = np.bincount(2 * run + (word >> (63 - depth) & 1), times, minlength=2 * int(run[-1]) + 2).astype(np.int64)
         out[at] = packed(both[::2], both[1::2]).take(run)
         depth += 1
         at += 1
-        if depth >= least:  # an entry that ends shares its whole code with none, so runs stay as they are
-            go_on = np.flatnonzero(size > depth)
-            size, word, at, times, common = (x.take(go_on) for x in (size, word, at, times, common))
-    return out
 
 
 def order_of(keys: np.ndarray, low: int = 0) -> np.ndarray:
@@ -534,7 +544,7 @@ def _mix_chunk(shared: Shared, mixer: Mixer, single, pair, sym, training, level,
     at, of = distinct((single & ~low) | code.rank[sym])
     by_word = node_states(code, single[at] & ~low, sym[at], np.bincount(of, times, minlength=len(at)))
     first = np.cumsum(code.size[sym[at]]) - code.size[sym[at]]
-    states = [shared.tables[0].take(node), by_word.take(first[of].take(token) + depth), node_states(code, pair & ~low, sym, times)]
+    states = [shared.tables[0].take(node), by_word.take(first[of].take(token) + depth), node_states(code, pair & ~low, sym, times, (token, bit))]
     if level.any():
         hot = np.flatnonzero(level[token] == 1)
         states[1][hot] = shared.tables[1][slots(single, token[hot], node[hot], HOT_BITS[0])]
@@ -752,6 +762,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             one, two = token_ids(w, sym, first)
             if slices[0] >= slices[1]:  # now and then: packing takes all slots
                 so_far[:], slices[1] = [pack(t) for t in tables.counts], slices[0] * 3 // 2 + 1
+                so_far[len(HOT_BITS) :] = [EVIDENCE.take(t) for t in so_far[len(HOT_BITS) :]]
             slices[0] += 1
             hot = np.flatnonzero(is_in(one, model.hot_words))
             for lo in range(0, len(hot), TOKENS):
@@ -772,7 +783,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 some = at[lo : lo + TOKENS]
                 letters, spans = gather_spans(data, w.start[some], w.end[some])
                 for _, found, lbit, gate in letter_bits(model.letter_code, letters, spans):
-                    inputs = [EVIDENCE[t[slot]] for t, slot in zip(so_far[len(HOT_BITS) :], found)]
+                    inputs = [t.take(slot) for t, slot in zip(so_far[len(HOT_BITS) :], found)]
                     letter_mixer.learn(inputs, gate, lbit, np.ones(len(lbit), np.float32), batch=4 * BATCH)
                     for i, slot in enumerate(found):
                         tables.add(len(HOT_BITS) + i, slot, lbit)
@@ -791,7 +802,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     packed = []
     while tables:
         packed.append(pack(tables.pop(0)))
-    model.tables, model.letters = [*model.tables, *packed[: len(HOT_BITS)]], packed[len(HOT_BITS) :]
+    model.tables, model.letters = [*model.tables, *packed[: len(HOT_BITS)]], [EVIDENCE.take(t) for t in packed[len(HOT_BITS) :]]
     whole = spark.sparkContext.broadcast((model, letter_mixer, pair_mixer))
     del packed, model
 
@@ -986,7 +997,7 @@ def answer_words(group: list, model: Shared, mixer: Mixer, tail_total: int, nove
         some = where[lo : lo + TOKENS]
         data, spans = gather_spans(letters, first[some], first[some + 1])
         for at, found, bit, gate in letter_bits(model.letter_code, data, spans):
-            log = mixer.log_of([EVIDENCE[t[f]] for t, f in zip(model.letters, found)], gate, bit, luts, costs)
+            log = mixer.log_of([t.take(f) for t, f in zip(model.letters, found)], gate, bit, luts, costs)
             spell[lo : lo + len(some)] += np.bincount(at, log, minlength=len(some))
     seen = count > 0
     share = (1 - novel) * count / max(tail_total, 1)
