@@ -483,9 +483,9 @@ def order_of(keys: np.ndarray, low: int = 0) -> np.ndarray:
     return np.argsort(keys, kind="stable") if (found[1:] < found[:-1]).any() else order
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray, low: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(first places of the distinct keys in their order, number of each key), as np.unique has them."""
-    order = order_of(keys, 16)
+    order = order_of(keys, low)
     found = keys.take(order)
     new = np.ones(len(keys), bool)
     new[1:] = found[1:] != found[:-1]
@@ -681,8 +681,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         letters = np.zeros(256, np.int64)
 
         def add(h, n):
-            held[0], at = np.unique(np.concatenate([held[0], h]), return_inverse=True)
-            held[1] = np.bincount(at, np.concatenate([held[1], n]), minlength=len(held[0])).astype(np.int64)
+            both = np.concatenate([held[0], h])
+            first, at = distinct(both, 0)
+            held[:] = [both[first], np.bincount(at, np.concatenate([held[1], n]), minlength=len(first)).astype(np.int64)]
 
         def flush():
             out = {"hash": held[0].view(np.int64), "before": pa.nulls(len(held[0]), pa.int64()), "n": held[1]}
@@ -715,14 +716,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = materialise(counted, "lm-counts")
     words_of = counted.filter("before is null")
     head = words_of.filter(F.col("n") >= MIN_HEAD_COUNT).orderBy(F.desc("n"), "hash").limit(HEAD).select("hash", "n").toPandas()
-    everything, once, distinct = words_of.agg(
+    everything, once, n_words = words_of.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))
     ).first()
     words, counts = head["hash"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
     tail_total = everything - int(counts.sum())
     train_tokens = everything + n_train
     novel = new_share(once, tail_total)
-    vocabulary = distinct + (n_train > 0)
+    vocabulary = n_words + (n_train > 0)
     code = Code(words, counts, tail_total, n_train)
     by_hash = np.argsort(words)
     symbol_counts = np.concatenate([[n_train, 0], counts[by_hash]]).astype(np.int64)
