@@ -42,6 +42,9 @@ PIECE_BYTES = 1 << 20
 NULL_ID = 1 << 62
 ROW = "deal int, kind int, a binary, b binary, c binary"
 ANCHORS, SHARED, RESULTS, TEXTS, HOT = 0, 1, 2, 3, 4
+BUCKET_BYTES = 16 << 20  # of text, for a bucket of anchors
+TURN_BYTES = 16 << 20  # of fragments that a task unpacks, or holds before it sends them
+SORT_BYTES = 1 << 18  # of fragments whose suffixes are sorted together: that takes some 100 times their bytes
 HOT_PART, HOT_LEAST = 16, 1024  # a sixteenth of a bucket's anchors, and so many documents at least
 
 
@@ -109,6 +112,20 @@ def _by_part(part: np.ndarray):
     return [(int(part[a]), slice(int(a), int(b))) for a, b in zip(cut, cut[1:])]
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans, one after the other."""
+    total = int(size.sum())
+    kind = np.int32 if max(total, int(start.max(initial=0)) + total) < 1 << 31 else np.int64
+    at = np.repeat((start - (np.cumsum(size) - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return at
+
+
+def _blocks(size: np.ndarray, limit: int) -> list[slice]:
+    """Slices of neighbours that add up to about ``limit`` each, or of one."""
+    return [s for _, s in _by_part((np.cumsum(size) - size) // limit)]
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["deal", "kind", "a", "b", "c"])
@@ -203,25 +220,38 @@ def deal_texts(texts: DataFrame, deals: int) -> DataFrame:
 
 
 def _deals(batches):
-    """(deal, shared keys, results, texts) of a partition sorted by deal and kind, texts a few megabytes at a time."""
-    deal, shared, results, texts, size = None, [], [], [], 0
+    """(deal, shared keys, results, texts) of a partition sorted by deal and kind, texts about a megabyte at a time.
+
+    Keys are in order, and results (contents, spans, ids) by content.
+    """
+    deal, shared, results, known, texts, size = None, [], [], None, [], 0
     for batch in batches:
         for d, kind, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if d != deal or size >= PIECE_BYTES:
                 if texts:
-                    yield deal, shared, results, texts
+                    yield deal, *known, texts
                 texts, size = [], 0
             if d != deal:
-                deal, shared, results = d, [], []
+                deal, shared, results, known = d, [], [], None
             if kind == SHARED:
                 shared.append(_match_key(np.cumsum(expand(a, np.int64)), np.frombuffer(b, np.uint32)))
             elif kind == RESULTS:
                 results.append((expand(a, np.uint64), expand(b, np.uint8).reshape(-1, 3), expand(c, np.int64)))
             else:
+                if known is None:  # texts come last
+                    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *shared])), _by_content(results)
+                    shared, results = [], []
                 texts.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), expand(c, np.uint8)))
                 size += len(texts[-1][2])
     if texts:
-        yield deal, shared, results, texts
+        yield deal, *known, texts
+
+
+def _by_content(results: list):
+    none = np.zeros(0, np.uint64), np.zeros((0, 3), np.uint8), np.zeros(0, np.int64)
+    content, span, low = (np.concatenate(x) for x in zip(none, *results))
+    order = np.argsort(content, kind="stable")
+    return content[order], span[order], low[order]
 
 
 def content_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -256,12 +286,16 @@ def _joined(texts: list):
 
 
 def send_fragments(batches, buckets: int, hot: np.ndarray):
-    """Distinct fragments of each deal of documents by anchor bucket: anchors, smallest and largest ids, sizes, bytes."""
+    """Distinct fragments of each deal of documents by anchor bucket: anchors, smallest and largest ids, sizes, bytes.
+
+    They are sent whenever TURN_BYTES have gathered, so a fragment may go out a few times from one deal.
+    """
     kept: list = []
-    deal_now = None
+    deal_now, held = None, 0
 
     def flush():
         h, content, low, high, size, raw = (np.concatenate([k[i] for k in kept]) for i in range(6))
+        kept.clear()
         spans = np.concatenate([[0], np.cumsum(size)])
         _, one, inverse = np.unique(content, return_index=True, return_inverse=True)
         lows, highs = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
@@ -281,11 +315,10 @@ def send_fragments(batches, buckets: int, hot: np.ndarray):
     for deal, shared, _, texts in _deals(batches):
         if deal != deal_now and kept:
             yield flush()
-            kept = []
+            held = 0
         deal_now = deal
         ids, data, offsets = _joined(texts)
-        keys = np.sort(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
-        row, first, last, h, content = _shared_fragments(keys, hot, ids, data, offsets)
+        row, first, last, h, content = _shared_fragments(shared, hot, ids, data, offsets)
         if not len(row):
             continue
         order = np.lexsort((ids[row], content))
@@ -293,67 +326,99 @@ def send_fragments(batches, buckets: int, hot: np.ndarray):
         start = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
         end = np.append(start[1:], len(content)) - 1
         size = (last - first + WINDOW)[start]
-        at = np.arange(size.sum()) + np.repeat(first[start] - (np.cumsum(size) - size), size)
-        kept.append((h[start], content[start], ids[row[start]], ids[row[end]], size, data[at]))
+        for s in _blocks(size, TURN_BYTES // 4):
+            a = start[s]
+            kept.append((h[a], content[a], ids[row[a]], ids[row[end[s]]], size[s], data[_places(first[a], size[s])]))
+            held += len(kept[-1][5])
+            if held >= TURN_BYTES:
+                yield flush()
+                held = 0
     if kept:
         yield flush()
 
 
 def match_fragments(batches):
-    """For each fragment, the smallest id of each of its windows; rows (deal, RESULTS, contents, runs, ids)."""
+    """For each fragment, the smallest id of each of its windows; rows (deal, RESULTS, contents, runs, ids).
+
+    A bucket's fragments wait as they were sent, compressed.  They are matched in turns, each
+    with a share of the anchors, so that what a task unpacks does not grow with its bucket.
+    """
     held: dict[int, list] = {}
     for batch in batches:
         for bucket, deal, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            held.setdefault(bucket, []).append((deal, expand(a, np.int64).reshape(4, -1), b))
-    for parts in held.values():
-        head = np.concatenate([p[1] for p in parts], axis=1)
-        deal = np.repeat([p[0] for p in parts], [p[1].shape[1] for p in parts])
-        anchor, low, high, size = head
-        raw = np.concatenate([expand(p[2], np.uint8) for p in parts])
-        spans = np.concatenate([[0], np.cumsum(size)])
-        content = content_numbers(raw, spans[:-1], spans[1:])
-        _, one, inverse = np.unique(content, return_index=True, return_inverse=True)
-        lows = np.full(len(one), np.iinfo(np.int64).max)
-        np.minimum.at(lows, inverse, low)
-        # an anchor with one fragment needs no sorting: all its windows have the fragment's smallest id
-        _, group = np.unique(anchor[one], return_inverse=True)
-        alone = np.bincount(group)[group] == 1
-        runs = [np.column_stack([np.flatnonzero(alone), np.zeros(alone.sum(), np.int64), (size[one] - WINDOW)[alone], lows[alone]])]
-        mixed = np.flatnonzero(~alone)
-        if len(mixed):
-            runs.append(_suffix_runs(mixed, [raw[spans[i] : spans[i + 1]] for i in one[mixed]], lows[mixed]))
-        runs = np.concatenate(runs)
-        runs = runs[np.argsort(runs[:, 0], kind="stable")]
-        first = np.searchsorted(runs[:, 0], np.arange(len(one) + 1))
-        count = first[inverse + 1] - first[inverse]
-        which = np.repeat(np.arange(len(inverse)), count)
-        at = np.arange(count.sum()) + np.repeat(first[inverse] - (np.cumsum(count) - count), count)
-        useful = runs[at, 3] < high[which]  # some document of the deal has a larger id
-        which, at = which[useful], at[useful]
-        order = np.argsort(deal[which], kind="stable")
-        which, at = which[order], at[order]
-        rows = []
-        for d, s in _by_part(deal[which]):
-            r = runs[at[s]]
-            span = np.column_stack([r[:, 1], r[:, 2], np.zeros(len(r), np.int64)]).astype(np.uint8)
-            rows.append((d, RESULTS, squeeze(content[which[s]]), squeeze(span), squeeze(r[:, 3])))
-        if rows:
-            yield _rows(rows)
-
-
-def _suffix_runs(number: np.ndarray, pieces: list[np.ndarray], low: np.ndarray) -> np.ndarray:
-    """(fragment, first window, last window, smallest id) from the suffix array of all pieces."""
-    size = np.array([len(p) for p in pieces])
+            held.setdefault(bucket, []).append((deal, a, b))
+    while held:
+        parts = held.popitem()[1]
+        turns = -(-sum(int.from_bytes(b[:8], "little") for _, _, b in parts) // TURN_BYTES)
+        for turn in range(turns):
+            rows = _match_turn(parts, turn, turns)
+            if rows:
+                yield _rows(rows)
+
+
+def _match_turn(parts: list, turn: int, turns: int) -> list[tuple]:
+    """The results of the anchors whose turn it is."""
+    heads, contents, raws, deals = [], [], [], []
+    for d, a, b in parts:
+        head, raw = expand(a, np.int64).reshape(4, -1), expand(b, np.uint8)
+        if turns > 1:
+            mine = np.flatnonzero(K.mix(head[0].view(np.uint64)) % np.uint64(turns) == turn)
+            start = (np.cumsum(head[3]) - head[3])[mine]
+            head = head[:, mine]
+            raw = raw[_places(start, head[3])]
+        spans = np.concatenate([[0], np.cumsum(head[3])])
+        heads.append(head)
+        contents.append(content_numbers(raw, spans[:-1], spans[1:]))
+        raws.append(raw)
+        deals.append(np.full(head.shape[1], d, np.int64))
+    anchor, low, high, size = np.concatenate(heads, axis=1)
+    content, raw, deal = np.concatenate(contents), np.concatenate(raws), np.concatenate(deals)
+    del heads, contents, raws, deals
+    start = np.cumsum(size) - size
+    _, one, inverse = np.unique(content, return_index=True, return_inverse=True)
+    lows = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(lows, inverse, low)
+    # an anchor with one fragment needs no sorting: all its windows have the fragment's smallest id
+    _, group = np.unique(anchor[one], return_inverse=True)
+    alone = np.bincount(group)[group] == 1
+    runs = [np.column_stack([np.flatnonzero(alone), np.zeros(alone.sum(), np.int64), (size[one] - WINDOW)[alone], lows[alone]])]
+    mixed = np.flatnonzero(~alone)
+    mixed = mixed[np.argsort(group[mixed], kind="stable")]
+    ends = np.flatnonzero(np.diff(group[mixed], append=-1)) + 1  # of groups, which are sorted whole
+    cuts = np.concatenate([[0], ends])
+    for part in _blocks(np.diff(np.concatenate([[0], np.cumsum(size[one[mixed]])])[cuts]), SORT_BYTES):
+        which = mixed[cuts[part.start] : cuts[part.stop]]
+        runs.append(_suffix_runs(which, raw[_places(start[one[which]], size[one[which]])], size[one[which]], lows[which]))
+    del raw
+    runs = np.concatenate(runs)
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    first = np.searchsorted(runs[:, 0], np.arange(len(one) + 1))
+    count = first[inverse + 1] - first[inverse]
+    which, at = np.repeat(np.arange(len(inverse)), count), _places(first[inverse], count)
+    useful = runs[at, 3] < high[which]  # some document of the deal has a larger id
+    which, at = which[useful], at[useful]
+    order = np.argsort(deal[which], kind="stable")
+    which, at = which[order], at[order]
+    rows = []
+    for d, s in _by_part(deal[which]):
+        r = runs[at[s]]
+        span = np.column_stack([r[:, 1], r[:, 2], np.zeros(len(r), np.int64)]).astype(np.uint8)
+        rows.append((d, RESULTS, squeeze(content[which[s]]), squeeze(span), squeeze(r[:, 3])))
+    return rows
+
+
+def _suffix_runs(number: np.ndarray, data: np.ndarray, size: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(fragment, first window, last window, smallest id) from the suffix array of all fragments, whose bytes are ``data``."""
     start = np.concatenate([[0], np.cumsum(size + 1)])
-    text = np.ones(start[-1], np.int64)  # 1 parts the pieces, bytes are 2..257
+    text = np.ones(start[-1], np.int16)  # 1 parts the pieces, bytes are 2..257
     body = np.ones(start[-1], bool)
     body[start[1:] - 1] = False
-    text[body] = np.concatenate(pieces).astype(np.int64) + 2
+    text[body] = data.astype(np.int16) + 2
     sa = suffix_array(text)
     same = common_prefixes(text, sa, WINDOW) >= WINDOW
-    piece = np.searchsorted(start, sa, "right") - 1
-    at = sa - start[piece]
-    window = at + WINDOW <= size[piece]
+    of = np.repeat(np.arange(len(size)), size + 1)  # the piece of each place
+    piece = of[sa]
+    window = sa - start[piece] + WINDOW <= size[piece]
     # windows hold no parting mark, so equal ones are neighbours and all entries between are windows too
     run = np.cumsum(~(same & window))
     smallest = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
@@ -361,8 +426,7 @@ def _suffix_runs(number: np.ndarray, pieces: list[np.ndarray], low: np.ndarray)
     best = np.full(len(text), -1, np.int64)
     best[sa[window]] = smallest[run[window]]
     place = np.sort(sa[window])
-    owner = np.searchsorted(start, place, "right") - 1
-    value = best[place]
+    owner, value = of[place], best[place]
     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place)) - 1
@@ -376,17 +440,16 @@ def cut_texts(batches, schema: pa.Schema, hot: np.ndarray):
         row, first, last, _ = split_hot(data, *fragments(data, offsets), hot)
         content = content_numbers(data, first, last + WINDOW)
         depth = np.zeros(len(data) + 1, np.int32)
-        if results and len(row):
-            c, span, low = (np.concatenate([r[i] for r in results]) for i in range(3))
-            order = np.argsort(c, kind="stable")
-            c, span, low = c[order], span[order].astype(np.int64), low[order]
+        c, span, low = results
+        if len(c) and len(row):
             a, b = np.searchsorted(c, content, "left"), np.searchsorted(c, content, "right")
             which = np.repeat(np.arange(len(row)), b - a)
             at = np.arange(len(which)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
             use = low[at] < ids[row[which]]
             which, at = which[use], at[use]
-            np.add.at(depth, first[which] + span[at, 0], 1)
-            np.add.at(depth, first[which] + span[at, 1] + WINDOW, -1)
+            span = span[at].astype(np.int64)
+            np.add.at(depth, first[which] + span[:, 0], 1)
+            np.add.at(depth, first[which] + span[:, 1] + WINDOW, -1)
         removed = np.cumsum(depth[:-1]) > 0
         rows = len(ids)
         of = K.row_of_byte(offsets)
@@ -399,26 +462,26 @@ def cut_texts(batches, schema: pa.Schema, hot: np.ndarray):
         }, schema)
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int | None]:
-    """(text and a number with the order of ids, (number, id) where numbers are not ids less a shift, the shift or None without null ids).
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int | None, int]:
+    """(text and a number with the order of ids, (number, id) where numbers are not ids less a shift, the shift or None without null ids, bytes of text).
 
     Null ids get numbers from NULL_ID on, by a hash of their text.  Ids are numbers as they
     are where there is no null, or none reaches NULL_ID; else they are shifted down, or where
     they fill the whole range, ranked.
     """
     text, number = F.col(text_col).alias("text"), F.col(id_col).cast("long")
-    nulls, low, high = docs.agg(F.max(number.isNull()), F.min(number), F.max(number)).first()
+    nulls, low, high, size = docs.agg(F.max(number.isNull()), F.min(number), F.max(number), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()
     hashed = F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(NULL_ID // 2))
     if not nulls:
-        return docs.select(text, number.alias("id")), None, None
+        return docs.select(text, number.alias("id")), None, None, size
     if high is None or high < NULL_ID:
-        return docs.select(text, F.coalesce(number, hashed).alias("id")), None, 0
+        return docs.select(text, F.coalesce(number, hashed).alias("id")), None, 0, size
     if low >= -NULL_ID:
-        return docs.select(text, F.coalesce(number - F.lit(NULL_ID), hashed).alias("id")), None, NULL_ID
+        return docs.select(text, F.coalesce(number - F.lit(NULL_ID), hashed).alias("id")), None, NULL_ID, size
     ids = docs.select(number.alias("own")).filter("own is not null").distinct()
     ranks = materialise(running_before(ids, [], ["own"], F.lit(1), "id", docs.count()), "suffix-ranks")
     met = docs.select(text, number.alias("own")).join(ranks.hint("merge"), "own", "left")
-    return met.select("text", F.coalesce("id", F.lit(NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(NULL_ID // 2))).alias("id")), ranks, 0
+    return met.select("text", F.coalesce("id", F.lit(NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(NULL_ID // 2))).alias("id")), ranks, 0, size
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,15 +495,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     workers_find_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts, ranks, shift = numbered(docs, id_col, text_col)
-    buckets, deals = shuffle_width(spark), 2 * shuffle_width(spark)
+    texts, ranks, shift, size = numbered(docs, id_col, text_col)
+    buckets = max(shuffle_width(spark), -(-size // BUCKET_BYTES))  # what a task holds follows neither the input nor the shuffle partitions
+    deals = 2 * buckets
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = arrow_schema(ddl)
 
     path = scratch_path(spark, "suffix-anchors")
-    anchors = materialise(find_anchors(texts, buckets, deals), "suffix-anchors", path)
+    anchors = materialise(find_anchors(texts, buckets, deals), "suffix-anchors", path, "none")
     met = anchors.filter(F.col("kind") == ANCHORS).repartitionById(buckets, F.col("deal")).mapInArrow(lambda b: share_anchors(b, deals), ROW)
-    shared = materialise(met.union(anchors.filter(F.col("kind") == SHARED)), "suffix-shared")
+    shared = materialise(met.union(anchors.filter(F.col("kind") == SHARED)), "suffix-shared", compression="none")
     del anchors, met
     discard(spark, path)
     keys = [np.frombuffer(r["b"], np.uint32) for r in shared.filter(F.col("kind") == HOT).select("b").collect()]  # few: see HOT_PART
@@ -448,7 +512,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = shared.filter(F.col("kind") == SHARED)
     dealt = lambda df: df.repartitionById(deals, F.col("deal")).sortWithinPartitions("deal", "kind")
     found = dealt(shared.union(deal_texts(texts, deals))).mapInArrow(lambda b: send_fragments(b, buckets, hot), ROW)
-    results = materialise(found.repartitionById(buckets, F.col("deal")).mapInArrow(match_fragments, ROW), "suffix-results")
+    results = materialise(found.repartitionById(buckets, F.col("deal")).mapInArrow(match_fragments, ROW), "suffix-results", compression="none")
     done = dealt(results.union(deal_texts(texts, deals))).mapInArrow(lambda b: cut_texts(b, schema, hot), ddl)
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if ranks is not None:
