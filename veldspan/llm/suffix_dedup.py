@@ -43,7 +43,7 @@ NULL_ID = 1 << 62
 ROW = "deal int, kind int, a binary, b binary, c binary"
 ANCHORS, SHARED, RESULTS, TEXTS, HOT = 0, 1, 2, 3, 4
 BUCKET_BYTES = 16 << 20  # of text, for a bucket of anchors
-TURN_BYTES = 16 << 20  # of fragments that a task unpacks, or holds before it sends them
+TURN_BYTES = 24 << 20  # of fragments that a task unpacks, or holds before it sends them
 SORT_BYTES = 1 << 18  # of fragments whose suffixes are sorted together: that takes some 100 times their bytes
 HOT_PART, HOT_LEAST = 16, 1024  # a sixteenth of a bucket's anchors, and so many documents at least
 
@@ -62,13 +62,14 @@ def deal_of(ids: np.ndarray, deals: int) -> np.ndarray:
     return ((K.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(20)) % np.uint64(deals)).astype(np.int64)
 
 
-def fragments(data: np.ndarray, offsets: np.ndarray):
-    """(row, first window, last window, anchor hash) of each run of windows with one anchor, in order."""
+def fragments(data: np.ndarray, offsets: np.ndarray, total: np.ndarray | None = None):
+    """(row, first window, last window, anchor hash) of each run of windows with one anchor, in order; ``total`` may pass in the prefix sums."""
     windows, span = len(data) - WINDOW + 1, WINDOW - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if windows <= 0:
         return none, none, none, none.view(np.uint64)
-    total = K.prefix_sums(data)
+    if total is None:
+        total = K.prefix_sums(data)
     h = K.mix((total[ANCHOR:] - total[:-ANCHOR]) * K.powers(len(data) + 1, K._BASE_INV)[: len(data) - ANCHOR + 1])
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     size = 1
@@ -268,7 +269,8 @@ def content_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
 
 def _shared_fragments(shared: np.ndarray, hot: np.ndarray, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
     """(row, first window, last window, anchor, content number) of the fragments under shared anchors."""
-    row, first, last, h = fragments(data, offsets)
+    total = K.prefix_sums(data)
+    row, first, last, h = fragments(data, offsets, total)
     if len(shared) and len(row):
         key = _match_key(ids[row], h.astype(np.uint32))
         at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
@@ -276,7 +278,7 @@ def _shared_fragments(shared: np.ndarray, hot: np.ndarray, ids: np.ndarray, data
     else:
         use = np.zeros(len(row), bool)
     row, first, last, h = split_hot(data, row[use], first[use], last[use], h[use], hot)
-    return row, first, last, h, content_numbers(data, first, last + WINDOW)
+    return row, first, last, h, K.span_hash(data, first, last + WINDOW, total)
 
 
 def _joined(texts: list):
@@ -437,8 +439,9 @@ def cut_texts(batches, schema: pa.Schema, hot: np.ndarray):
     """The result of every document."""
     for _, _, results, texts in _deals(batches):
         ids, data, offsets = _joined(texts)
-        row, first, last, _ = split_hot(data, *fragments(data, offsets), hot)
-        content = content_numbers(data, first, last + WINDOW)
+        total = K.prefix_sums(data)
+        row, first, last, _ = split_hot(data, *fragments(data, offsets, total), hot)
+        content = K.span_hash(data, first, last + WINDOW, total)
         depth = np.zeros(len(data) + 1, np.int32)
         c, span, low = results
         if len(c) and len(row):
